@@ -206,12 +206,12 @@ def category_counts(spark, sf):
 
 
 @query("duration_stats", """
-SELECT k AS category, count(n_chars)::BIGINT AS n, min(n_chars) AS min, round(quantile_cont(n_chars, 0.5), 4) AS p50,
-       round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.95), 4) AS p95, max(n_chars) AS max
+SELECT k AS category, count(n_chars)::BIGINT AS n, min(n_chars)::DOUBLE AS min, round(quantile_cont(n_chars, 0.5), 4) AS p50,
+       round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.95), 4) AS p95, max(n_chars)::DOUBLE AS max
 FROM (SELECT DISTINCT lang AS k FROM documents UNION SELECT 'xx') LEFT JOIN documents ON lang = k GROUP BY k
 """)
 def duration_stats(spark, sf):
-    rows = read_table(spark, sf, "documents").select(F.col("lang").alias("category"), "n_chars")
+    rows = read_table(spark, sf, "documents").select(F.col("lang").alias("category"), F.col("n_chars").cast("double").alias("n_chars"))
     stats = R.duration_stats(rows, "category", "n_chars", ["de", "en", "es", "fr", "xx"])
     return stats.filter("n > 0 OR category = 'xx'").withColumns(
         {c: F.round(F.col(c), 4) for c in ("p50", "mean", "p95")}
@@ -542,14 +542,14 @@ SELECT event_id, start::INTEGER AS start FROM s
 """)
 def window_starts(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", (F.col("value") * 400).cast("int").alias("len"))
-    return e.select("event_id", F.explode(arrays.window_starts(F.col("len"), 16000, 4000)).cast("int").alias("start"))
+    return e.select("event_id", F.explode(arrays.window_starts(F.col("len"), 16000, 4000)).alias("start"))
 
 
 @query("format_magnitude", """
 SELECT o_orderkey, CASE WHEN x >= 1e9 THEN printf('%.3f GFLOPs', x / 1e9) WHEN x >= 1e6 THEN printf('%.3f MFLOPs', x / 1e6)
   WHEN x >= 1e3 THEN printf('%.3f KFLOPs', x / 1e3) ELSE printf('%.0f FLOPs', x) END AS label
-FROM (SELECT o_orderkey, o_totalprice * (o_custkey + 1) AS x FROM orders)
+FROM (SELECT o_orderkey, sqrt(o_totalprice) * (o_custkey + 1) * 100 AS x FROM orders)
 """)
 def format_magnitude(spark, sf):
-    x = F.col("o_totalprice") * (F.col("o_custkey") + 1)
+    x = F.sqrt("o_totalprice") * (F.col("o_custkey") + 1) * 100
     return read_table(spark, sf, "orders").select("o_orderkey", arrays.format_magnitude(x).alias("label"))
