@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from earshot.functions.vectors import total
+from earshot.functions.vectors import let, total
 
 
 def clamp(arr: Column, lo: float = -1.0, hi: float = 1.0) -> Column:
@@ -14,7 +14,7 @@ def clamp(arr: Column, lo: float = -1.0, hi: float = 1.0) -> Column:
 
 def apply_gain(arr: Column, gain_db: Column) -> Column:
     gain = F.pow(F.lit(10.0), gain_db / 20.0)
-    return clamp(F.transform(arr, lambda x: x * gain))
+    return clamp(let(gain, lambda g: F.transform(arr, lambda x: x * g)))
 
 
 def apply_volume(arr: Column, volume: float) -> Column:
@@ -36,7 +36,7 @@ def snr_scale(signal: Column, noise: Column, snr_db: Column, legacy: bool = Fals
 
 
 def mix(signal: Column, noise: Column, scale: Column) -> Column:
-    return clamp(F.zip_with(signal, noise, lambda s, n: s + n * scale))
+    return clamp(let(scale, lambda k: F.zip_with(signal, noise, lambda s, n: s + n * k)))
 
 
 def pad_right(arr: Column, length: int) -> Column:

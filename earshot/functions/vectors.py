@@ -8,6 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    An expression used inside a lambda is otherwise evaluated for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def as_double(vec) -> Column:
     return (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
 
@@ -29,8 +37,10 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = 1e-12) -> Column:
-    length = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x / length)
+    def divide(v):
+        return let(F.greatest(norm(v), F.lit(eps)), lambda length: F.transform(v, lambda x: x / length))
+
+    return let(a, divide)
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
@@ -60,15 +70,3 @@ def pairwise_score(method: str, q: Column, p: Column, beta: float = 0.0, dim: in
     if method == "dot":
         return dot(q, p)
     raise ValueError(f"unknown scoring method {method!r}")
-
-
-def softmax_array(scores: Column) -> Column:
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - top))
-    return F.transform(weights, lambda w: w / total(weights))
-
-
-def log_softmax_at(scores: Column, picked: Column) -> Column:
-    """log softmax of ``scores`` evaluated at the score ``picked``."""
-    top = F.array_max(scores)
-    return picked - top - F.log(total(F.transform(scores, lambda s: F.exp(s - top))))

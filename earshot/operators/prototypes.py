@@ -52,38 +52,57 @@ def attach_model(
 
 def score_array(method: str, vec: str = "z", model: str = "model", **options) -> Column:
     """Array of (cls, s): score of the row's vector against every model entry."""
-    q = F.col(vec)
-    return F.transform(
-        F.col(model), lambda m: F.struct(m["cls"].alias("cls"), V.pairwise_score(method, q, m["p"], **options).alias("s"))
-    )
+    def against(q):
+        return F.transform(
+            F.col(model),
+            lambda m: F.struct(m["cls"].alias("cls"), V.pairwise_score(method, q, m["p"], **options).alias("s")),
+        )
+
+    return V.let(F.col(vec), against)
 
 
 def probabilities(scores: Column) -> Column:
     """Array of (cls, p): softmax over an array of (cls, s)."""
-    top = F.array_max(F.transform(scores, lambda x: x["s"]))
-    weights = F.transform(scores, lambda x: F.struct(x["cls"].alias("cls"), F.exp(x["s"] - top).alias("w")))
-    mass = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x["w"])
-    return F.transform(weights, lambda x: F.struct(x["cls"].alias("cls"), (x["w"] / mass).alias("p")))
+    def weigh(pairs):
+        return V.let(
+            F.array_max(F.transform(pairs, lambda x: x["s"])),
+            lambda top: F.transform(
+                pairs, lambda x: F.struct(x["cls"].alias("cls"), F.exp(x["s"] - top).alias("w"))
+            ),
+        )
+
+    def share(weights):
+        return V.let(
+            F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x["w"]),
+            lambda mass: F.transform(
+                weights, lambda x: F.struct(x["cls"].alias("cls"), (x["w"] / mass).alias("p"))
+            ),
+        )
+
+    return V.let(V.let(scores, weigh), share)
 
 
 def best_entry(probs: Column) -> Column:
-    """Entry with the highest probability, the lowest class on ties, as (p, -cls)."""
+    """Entry with the highest probability, the lowest class on ties, as (p, neg_cls)."""
     return F.array_max(F.transform(probs, lambda x: F.struct(x["p"].alias("p"), (-x["cls"]).alias("neg_cls"))))
 
 
 def open_set_columns(df: DataFrame, reject: list[int], scores: str = "scores") -> DataFrame:
     """pred, conf, close_max (best accepted class) and ood (rejected mass)."""
-    with_probs = df.withColumn("probs", probabilities(F.col(scores)))
-    accepted = F.filter("probs", lambda x: ~x["cls"].isin(*reject))
-    rejected = F.filter("probs", lambda x: x["cls"].isin(*reject))
-    best = best_entry(F.col("probs"))
-    return (
-        with_probs.withColumn("_best", best)
-        .withColumn("pred", -F.col("_best.neg_cls"))
-        .withColumn("conf", F.col("_best.p"))
-        .withColumn("close_max", F.array_max(F.transform(accepted, lambda x: x["p"])))
-        .withColumn("ood", F.aggregate(rejected, F.lit(0.0), lambda acc, x: acc + x["p"]))
-        .drop("_best")
+    def decide(probs):
+        accepted = F.filter(probs, lambda x: ~x["cls"].isin(*reject))
+        rejected = F.filter(probs, lambda x: x["cls"].isin(*reject))
+        return F.struct(
+            best_entry(probs).alias("best"),
+            F.array_max(F.transform(accepted, lambda x: x["p"])).alias("close_max"),
+            F.aggregate(rejected, F.lit(0.0), lambda acc, x: acc + x["p"]).alias("ood"),
+        )
+
+    decided = df.withColumn("_d", V.let(probabilities(F.col(scores)), decide))
+    return decided.select(
+        *[c for c in df.columns if c != scores],
+        (-F.col("_d.best.neg_cls")).alias("pred"), F.col("_d.best.p").alias("conf"),
+        F.col("_d.close_max").alias("close_max"), F.col("_d.ood").alias("ood"),
     )
 
 
@@ -103,13 +122,15 @@ def score_in_blocks(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     )
     scored = visits.join(blocks, ["_block", "_salt"]).select(row_id, score_array(method, **options).alias("scores"))
-    top = F.array_max(F.transform("scores", lambda x: x["s"]))
-    part = scored.select(
-        row_id,
-        top.alias("top"),
-        F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + F.exp(x["s"] - top)).alias("mass"),
-        F.array_max(F.transform("scores", lambda x: F.struct(x["s"].alias("s"), (-x["cls"]).alias("c")))).alias("best"),
-    )
+
+    def condense(pairs):
+        best = F.array_max(F.transform(pairs, lambda x: F.struct(x["s"].alias("s"), (-x["cls"]).alias("c"))))
+        return V.let(best, lambda b: F.struct(
+            b.alias("best"), b["s"].alias("top"),
+            F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.exp(x["s"] - b["s"])).alias("mass"),
+        ))
+
+    part = scored.select(row_id, V.let(F.col("scores"), condense).alias("c")).select(row_id, "c.*")
     merged = part.groupBy(row_id).agg(
         F.max("best").alias("best"), F.max("top").alias("top"), F.collect_list(F.struct("top", "mass")).alias("parts")
     )
@@ -171,9 +192,12 @@ def openmax_probabilities(scores: Column, unknown_cls: int) -> Column:
         moved = x["d"] + 1.0 - x["shift"]
         return F.when(moved > 0, 1.0 - F.exp(-F.pow(moved / x["scale"], x["shape"]))).otherwise(F.lit(0.0))
 
-    known = F.transform(scores, lambda x: F.struct(x["cls"].alias("cls"), (-x["d"] * cdf(x)).alias("s")))
-    unknown = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + (x["d"] - x["d"] * cdf(x)))
-    return probabilities(F.concat(known, F.array(F.struct(F.lit(unknown_cls).alias("cls"), (-unknown).alias("s")))))
+    def recombine(entries):
+        known = F.transform(entries, lambda x: F.struct(x["cls"].alias("cls"), (-x["d"] * cdf(x)).alias("s")))
+        unknown = F.aggregate(entries, F.lit(0.0), lambda acc, x: acc + (x["d"] - x["d"] * cdf(x)))
+        return F.concat(known, F.array(F.struct(F.lit(unknown_cls).alias("cls"), (-unknown).alias("s"))))
+
+    return probabilities(V.let(scores, recombine))
 
 
 def dummy_prototype_scores(vec: str, known: str, unknown: str, unknown_cls: int, t_known=1.0, t_unknown=3.0) -> Column:

@@ -127,14 +127,15 @@ def fewshot_rank(spark, sf):
     rows = P.attach_model(
         V.queries(spark, sf).withColumn("z", vectors.l2_normalize(F.col("z"))), model, [], N_CLASSES, DIM
     ).select("vec_id", P.score_array("euclidean").alias("scores"))
-    probs = rows.select(
-        "vec_id",
-        F.transform(
-            F.arrays_zip(P.probabilities(F.col("scores")).alias("a"), F.col("scores").alias("b")),
-            lambda x: F.struct((-x["a"]["p"]).alias("np"), x["a"]["cls"].alias("cls"), F.sqrt(-x["b"]["s"]).alias("d")),
-        ).alias("ranked"),
-    )
-    top = probs.select("vec_id", F.slice(F.array_sort("ranked"), 1, 3).alias("top"))
+
+    def rank(pairs):
+        ranked = F.zip_with(
+            P.probabilities(pairs), pairs,
+            lambda a, b: F.struct((-a["p"]).alias("np"), a["cls"].alias("cls"), F.sqrt(-b["s"]).alias("d")),
+        )
+        return F.slice(F.array_sort(ranked), 1, 3)
+
+    top = rows.select("vec_id", vectors.let(F.col("scores"), rank).alias("top"))
     best = -F.col("top")[0]["np"]
     return top.select("vec_id", best.alias("best"), F.posexplode("top").alias("pos", "x")).select(
         "vec_id", (F.col("pos") + 1).alias("place"), F.col("x.cls").alias("class"),
@@ -188,10 +189,10 @@ def openmax_with(spark, sf, params):
         F.col("class").alias("cls"), F.col("proto").alias("p"), "shape", "scale", "shift"
     ))))
     rows = P.attach_model(V.queries(spark, sf), model, [], N_CLASSES, DIM)
-    dist = F.transform("model", lambda m: F.struct(
-        m["cls"].alias("cls"), vectors.squared_distance(F.col("z"), m["p"]).alias("d"),
+    dist = vectors.let(F.col("z"), lambda q: F.transform("model", lambda m: F.struct(
+        m["cls"].alias("cls"), vectors.squared_distance(q, m["p"]).alias("d"),
         m["shape"].alias("shape"), m["scale"].alias("scale"), m["shift"].alias("shift"),
-    ))
+    )))
     probs = rows.select("vec_id", dist.alias("d")).select("vec_id", F.explode(P.openmax_probabilities(F.col("d"), 99)).alias("x"))
     return probs.select("vec_id", F.col("x.cls").alias("class"), F.col("x.p").alias("probability"))
 
