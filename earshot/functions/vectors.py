@@ -57,16 +57,3 @@ def reprojection_score(q: Column, p: Column, beta: float, dim: int) -> Column:
     qp, pp, qq = dot(q, p), dot(p, p), dot(q, q)
     a = qp / (pp + F.lit(1.0 / dim))
     return -(F.lit(rho * rho) * a * a * pp - F.lit(2.0 * rho) * a * qp + qq)
-
-
-def pairwise_score(method: str, q: Column, p: Column, beta: float = 0.0, dim: int = 64) -> Column:
-    """Similarity of a query and a prototype; larger is closer."""
-    if method == "euclidean":
-        return -squared_distance(q, p)
-    if method == "cosine":
-        return cosine(q, p)
-    if method == "reprojection":
-        return reprojection_score(q, p, beta, dim)
-    if method == "dot":
-        return dot(q, p)
-    raise ValueError(f"unknown scoring method {method!r}")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.scans import bucketed_scan
+from earshot.session import materialize
 
 SCORE_BUCKETS = 65536
 
@@ -128,6 +129,7 @@ def operating_point(
 
 def episode_metrics(preds: DataFrame, keys: list[str], target_far: float = 0.05) -> DataFrame:
     """One row per key: AUC, counts, accuracies, operating point (NULL when closed-set)."""
+    preds = materialize(preds)  # four passes over scores that are costly to compute
     ok = F.when(F.col("pred_cls") == F.col("true_cls"), 1.0).otherwise(0.0)
     base = preds.groupBy(*keys).agg(
         F.avg(F.when(F.col("pos"), ok)).alias("accuracy_pos"),

@@ -1,14 +1,20 @@
 """Class prototypes and few-shot open-set scoring of embedding rows.
 
-A model (one per episode) is an array of (class, vector) entries, bounded by
-the number of ways. Queries are scored against that array in place: no row
-pairs are produced and no shuffle carries embeddings.
+A fitted model is a small table of (class, vector) rows, one set per episode,
+like the centres of a clustering model: it is fetched once under a size bound
+and sent to the tasks. Queries are scored batch by batch with one matrix
+product, so no row pairs are produced and no shuffle carries embeddings.
+Array lambdas evaluate the same arithmetic about a hundred times slower.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,36 +35,175 @@ def normalized_class_means(rows: DataFrame, keys: list[str], vec: str, dim: int,
     return class_means(rows, keys, vec, dim).withColumn("proto", V.l2_normalize(F.col("proto")))
 
 
-def model_array(protos: DataFrame, keys: list[str], cls: str, vec: str = "proto", out: str = "model") -> DataFrame:
-    entries = F.array_sort(F.collect_list(F.struct(F.col(cls).alias("cls"), F.col(vec).alias("p"))))
-    return protos.groupBy(*keys).agg(entries.alias(out)) if keys else protos.agg(entries.alias(out))
+def fetch_model(protos: DataFrame, keys: list[str], cls: str, dim: int, n_vectors: int):
+    """Prototype rows on the driver: key values, classes and an (n, dim) matrix.
+
+    ``n_vectors`` bounds the table; a larger one is refused, never cut.
+    """
+    if n_vectors * dim * 8 > BROADCAST_LIMIT_BYTES:
+        raise ValueError("model above the broadcast bound; use predict_in_parts")
+    table = protos.select(*keys, cls, "proto").limit(n_vectors + 1).toArrow().sort_by([(c, "ascending") for c in [*keys, cls]])
+    if table.num_rows > n_vectors:
+        raise ValueError(f"more than the declared {n_vectors} prototypes")
+    matrix = np.array(table["proto"].to_pylist(), dtype=float).reshape(table.num_rows, dim)
+    columns = [table[k].to_numpy() for k in keys]
+    return columns, table[cls].to_numpy(), matrix
+
+
+def score_matrix(method: str, z: np.ndarray, p: np.ndarray, beta: float = 0.0) -> np.ndarray:
+    """(rows, prototypes) similarity; larger is closer."""
+    qp = z @ p.T
+    if method == "dot":
+        return qp
+    qq, pp = (z * z).sum(axis=1)[:, None], (p * p).sum(axis=1)[None, :]
+    if method == "euclidean":
+        return -np.maximum(qq - 2.0 * qp + pp, 0.0)
+    if method == "cosine":
+        return qp / np.maximum(np.sqrt(qq) * np.sqrt(pp), 1e-8)
+    if method == "reprojection":
+        a, rho = qp / (pp + 1.0 / z.shape[1]), math.exp(beta)
+        return -(rho * rho * a * a * pp - 2.0 * rho * a * qp + qq)
+    raise ValueError(f"unknown scoring method {method!r}")
+
+
+def _vectors_of(batch: pa.RecordBatch, vec: str, dim: int) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(vec)).flatten().to_numpy().reshape(-1, dim)
+
+
+def _kept(batch: pa.RecordBatch, keep: list[str]) -> list[pa.Array]:
+    return [batch.column(batch.schema.get_field_index(c)) for c in keep]
+
+
+def _schema(df: DataFrame, keep: list[str], extra: str) -> str:
+    types = dict(df.dtypes)
+    return ", ".join([f"{c} {types[c]}" for c in keep] + [extra])
+
+
+def with_scores(
+    queries: DataFrame, protos: DataFrame, cls: str, vec: str, dim: int, n_way: int, keep: list[str], method: str, **options
+) -> DataFrame:
+    """``keep`` columns plus ``scores``: array of (cls, s), ordered by class."""
+    _, classes, matrix = fetch_model(protos, [], cls, dim, n_way)
+
+    def run(batches):
+        for batch in batches:
+            z = _vectors_of(batch, vec, dim)
+            flat = pa.StructArray.from_arrays(
+                [pa.array(np.tile(classes, len(z)).astype(np.int32)), pa.array(score_matrix(method, z, matrix, **options).ravel())],
+                ["cls", "s"],
+            )
+            offsets = pa.array(np.arange(len(z) + 1, dtype=np.int32) * len(classes))
+            yield pa.RecordBatch.from_arrays([*_kept(batch, keep), pa.ListArray.from_arrays(offsets, flat)], [*keep, "scores"])
+
+    return queries.select(*keep, vec).mapInArrow(run, _schema(queries, keep, "scores array<struct<cls:int,s:double>>"))
+
+
+def _decide(scores: np.ndarray, classes: np.ndarray, reject: list[int]) -> list[np.ndarray]:
+    """pred, conf, close_max, ood for (..., n) scores and classes; ties go to the lowest class."""
+    weights = np.exp(scores - scores.max(axis=-1, keepdims=True))
+    probs = weights / weights.sum(axis=-1, keepdims=True)
+    rejected = np.isin(classes, reject)
+    best = probs.argmax(axis=-1)
+    pred = np.take_along_axis(np.broadcast_to(classes, probs.shape), best[..., None], axis=-1)[..., 0]
+    close = np.where(rejected, -np.inf, probs).max(axis=-1)
+    return [pred.astype(np.int32), probs.max(axis=-1), close, np.where(rejected, probs, 0.0).sum(axis=-1)]
+
+
+_PREDICTION = "pred int, conf double, close_max double, ood double"
+_PREDICTION_NAMES = ["pred", "conf", "close_max", "ood"]
+
+
+def predict(
+    queries: DataFrame, protos: DataFrame, cls: str, vec: str, dim: int, n_way: int, keep: list[str],
+    reject: list[int], method: str = "euclidean", **options,
+) -> DataFrame:
+    """pred, conf, close_max (best accepted class) and ood (rejected mass) per query."""
+    _, classes, matrix = fetch_model(protos, [], cls, dim, n_way)
+
+    def run(batches):
+        for batch in batches:
+            scores = score_matrix(method, _vectors_of(batch, vec, dim), matrix, **options)
+            out = [pa.array(x) for x in _decide(scores, classes, reject)]
+            yield pa.RecordBatch.from_arrays([*_kept(batch, keep), *out], [*keep, *_PREDICTION_NAMES])
+
+    return queries.select(*keep, vec).mapInArrow(run, _schema(queries, keep, _PREDICTION))
 
 
-def attach_model(
-    queries: DataFrame, models: DataFrame, keys: list[str], n_way: int, dim: int, n_models: int = 1, row_id: str = "vec_id"
+def predict_episodes(
+    queries: DataFrame, protos: DataFrame, cls: str, vec: str, dim: int, n_way: int, n_episodes: int, keep: list[str],
+    asked: str, reject: list[int], method: str = "euclidean", **options,
 ) -> DataFrame:
-    """Give every query row the model of its key.
+    """Predictions of every query under each episode listed in its ``asked`` array.
 
-    One model is read through a scalar subquery. Many models are joined on
-    their key; ``n_models * n_way * dim`` bounds the broadcast.
+    A query travels once; its scores under all episodes are one matrix product.
     """
-    size = n_models * n_way * dim * 8
-    if not keys:
-        if size > BROADCAST_LIMIT_BYTES:
-            raise ValueError("model too large for one row; use score_in_blocks")
-        return queries.withColumn("model", models.scalar())
-    return join_bounded(queries, models, keys, size, [row_id])
-
-
-def score_array(method: str, vec: str = "z", model: str = "model", **options) -> Column:
-    """Array of (cls, s): score of the row's vector against every model entry."""
-    def against(q):
-        return F.transform(
-            F.col(model),
-            lambda m: F.struct(m["cls"].alias("cls"), V.pairwise_score(method, q, m["p"], **options).alias("s")),
-        )
+    (episodes,), classes, matrix = fetch_model(protos, ["episode"], cls, dim, n_way * n_episodes)
+    numbers, first = np.unique(episodes, return_index=True)
+    width = np.diff(np.append(first, len(episodes)))
+    # Episodes may hold fewer classes than n_way; missing slots never win.
+    slots = first[:, None] + np.minimum(np.arange(n_way)[None, :], width[:, None] - 1)
+    absent = np.arange(n_way)[None, :] >= width[:, None]
+    slot_classes = np.where(absent, np.iinfo(np.int32).max, classes[slots])
+
+    def run(batches):
+        for batch in batches:
+            z = _vectors_of(batch, vec, dim)
+            lists = batch.column(batch.schema.get_field_index(asked))
+            rows = np.repeat(np.arange(len(z)), lists.value_lengths().to_numpy())
+            wanted = lists.flatten().to_numpy()
+            at = np.searchsorted(numbers, wanted)
+            for lo in range(0, len(rows), 200_000):
+                r, e = rows[lo : lo + 200_000], at[lo : lo + 200_000]
+                span = slice(r[0], r[-1] + 1)
+                scores = score_matrix(method, z[span], matrix, **options)[(r - r[0])[:, None], slots[e]]
+                scores = np.where(absent[e], -np.inf, scores)
+                out = [pa.array(x) for x in _decide(scores, slot_classes[e], reject)]
+                kept = [c.take(pa.array(r)) for c in _kept(batch, keep)]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(wanted[lo : lo + 200_000].astype(np.int32)), *out], [*keep, "episode", *_PREDICTION_NAMES]
+                )
+
+    return queries.select(*keep, vec, asked).mapInArrow(run, _schema(queries, keep, "episode int, " + _PREDICTION))
+
+
+def predict_in_parts(
+    queries: DataFrame, protos: DataFrame, row_id: str, cls: str, vec: str, dim: int, n_classes: int,
+    part_classes: int | None = None, method: str = "euclidean", **options,
+) -> DataFrame:
+    """(row_id, pred, conf) against a class set above the broadcast bound.
 
-    return V.let(F.col(vec), against)
+    Classes are cut into parts that fit the bound; each part contributes its
+    best class and exponential mass, and the parts are combined exactly.
+    """
+    part_classes = part_classes or max(1, BROADCAST_LIMIT_BYTES // (dim * 8) // 2)
+    n_parts = max(1, math.ceil(n_classes / part_classes))
+    part_of = F.pmod(F.xxhash64(cls), F.lit(n_parts))
+
+    def partial(i):
+        # Hash parts are uneven; twice the mean is the declared bound.
+        _, classes, matrix = fetch_model(protos.filter(part_of == i), [], cls, dim, 2 * part_classes)
+
+        def run(batches):
+            for batch in batches:
+                z = _vectors_of(batch, vec, dim)
+                if not len(classes):
+                    continue
+                s = score_matrix(method, z, matrix, **options)
+                top = s.max(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*_kept(batch, [row_id]), pa.array(top), pa.array(np.exp(s - top[:, None]).sum(axis=1)),
+                     pa.array(classes[s.argmax(axis=1)].astype(np.int32))],
+                    [row_id, "top", "mass", "best"],
+                )
+
+        return queries.select(row_id, vec).mapInArrow(run, _schema(queries, [row_id], "top double, mass double, best int"))
+
+    parts = reduce(DataFrame.unionByName, [partial(i) for i in range(n_parts)])
+    merged = parts.groupBy(row_id).agg(
+        F.max(F.struct("top", (-F.col("best")).alias("c"))).alias("b"), F.collect_list(F.struct("top", "mass")).alias("parts")
+    )
+    mass = V.let(F.col("b.top"), lambda t: F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["mass"] * F.exp(x["top"] - t)))
+    return merged.select(row_id, (-F.col("b.c")).alias("pred"), (F.lit(1.0) / mass).alias("conf"))
 
 
 def probabilities(scores: Column) -> Column:
@@ -82,62 +227,6 @@ def probabilities(scores: Column) -> Column:
     return V.let(V.let(scores, weigh), share)
 
 
-def best_entry(probs: Column) -> Column:
-    """Entry with the highest probability, the lowest class on ties, as (p, neg_cls)."""
-    return F.array_max(F.transform(probs, lambda x: F.struct(x["p"].alias("p"), (-x["cls"]).alias("neg_cls"))))
-
-
-def open_set_columns(df: DataFrame, reject: list[int], scores: str = "scores") -> DataFrame:
-    """pred, conf, close_max (best accepted class) and ood (rejected mass)."""
-    def decide(probs):
-        accepted = F.filter(probs, lambda x: ~x["cls"].isin(*reject))
-        rejected = F.filter(probs, lambda x: x["cls"].isin(*reject))
-        return F.struct(
-            best_entry(probs).alias("best"),
-            F.array_max(F.transform(accepted, lambda x: x["p"])).alias("close_max"),
-            F.aggregate(rejected, F.lit(0.0), lambda acc, x: acc + x["p"]).alias("ood"),
-        )
-
-    decided = df.withColumn("_d", V.let(probabilities(F.col(scores)), decide))
-    return decided.select(
-        *[c for c in df.columns if c != scores],
-        (-F.col("_d.best.neg_cls")).alias("pred"), F.col("_d.best.p").alias("conf"),
-        F.col("_d.close_max").alias("close_max"), F.col("_d.ood").alias("ood"),
-    )
-
-
-def score_in_blocks(
-    queries: DataFrame, protos: DataFrame, row_id: str, cls: str, method: str, n_blocks: int, n_salts: int = 64, **options
-) -> DataFrame:
-    """Scoring against a class set too large for one row.
-
-    Classes are dealt to ``n_blocks`` blocks; every query visits each block
-    once, and the salted key spreads one block over ``n_salts`` tasks. Returns
-    (row_id, pred, conf) with an exact softmax combined over the blocks.
-    """
-    blocks = model_array(
-        protos.withColumn("_block", F.pmod(F.xxhash64(cls), F.lit(n_blocks)).cast("int")), ["_block"], cls
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    visits = queries.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(n_salts)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    scored = visits.join(blocks, ["_block", "_salt"]).select(row_id, score_array(method, **options).alias("scores"))
-
-    def condense(pairs):
-        best = F.array_max(F.transform(pairs, lambda x: F.struct(x["s"].alias("s"), (-x["cls"]).alias("c"))))
-        return V.let(best, lambda b: F.struct(
-            b.alias("best"), b["s"].alias("top"),
-            F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.exp(x["s"] - b["s"])).alias("mass"),
-        ))
-
-    part = scored.select(row_id, V.let(F.col("scores"), condense).alias("c")).select(row_id, "c.*")
-    merged = part.groupBy(row_id).agg(
-        F.max("best").alias("best"), F.max("top").alias("top"), F.collect_list(F.struct("top", "mass")).alias("parts")
-    )
-    mass = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["mass"] * F.exp(x["top"] - F.col("top")))
-    return merged.select(row_id, (-F.col("best.c")).alias("pred"), (F.lit(1.0) / mass).alias("conf"))
-
-
 def tail_distances(rows: DataFrame, protos: DataFrame, cls: str, vec: str, size_bytes: int, row_id: str, tail: int = 5) -> DataFrame:
     """The ``tail`` largest squared distances of each class's rows to its mean."""
     far = join_bounded(rows, protos.select(cls, "proto"), [cls], size_bytes, [row_id]).select(
@@ -200,11 +289,11 @@ def openmax_probabilities(scores: Column, unknown_cls: int) -> Column:
     return probabilities(V.let(scores, recombine))
 
 
-def dummy_prototype_scores(vec: str, known: str, unknown: str, unknown_cls: int, t_known=1.0, t_unknown=3.0) -> Column:
-    """Known classes score -d/t_known; the best unknown prototype scores -d/t_unknown."""
-    q = F.col(vec)
-    near = F.transform(
-        F.col(known), lambda m: F.struct(m["cls"].alias("cls"), (-V.squared_distance(q, m["p"]) / t_known).alias("s"))
-    )
-    far = F.array_max(F.transform(F.col(unknown), lambda m: -V.squared_distance(q, m["p"]) / t_unknown))
+def dummy_prototype_scores(scores: Column, known, unknown_cls: int, t_known=1.0, t_unknown=3.0) -> Column:
+    """Known classes score -d/t_known; the best unknown prototype scores -d/t_unknown.
+
+    ``scores`` holds (cls, -d); ``known`` maps an entry to whether its class is known.
+    """
+    near = F.transform(F.filter(scores, known), lambda x: F.struct(x["cls"].alias("cls"), (x["s"] / t_known).alias("s")))
+    far = F.array_max(F.transform(F.filter(scores, lambda x: ~known(x)), lambda x: x["s"] / t_unknown))
     return F.concat(near, F.array(F.struct(F.lit(unknown_cls).alias("cls"), far.alias("s"))))

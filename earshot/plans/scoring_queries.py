@@ -22,9 +22,9 @@ def support_means(spark, sf):
 
 
 def scored_queries(spark, sf, method, **options):
-    model = P.model_array(support_means(spark, sf), [], "class")
-    rows = P.attach_model(V.queries(spark, sf), model, [], N_CLASSES, DIM)
-    return rows.select("vec_id", "label", P.score_array(method, **options).alias("scores"))
+    return P.with_scores(
+        V.queries(spark, sf), support_means(spark, sf), "class", "z", DIM, N_CLASSES, ["vec_id", "label"], method, **options
+    )
 
 
 def long_scores(df, digits=6):
@@ -34,7 +34,9 @@ def long_scores(df, digits=6):
 
 
 def predictions(spark, sf):
-    out = P.open_set_columns(scored_queries(spark, sf, "euclidean"), V.REJECT)
+    out = P.predict(
+        V.queries(spark, sf), support_means(spark, sf), "class", "z", DIM, N_CLASSES, ["vec_id", "label"], V.REJECT
+    )
     known = lambda c: F.when(F.col(c) < V.N_KNOWN, F.col(c)).otherwise(F.lit(-1))
     return out.select(
         "vec_id", "label", (F.col("label") < V.N_KNOWN).alias("pos"), known("label").alias("true_cls"),
@@ -98,7 +100,7 @@ a AS (SELECT *, qp / (pp + 1.0::DOUBLE / {DIM}) AS a FROM d)
 SELECT vec_id, class, round(-(exp(0.4::DOUBLE) * a * a * pp - 2 * exp(0.2::DOUBLE) * a * qp + qq), 6) AS score FROM a
 """)
 def reprojection_scores(spark, sf):
-    return long_scores(scored_queries(spark, sf, "reprojection", beta=0.2, dim=DIM))
+    return long_scores(scored_queries(spark, sf, "reprojection", beta=0.2))
 
 
 @query("openset_scores", f"WITH {V.PROBA_SQL} SELECT vec_id, pos, true_cls, pred_cls, round(conf, 6) AS conf, round(close_max, 6) AS close_max, round(ood, 6) AS ood FROM pred")
@@ -123,10 +125,8 @@ FROM k WHERE rk <= 3
 """)
 def fewshot_rank(spark, sf):
     protos = P.normalized_class_means(V.support(spark, sf), ["label"], "z", DIM, each=True)
-    model = P.model_array(protos, [], "label")
-    rows = P.attach_model(
-        V.queries(spark, sf).withColumn("z", vectors.l2_normalize(F.col("z"))), model, [], N_CLASSES, DIM
-    ).select("vec_id", P.score_array("euclidean").alias("scores"))
+    unit = V.queries(spark, sf).withColumn("z", vectors.l2_normalize(F.col("z")))
+    rows = P.with_scores(unit, protos, "label", "z", DIM, N_CLASSES, ["vec_id"], "euclidean")
 
     def rank(pairs):
         ranked = F.zip_with(
@@ -184,15 +184,13 @@ def openmax_scores(spark, sf):
 def openmax_with(spark, sf, params):
     """OpenMax probabilities of all queries under given tail models."""
     known = support_means(spark, sf).filter(F.col("class") < V.N_KNOWN)
-    entries = known.join(params.withColumnRenamed("label", "class"), "class")
-    model = entries.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("class").alias("cls"), F.col("proto").alias("p"), "shape", "scale", "shift"
-    ))))
-    rows = P.attach_model(V.queries(spark, sf), model, [], N_CLASSES, DIM)
-    dist = vectors.let(F.col("z"), lambda q: F.transform("model", lambda m: F.struct(
-        m["cls"].alias("cls"), vectors.squared_distance(q, m["p"]).alias("d"),
-        m["shape"].alias("shape"), m["scale"].alias("scale"), m["shift"].alias("shift"),
-    )))
+    scored = P.with_scores(V.queries(spark, sf), known, "class", "z", DIM, N_CLASSES, ["vec_id"], "euclidean")
+    # Both arrays are ordered by class and hold one entry per known class.
+    table = params.agg(F.array_sort(F.collect_list(F.struct("label", "shape", "scale", "shift"))))
+    rows = scored.withColumn("params", table.scalar())
+    dist = F.zip_with("scores", "params", lambda x, t: F.struct(
+        x["cls"].alias("cls"), (-x["s"]).alias("d"), t["shape"].alias("shape"), t["scale"].alias("scale"), t["shift"].alias("shift"),
+    ))
     probs = rows.select("vec_id", dist.alias("d")).select("vec_id", F.explode(P.openmax_probabilities(F.col("d"), 99)).alias("x"))
     return probs.select("vec_id", F.col("x.cls").alias("class"), F.col("x.p").alias("probability"))
 
@@ -203,11 +201,10 @@ e2 AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM sc)
 SELECT vec_id, class, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS probability FROM e2
 """)
 def dummy_proto_scores(spark, sf):
-    means = support_means(spark, sf)
-    known = P.model_array(means.filter(F.col("class") < V.N_KNOWN), [], "class")
-    unknown = P.model_array(means.filter(F.col("class") >= V.N_KNOWN), [], "class")
-    rows = V.queries(spark, sf).withColumn("known", known.scalar()).withColumn("unknown", unknown.scalar())
-    scored = rows.select("vec_id", P.dummy_prototype_scores("z", "known", "unknown", 99).alias("scores"))
+    rows = scored_queries(spark, sf, "euclidean")
+    is_known = lambda x: x["cls"] < V.N_KNOWN
+    dummy = vectors.let(F.col("scores"), lambda pairs: P.dummy_prototype_scores(pairs, is_known, 99))
+    scored = rows.select("vec_id", dummy.alias("scores"))
     return scored.select("vec_id", F.explode(P.probabilities(F.col("scores"))).alias("x")).select(
         "vec_id", F.col("x.cls").alias("class"), F.round("x.p", 6).alias("probability")
     )
@@ -324,17 +321,17 @@ def episode_predictions(spark, sf, n_episodes=EPISODES, n_way=WAYS, k=SHOTS):
     picked = S.episode_support(rows.select("vec_id", "cls"), drawn, "cls", "vec_id", k, SEED).select("episode", "vec_id", "cls")
     # Vectors are fetched only for the k * n_way * n_episodes chosen rows.
     support = picked.join(rows.select("vec_id", "z"), "vec_id")
-    model = P.model_array(P.class_means(support, ["episode", "cls"], "z", DIM), ["episode"], "cls")
+    protos = P.class_means(support, ["episode", "cls"], "z", DIM)
     # A row is used by every episode that drew its class, except where it is support.
     uses = rows.join(drawn.groupBy("cls").agg(F.collect_list("episode").alias("eps")), "cls").join(
         picked.groupBy("vec_id").agg(F.collect_list("episode").alias("taken")), "vec_id", "left"
     )
     asked = F.array_except("eps", F.coalesce("taken", F.array().cast("array<int>")))
-    queries = uses.select("vec_id", "cls", "z", F.explode(asked).alias("episode"))
-    scored = P.attach_model(queries, model, ["episode"], n_way, DIM, n_episodes).select(
-        "episode", "vec_id", F.col("cls").alias("true_cls"), P.score_array("euclidean").alias("scores")
+    queries = uses.select("vec_id", F.col("cls").alias("true_cls"), "z", asked.alias("asked"))
+    out = P.predict_episodes(
+        queries, protos, "cls", "z", DIM, n_way, n_episodes, ["vec_id", "true_cls"], "asked", [-1]
     )
-    return P.open_set_columns(scored, [-1]).select(
+    return out.select(
         "episode", "vec_id", "true_cls", (F.col("true_cls") >= 0).alias("pos"), F.col("pred").alias("pred_cls"),
         "conf", F.round("close_max", 9).alias("close_max"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an expensive intermediate once to the checkpoint folder and read it back.
+
+    The written table survives the loss of executors and cuts the lineage; later
+    passes read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"earshot-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def join_bounded(
     large: DataFrame,
     small: DataFrame,
