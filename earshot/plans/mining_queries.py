@@ -9,7 +9,7 @@ from earshot.functions import text as T
 from earshot.operators import mining as M
 from earshot.plans.record_queries import WORDS_SQL, lexicon_words
 from earshot.plans.registry import query
-from earshot.session import read_table
+from earshot.session import materialize, read_table
 
 SEED = presets.SEED
 LETTERS = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "'"]
@@ -87,7 +87,8 @@ def aligned_utterances(spark, sf):
     from earshot.operators.scans import bucketed_scan
 
     numbered = bucketed_scan(phones.withColumnRenamed("pos", "wpos"), ["utt_id"], "wpos", ["j"], rank="pos")
-    return timed.drop("_letters"), numbered.select("utt_id", "pos", "start", "end", "text")
+    # Written once, as a corpus of aligned utterances would be: mining reads it several times.
+    return materialize(timed.drop("_letters")), materialize(numbered.select("utt_id", "pos", "start", "end", "text"))
 
 
 def candidates(spark, sf):

@@ -1 +1 @@
-
+"""Readers and writers for the corpus file formats."""
