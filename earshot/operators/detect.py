@@ -45,6 +45,38 @@ class TriggerMachine:
         return [0, label, streak], None
 
 
+@dataclass(frozen=True)
+class SmoothedTrigger:
+    """Exponential smoothing of class probabilities, then ``TriggerMachine``.
+
+    Smoothing goes on during the cooldown; rejected classes never compete.
+    Scores are rounded so that ties do not depend on the order of additions.
+    """
+
+    labels: tuple[str, ...]
+    machine: TriggerMachine
+    alpha: float = 1.0
+    reject: tuple[str, ...] = ("_unknown_", "_silence_")
+    digits: int = 9
+
+    def start(self):
+        return [None, self.machine.start()]
+
+    def step(self, state, *probs):
+        smooth, inner = state
+        probs = [float(p) for p in probs]
+        if smooth is None:
+            smooth = probs
+        else:
+            smooth = [self.alpha * p + (1 - self.alpha) * s for p, s in zip(probs, smooth)]
+        score, _, label = max(
+            (round(s, self.digits), -i, name)
+            for i, (s, name) in enumerate(zip(smooth, self.labels)) if name not in self.reject
+        )
+        inner, event = self.machine.step(inner, label, score)
+        return [smooth, inner], event
+
+
 @dataclass(frozen=True)
 class SegmentMachine:
     """Speech segments from an external activity flag, in frames.
