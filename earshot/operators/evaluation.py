@@ -68,10 +68,10 @@ def cumulative_counts(preds: DataFrame, keys: list[str], score: str = "close_max
 
 
 def auroc(preds: DataFrame, keys: list[str], score: str = "close_max") -> DataFrame:
-    """Mann-Whitney statistic, ties counted half."""
+    """Mann-Whitney statistic, ties counted half; NULL without both kinds of rows."""
     c = cumulative_counts(preds, keys, score)
     won = F.sum(F.col("n_pos") * (F.col("all_neg") - F.col("fps") + F.col("n_neg") / 2.0))
-    area = won / (F.max("all_pos").cast("double") * F.max("all_neg"))
+    area = F.try_divide(won, F.max("all_pos").cast("double") * F.max("all_neg"))
     return (c.groupBy(*keys) if keys else c).agg(
         area.alias("auc"), F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg")
     )
@@ -88,8 +88,8 @@ def roc_curve(preds: DataFrame, keys: list[str], score: str = "close_max", drop_
         same = (F.col("next_pos") == F.col("n_pos")) & (F.col("next_neg") == F.col("n_neg"))
         c = c.filter((F.col("rank") == 1) | F.col("next_pos").isNull() | ~same)
     point = F.struct(
-        (F.col("fps") / F.col("all_neg")).alias("fpr"),
-        (F.col("tps") / F.col("all_pos")).alias("tpr"),
+        F.try_divide("fps", "all_neg").alias("fpr"),
+        F.try_divide("tps", "all_pos").alias("tpr"),
         F.col("threshold").alias("threshold"),
     )
     origin = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), (F.col("threshold") + 1).alias("threshold"))
@@ -152,7 +152,7 @@ def summarize(metrics: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
-    return F.sum(value * weight) / F.sum(weight)
+    return F.try_divide(F.sum(value * weight), F.sum(weight))
 
 
 def source_false_alarms(preds: DataFrame, source: str = "source", unknown_cls: int = -1) -> DataFrame:

@@ -130,7 +130,7 @@ def _log_sum_exp(pairs_: Column) -> Column:
 
 
 def _at(pairs_: Column, cls: Column) -> Column:
-    return F.filter(pairs_, lambda x: x["cls"] == cls)[0]["s"]
+    return F.get(F.filter(pairs_, lambda x: x["cls"] == cls), F.lit(0))["s"]
 
 
 def nll(scored: DataFrame, label: str, margin: float = 0.0, scale: float = 1.0, shift: float = 0.0) -> DataFrame:

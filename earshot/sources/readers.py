@@ -98,7 +98,9 @@ def lexicon(spark: SparkSession, path: str, keep_stress: bool = False) -> DataFr
     """
     from pyspark.sql import Window
 
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    # The CSV reader decodes other charsets line by line; separator and quote are switched off.
+    raw = spark.read.schema("value string").option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").csv(path)
+    lines = raw.select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     lines = lines.filter("line <> ''").filter(~F.col("line").startswith(";;;") & ~F.col("line").startswith("#"))
     parts = F.split("line", r"\s+")
     rows = lines.filter(F.size(parts) >= 2).select("at", parts.alias("p"))
@@ -169,8 +171,8 @@ def parse_tiers(files: DataFrame, utt: str, content: str) -> DataFrame:
 def tier_files(spark: SparkSession, root: str, pattern: str = "*.TextGrid") -> DataFrame:
     """Parsed interval-tier files; one small text per utterance."""
     whole = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        .text(root).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+        spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern).load(root).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
     )
     named = whole.withColumn("utt", F.regexp_replace("name", r"\.[^.]*$", ""))
     return parse_tiers(named, "utt", "content")

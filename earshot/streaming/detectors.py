@@ -48,7 +48,8 @@ class MachineProcessor(StatefulProcessor):
 
     def _frames(self, rows: Iterator[pd.DataFrame]) -> list[list]:
         names = [*self.order, *self.columns]
-        return [list(r) for pdf in rows for r in zip(*[pdf[c].tolist() for c in names])]
+        # A key whose timers fire without new rows may come with a column-less frame.
+        return [list(r) for pdf in rows if len(pdf) for r in zip(*[pdf[c].tolist() for c in names])]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = self._frames(rows)
@@ -86,8 +87,8 @@ def detect_stream(
     schema = ", ".join([f"{key} {types[key]}", f"{tie} {types[tie]}"] + [f"{n} {t}" for n, t in fields.items()])
     # The processor sorts by (microseconds, tie); both survive as JSON numbers.
     base = frames.withWatermark(ts, lateness) if lateness else frames
-    base = base.withColumn("_us", F.unix_micros(ts)).select(key, ts, "_us", tie, *columns)
+    base = base.withColumn("at_us", F.unix_micros(ts)).select(key, ts, "at_us", tie, *columns)
     return base.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=MachineProcessor(machine, [key], ["_us", tie], columns, list(fields), lateness is not None),
+        statefulProcessor=MachineProcessor(machine, [key], ["at_us", tie], columns, list(fields), lateness is not None),
         outputStructType=schema, outputMode="Append", timeMode="EventTime" if lateness else "None",
     )
