@@ -103,6 +103,15 @@ def normalized_distance(distance: Column, len_a: Column, len_b: Column) -> Colum
 
 
 def phrase_hits(phrase: Column, blacklist: list[str]) -> Column:
-    """Phrase equals a listed one, starts with it, or ends with it (whole words)."""
-    tests = [(phrase == i) | phrase.startswith(i + " ") | phrase.endswith(" " + i) for i in blacklist]
+    """Phrase equals a listed one, starts with it, or ends with it (whole words).
+
+    Phrases are words joined by single blanks, so an item of k words matches
+    exactly when it is the first or the last k words: one set lookup each.
+    """
+    by_words: dict[int, list[str]] = {}
+    for item in blacklist:
+        by_words.setdefault(len(item.split(" ")), []).append(item)
+    tests = [
+        F.substring_index(phrase, " ", side * k).isin(*items) for k, items in sorted(by_words.items()) for side in (1, -1)
+    ]
     return reduce(lambda a, b: a | b, tests, F.lit(False))

@@ -89,39 +89,56 @@ def overlap_join(
     return pairs.drop("_bin", "span_first", "iv_first")
 
 
-def overlapping_texts(
-    spans: DataFrame, intervals: DataFrame, key: str, ids: list[str], out: str, bin_seconds: float
-) -> DataFrame:
-    """Spans with the texts of the intervals overlapping them, in time order.
+def ngrams(items: DataFrame, key: str, lengths: list[int], fields: list[str], block_rows: int = 4096) -> DataFrame:
+    """Runs of n consecutive items: (key, last_pos, n, items), oldest item first.
 
-    A span is identified by (key, ids); spans without any overlap get an empty list.
+    ``items`` has (key, pos from 1, ...fields). Blocks with a halo of the
+    longest run keep every window inside a bounded group; one window serves
+    all lengths.
     """
-    texts = intervals.select(key, F.col("pos").alias("_pos"), "start", "end", F.col("text").alias("_text"))
-    pairs = overlap_join(spans.select(key, *ids, "start", "end"), texts, key, "start", "end", bin_seconds)
-    grouped = pairs.groupBy(key, *ids).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_text"))), lambda x: x["_text"]).alias(out)
-    )
-    return spans.join(grouped, [key, *ids], "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    longest = max(lengths)
+    blocks = with_halo(items, "pos", longest - 1, block_rows)
+    window = Window.partitionBy(key, "block").orderBy("pos").rowsBetween(-(longest - 1), 0)
+    seen = blocks.withColumn("_seen", F.collect_list(F.struct(*fields)).over(window)).filter(~F.col("is_halo"))
+    runs = F.array_compact(F.array(*[
+        F.when(F.size("_seen") >= n, F.struct(F.lit(n).alias("n"), F.slice("_seen", -n, n).alias("items"))) for n in lengths
+    ]))
+    return seen.select(key, F.col("pos").alias("last_pos"), F.explode(runs).alias("r")).select(key, "last_pos", "r.*")
 
 
-def ngrams(items: DataFrame, key: str, lengths: list[int], block_rows: int = 4096) -> DataFrame:
-    """Runs of n consecutive items: (key, n, last_pos, start, end, texts).
+def runs_with_overlaps(
+    items: DataFrame, others: DataFrame, key: str, lengths: list[int], bin_seconds: float, eps: float = 1e-5, block_rows: int = 4096
+) -> DataFrame:
+    """Runs of consecutive items with the intervals of the other tier overlapping them.
 
-    ``items`` has (key, pos from 1, start, end, text). Blocks with a halo of
-    the longest run keep every window inside a bounded group.
+    Both sides have (key, pos, start, end, text, code). The other tier is
+    looked up once per item, not once per run: intervals overlapping the item
+    itself, and those overlapping the stretch since the previous item. A run
+    takes its first item's own intervals and the stretches of the rest.
+    Returns (key, last_pos, n, start, end, items, found), both lists in time order.
     """
-    longest = max(lengths)
-    blocks = with_halo(items, "pos", longest - 1, block_rows)
-    within = Window.partitionBy(key, "block").orderBy("pos")
-    structs = []
-    for n in lengths:
-        w = within.rowsBetween(-(n - 1), 0)
-        structs.append(F.when(F.count(F.lit(1)).over(w) == n, F.struct(
-            F.lit(n).alias("n"), F.first("start").over(w).alias("start"), F.max("end").over(w).alias("end"),
-            F.collect_list("text").over(w).alias("texts"),
-        )))
-    runs = blocks.withColumn("_runs", F.array_compact(F.array(*structs))).filter(~F.col("is_halo"))
-    return runs.select(key, F.col("pos").alias("last_pos"), F.explode("_runs").alias("r")).select(key, "last_pos", "r.*")
+    near = with_halo(items, "pos", 1, block_rows)
+    before = F.lag("end").over(Window.partitionBy(key, "block").orderBy("pos"))
+    stretch = near.withColumn("_since", F.least(F.coalesce(before - 2 * eps, F.col("start")), F.col("start"))).filter(~F.col("is_halo"))
+    looked_up = others.select(key, F.col("pos").alias("_at"), "start", "end", F.col("text").alias("_text"), F.col("code").alias("_code"))
+    pairs = overlap_join(
+        stretch.select(key, "pos", F.col("start").alias("_own"), F.col("_since").alias("start"), "end"), looked_up,
+        key, "start", "end", bin_seconds, eps,
+    )
+    hit = F.struct(F.col("_at").alias("at"), F.col("_text").alias("text"), F.col("_code").alias("code"))
+    found = pairs.groupBy(key, "pos").agg(
+        F.array_sort(F.collect_list(hit)).alias("near"),
+        F.array_sort(F.collect_list(F.when(F.col("iv_end") > F.col("_own") + eps, hit))).alias("own"),
+    )
+    runs = ngrams(items.join(found, [key, "pos"], "left"), key, lengths, ["start", "end", "text", "code", "near", "own"], block_rows)
+    nothing = F.array().cast("array<struct<at:bigint,text:string,code:string>>")
+    heard = F.concat(
+        F.array(F.coalesce(F.col("items")[0]["own"], nothing)), F.array_compact(F.slice("items.near", F.lit(2), F.col("n") - 1))
+    )
+    return runs.select(
+        key, "last_pos", "n", F.col("items")[0]["start"].alias("start"), F.array_max("items.end").alias("end"),
+        "items", F.array_distinct(F.flatten(heard)).alias("found"),
+    )
 
 
 def _best_target(spelled: Column, length: Column, names: list[str], targets, alphabet) -> Column:
@@ -154,9 +171,15 @@ def mine_candidates(
     phrase_blacklist = presets.PHRASE_BLACKLIST if phrase_blacklist is None else phrase_blacklist
     wake_targets = presets.WAKE_TARGETS if wake_targets is None else wake_targets
 
+    # One character per phone, assigned once; a run is then spelled by joining characters.
+    coded = phones.withColumn("code", T.spell_with(F.array("text"), alphabet))
+    plain = words.withColumn("code", F.lit(""))
+
     # Word runs: one to three words; phones are those overlapping the run in time.
-    runs = ngrams(words, "utt_id", [1, 2, 3]).withColumn("first_pos", F.col("last_pos") - F.col("n") + 1)
-    sound = overlapping_texts(runs, phones, "utt_id", ["first_pos", "n"], "phones", bin_seconds)
+    sound = runs_with_overlaps(plain, coded, "utt_id", [1, 2, 3], bin_seconds).select(
+        "utt_id", "n", "start", "end", F.col("items.text").alias("texts"), F.col("found.text").alias("phones"),
+        F.array_join("found.code", "").alias("spelled"),
+    )
     is_prefix = F.col("texts")[0].isin(*presets.PREFIX_WORDS)
 
     def entry(cond, category, rule):
@@ -172,15 +195,15 @@ def mine_candidates(
         entry(short, "reco_phoneme_similar", gram),
     ))
     from_words = sound.withColumn("_e", F.explode(entries)).select(
-        "utt_id", "start", "end", F.col("texts").alias("words"), "phones", F.col("_e.category").alias("category"), F.col("_e.rule").alias("rule")
+        "utt_id", "start", "end", F.col("texts").alias("words"), "phones", "spelled", F.col("_e.category").alias("category"), F.col("_e.rule").alias("rule")
     )
     # Phone runs: four to seven phones; their words are those overlapping in time.
-    local = ngrams(phones, "utt_id", [4, 5, 6, 7]).withColumnRenamed("texts", "phones")
-    spoken = overlapping_texts(local, words, "utt_id", ["last_pos", "n"], "words", bin_seconds)
+    spoken = runs_with_overlaps(coded, plain, "utt_id", [4, 5, 6, 7], bin_seconds)
     from_phones = spoken.select(
         "utt_id", "start", "end",
-        F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("<PHONE_SPAN>"))).alias("words"),
-        "phones", F.lit("local_phoneme_confuser").alias("category"), F.lit("local_phone_ngram").alias("rule"),
+        F.when(F.size("found") > 0, F.col("found.text")).otherwise(F.array(F.lit("<PHONE_SPAN>"))).alias("words"),
+        F.col("items.text").alias("phones"), F.array_join("items.code", "").alias("spelled"),
+        F.lit("local_phoneme_confuser").alias("category"), F.lit("local_phone_ngram").alias("rule"),
     )
     spans = from_words.unionByName(from_phones)
     return score_candidates(
@@ -193,9 +216,10 @@ def score_candidates(
     spans: DataFrame, alphabet, min_sec, max_sec, pre_pad, post_pad, similarity, max_distance,
     targets, category_targets, phrase_blacklist, wake_targets,
 ) -> DataFrame:
+    """Best target, blacklist flag and gates of spans with words, phones and their spelling."""
     code = {p: chr(33 + i) for i, p in enumerate(alphabet)}
-    spelled, length = F.col("_spelled"), F.size("phones")
-    df = spans.withColumn("_spelled", T.spell_with(F.col("phones"), alphabet)).withColumn("phrase", F.array_join("words", " "))
+    spelled, length = F.col("spelled"), F.size("phones")
+    df = spans.withColumn("phrase", F.array_join("words", " "))
     best = None
     for category, names in category_targets.items():
         value = _best_target(spelled, length, names, targets, alphabet)
@@ -219,7 +243,10 @@ def score_candidates(
     prefix_gate = fits & length.between(2, 4) & (F.col("edit_distance") <= 1) & (F.col("similarity") >= 0.66)
     general_gate = fits & (F.col("similarity") >= similarity) & (F.col("edit_distance") <= max_distance) & (length >= 2)
     passes = F.when(F.col("category") == presets.PREFIX_CATEGORY, prefix_gate).otherwise(general_gate)
-    return df.withColumn("blacklist_flag", flag).withColumn("passes", passes).drop("_spelled", "_b", "start", "end")
+    scored = df.withColumns({"blacklist_flag": flag, "passes": passes}).drop("spelled", "_b", "start", "end")
+    # Behind a generator, so that a filter on the verdict is not rewritten into
+    # one that evaluates phrase and distances again for each of its parts.
+    return scored.select(F.explode(F.array(F.struct(*scored.columns))).alias("c")).select("c.*")
 
 
 def interval_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

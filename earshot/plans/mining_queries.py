@@ -9,7 +9,7 @@ from earshot.functions import text as T
 from earshot.operators import mining as M
 from earshot.plans.record_queries import WORDS_SQL, lexicon_words
 from earshot.plans.registry import query
-from earshot.session import materialize, read_table
+from earshot.session import materialize, read_table, spread
 
 SEED = presets.SEED
 LETTERS = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "'"]
@@ -68,6 +68,7 @@ def aligned_utterances(spark, sf):
     utts = read_table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("utt_id"), "text").unionByName(
         read_table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("utt_id"), "text")
     )
+    utts = spread(utts, "utt_id")
     visible = F.filter(F.transform(F.split("text", r"\s+"), T.normalize_word), T.is_visible)
     words = utts.select("utt_id", F.posexplode(visible).alias("i", "text")).withColumn(
         "_letters", F.split(F.regexp_replace("text", "[^A-Z]", ""), "")

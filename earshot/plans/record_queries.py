@@ -10,7 +10,7 @@ from earshot.operators import records as R
 from earshot.operators import splits as S
 from earshot.plans import views as V
 from earshot.plans.registry import query
-from earshot.session import read_table
+from earshot.session import read_table, spread
 
 SEED = presets.SEED
 
@@ -83,7 +83,9 @@ def lexicon_words(spark, sf):
     """Distinct admissible words of part names and whole document texts."""
     tokens = (
         read_table(spark, sf, "part").select(F.explode(F.split("p_name", r"\s+")).alias("t"))
-        .unionByName(read_table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("t")))
+        .unionByName(spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
+            F.explode(F.split("text", r"\s+")).alias("t")
+        ))
     )
     # Distinct raw tokens first: normalisation then runs once per spelling.
     words = tokens.distinct().select(text.normalize_word(F.col("t")).alias("word")).filter(text.word_allowed(F.col("word")))
@@ -102,7 +104,8 @@ SELECT conv_id, turn, count(*) FILTER (WHERE word NOT IN ('','<UNK>','<SPOKEN_NO
        count(DISTINCT word) AS n_distinct, max(word) AS last_word FROM w GROUP BY conv_id, turn
 """)
 def word_normalize(spark, sf):
-    tokens = read_table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.split("text", r"\s+")).alias("t"))
+    rows = spread(read_table(spark, sf, "conversations"), "conv_id", "turn")
+    tokens = rows.select("conv_id", "turn", F.explode(F.split("text", r"\s+")).alias("t"))
     words = tokens.select("conv_id", "turn", text.normalize_word(F.col("t")).alias("word"))
     return words.groupBy("conv_id", "turn").agg(
         F.count(F.when(text.is_visible(F.col("word")), 1)).alias("n_visible"),

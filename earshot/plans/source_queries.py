@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from earshot.operators import records as R
 from earshot.plans.registry import query
 from earshot.plans.scoring_queries import daily
-from earshot.session import read_table
+from earshot.session import read_table, spread
 from earshot.sources import readers
 
 
@@ -18,7 +18,7 @@ SELECT utt_id, speaker_id, chapter_id, 'words' AS tier, pos::INTEGER AS pos, (po
 UNION ALL SELECT utt_id, speaker_id, chapter_id, 'phones', pos::INTEGER, (pos - 1) * 0.5::DOUBLE, pos * 0.5::DOUBLE, upper(left(replace(w, 'ß', 'ss'), 1)) FROM x
 """)
 def tier_intervals(spark, sf):
-    rows = read_table(spark, sf, "conversations").select(
+    rows = spread(read_table(spark, sf, "conversations"), "conv_id", "turn").select(
         F.concat_ws("-", "conv_id", "turn", F.lit("0")).alias("utt"), F.split("text", r"\s+").alias("words")
     )
 

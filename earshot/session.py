@@ -39,6 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a few input files to all cores before heavy per-row work.
+
+    With at least one file per core the scan is parallel already and nothing is
+    shuffled, so only small inputs ever move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an expensive intermediate once to the checkpoint folder and read it back.
 

@@ -80,8 +80,8 @@ def test_overlap_join_reports_each_pair_once(spark):
 
 def test_ngrams_cross_block_borders(spark):
     df = spark.createDataFrame([("u", i, float(i), i + 1.0, f"w{i}") for i in range(1, 30)], "utt_id string, pos long, start double, end double, text string")
-    out = M.ngrams(df, "utt_id", [2, 4], block_rows=5).collect()
-    got = {(r.n, r.last_pos): list(r.texts) for r in out}
+    out = M.ngrams(df, "utt_id", [2, 4], ["text"], block_rows=5).collect()
+    got = {(r.n, r.last_pos): [x.text for x in r["items"]] for r in out}
     for n in (2, 4):
         for last in range(n, 30):
             assert got[(n, last)] == [f"w{i}" for i in range(last - n + 1, last + 1)]
