@@ -92,7 +92,7 @@ def lexicon_words(spark, sf):
     return words.distinct()
 
 
-@query("lexicon_filter", f"WITH {WORDS_SQL} SELECT word, length(word) AS n_letters FROM lex")
+@query("lexicon_filter", f"WITH {WORDS_SQL} SELECT word, length(word)::INTEGER AS n_letters FROM lex")
 def lexicon_filter(spark, sf):
     return lexicon_words(spark, sf).select("word", F.length("word").alias("n_letters"))
 

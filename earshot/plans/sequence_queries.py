@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot import presets
-from earshot.functions import arrays, hashing
+from earshot.functions import arrays
 from earshot.operators import pairs as PR
 from earshot.operators import prototypes as P
 from earshot.operators import scans
@@ -14,7 +14,6 @@ from earshot.operators.detect import SegmentMachine, TriggerMachine, replay
 from earshot.plans import views as V
 from earshot.plans.registry import query
 from earshot.plans.scoring_queries import N_CLASSES, scored_queries, support_means
-from earshot.session import read_table
 
 SEED, DIM = presets.SEED, V.DIM
 N_WAY, K_ROWS, MARGIN = 10, 4, 0.5
