@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from earshot import presets
 from earshot.functions import text as T
-from earshot.operators.scans import bucketed_scan, with_halo
+from earshot.operators.scans import bucketed_scan, top_rows, with_halo
 from earshot.session import materialize
 
 
@@ -58,8 +58,7 @@ def lexicon_hard_negatives(
     ).select("target", "word", "b.*")
     kept = best.filter(F.col("distance").between(min_distance, max_distance) & F.col("norm").between(min_norm, max_norm))
     if top_k > 0:
-        order = Window.partitionBy("target").orderBy("distance", F.round("norm", 4), "word")
-        kept = kept.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= top_k)
+        kept = top_rows(kept, ["target"], ["distance", F.round("norm", 4), "word"], top_k, ["word"])
     return kept.select(
         "target", F.concat(F.lit(prefix.upper() + " "), "word").alias("candidate"), "word", "distance",
         F.round("norm", 4).alias("norm_distance"), "target_phones", F.array_join("phones", " ").alias("candidate_phones"),
@@ -410,8 +409,7 @@ def limit_candidates(
 
     def first_rows(frame, by, bound, limit=None):
         # The constant bound is applied map-side, so hot keys shrink before the shuffle.
-        w = Window.partitionBy("_category", *by).orderBy(*order)
-        ranked = frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= bound)
+        ranked = top_rows(frame, ["_category", *by], order, bound, ["_id"])
         return ranked.filter(F.col("_rn") <= (bound if limit is None else limit))
 
     pair_bound = min(speaker_cap, widest)
@@ -454,13 +452,12 @@ def _quota_round(state: DataFrame, first_rows, speaker_cap: int, widest: int, ca
     return still.select(*state.columns)
 
 
-def chained_quota(df: DataFrame, caps: list[tuple[list[str], int]], order: list[Column]) -> DataFrame:
+def chained_quota(df: DataFrame, caps: list[tuple[list[str], int]], order: list[Column], row_id: str) -> DataFrame:
     """Independent top-n filters one after another.
 
     Cheaper than ``limit_candidates`` but not the same: here a row refused by a
     later cap has already used room under an earlier one.
     """
     for keys, n in caps:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+        df = top_rows(df, keys, order, n, [row_id]).drop("_rn")
     return df

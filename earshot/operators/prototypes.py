@@ -15,10 +15,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import vectors as V
+from earshot.operators.scans import top_rows
 from earshot.session import BROADCAST_LIMIT_BYTES, join_bounded
 
 
@@ -232,8 +233,7 @@ def tail_distances(rows: DataFrame, protos: DataFrame, cls: str, vec: str, size_
     far = join_bounded(rows, protos.select(cls, "proto"), [cls], size_bytes, [row_id]).select(
         cls, row_id, V.squared_distance(F.col(vec), F.col("proto")).alias("distance")
     )
-    window = Window.partitionBy(cls).orderBy(F.desc("distance"), row_id)
-    return far.withColumn("tail_no", F.row_number().over(window)).filter(F.col("tail_no") <= tail)
+    return top_rows(far, [cls], [F.desc("distance"), row_id], tail, [row_id], rank="tail_no")
 
 
 def weibull_fit(values: np.ndarray, rounds: int = 200) -> tuple[float, float]:

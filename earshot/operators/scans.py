@@ -118,17 +118,35 @@ def hash_rank(df, group: list[str], ids: list[str], seed, rank: str, count: str
     return ranked.drop("_digest", "_slice")
 
 
-def top_hashed(df, group: list[str], ids: list[str], seed, k: int) -> DataFrame:
-    """``k`` rows per group without replacement; ``k`` <= 0 keeps all rows.
+# Up to this n Spark limits a row_number filter to n rows per group map-side
+# (default of spark.sql.optimizer.windowGroupLimitThreshold).
+MAP_SIDE_ROWS = 1000
+
+
+def top_rows(
+    df: DataFrame, group: list[str], order: list, n: int, salt_from: list[str], rank: str = "_rn", n_salts: int = 256
+) -> DataFrame:
+    """First ``n`` rows per group with their number in ``rank``.
 
-    Spark turns the filter on ``row_number`` into a map-side limit of k rows
-    per group, so hot groups never reach one task whole.
+    A larger ``n`` than Spark limits by itself is first applied inside salted
+    parts of each group; the final pass then sees at most n_salts * n rows.
     """
+    def first(frame, keys):
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return frame.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+
+    if n > MAP_SIDE_ROWS:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(n_salts)).cast("int"))
+        df = first(salted, [*group, "_salt"]).drop("_salt", rank)
+    return first(df, group)
+
+
+def top_hashed(df, group: list[str], ids: list[str], seed, k: int) -> DataFrame:
+    """``k`` rows per group without replacement; ``k`` <= 0 keeps all rows."""
     if k <= 0:
         return df
     keyed = df.withColumn("_digest", order_key(seed, *ids))
-    window = Window.partitionBy(*group).orderBy("_digest", *ids)
-    return keyed.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= k).drop("_rn", "_digest")
+    return top_rows(keyed, group, ["_digest", *ids], k, ids).drop("_rn", "_digest")
 
 
 def integer_rank(df, group: list[str], key: str, rank: str, count: str | None = None, n_buckets: int = 4096) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.hashing import order_key, uniform
-from earshot.operators.scans import hash_rank, integer_rank, top_hashed
+from earshot.operators.scans import hash_rank, integer_rank, top_hashed, top_rows
 
 
 def _round_half_even(x: Column) -> Column:
@@ -121,8 +121,7 @@ def episode_support(
     drawn = rows.join(episodes, label).withColumn("_key", order_key(seed, "episode", row_id))
     if k <= 0:
         return drawn.drop("_key")
-    window = Window.partitionBy("episode", label).orderBy("_key", row_id)
-    return drawn.withColumn("sample_no", F.row_number().over(window)).filter(F.col("sample_no") <= k).drop("_key")
+    return top_rows(drawn, ["episode", label], ["_key", row_id], k, [row_id], rank="sample_no").drop("_key")
 
 
 def review_sample(rows: DataFrame, category: str, row_id: str, seed, per_category: int = 25) -> DataFrame:

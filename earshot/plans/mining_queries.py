@@ -243,5 +243,5 @@ SELECT event_type, event_id FROM b QUALIFY row_number() OVER (PARTITION BY event
 def quota_chained(spark, sf):
     rows = event_spans(spark, sf, 1)
     return M.chained_quota(
-        rows, [(["event_type", "user_id"], 5), (["event_type", "k"], 12), (["event_type"], 300)], [F.desc("value"), F.col("event_id")]
+        rows, [(["event_type", "user_id"], 5), (["event_type", "k"], 12), (["event_type"], 300)], [F.desc("value"), F.col("event_id")], "event_id"
     ).select("event_type", "event_id")

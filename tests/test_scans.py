@@ -120,3 +120,12 @@ def test_length_buckets_order(spark):
     assert all(len(v) == 16 for b, v in spans.items() if b < 12)
     for b in range(len(spans) - 1):
         assert max(spans[b]) <= min(spans[b + 1])
+
+
+def test_large_top_n_uses_salted_parts(spark, monkeypatch):
+    rows, df = skewed(spark)
+    monkeypatch.setattr(scans, "MAP_SIDE_ROWS", 5)
+    out = scans.top_rows(df, ["k"], [F.desc("v"), "id"], 20, ["id"]).collect()
+    for key in range(6):
+        want = [r[1] for r in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[3], r[1]))[:20]]
+        assert [r.id for r in sorted((r for r in out if r.k == key), key=lambda r: r._rn)] == want
