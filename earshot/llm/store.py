@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
 def text_chunks(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column whose bytes stay near ``max_bytes``; a longer row is alone."""
     begin = size = 0
-    lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     for i, n in enumerate(lengths):
         if i > begin and size + n > max_bytes:
             yield begin, i
