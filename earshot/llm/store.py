@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +70,67 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
     return df.mapInArrow(run, schema)
 
+
+
+def grouped(
+    df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[tuple[int, int]]], Iterator[pa.RecordBatch]], schema: str,
+    max_rows: int = 20_000,
+) -> DataFrame:
+    """``fn(rows, group bounds)`` over whole groups of equal keys, many small groups per call.
+
+    The groups are dealt out and sorted by Spark; ``fn`` sees the rows of a stretch of complete groups. Only a single
+    group may have more than ``max_rows`` rows, so callers bound the size of their groups.
+    """
+    n_keys = len(keys)
+
+    def bounds_of(rows: pa.Table) -> list[int]:
+        change = None
+        for i in range(n_keys):
+            column = rows.column(i).combine_chunks()
+            differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+            change = differs if change is None else pc.or_(change, differs)
+        return [0, *(pc.indices_nonzero(change).to_numpy() + 1).tolist(), rows.num_rows]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < max_rows:
+                continue
+            rows = pa.Table.from_batches(held)
+            bounds = bounds_of(rows)
+            if len(bounds) > 2:
+                whole = bounds[-2]
+                yield from fn(rows.slice(0, whole).combine_chunks(), list(zip(bounds[:-2], bounds[1:-1], strict=True)))
+                held = rows.slice(whole).combine_chunks().to_batches()
+                n = rows.num_rows - whole
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            bounds = bounds_of(rows)
+            yield from fn(rows, list(zip(bounds[:-1], bounds[1:], strict=True)))
+
+    ordered = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(run, schema)
+
+
+class Forest:
+    """Union-find over 0..n-1 with the spanning links that were made."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, a: int, others: np.ndarray) -> None:
+        """Unite ``a`` with each of ``others``."""
+        labels = np.unique(self.label[others])
+        labels = labels[labels != self.label[a]]
+        if len(labels):
+            first = {}
+            for o, lab in zip(others.tolist(), self.label[others].tolist(), strict=True):
+                first.setdefault(lab, o)
+            self.links += [(a, first[lab]) for lab in labels.tolist()]
+            self.label[np.isin(self.label, labels)] = self.label[a]
