@@ -74,13 +74,15 @@ def buffer_of(column: pa.Array, begin: int, end: int) -> tuple[np.ndarray, np.nd
     return data, offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the number of words of every row."""
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes outside ``gap``) and the number of words of every row."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets) - 1, dtype=np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~gap[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
