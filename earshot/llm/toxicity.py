@@ -5,7 +5,7 @@ first four to six bytes of words (so that new endings of a known stem count), as
 64-bit hash. The model reports the expected grade, the sum of the P(grade > k).
 
 The labels say only whether a text is toxic. Grade 0 is not toxic; toxic texts of the fit are graded 1 to ``GRADES`` - 1
-by equal shares of how many marker features they hold per word.
+by equal shares by how many of their words hold a marker.
 
 The fit sees at most ``FIT_TOXIC`` toxic and ``FIT_OTHER`` other labelled rows, those with the least hash of their id
 (weighted back to their share of the labels); markers are features that toxic texts hold significantly more often, at
@@ -27,11 +27,11 @@ from earshot.llm.store import Scratch, arrow_map, text_chunks
 CHUNK_BYTES = 1 << 19
 FIT_TOXIC, FIT_OTHER = 4_000, 8_000
 MAX_MARKERS = 4_096
-#: Least z-score of a marker's log odds, and least number of toxic texts that hold it.
-MARKER_Z, MARKER_TEXTS = 3.0, 4
+#: Least z-score and value of a marker's log odds, and least number of toxic texts that hold it.
+MARKER_Z, MARKER_ODDS, MARKER_TEXTS = 3.0, 2.0, 4
 PREFIXES = (4, 5, 6)
 GRADES = 4
-RIDGE = 1e-3
+RIDGE = 1e-5
 STEPS, STEP = 400, 0.1
 FILTER_BITS = 22
 
@@ -55,27 +55,30 @@ class Model:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all features of all rows, the row of each, and the words of every row."""
+    """Hashes of all features, the word that each belongs to, and the row of every word."""
     data = rolling.LOWER[data]
     starts, ends, counts = rolling.word_bounds(data, offsets, GAP)
     prefix = rolling.prefix_hashes(data)
     row = np.repeat(np.arange(len(counts)), counts)
-    hashes, rows = [rolling.substring_hashes(prefix, starts, ends)], [row]
+    hashes, words = [rolling.substring_hashes(prefix, starts, ends)], [np.arange(len(starts))]
     for size in PREFIXES:
         long = ends - starts > size
         cut = rolling.substring_hashes(prefix, starts[long], starts[long] + size)
         hashes.append(rolling.mix(cut + np.uint64(size)))
-        rows.append(row[long])
-    return np.concatenate(hashes), np.concatenate(rows), counts
+        words.append(np.flatnonzero(long))
+    return np.concatenate(hashes), np.concatenate(words), row
 
 
-def _marker_counts(hashes, rows, markers, seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, marker and occurrences, for features among ``markers``; ``seen`` is their bitmap of low hash bits."""
+def _marker_counts(hashes, words, row, markers, seen) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, marker and occurrences of features among ``markers``, and the row of every word with such a feature.
+
+    ``seen`` is the bitmap of the markers' low hash bits.
+    """
     near = np.flatnonzero(seen[(hashes & np.uint64(len(seen) - 1)).astype(np.int64)])
     at = np.minimum(np.searchsorted(markers, hashes[near]), len(markers) - 1)
     real = markers[at] == hashes[near]
-    pair, n = np.unique(rows[near][real] * len(markers) + at[real], return_counts=True)
-    return pair // len(markers), pair % len(markers), n
+    pair, n = np.unique(row[words[near][real]] * len(markers) + at[real], return_counts=True)
+    return pair // len(markers), pair % len(markers), n, row[np.unique(words[near][real])]
 
 
 def _bitmap(markers: np.ndarray) -> np.ndarray:
@@ -100,7 +103,8 @@ def _document_frequencies(rows: DataFrame) -> DataFrame:
     def run(batch):
         toxic = batch.column(1).to_numpy()
         for begin, end in text_chunks(batch.column(0), CHUNK_BYTES):
-            hashes, row, _ = features(*rolling.buffer_of(batch.column(0), begin, end))
+            hashes, words, row = features(*rolling.buffer_of(batch.column(0), begin, end))
+            row = row[words]
             order = np.lexsort((row, hashes))
             hashes, row = hashes[order], row[order]
             new = np.ones(len(hashes), dtype=bool)
@@ -140,7 +144,9 @@ def _solve(row, marker, value, grade, weight, n_markers: int) -> tuple[np.ndarra
         slope = np.concatenate(([by_theta.sum()], np.cumsum(by_theta[::-1])[::-1][1:] * gaps, np.bincount(marker, by_score[row] * value, minlength=n_markers) + RIDGE * w))
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
+        # a marker never lowers the severity
         raw = raw - STEP * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        raw[cuts:] = np.maximum(raw[cuts:], 0)
     return raw[cuts:], raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:cuts]))))
 
 
@@ -155,8 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return none
     odds = f"ln((pos + 0.5) / ({sizes[1]} - pos + 0.5)) - ln((neg + 0.5) / ({sizes[0]} - neg + 0.5))"
     found = (
-        _document_frequencies(rows).where(f"pos >= {MARKER_TEXTS}").withColumn("z", F.expr(f"({odds}) / sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))"))
-        .where(f"z >= {MARKER_Z}").orderBy(F.desc("z"), "feature").limit(MAX_MARKERS).select("feature").toPandas()
+        _document_frequencies(rows).where(f"pos >= {MARKER_TEXTS}").withColumn("odds", F.expr(odds))
+        .withColumn("z", F.expr("odds / sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))"))
+        .where(f"z >= {MARKER_Z} and odds >= {MARKER_ODDS}").orderBy(F.desc("z"), "feature").limit(MAX_MARKERS).select("feature").toPandas()
     )
     if found.empty:
         return none
@@ -166,25 +173,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batch):
         toxic = batch.column(1).to_numpy()
         for begin, end in text_chunks(batch.column(0), CHUNK_BYTES):
-            hashes, row, words = features(*rolling.buffer_of(batch.column(0), begin, end))
-            row, marker, n = _marker_counts(hashes, row, markers, seen)
+            found = features(*rolling.buffer_of(batch.column(0), begin, end))
+            row, marker, n, marked = _marker_counts(*found, markers, seen)
             cuts = np.searchsorted(row, np.arange(end - begin + 1))
             yield pa.record_batch(
-                [toxic[begin:end], words, pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(marker, pa.int64())),
+                [toxic[begin:end], np.bincount(marked, minlength=end - begin), pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(marker, pa.int64())),
                  pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(n, pa.int64()))],
-                names=["toxic", "words", "marker", "n"],
+                names=["toxic", "marked", "marker", "n"],
             )
 
     # at most the rows of the fit, each with at most MAX_MARKERS numbers
-    data = arrow_map(rows.select("text", "toxic"), run, "toxic int, words long, marker array<bigint>, n array<bigint>").toPandas()
+    data = arrow_map(rows.select("text", "toxic"), run, "toxic int, marked long, marker array<bigint>, n array<bigint>").toPandas()
     held = data["marker"].map(len).to_numpy()
     row = np.repeat(np.arange(len(data)), held)
     marker = np.concatenate([*data["marker"], np.zeros(0)]).astype(np.int64)
     count = np.concatenate([*data["n"], np.zeros(0)]).astype(np.int64)
     toxic = data["toxic"].to_numpy()
-    share = np.bincount(row, count, minlength=len(data)) / np.maximum(data["words"].to_numpy(), 1)
-    steps = np.quantile(share[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic == 1, 1 + np.searchsorted(np.unique(steps), share, side="right"), 0)
+    marked = data["marked"].to_numpy()
+    steps = np.quantile(marked[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grade = np.where(toxic == 1, 1 + np.searchsorted(np.unique(steps), marked, side="right"), 0)
     _, grade = np.unique(grade, return_inverse=True)
     weight = np.array([all_.get(t, 1) / sizes[t] for t in (0, 1)])[toxic]
     weights, thresholds = _solve(row, marker, np.log1p(count), grade, weight, len(markers))
@@ -206,8 +213,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             total = np.zeros(end - begin)
             part = batch.slice(begin, end - begin)
             for b, e in text_chunks(part.column(text_at), CHUNK_BYTES):
-                hashes, row, _ = features(*rolling.buffer_of(part.column(text_at), b, e))
-                row, marker, n = _marker_counts(hashes, row, here.markers, seen)
+                found = features(*rolling.buffer_of(part.column(text_at), b, e))
+                row, marker, n, _ = _marker_counts(*found, here.markers, seen)
                 total[b:e] = np.bincount(row, here.weights[marker] * np.log1p(n), minlength=e - b)
             severity, p = here.severity(total)
             columns = [*part.columns, pa.array(severity), pa.array(p), pa.array(p >= 0.5)]
