@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm import rolling
@@ -27,9 +27,12 @@ from earshot.llm.store import Scratch, arrow_map, text_chunks
 CHUNK_BYTES = 1 << 19
 FIT_TOXIC, FIT_OTHER = 4_000, 8_000
 MAX_MARKERS = 4_096
-#: Least z-score and value of a marker's log odds, and least number of toxic texts that hold it.
-MARKER_Z, MARKER_ODDS, MARKER_TEXTS = 3.0, 2.0, 4
+#: Least log odds of a marker, and least number of toxic texts that hold it. Its likelihood ratio must be one that
+#: less than one of all tested features would reach by chance.
+MARKER_ODDS, MARKER_TEXTS = 2.0, 4
 PREFIXES = (4, 5, 6)
+#: Least shingle hashes by which near copies among the rows of the fit are found.
+KEYS = 4
 GRADES = 4
 RIDGE = 1e-5
 STEPS, STEP = 400, 0.1
@@ -87,16 +90,39 @@ def _bitmap(markers: np.ndarray) -> np.ndarray:
     return seen
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled rows of the fit: ``text, toxic``, each distinct text once."""
+def fit_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labelled rows of the fit: ``text, toxic``, near copies only once.
+
+    Of rows that share one of four least shingle hashes the first by doc_id stays: else the words of a text with many
+    copies would pass for markers.
+    """
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.expr("int(toxic > 0)").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(f"toxic = {t}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, FIT_TOXIC), (0, FIT_OTHER))]
     # at most FIT_TOXIC + FIT_OTHER rows of two numbers
     sample = F.broadcast(chosen[0].union(chosen[1]))
-    return docs.where("text is not null").join(sample, "doc_id").groupBy(F.xxhash64("text").alias("_same")).agg(
-        F.first("text").alias("text"), F.max("toxic").alias("toxic")
-    ).drop("_same")
+    drawn = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
+
+    def run(batch):
+        for begin, end in text_chunks(batch.column(1), CHUNK_BYTES):
+            hashes, counts = rolling.shingle_hashes(*rolling.buffer_of(batch.column(1), begin, end), 3)
+            some = counts > 0
+            first = (np.cumsum(counts) - counts)[some]
+            keys = np.zeros((KEYS, end - begin), dtype=np.uint64)
+            keys[:, ~some] = rolling.mix(np.arange(begin, end, dtype=np.uint64))[None, ~some]
+            for k in range(KEYS):
+                if some.any():
+                    keys[k, some] = np.minimum.reduceat(rolling.mix(hashes + np.uint64(k + 1)), first)
+            part = batch.slice(begin, end - begin)
+            yield pa.record_batch([*part.columns, *keys.view(np.int64)], names=["doc_id", "text", "toxic", *(f"k{k}" for k in range(KEYS))])
+
+    keyed = ", ".join(f"k{k} long" for k in range(KEYS))
+    rows = scratch.write(arrow_map(drawn.select("doc_id", "text", "toxic"), run, f"doc_id long, text string, toxic int, {keyed}"), "drawn")
+    ids = rows.drop("text")
+    for k in range(KEYS):
+        ids = ids.withColumn(f"n{k}", F.row_number().over(Window.partitionBy(f"k{k}").orderBy("doc_id")))
+    firsts = ids.where(" and ".join(f"n{k} = 1" for k in range(KEYS))).select("doc_id")
+    return scratch.write(rows.select("doc_id", "text", "toxic").join(firsts, "doc_id", "left_semi"), "rows")
 
 
 def _document_frequencies(rows: DataFrame) -> DataFrame:
@@ -153,17 +179,20 @@ def _solve(row, marker, value, grade, weight, n_markers: int) -> tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled rows. Without rows of both kinds, or without markers, nothing is toxic."""
     scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.write(fit_rows(docs, labels), "rows")
+    rows = fit_rows(docs, labels, scratch)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     all_ = {r["t"]: r["n"] for r in labels.where("toxic is not null").groupBy(F.expr("int(toxic > 0)").alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model(np.zeros(1, np.uint64), np.zeros(1), np.full(GRADES - 1, 30.0))
     if len(sizes) < 2:
         return none
     odds = f"ln((pos + 0.5) / ({sizes[1]} - pos + 0.5)) - ln((neg + 0.5) / ({sizes[0]} - neg + 0.5))"
+    part = sizes[1] / (sizes[0] + sizes[1])
+    tested = scratch.write(_document_frequencies(rows).where(f"pos >= {MARKER_TEXTS}"), "tested")
+    least = 2 * np.log(max(tested.count(), 2))
     found = (
-        _document_frequencies(rows).where(f"pos >= {MARKER_TEXTS}").withColumn("odds", F.expr(odds))
-        .withColumn("z", F.expr("odds / sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))"))
-        .where(f"z >= {MARKER_Z} and odds >= {MARKER_ODDS}").orderBy(F.desc("z"), "feature").limit(MAX_MARKERS).select("feature").toPandas()
+        tested.withColumn("odds", F.expr(odds))
+        .withColumn("ratio", F.expr(f"2 * (pos * ln(pos / ((pos + neg) * {part})) + if(neg > 0, neg * ln(neg / ((pos + neg) * {1 - part})), 0))"))
+        .where(f"ratio >= {least} and odds >= {MARKER_ODDS}").orderBy(F.desc("ratio"), "feature").limit(MAX_MARKERS).select("feature").toPandas()
     )
     if found.empty:
         return none
