@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import rolling
 from earshot.llm.components import components
-from earshot.llm.store import Forest, Scratch, arrow_map, grouped, text_chunks
+from earshot.llm.store import Forest, Scratch, arrow_map, grouped, text_chunks, with_row_key
 
 CHUNK_BYTES = 1 << 19
 BANDS, ROWS = 25, 5
@@ -115,18 +115,18 @@ def _chance_row(size: int) -> np.ndarray:
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batch):
-        ids, texts = batch.column(0), batch.column(1)
+        row_key, ids, texts = batch.columns
         for begin, end in text_chunks(texts, CHUNK_BYTES):
             hashes, counts = distinct_shingles(*rolling.buffer_of(texts, begin, end), shingle)
             row = np.repeat(np.arange(len(counts)), counts)
             names = [set_names(hashes, row, len(counts), salt) for salt in BASE_SALTS]
             sig = registers(hashes, counts)
             yield pa.record_batch(
-                [ids.slice(begin, end - begin), counts.astype(np.int64), *names, pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["doc_id", "n_shingles", "name", "name2", "sig"],
+                [row_key.slice(begin, end - begin), ids.slice(begin, end - begin), counts.astype(np.int64), *names, pa.array([x.tobytes() for x in sig], pa.binary())],
+                names=["row_key", "doc_id", "n_shingles", "name", "name2", "sig"],
             )
 
-    return arrow_map(docs, run, "doc_id long, n_shingles long, name long, name2 long, sig binary")
+    return arrow_map(docs, run, "row_key long, doc_id long, n_shingles long, name long, name2 long, sig binary")
 
 
 def _bands(sets: DataFrame) -> DataFrame:
@@ -214,11 +214,8 @@ def _verified_forest(members: DataFrame, shingle: int, percent: int) -> DataFram
             parts, counts = [], []
             for b, e in text_chunks(texts.slice(begin, end - begin), CHUNK_BYTES):
                 h, c = distinct_shingles(*rolling.buffer_of(texts, begin + b, begin + e), shingle)
-                # a text found by a doc_id that other texts share is not the set that was asked for
-                row = np.repeat(np.arange(len(c)), c)
-                right_text = set_names(h, row, len(c), BASE_SALTS[0]) == names[begin + b : begin + e]
-                parts.append(h[right_text[row]])
-                counts.append(np.where(right_text, c, 0))
+                parts.append(h)
+                counts.append(c)
             starts = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
             side = sides[begin:end]
             for a, b in _linked(np.concatenate(parts), starts, side, bool(side.any()), percent):
@@ -231,19 +228,22 @@ def _verified_forest(members: DataFrame, shingle: int, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``).
+    """``row_key, doc_id, n_shingles, component_id, kept, first`` for every row of ``docs`` (``doc_id``, ``text``).
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct ``shingle``-word runs. A
     text of fewer words is one run; without words (or null) it has none and is linked with nothing. ``component_id``
-    is the smallest doc_id reachable; ``kept`` says that it is the row's own. Equal texts of repeated rows share their
-    component, so repeated rows with one doc_id are all kept or all not. A row without doc_id links nothing and has a
-    null component and ``kept`` null.
+    is the smallest doc_id reachable; ``kept`` says that it is the row's own. Repeated rows share their component, so
+    repeated rows with one doc_id are all kept or all not; ``first`` holds for exactly one row of every component, and
+    for every row that links nothing. A row without doc_id links nothing and has a null component and ``kept`` null.
+    ``row_key`` is the row's number by ``with_row_key``.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = scratch.write(_sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "sketches")
+    docs = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
+    rows = scratch.write(_sketches(docs.select("row_key", "doc_id", "text"), shingle), "sketches")
     named = rows.where("doc_id is not null and n_shingles > 0")
     sets = scratch.write(
-        named.groupBy("name", "name2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
+        named.groupBy("name", "name2").agg(F.min(F.struct("doc_id", "row_key")).alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .select("name", "name2", F.col("head.doc_id").alias("least"), F.col("head.row_key").alias("least_row"), "n_shingles", "sig"),
         "sets",
     )
     bands = _bands(sets)
@@ -255,24 +255,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         blocks.select("band", "i", "j", "name", "n_shingles", "sig"), percent / 100 - SLACK_SIGMAS * spread
     )
     clusters = scratch.write(components(maybe, scratch, "candidates"), "clusters")
-    placed = clusters.withColumnRenamed("node", "name").withColumnRenamed("component", "cluster").join(sets.select("name", "least", "n_shingles"), "name")
+    placed = clusters.withColumnRenamed("node", "name").withColumnRenamed("component", "cluster").join(sets.select("name", "least_row", "n_shingles"), "name")
     sizes = placed.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("n_shingles") / SET_BLOCK_SHINGLES)).alias("blocks")
     )
-    placed = placed.join(sizes, "cluster").select("cluster", "name", "least", "blocks")
-    # the text of one document for each set; equal doc_ids with other texts are told apart by their set's name
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(placed, "least")
-    texts = scratch.write(texts, "texts")
+    placed = placed.join(sizes, "cluster").select("cluster", "name", "least_row", "blocks")
+    # the text of one row for each set
+    texts = scratch.write(docs.select(F.col("row_key").alias("least_row"), "text").join(placed, "least_row"), "texts")
     links = _verified_forest(
         _block_pairs(texts, "cluster", "name", F.col("blocks")).select("cluster", "i", "j", "side", "name", "text"), shingle, percent
     )
     linked = components(links, scratch, "links").withColumnRenamed("node", "name").withColumnRenamed("component", "head")
-    classes = sets.select("name", "name2", "least").join(linked, "name", "left").withColumn("head", F.coalesce("head", "name"))
-    heads = classes.groupBy("head").agg(F.min("least").alias("component_id"))
-    owner = classes.join(heads, "head").select("name", "name2", "component_id")
+    classes = sets.select("name", "name2", F.struct("least", "least_row").alias("least")).join(linked, "name", "left").withColumn("head", F.coalesce("head", "name"))
+    heads = classes.groupBy("head").agg(F.min("least").alias("owner"))
+    owner = classes.join(heads, "head").select("name", "name2", F.col("owner.least").alias("component_id"), F.col("owner.least_row").alias("owner"))
     out = rows.drop("sig").join(owner, ["name", "name2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+        "row_key", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), component == F.col("doc_id")).alias("kept"),
+        F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("row_key") == F.col("owner")).otherwise(True).alias("first"),
     )

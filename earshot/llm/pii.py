@@ -120,9 +120,10 @@ def personal_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Places are code points, the end exclusive. Base kinds (email, ip, card, phone) keep every match that passes its
     check, whatever its score; other kinds need ``KEEP_FROM`` and no overlap with a base span. Null and empty texts
-    have no spans. Names of other columns may be anything but ``spans`` and ``_text``.
+    have no spans. Other columns stay, but for any named like a column of this function.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    own = [f"spans_{i}" for i in range(len(KINDS))]
+    df = docs.drop(*(c for c in docs.columns if c.lower() in ("spans", "_text", "_base", "_more", "_runs", *own))).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     for order, kind in enumerate(KINDS):
         df = _starts(df, kind, order)
     none = "cast(array() as array<struct<start: int, order: int, end: int, kind: string, score: double, base: boolean>>)"
@@ -131,7 +132,7 @@ def personal_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_base", F.expr(f"concat({base})")).withColumn("_more", F.expr(f"concat({more})"))
     fits = f"x.score >= {KEEP_FROM} and not exists(_base, y -> x.start < y.end and y.start < x.end)"
     df = df.withColumn("spans", F.expr(f"array_sort(concat(_base, filter(_more, x -> {fits})))"))
-    return df.drop("_text", "_base", "_more", *(f"spans_{i}" for i in range(len(KINDS))))
+    return df.drop("_text", "_base", "_more", *own)
 
 
 def joined(spans: str) -> Column:

@@ -8,4 +8,4 @@ from earshot.llm.store import table
 @query("op3_hyperminhash")
 def op3_hyperminhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, shingle=3, percent=85)
+    return near_duplicates(docs, shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")

@@ -44,6 +44,11 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns that an operator's own ``names`` replace."""
+    return df.drop(*(c for c in df.columns if c.lower() in names))
+
+
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     """A number per row that stays the same when a task is repeated (input split and place in it)."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm import rolling
-from earshot.llm.store import Scratch, arrow_map, text_chunks, with_row_key
+from earshot.llm.store import Scratch, arrow_map, text_chunks, with_row_key, without
 
 CHUNK_BYTES = 1 << 19
 #: Starts per cell on the middle level.
@@ -222,15 +222,16 @@ def repeated_spans(docs: DataFrame, window: int = 400, scratch: Scratch | None =
     return spans.union(singles.where("done").select(*span))
 
 
-def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 400, as_text: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
+    With ``as_text`` ``kept`` is a string, less the parts of characters that a cut has left.
+
     Removes each byte that lies in a string of ``window`` bytes which starts somewhere else too, the same row
-    included. Null and shorter texts lose nothing (null: no bytes). Repeated rows remove each other. Other columns,
-    whatever their names but ``row_key``, ``kept`` and the three counts, stay as they are. ``docs`` must be a table or
-    another plan that repeats its rows in the same order.
+    included. Null and shorter texts lose nothing (null: no bytes). Repeated rows remove each other. Other columns stay,
+    but for any named like a new one. ``docs`` must be a table or another plan that repeats its rows in the same order.
     """
-    keyed = with_row_key(docs)
+    keyed = with_row_key(without(docs, "row_key", "spans", "kept", "n_bytes", "n_removed", "n_spans"))
     scratch = Scratch(docs.sparkSession, "suffixes")
     spans = repeated_spans(keyed.select("row_key", F.col("text")), window, scratch)
     merged = spans.groupBy("row_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
@@ -262,11 +263,13 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
             n_removed.append(len(text) - len(rest))
             n_spans.append(len(begin))
         columns = [batch.column(i) for i in range(kept_in)]
-        columns += [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))]
+        if as_text:
+            kept = [x.decode("utf-8", "ignore") for x in kept]
+        columns += [pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))]
         yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(columns))])
 
     kinds = [f.dataType.simpleString() for f in joined.schema.fields[:-1]]
-    schema = ", ".join(f"c{i} {k}" for i, k in enumerate([*kinds, "binary", "long", "long", "long"]))
+    schema = ", ".join(f"c{i} {k}" for i, k in enumerate([*kinds, "string" if as_text else "binary", "long", "long", "long"]))
     names = [*joined.columns[:-1], "kept", "n_bytes", "n_removed", "n_spans"]
     return arrow_map(joined, run, schema).toDF(*names)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm import rolling
-from earshot.llm.store import Scratch, arrow_map, text_chunks
+from earshot.llm.store import Scratch, arrow_map, text_chunks, without
 
 CHUNK_BYTES = 1 << 19
 FIT_TOXIC, FIT_OTHER = 4_000, 8_000
@@ -230,8 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of ``docs`` with ``severity`` (expected grade), ``p_toxic`` and ``toxic`` (``p_toxic`` of one half or more).
 
-    Null and empty texts have the model's base rate. Other columns stay, whatever their names but these three.
+    Null and empty texts have the model's base rate. Other columns stay, but for any named like these three.
     """
+    docs = without(docs, "severity", "p_toxic", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_MARKERS numbers, and their weights
     text_at = docs.columns.index("text")
 
