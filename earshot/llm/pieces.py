@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from earshot.llm import rolling
 from earshot.llm.store import arrow_map, text_chunks
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 17
 SPACE = 0x2581
 #: A literal U+2581 in a text, told from the mark of a space.
 LITERAL = 0x110000
@@ -108,10 +108,10 @@ class Lattices:
         at = np.repeat(starts, size) + rolling.ragged_arange(size)
         self.point = points[at]
         left = np.repeat(ends, size) - at
-        live, found = np.arange(nodes), []
+        live, found, here = np.arange(nodes), [], prefix[at]
         for k in range(1, vocab.longest + 1):
             live = live[left[live] >= k]
-            hit, place, onward = vocab.find(rolling.substring_hashes(prefix, at[live], at[live] + k))
+            hit, place, onward = vocab.find(rolling.substring_hashes(prefix, at[live], at[live] + k, here[live]))
             found.append((live[hit], np.full(len(hit), k), vocab.ids[place], vocab.weights[place]))
             live = live[onward]
         alone = np.ones(nodes, dtype=bool)
@@ -129,8 +129,10 @@ class Lattices:
         total = np.zeros(nodes + 1)
         ahead = self.node + self.length
         at_end = self.length == left[self.node]
-        by_left = np.argsort(left[self.node], kind="stable")
-        cuts = np.searchsorted(left[self.node][by_left], np.arange(1, int(left.max(initial=0)) + 2))
+        to_go = left[self.node]
+        # small numbers sort in linear time
+        by_left = np.argsort(to_go.astype(np.uint16) if left.max(initial=0) < 1 << 16 else to_go, kind="stable")
+        cuts = np.searchsorted(to_go[by_left], np.arange(1, int(left.max(initial=0)) + 2))
         for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if begin == end:
                 continue
@@ -330,7 +332,7 @@ def sample(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int):
         owner, edge = walk(lattices, nodes, end[units], keys(units, turn))
         doc, unit, path, own = (np.concatenate([*x, y]) for x, y in ((doc, unit_doc[units[owner]]), (unit, units[owner]), (path, edge), (own, np.ones(len(owner), bool))))
         # unit and node order the steps of a document
-        order = np.lexsort((lattices.node[path], unit))
+        order = np.argsort(unit * len(lattices.first) + lattices.node[path], kind="stable")
         paths.append(Paths(n, doc[order], unit[order], path[order], own[order], value, lattices, seeds, turn))
         alive.append(~np.isneginf(value))
     for r, p in enumerate(paths):
@@ -356,9 +358,13 @@ def sample(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int):
     return out
 
 
-def segmentations(docs: DataFrame, model_path: str, k: int = 3, alpha: float = 0.5, seed: int = 0) -> DataFrame:
+def segmentations(
+    docs: DataFrame, model_path: str, k: int = 2, alpha: float = 0.5, seed: int = 0, with_text: bool = False
+) -> DataFrame:
     """``doc_id, rank, log_prob, perturbed, inclusion, ids`` of up to ``k`` distinct segmentations of every row.
 
+    ``with_text`` adds ``text``, decoded from the ids in the same task.
+
     ``ids`` decode to the text, whatever it holds. Ranks follow the perturbed values. A text with fewer segmentations
     has them all, with inclusion 1; null and empty texts have one of no ids. Repeated rows of one doc_id and text get
     the same segmentations; rows without doc_id are seeded alike.
@@ -371,16 +377,18 @@ def segmentations(docs: DataFrame, model_path: str, k: int = 3, alpha: float = 0
             ids = batch.column(0).slice(begin, end - begin)
             seeds = rolling.mix(ids.fill_null(0).to_numpy().astype(np.uint64) + np.uint64(seed) * rolling.BASE_INVERSE)
             rows = sample(vocab, texts, seeds, k)
-            for b in range(0, len(rows), 500):
-                who, rank, log, value, inclusion, found = zip(*rows[b : b + 500], strict=True)
-                yield pa.record_batch(
-                    [ids.take(pa.array(who)), pa.array(rank, pa.int32()), pa.array(log), pa.array(value), pa.array(inclusion),
-                     pa.array(found, pa.list_(pa.int32()))],
-                    names=["doc_id", "rank", "log_prob", "perturbed", "inclusion", "ids"],
-                )
+            for b in range(0, len(rows), 64):
+                who, rank, log, value, inclusion, found = zip(*rows[b : b + 64], strict=True)
+                sizes = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(found).astype(np.int32)))
+                columns = [ids.take(pa.array(who)), pa.array(rank, pa.int32()), pa.array(log), pa.array(value), pa.array(inclusion), lists]
+                if with_text:
+                    columns.append(pa.array([vocab.decode(x.tolist()) for x in found], pa.string()))
+                yield pa.record_batch(columns, names=["doc_id", "rank", "log_prob", "perturbed", "inclusion", "ids", "text"][: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, run, "doc_id long, rank int, log_prob double, perturbed double, inclusion double, ids array<int>")
+    schema = "doc_id long, rank int, log_prob double, perturbed double, inclusion double, ids array<int>" + ", text string" * with_text
+    return arrow_map(rows, run, schema)
 
 
 def decoded(rows: DataFrame, model_path: str, alpha: float = 0.5) -> DataFrame:

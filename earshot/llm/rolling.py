@@ -57,9 +57,12 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed hashes of ``data[start:end]``; equal strings have equal hashes wherever they stand."""
-    out = prefix[end] - prefix[start]
+def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, at_start: np.ndarray | None = None) -> np.ndarray:
+    """Mixed hashes of ``data[start:end]``; equal strings have equal hashes wherever they stand.
+
+    ``at_start``: the prefix at ``start``, where it is known.
+    """
+    out = prefix[end] - (prefix[start] if at_start is None else at_start)
     out *= powers(len(prefix))[1][start]
     out += (end - start).astype(np.uint64) * _SILVER
     return mix(out)
