@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from earshot.llm import rolling
 from earshot.llm.store import arrow_map, text_chunks
 
-CHUNK_BYTES = 3 << 17
+CHUNK_BYTES = 1 << 20
 SPACE = 0x2581
 #: A literal U+2581 in a text, told from the mark of a space.
 LITERAL = 0x110000
@@ -94,7 +94,7 @@ def point_prefix(points: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Distinct units of a batch. The edges of a node stand together: length, piece, share, its log and the others' share."""
+    """Distinct units of a batch. The edges of a node stand together, the likeliest first: length, piece and share."""
 
     def __init__(self, vocab: Vocabulary, points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         prefix = point_prefix(points)
@@ -126,7 +126,7 @@ class Lattices:
         self.first = np.searchsorted(self.node, np.arange(nodes + 1))
         self.width = int(np.diff(self.first).max(initial=1))
         # backward sums: all nodes with one number of characters to go at a time
-        total = np.zeros(nodes + 1)
+        total, share = np.zeros(nodes + 1), np.zeros(len(weight))
         ahead = self.node + self.length
         at_end = self.length == left[self.node]
         to_go = left[self.node]
@@ -141,10 +141,10 @@ class Lattices:
             group = np.flatnonzero(np.concatenate(([True], self.node[mine][1:] != self.node[mine][:-1])))
             count = np.diff(np.append(group, len(mine)))
             top = np.maximum.reduceat(value, group)
-            total[self.node[mine][group]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), group))
-        share = np.exp(weight + np.where(at_end, 0.0, total[ahead]) - total[self.node])
-        whole = np.add.reduceat(share, self.first[:-1]) if nodes else share
-        share /= whole[self.node]
+            value = np.exp(value - np.repeat(top, count))
+            whole = np.add.reduceat(value, group)
+            total[self.node[mine][group]] = top + np.log(whole)
+            share[mine] = value / np.repeat(whole, count)
         # the likeliest edge of a node first
         best = np.flatnonzero(share == np.maximum.reduceat(share, self.first[:-1])[self.node])
         best = best[np.concatenate(([True], self.node[best][1:] != self.node[best][:-1]))]
@@ -152,14 +152,20 @@ class Lattices:
         for x in (self.length, self.piece, share):
             x[head], x[best] = x[best], x[head]
         self.share = share
-        self.log = np.log(self.share)
-        self.place = np.arange(len(share)) - self.first[self.node]
         upto = np.cumsum(self.share)
-        self.upto = upto - (upto - self.share)[self.first[self.node]]
+        self.upto = upto - np.repeat((upto - self.share)[head], np.diff(self.first))
         self.upto[self.first[1:] - 1] = 2.0
-        # one less the share would lose the digits of a likely edge's rest
-        others = np.add.reduceat(np.where(self.place == 0, 0.0, self.share), self.first[:-1])
-        self.rest = np.where(self.place == 0, others[self.node], 1 - self.share)
+        behind = self.share.copy()
+        behind[head] = 0.0
+        self._behind_first = np.add.reduceat(behind, head)
+
+    def place(self, edge: np.ndarray) -> np.ndarray:
+        """Which of its node's edges each one is."""
+        return edge - self.first[self.node[edge]]
+
+    def rest(self, edge: np.ndarray) -> np.ndarray:
+        """The share of the other edges of the node; for a likely edge their sum, as one less its share loses digits."""
+        return np.where(self.place(edge) == 0, self._behind_first[self.node[edge]], 1 - self.share[edge])
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node with probability in proportion to its share."""
@@ -235,16 +241,16 @@ class Paths:
     def __init__(self, docs: int, doc, unit, edge, own, value, lattices: Lattices, seed, turn: int):
         self.doc, self.unit, self.edge, self.value = doc, unit, edge, value
         self.bounds = np.searchsorted(doc, np.arange(docs + 1))
-        total = np.concatenate(([0.0], np.cumsum(lattices.log[edge])))
+        total = np.concatenate(([0.0], np.cumsum(np.log(lattices.share[edge]))))
         self.before = total[:-1] - total[self.bounds[doc]]
         self.log = total[self.bounds[1:]] - total[self.bounds[:-1]]
-        self.taken = np.int64(1) << lattices.place[edge]
+        self.taken = np.int64(1) << lattices.place(edge)
         self.group = np.full(len(doc), -np.inf)
         self._seed, self._turn, self._lattices = seed, turn, lattices
         # groups before the step where this path left its parent belong to the parent
         at = np.flatnonzero(own)
         with np.errstate(divide="ignore"):
-            mass = np.log(lattices.rest[edge[at]])
+            mass = np.log(lattices.rest(edge[at]))
         self.group[at] = truncated(self.before[at] + mass, self.keys(at), value[doc[at]])
 
     def keys(self, at: np.ndarray) -> np.ndarray:
