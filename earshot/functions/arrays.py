@@ -25,13 +25,12 @@ def power(arr: Column) -> Column:
     return total(F.transform(arr, lambda x: x * x))
 
 
-def snr_scale(signal: Column, noise: Column, snr_db: Column, legacy: bool = False) -> Column:
+def snr_scale(signal: Column, noise: Column, snr_db: Column, decibel: bool = False) -> Column:
     """Noise factor for a wanted signal-to-noise ratio.
 
-    ``legacy`` keeps the variant that divides the power of ten by ten instead
-    of the exponent: (10**snr)/10.
+    The power ratio is (10**snr)/10; ``decibel`` takes 10**(snr/10) instead.
     """
-    ratio = F.pow(F.lit(10.0), snr_db) / 10.0 if legacy else F.pow(F.lit(10.0), snr_db / 10.0)
+    ratio = F.pow(F.lit(10.0), snr_db / 10.0) if decibel else F.pow(F.lit(10.0), snr_db) / 10.0
     return F.sqrt(power(signal) / (ratio * power(noise)))
 
 

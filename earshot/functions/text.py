@@ -67,18 +67,21 @@ def token_levenshtein(a: Column, b: Column) -> Column:
     return F.levenshtein(spell(a), spell(b))
 
 
+def letters_of(alphabet: list[str]) -> dict[str, str]:
+    """One character per token of an alphabet of any size: ASCII first, then code points without surrogates."""
+    return {p: chr(33 + i if i < 90 else 0x10000 + i) for i, p in enumerate(alphabet)}
+
+
 def spell_with(tokens: Column, alphabet: list[str]) -> Column:
-    """Spell tokens of a fixed alphabet with one ASCII character each.
+    """Spell tokens of a fixed alphabet with one character each.
 
     Tokens outside the alphabet share no target token; they become ``~``.
     """
-    if len(alphabet) > 90:
-        raise ValueError("alphabet too large for one ASCII character per token")
     return F.array_join(
         F.transform(
             tokens,
             lambda t: F.coalesce(
-                F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(alphabet) for x in (p, chr(33 + i))]), t),
+                F.element_at(F.create_map(*[F.lit(x) for pair in letters_of(alphabet).items() for x in pair]), t),
                 F.lit("~"),
             ),
         ),

@@ -83,10 +83,10 @@ class SegmentMachine:
 
     Onset after ``onset`` active frames, with up to ``pre`` earlier frames
     included; a segment closes after ``hangover`` silent frames or at
-    ``longest`` frames. A closed segment fires when its mean frame value
+    ``longest`` frames. Its speech is what comes before the hangover, at least
+    ``shortest`` frames; it fires when the mean value of the speech frames
     reaches the threshold, and ``cooldown`` frames are then skipped.
-    ``discard_short`` drops segments whose raw speech is below ``shortest``;
-    without it the speech length is raised to ``shortest`` instead.
+    ``discard_short`` drops segments whose raw speech is below ``shortest``.
     """
 
     threshold: float
@@ -96,35 +96,36 @@ class SegmentMachine:
     longest: int = 155
     pre: int = 5
     cooldown: int = 50
-    discard_short: bool = True
+    discard_short: bool = False
 
     def start(self):
-        # cooldown, active run, in speech, silent run, buffered frames, values, recent frames
-        return [0, 0, 0, 0, 0, 0.0, []]
+        # cooldown, active run, in speech, silent run, values of the segment, recent values
+        return [0, 0, 0, 0, [], []]
 
     def step(self, state, position, value, active):
-        cooldown, run, speaking, silent, length, total, recent = state
+        cooldown, run, speaking, silent, values, recent = state
         recent = [*recent, value][-self.pre:]
         if cooldown > 0:
-            return [cooldown - 1, run, speaking, silent, length, total, recent], None
+            return [cooldown - 1, run, speaking, silent, values, recent], None
         if not speaking:
             run = run + 1 if active else 0
             if run >= self.onset:
-                return [0, 0, 1, 0, len(recent), float(sum(recent)), recent], None
-            return [0, run, 0, 0, 0, 0.0, recent], None
-        length, total = length + 1, total + value
+                return [0, 0, 1, 0, recent, recent], None
+            return [0, run, 0, 0, [], recent], None
+        values = [*values, value]
+        length = len(values)
         silent = 0 if active else silent + 1
         by_length = length >= self.longest
         if not by_length and silent < self.hangover:
-            return [0, 0, 1, silent, length, total, recent], None
+            return [0, 0, 1, silent, values, recent], None
         speech = length if by_length else length - self.hangover
         if speech < self.shortest and self.discard_short:
-            return [0, 0, 0, 0, 0, 0.0, recent], None
+            return [0, 0, 0, 0, [], recent], None
         speech = max(self.shortest, speech)
-        score = total / length
+        score = sum(values[:speech]) / len(values[:speech])
         fired = score >= self.threshold
         event = (int(position - length + 1), int(position), int(speech), float(score), bool(fired))
-        return [self.cooldown if fired else 0, 0, 0, 0, 0, 0.0, recent], event
+        return [self.cooldown if fired else 0, 0, 0, 0, [], recent], event
 
 
 def _run_block(pdf: pd.DataFrame, machine, keys, position, columns, fields) -> pd.DataFrame:

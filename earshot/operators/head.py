@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from earshot.operators import evaluation as E
 
 
-def train_head(rows: DataFrame, vec: str, label_idx: str, weight: str, max_iter: int = 50, reg: float = 1e-3) -> LogisticRegressionModel:
+def train_head(rows: DataFrame, vec: str, label_idx: str, weight: str, max_iter: int = 50, reg: float = 1e-3, tol: float = 1e-6) -> LogisticRegressionModel:
     """Multinomial logistic regression with per-row weights."""
     features = rows.select(array_to_vector(vec).alias("features"), F.col(label_idx).cast("double").alias("y"), F.col(weight).alias("w"))
     return LogisticRegression(
-        featuresCol="features", labelCol="y", weightCol="w", family="multinomial", maxIter=max_iter, regParam=reg
+        featuresCol="features", labelCol="y", weightCol="w", family="multinomial", maxIter=max_iter, regParam=reg, tol=tol
     ).fit(features)
 
 
+def class_probabilities(model: LogisticRegressionModel, rows: DataFrame, vec: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns plus ``p``: the probability of every class."""
+    scored = model.transform(rows.withColumn("features", array_to_vector(vec)))
+    return scored.select(*keep, vector_to_array("probability").alias("p"))
+
+
 def head_predictions(model: LogisticRegressionModel, rows: DataFrame, vec: str, keep: list[str], true_idx: str, reject: list[int]) -> DataFrame:
     """Open-set predictions: rejected classes collapse to -1, keyword scores stay apart."""
     scored = model.transform(rows.withColumn("features", array_to_vector(vec))).withColumn("_p", vector_to_array("probability"))

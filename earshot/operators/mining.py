@@ -6,6 +6,9 @@ per utterance, so a very long recording is spread over many tasks.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +21,7 @@ from earshot.session import materialize
 
 
 def _targets_array(targets: dict[str, list[str]], alphabet: list[str]) -> Column:
-    code = {p: chr(33 + i) for i, p in enumerate(alphabet)}
+    code = T.letters_of(alphabet)
     return F.array(*[
         F.struct(
             F.lit(name).alias("target"), F.lit("".join(code[p] for p in phones)).alias("spelled"),
@@ -142,7 +145,7 @@ def runs_with_overlaps(
 
 def _best_target(spelled: Column, length: Column, names: list[str], targets, alphabet) -> Column:
     """Best (sim, -dist, target): highest similarity, then distance, then name."""
-    code = {p: chr(33 + i) for i, p in enumerate(alphabet)}
+    code = T.letters_of(alphabet)
     options = []
     for name in names:
         n = len(targets[name])
@@ -216,7 +219,7 @@ def score_candidates(
     targets, category_targets, phrase_blacklist, wake_targets,
 ) -> DataFrame:
     """Best target, blacklist flag and gates of spans with words, phones and their spelling."""
-    code = {p: chr(33 + i) for i, p in enumerate(alphabet)}
+    code = T.letters_of(alphabet)
     spelled, length = F.col("spelled"), F.size("phones")
     df = spans.withColumn("phrase", F.array_join("words", " "))
     best = None
@@ -265,14 +268,16 @@ def _decide_block(pdf: pd.DataFrame, max_iou: float) -> np.ndarray:
     state = pdf["_state"].to_numpy().copy()
     by_start = np.argsort(start, kind="stable")
     sorted_start = start[by_start]
-    span = float(pdf["_maxdur"].iloc[0])
+    # only intervals shorter than 1 / max_iou of a row's length can clash with it
+    length = end - start
+    span = np.minimum(float(pdf["_maxdur"].iloc[0]), length / max_iou if max_iou > 0 else np.inf)
     low = -np.inf if bool(pdf["_first_block"].iloc[0]) else sorted_start[0]
     high = np.inf if bool(pdf["_last_block"].iloc[0]) else sorted_start[-1]
     inside = (start - span > low) & (end < high)
     for i in np.lexsort((pdf["_tie"].to_numpy(), start, pdf["_p2"].to_numpy(), pdf["_p1"].to_numpy())):
         if state[i]:
             continue
-        lo = np.searchsorted(sorted_start, start[i] - span, side="left")
+        lo = np.searchsorted(sorted_start, start[i] - span[i], side="left")
         hi = np.searchsorted(sorted_start, end[i], side="right")
         near = by_start[lo:hi]
         near = near[near != i]
@@ -300,7 +305,7 @@ def _ahead(pdf: pd.DataFrame, rows: np.ndarray, i: int) -> np.ndarray:
 
 def suppress_overlaps(
     df: DataFrame, key: str, start: str, end: str, score: str, distance: str, tie: str,
-    max_iou: float = 0.5, block_rows: int = 20_000, max_rounds: int = 50,
+    max_iou: float = 0.5, block_rows: int = 20_000,
 ) -> DataFrame:
     """Greedy overlap suppression per key in the order (-score, distance, start, tie).
 
@@ -321,31 +326,36 @@ def suppress_overlaps(
     best = keyed.filter(positive).groupBy(key, "_s", "_e").agg(F.min_by(F.struct("_p1", "_p2", "_tie"), order).alias("b")).select(
         key, "_s", "_e", "b.*"
     )
-    low, high = best.agg(F.min("_s")).scalar(), best.agg(F.max("_s")).scalar()
-    slices = best.withColumn("_slice", F.coalesce(F.floor((F.col("_s") - low) / (high - low) * 8191).cast("int"), F.lit(0)))
-    ranked = bucketed_scan(slices, [key], "_slice", ["_s", "_e"], rank="_rn", count="_n")
-    span = ranked.groupBy(key).agg(F.max(F.col("_e") - F.col("_s")).alias("_maxdur"))
-    state = materialize(ranked.join(span, key).drop("_slice").withColumn("_state", F.lit(0)))
-    for turn in range(max_rounds):
-        shift = (block_rows // 2) * (turn % 2)
-        state = materialize(_suppression_round(state, key, block_rows, shift, max_iou))
-        if state.filter("_state = 0").isEmpty():
+    state, chosen = materialize(best.withColumn("_state", F.lit(0))), []
+    for turn in itertools.count():
+        done = materialize(_suppression_round(state, key, block_rows, (block_rows // 2) * (turn % 2), max_iou))
+        chosen.append(done.filter("_state = 1").select(key, "_tie"))
+        still = done.filter("_state = 0")
+        if still.isEmpty():
             break
-    else:
-        raise RuntimeError("overlap suppression did not settle; raise block_rows above the overlap depth")
-    kept = state.filter("_state = 1").select(key, "_tie").unionByName(rest.select(key, "_tie"))
+        # what is left waits on long chains of decisions, or has a neighbourhood wider than a block
+        block_rows *= 1 + turn % 2
+        # suppressed rows no longer matter, nor kept ones of a length with which no open row can clash
+        length = F.col("_e") - F.col("_s")
+        bounds = still.groupBy(key).agg((F.min(length) * max_iou).alias("_short"), (F.max(length) / (max_iou or 1e-300)).alias("_long"))
+        near = done.filter("_state < 2").join(bounds, key).filter((F.col("_state") == 0) | length.between(F.col("_short"), F.col("_long")))
+        state = materialize(near.drop("_short", "_long"), replaces=state)
+    kept = reduce(DataFrame.unionByName, chosen).distinct().unionByName(rest.select(key, "_tie"))
     return keyed.join(kept, [key, "_tie"], "left_semi").select(*df.columns)
 
 
 def _suppression_round(state: DataFrame, key: str, block_rows: int, shift: int, max_iou: float) -> DataFrame:
+    names = state.columns
+    low, high = state.agg(F.min("_s")).scalar(), state.agg(F.max("_s")).scalar()
+    slices = state.withColumn("_slice", F.coalesce(F.floor((F.col("_s") - low) / F.nullif(high - low, F.lit(0.0)) * 8191).cast("int"), F.lit(0)))
+    span = state.groupBy(key).agg(F.max(F.col("_e") - F.col("_s")).alias("_maxdur"))
+    ranked = bucketed_scan(slices, [key], "_slice", ["_s", "_e"], rank="_rn", count="_n").join(span, key).drop("_slice")
     block = F.floor((F.col("_rn") - 1 + shift) / F.lit(block_rows)).cast("bigint")
     last = F.floor((F.col("_n") - 1 + shift) / F.lit(block_rows)).cast("bigint")
-    blocked = state.withColumns({"_block": block}).withColumns(
+    blocked = ranked.withColumns({"_block": block}).withColumns(
         {"_first_block": F.col("_block") == 0, "_last_block": F.col("_block") == last}
     )
 
-    names = state.columns
-
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
         pdf["_state"] = _decide_block(pdf, max_iou)
@@ -416,7 +426,7 @@ def limit_candidates(
     pruned = first_rows(rows, ["_speaker", "_phrase"], pair_bound, F.least(F.lit(speaker_cap), F.col("_cap"))).drop("_rn")
     state = materialize(pruned.withColumn("_state", F.lit(0)))
     while state.filter("_state = 0").count() > local_rows:
-        state = materialize(_quota_round(state, first_rows, speaker_cap, widest, category_cap))
+        state = materialize(_quota_round(state, first_rows, speaker_cap, widest, category_cap), replaces=state)
     if unlimited:
         chosen = state.filter("_state = 1").select("_category", "_id")
     else:

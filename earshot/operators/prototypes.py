@@ -1,9 +1,9 @@
 """Class prototypes and few-shot open-set scoring of embedding rows.
 
 A fitted model is a small table of (class, vector) rows, one set per episode,
-like the centres of a clustering model: it is fetched once under a size bound
+like the centres of a clustering model: it is fetched in parts of bounded size
 and sent to the tasks. Queries are scored batch by batch with one matrix
-product, so no row pairs are produced and no shuffle carries embeddings.
+product, so no row pairs are produced; parts are combined exactly.
 Array lambdas evaluate the same arithmetic about a hundred times slower.
 """
 
@@ -20,11 +20,20 @@ from pyspark.sql import functions as F
 
 from earshot.functions import vectors as V
 from earshot.operators.scans import top_rows
-from earshot.session import BROADCAST_LIMIT_BYTES, join_bounded
+from earshot.session import MODEL_PART_BYTES
+
+# The most bytes of scores that a task computes at once.
+SCORE_BYTES = 32 * 1024 * 1024
 
 
 def class_means(rows: DataFrame, keys: list[str], vec: str, dim: int, out: str = "proto") -> DataFrame:
-    """Mean vector per key with the row count; partial sums are formed map-side."""
+    """Mean vector per key with the row count; partial sums are formed map-side.
+
+    A vector of another length than ``dim`` stops the job; a null vector counts as a row and adds nothing.
+    """
+    other = F.raise_error(F.concat(F.lit(f"a vector of length {dim} was expected, not of "), F.size(vec).cast("string")))
+    whole = F.when(F.size(vec) == dim, F.col(vec)).when(F.col(vec).isNotNull(), other)
+    rows = rows.withColumn(vec, whole)
     means = F.array(*[F.avg(F.col(vec)[i]) for i in range(dim)])
     return rows.groupBy(*keys).agg(means.alias(out), F.count(F.lit(1)).alias("n_support"))
 
@@ -37,18 +46,22 @@ def normalized_class_means(rows: DataFrame, keys: list[str], vec: str, dim: int,
 
 
 def fetch_model(protos: DataFrame, keys: list[str], cls: str, dim: int, n_vectors: int):
-    """Prototype rows on the driver: key values, classes and an (n, dim) matrix.
+    """Prototype rows on the driver: key values, classes (an Arrow array) and an (n, dim) matrix.
 
-    ``n_vectors`` bounds the table; a larger one is refused, never cut.
+    ``n_vectors`` is the declared bound of the table; a larger one stops the job, it is never cut.
     """
-    if n_vectors * dim * 8 > BROADCAST_LIMIT_BYTES:
-        raise ValueError("model above the broadcast bound; use predict_in_parts")
     table = protos.select(*keys, cls, "proto").limit(n_vectors + 1).toArrow().sort_by([(c, "ascending") for c in [*keys, cls]])
     if table.num_rows > n_vectors:
         raise ValueError(f"more than the declared {n_vectors} prototypes")
     matrix = np.array(table["proto"].to_pylist(), dtype=float).reshape(table.num_rows, dim)
     columns = [table[k].to_numpy() for k in keys]
-    return columns, table[cls].to_numpy(), matrix
+    return columns, table[cls].combine_chunks(), matrix
+
+
+def _row_chunks(rows: int, width: int):
+    """Bounds of stretches of rows whose score matrix of ``width`` columns stays small."""
+    step = max(1, SCORE_BYTES // (8 * max(width, 1)))
+    return [(lo, min(lo + step, rows)) for lo in range(0, rows, step)]
 
 
 def score_matrix(method: str, z: np.ndarray, p: np.ndarray, beta: float = 0.0) -> np.ndarray:
@@ -68,7 +81,10 @@ def score_matrix(method: str, z: np.ndarray, p: np.ndarray, beta: float = 0.0) -
 
 
 def _vectors_of(batch: pa.RecordBatch, vec: str, dim: int) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(vec)).flatten().to_numpy().reshape(-1, dim)
+    column = batch.column(batch.schema.get_field_index(vec))
+    if column.null_count or not (column.value_lengths().to_numpy() == dim).all():
+        raise ValueError(f"every vector needs {dim} components")
+    return column.flatten().to_numpy().reshape(-1, dim)
 
 
 def _kept(batch: pa.RecordBatch, keep: list[str]) -> list[pa.Array]:
@@ -85,18 +101,19 @@ def with_scores(
 ) -> DataFrame:
     """``keep`` columns plus ``scores``: array of (cls, s), ordered by class."""
     _, classes, matrix = fetch_model(protos, [], cls, dim, n_way)
+    kind = dict(protos.dtypes)[cls]
 
     def run(batches):
         for batch in batches:
-            z = _vectors_of(batch, vec, dim)
-            flat = pa.StructArray.from_arrays(
-                [pa.array(np.tile(classes, len(z)).astype(np.int32)), pa.array(score_matrix(method, z, matrix, **options).ravel())],
-                ["cls", "s"],
-            )
-            offsets = pa.array(np.arange(len(z) + 1, dtype=np.int32) * len(classes))
-            yield pa.RecordBatch.from_arrays([*_kept(batch, keep), pa.ListArray.from_arrays(offsets, flat)], [*keep, "scores"])
+            for lo, hi in _row_chunks(batch.num_rows, len(classes)):
+                part = batch.slice(lo, hi - lo)
+                scores = score_matrix(method, _vectors_of(part, vec, dim), matrix, **options)
+                names = classes.take(pa.array(np.tile(np.arange(len(classes)), len(part))))
+                flat = pa.StructArray.from_arrays([names, pa.array(scores.ravel())], ["cls", "s"])
+                offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(classes))
+                yield pa.RecordBatch.from_arrays([*_kept(part, keep), pa.ListArray.from_arrays(offsets, flat)], [*keep, "scores"])
 
-    return queries.select(*keep, vec).mapInArrow(run, _schema(queries, keep, "scores array<struct<cls:int,s:double>>"))
+    return queries.select(*keep, vec).mapInArrow(run, _schema(queries, keep, f"scores array<struct<cls:{kind},s:double>>"))
 
 
 def _decide(scores: np.ndarray, classes: np.ndarray, reject: list[int]) -> list[np.ndarray]:
@@ -116,18 +133,61 @@ _PREDICTION_NAMES = ["pred", "conf", "close_max", "ood"]
 
 def predict(
     queries: DataFrame, protos: DataFrame, cls: str, vec: str, dim: int, n_way: int, keep: list[str],
-    reject: list[int], method: str = "euclidean", **options,
+    reject: list[int], method: str = "euclidean", part_bytes: int = MODEL_PART_BYTES, **options,
 ) -> DataFrame:
-    """pred, conf, close_max (best accepted class) and ood (rejected mass) per query."""
+    """pred, conf, close_max (best accepted class) and ood (rejected mass) per query.
+
+    ``n_way`` is the declared number of classes. The model is cut into parts of about ``part_bytes``; a part gives a
+    row's best class, its exponential masses and its best accepted score, from which the softmax over all parts is exact.
+    """
+    n_parts = max(1, math.ceil(n_way * dim * 8 / part_bytes))
+    kind = dict(protos.dtypes)[cls]
+    rows = queries.select(*keep, vec).withColumn("_row", F.monotonically_increasing_id())
+    parts = [
+        _part_scores(rows, protos.filter(F.pmod(F.xxhash64(cls), F.lit(n_parts)) == i), cls, vec, dim, n_way, keep, reject, method, kind, options)
+        for i in range(n_parts)
+    ]
+    whole = reduce(DataFrame.unionByName, parts).withColumn("_p", F.struct("top", "best", "mass", "close", "refused"))
+    if n_parts == 1:
+        gathered = whole.select(*keep, F.array("_p").alias("p"))
+    else:
+        # one entry per part
+        gathered = whole.groupBy("_row").agg(*(F.first(c).alias(c) for c in keep), F.collect_list("_p").alias("p"))
+    top = F.array_max(F.transform("p", lambda x: x["top"]))
+    best = F.array_min(F.transform(F.filter("p", lambda x: x["top"] == F.col("_t")), lambda x: x["best"]))
+
+    def share(field):
+        return F.aggregate("p", F.lit(0.0), lambda s, x: s + x[field] * F.exp(x["top"] - F.col("_t")))
+
+    close = F.array_max(F.transform("p", lambda x: x["close"]))
+    return gathered.withColumn("_t", top).withColumn("_mass", share("mass")).select(
+        *keep, best.alias("pred"), (1.0 / F.col("_mass")).alias("conf"), (F.exp(close - F.col("_t")) / F.col("_mass")).alias("close_max"),
+        (share("refused") / F.col("_mass")).alias("ood"),
+    )
+
+
+def _part_scores(rows, protos, cls, vec, dim, n_way, keep, reject, method, kind, options) -> DataFrame:
+    """A row's best score and class, masses relative to it and best accepted score, for one part of the model."""
     _, classes, matrix = fetch_model(protos, [], cls, dim, n_way)
+    rejected = np.isin(np.array(classes.to_pylist(), dtype=object), reject)
+    names = ["top", "best", "mass", "close", "refused"]
 
     def run(batches):
         for batch in batches:
-            scores = score_matrix(method, _vectors_of(batch, vec, dim), matrix, **options)
-            out = [pa.array(x) for x in _decide(scores, classes, reject)]
-            yield pa.RecordBatch.from_arrays([*_kept(batch, keep), *out], [*keep, *_PREDICTION_NAMES])
+            for lo, hi in _row_chunks(batch.num_rows, len(classes)):
+                if not len(classes):
+                    continue
+                part = batch.slice(lo, hi - lo)
+                scores = score_matrix(method, _vectors_of(part, vec, dim), matrix, **options)
+                top = scores.max(axis=1)
+                weights = np.exp(scores - top[:, None])
+                out = [
+                    pa.array(top), classes.take(pa.array(scores.argmax(axis=1))), pa.array(weights.sum(axis=1)),
+                    pa.array(np.where(rejected, -np.inf, scores).max(axis=1)), pa.array(np.where(rejected, weights, 0.0).sum(axis=1)),
+                ]
+                yield pa.RecordBatch.from_arrays([*_kept(part, [*keep, "_row"]), *out], [*keep, "_row", *names])
 
-    return queries.select(*keep, vec).mapInArrow(run, _schema(queries, keep, _PREDICTION))
+    return rows.mapInArrow(run, _schema(rows, [*keep, "_row"], f"top double, best {kind}, mass double, close double, refused double"))
 
 
 def predict_episodes(
@@ -139,6 +199,7 @@ def predict_episodes(
     A query travels once; its scores under all episodes are one matrix product.
     """
     (episodes,), classes, matrix = fetch_model(protos, ["episode"], cls, dim, n_way * n_episodes)
+    classes = classes.to_numpy(zero_copy_only=False)
     numbers, first = np.unique(episodes, return_index=True)
     width = np.diff(np.append(first, len(episodes)))
     # Episodes may hold fewer classes than n_way; missing slots never win.
@@ -153,60 +214,20 @@ def predict_episodes(
             rows = np.repeat(np.arange(len(z)), lists.value_lengths().to_numpy())
             wanted = lists.flatten().to_numpy()
             at = np.searchsorted(numbers, wanted)
-            for lo in range(0, len(rows), 200_000):
-                r, e = rows[lo : lo + 200_000], at[lo : lo + 200_000]
+            for lo, hi in _row_chunks(len(rows), max(n_way, len(matrix))):
+                r, e = rows[lo:hi], at[lo:hi]
                 span = slice(r[0], r[-1] + 1)
                 scores = score_matrix(method, z[span], matrix, **options)[(r - r[0])[:, None], slots[e]]
                 scores = np.where(absent[e], -np.inf, scores)
                 out = [pa.array(x) for x in _decide(scores, slot_classes[e], reject)]
                 kept = [c.take(pa.array(r)) for c in _kept(batch, keep)]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(wanted[lo : lo + 200_000].astype(np.int32)), *out], [*keep, "episode", *_PREDICTION_NAMES]
+                    [*kept, pa.array(wanted[lo:hi].astype(np.int32)), *out], [*keep, "episode", *_PREDICTION_NAMES]
                 )
 
     return queries.select(*keep, vec, asked).mapInArrow(run, _schema(queries, keep, "episode int, " + _PREDICTION))
 
 
-def predict_in_parts(
-    queries: DataFrame, protos: DataFrame, row_id: str, cls: str, vec: str, dim: int, n_classes: int,
-    part_classes: int | None = None, method: str = "euclidean", **options,
-) -> DataFrame:
-    """(row_id, pred, conf) against a class set above the broadcast bound.
-
-    Classes are cut into parts that fit the bound; each part contributes its
-    best class and exponential mass, and the parts are combined exactly.
-    """
-    part_classes = part_classes or max(1, BROADCAST_LIMIT_BYTES // (dim * 8) // 2)
-    n_parts = max(1, math.ceil(n_classes / part_classes))
-    part_of = F.pmod(F.xxhash64(cls), F.lit(n_parts))
-
-    def partial(i):
-        # Hash parts are uneven; twice the mean is the declared bound.
-        _, classes, matrix = fetch_model(protos.filter(part_of == i), [], cls, dim, 2 * part_classes)
-
-        def run(batches):
-            for batch in batches:
-                z = _vectors_of(batch, vec, dim)
-                if not len(classes):
-                    continue
-                s = score_matrix(method, z, matrix, **options)
-                top = s.max(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*_kept(batch, [row_id]), pa.array(top), pa.array(np.exp(s - top[:, None]).sum(axis=1)),
-                     pa.array(classes[s.argmax(axis=1)].astype(np.int32))],
-                    [row_id, "top", "mass", "best"],
-                )
-
-        return queries.select(row_id, vec).mapInArrow(run, _schema(queries, [row_id], "top double, mass double, best int"))
-
-    parts = reduce(DataFrame.unionByName, [partial(i) for i in range(n_parts)])
-    merged = parts.groupBy(row_id).agg(
-        F.max(F.struct("top", (-F.col("best")).alias("c"))).alias("b"), F.collect_list(F.struct("top", "mass")).alias("parts")
-    )
-    mass = V.let(F.col("b.top"), lambda t: F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["mass"] * F.exp(x["top"] - t)))
-    return merged.select(row_id, (-F.col("b.c")).alias("pred"), (F.lit(1.0) / mass).alias("conf"))
-
-
 def probabilities(scores: Column) -> Column:
     """Array of (cls, p): softmax over an array of (cls, s)."""
     def weigh(pairs):
@@ -228,9 +249,9 @@ def probabilities(scores: Column) -> Column:
     return V.let(V.let(scores, weigh), share)
 
 
-def tail_distances(rows: DataFrame, protos: DataFrame, cls: str, vec: str, size_bytes: int, row_id: str, tail: int = 5) -> DataFrame:
+def tail_distances(rows: DataFrame, protos: DataFrame, cls: str, vec: str, row_id: str, tail: int = 5) -> DataFrame:
     """The ``tail`` largest squared distances of each class's rows to its mean."""
-    far = join_bounded(rows, protos.select(cls, "proto"), [cls], size_bytes, [row_id]).select(
+    far = rows.join(protos.select(cls, "proto"), cls).select(
         cls, row_id, V.squared_distance(F.col(vec), F.col("proto")).alias("distance")
     )
     return top_rows(far, [cls], [F.desc("distance"), row_id], tail, [row_id], rank="tail_no")

@@ -166,7 +166,7 @@ def parse_options(text: Column) -> Column:
 def filter_options(options: Column, tag: str) -> Column:
     """Entries ``tag.x`` of a flat option map, with the prefix removed."""
     kept = F.map_filter(options, lambda k, _: F.substring_index(k, ".", 1) == tag)
-    return F.transform_keys(kept, lambda k, _: F.substring(k, len(tag) + 2, 1_000_000))
+    return F.transform_keys(kept, lambda k, _: F.substr(k, F.lit(len(tag) + 2)))
 
 
 def lookup_weight(weights: dict[str, float], key: Column, default: float) -> Column:

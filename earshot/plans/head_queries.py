@@ -1,32 +1,62 @@
-"""Linear head trained on the embedding table."""
+"""Linear head trained on the embedding table, and recalibration of a model's threshold."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from earshot.operators import evaluation as E
 from earshot.operators import head as H
 from earshot.operators import records as R
 from earshot.plans import views as V
 from earshot.plans.registry import query
+from earshot.plans.scoring_queries import _ROC_SQL, predictions
 from earshot.session import materialize
 
+#: Rows held out of the training.
+HELD_OUT = "vec_id % 5 = 0"
 
-def head_predictions(spark, sf):
-    """Head trained on even shares of every class, applied to all rows."""
+
+def trained_head(spark, sf):
+    """(model, weighted training rows): even shares of every class, without the held-out rows."""
     rows = V.embeddings(spark, sf).withColumn("name", F.concat(F.lit("c"), "label")).withColumn("source", F.lit(""))
-    weighted = R.sample_weights(rows.withColumn("hardneg_category", F.lit(None).cast("string")), {}, label="name")
-    model = H.train_head(materialize(weighted.select("z", "label", "weight")), "z", "label", "weight", max_iter=15)
-    return H.head_predictions(model, V.embeddings(spark, sf), "z", ["vec_id"], "label", V.REJECT)
+    train = rows.filter(f"NOT ({HELD_OUT})").withColumn("hardneg_category", F.lit(None).cast("string"))
+    weighted = materialize(R.sample_weights(train, {}, label="name").select("vec_id", "z", "label", "weight"))
+    return H.train_head(weighted, "z", "label", "weight", max_iter=300, tol=1e-10), weighted
 
 
-@query("linear_head")
+@query("linear_head", f"""
+SELECT label, count(*) FILTER (WHERE NOT ({HELD_OUT})) AS n_train, count(*) FILTER (WHERE {HELD_OUT}) AS n_held_out,
+ 0.0::DOUBLE AS residual, 0::BIGINT AS bad_sums FROM embeddings GROUP BY label
+""")
 def linear_head(spark, sf):
-    return head_predictions(spark, sf)
-
-
-@query("head_eval")
+    """At the optimum the weighted predicted mass of every class equals its weighted rows; held-out rows are scored too."""
+    model, train = trained_head(spark, sf)
+    keep = ["vec_id", "label"]
+    parts = [H.class_probabilities(model, train, "z", [*keep, "weight"]).withColumn("held", F.lit(0))]
+    test = V.embeddings(spark, sf).filter(HELD_OUT).withColumn("weight", F.lit(0.0))
+    parts.append(H.class_probabilities(model, test, "z", [*keep, "weight"]).withColumn("held", F.lit(1)))
+    rows = parts[0].unionByName(parts[1]).select(*keep, "weight", "held", F.posexplode("p").alias("cls", "p"))
+    excess = F.sum(F.col("weight") * (F.col("p") - (F.col("cls") == F.col("label")).cast("int"))) / F.sum("weight")
+    by_class = rows.groupBy(F.col("cls").alias("label")).agg((F.round(excess, 4) + F.lit(0.0)).alias("residual"))
+    sums = rows.groupBy("vec_id", "label", "held").agg(F.sum("p").alias("total"))
+    counts = sums.groupBy("label").agg(
+        F.sum((F.col("held") == 0).cast("int")).alias("n_train"), F.sum("held").alias("n_held_out"),
+        F.sum((F.abs(F.col("total") - 1) > 1e-9).cast("int")).alias("bad_sums"),
+    )
+    return counts.join(by_class, "label").select("label", "n_train", "n_held_out", "residual", "bad_sums")
+
+
+@query("head_eval", f"""WITH {_ROC_SQL}, t AS (SELECT min(thr) AS thr FROM roc WHERE fpr <= 0.05),
+m AS (SELECT true_cls, CASE WHEN conf < thr THEN -1 ELSE pred_cls END AS pc, thr FROM pred, t WHERE pos),
+c2 AS (SELECT close_max, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS n FROM pred GROUP BY close_max),
+k2 AS (SELECT *, sum(n) OVER (ORDER BY close_max) - n AS below FROM c2)
+SELECT label AS model, round((SELECT max(thr) FROM m), 6) AS thr_far05,
+ round((SELECT avg(CASE WHEN pc = true_cls THEN 1.0::DOUBLE ELSE 0 END) FROM m), 6) AS acc_far05,
+ round((SELECT (sum(p * (below + n / 2.0)) / (sum(p) * sum(n)))::DOUBLE FROM k2), 6) AS "aucROC"
+FROM (SELECT DISTINCT label FROM embeddings)
+""")
 def head_eval(spark, sf):
-    preds = materialize(head_predictions(spark, sf))
-    area, point = E.auroc(preds, []), E.operating_point(preds, [])
-    return area.withColumns({c: point.select(c).scalar() for c in ("thr_far05", "acc_far05", "frr_far05")})
+    """Stored scores recalibrate the metadata of the models that were saved for them, one per class here."""
+    preds = materialize(predictions(spark, sf))
+    meta = V.embeddings(spark, sf).select(F.col("label").alias("model")).distinct().withColumn("thr_far05", F.lit(0.5))
+    out = H.recalibrate(meta, preds)
+    return out.withColumns({c: F.round(c, 6) for c in ("thr_far05", "acc_far05", "aucROC")})

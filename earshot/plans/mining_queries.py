@@ -17,12 +17,12 @@ LEXICON_TARGETS = {"hey_camy": [*"HEYCAMY"], "hey_reco": [*"HEYRECO"]}
 
 
 @query("token_levenshtein", """
-WITH w AS (SELECT p_partkey, string_split(p_name,' ')[1] AS a, lower(p_type) AS b FROM part)
+WITH w AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part)
 SELECT p_partkey, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE, 6) AS similarity,
        round(levenshtein(a, b) / greatest(length(a), length(b), 1)::DOUBLE, 6) AS norm_distance FROM w
 """)
 def token_levenshtein(spark, sf):
-    a, b = F.split(F.split("p_name", " ")[0], ""), F.split(F.lower("p_type"), "")
+    a, b = F.split(F.lower("p_name"), ""), F.split(F.lower("p_type"), "")
     rows = read_table(spark, sf, "part").select("p_partkey", a.alias("a"), b.alias("b"))
     scored = rows.select("p_partkey", "a", "b", T.token_levenshtein(F.col("a"), F.col("b")).cast("bigint").alias("distance"))
     la, lb = F.size("a"), F.size("b")

@@ -153,7 +153,7 @@ tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
 def tails(spark, sf):
     rows = V.support(spark, sf).filter(F.col("label") < V.N_KNOWN)
     protos = P.class_means(rows, ["label"], "z", DIM)
-    return P.tail_distances(rows, protos, "label", "z", N_CLASSES * DIM * 8, "vec_id")
+    return P.tail_distances(rows, protos, "label", "z", "vec_id")
 
 
 @query("tail_distances", f"WITH {_TAIL_SQL} SELECT label, vec_id, tail_no::INTEGER AS tail_no, round(d, 6) AS distance FROM tail")
@@ -161,9 +161,20 @@ def tail_distances(spark, sf):
     return tails(spark, sf).withColumn("distance", F.round("distance", 6))
 
 
-@query("openmax_fit")
+@query("openmax_fit", f"""WITH {_TAIL_SQL}
+SELECT label, count(*) AS n_tail, round(min(d), 6) AS shift, 0.0::DOUBLE AS shape_residual, 0.0::DOUBLE AS scale_residual FROM tail GROUP BY label
+""")
 def openmax_fit(spark, sf):
-    return P.openmax_fit(tails(spark, sf), "label")
+    """The fit put into its likelihood equations: at the maximum both residuals vanish."""
+    far = tails(spark, sf)
+    x = far.join(P.openmax_fit(far, "label"), "label").withColumn("x", F.col("distance") + 1 - F.col("shift"))
+    power, log = F.pow(F.col("x") / F.col("scale"), F.col("shape")), F.ln("x")
+    shape = F.avg(log) + 1 / F.first("shape") - F.sum(power * log) / F.sum(power)
+    residuals = {"shape_residual": shape, "scale_residual": F.avg(power) - 1}
+    return x.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_tail"), F.round(F.first("shift"), 6).alias("shift"),
+        *((F.round(v, 6) + F.lit(0.0)).alias(n) for n, v in residuals.items()),
+    )
 
 
 @query("openmax_scores", f"""WITH {_TAIL_SQL},
@@ -185,12 +196,13 @@ def openmax_with(spark, sf, params):
     """OpenMax probabilities of all queries under given tail models."""
     known = support_means(spark, sf).filter(F.col("class") < V.N_KNOWN)
     scored = P.with_scores(V.queries(spark, sf), known, "class", "z", DIM, N_CLASSES, ["vec_id"], "euclidean")
-    # Both arrays are ordered by class and hold one entry per known class.
-    table = params.agg(F.array_sort(F.collect_list(F.struct("label", "shape", "scale", "shift"))))
+    # One entry per known class; a class without a tail model takes no part.
+    table = params.agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("shape", "scale", "shift")))))
     rows = scored.withColumn("params", table.scalar())
-    dist = F.zip_with("scores", "params", lambda x, t: F.struct(
+    fitted = F.filter("scores", lambda x: F.map_contains_key("params", x["cls"]))
+    dist = F.transform(fitted, lambda x: vectors.let(F.element_at("params", x["cls"]), lambda t: F.struct(
         x["cls"].alias("cls"), (-x["s"]).alias("d"), t["shape"].alias("shape"), t["scale"].alias("scale"), t["shift"].alias("shift"),
-    ))
+    )))
     probs = rows.select("vec_id", dist.alias("d")).select("vec_id", F.explode(P.openmax_probabilities(F.col("d"), 99)).alias("x"))
     return probs.select("vec_id", F.col("x.cls").alias("class"), F.col("x.p").alias("probability"))
 

@@ -150,16 +150,30 @@ def gain_clamp(spark, sf):
     return _long(V.embeddings(spark, sf), arrays.apply_gain(F.col("z"), F.pmod("vec_id", F.lit(37)).cast("double")))
 
 
-@query("snr_mix", "WITH n AS (SELECT label, embedding::DOUBLE[] AS z FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)," + f"""
-s AS (SELECT vec_id, e.embedding::DOUBLE[] AS z, n.z AS nz, sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (pow(10, (vec_id % 20) / 10.0::DOUBLE) * list_inner_product(n.z, n.z))) AS k FROM embeddings e JOIN n ON n.label = e.label)
-""" + _long_sql("list_transform(list_zip(z, nz), lambda t: greatest(-1, least(1, t[1] + t[2] * k)))", "s"))
-def snr_mix(spark, sf):
+def _snr_sql(ratio: str) -> str:
+    return (
+        "WITH n AS (SELECT label, embedding::DOUBLE[] AS z FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),"
+        "s AS (SELECT vec_id, e.embedding::DOUBLE[] AS z, n.z AS nz, sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])"
+        f" / ({ratio} * list_inner_product(n.z, n.z))) AS k FROM embeddings e JOIN n ON n.label = e.label)"
+    ) + _long_sql("list_transform(list_zip(z, nz), lambda t: greatest(-1, least(1, t[1] + t[2] * k)))", "s")
+
+
+def _snr_mix(spark, sf, decibel):
     rows = V.embeddings(spark, sf)
     # One noise vector per class; min_by keeps it a map-side aggregate.
     noise = rows.groupBy("label").agg(F.min_by("z", "vec_id").alias("noise"))
-    mixed = rows.join(noise, "label")
-    scale = arrays.snr_scale(F.col("z"), F.col("noise"), F.pmod("vec_id", F.lit(20)).cast("double"))
-    return _long(mixed, arrays.mix(F.col("z"), F.col("noise"), scale))
+    scale = arrays.snr_scale(F.col("z"), F.col("noise"), F.pmod("vec_id", F.lit(20)).cast("double"), decibel)
+    return _long(rows.join(noise, "label"), arrays.mix(F.col("z"), F.col("noise"), scale))
+
+
+@query("snr_mix", _snr_sql("(pow(10, (vec_id % 20)::DOUBLE) / 10)"))
+def snr_mix(spark, sf):
+    return _snr_mix(spark, sf, decibel=False)
+
+
+@query("snr_mix_decibel", _snr_sql("pow(10, (vec_id % 20) / 10.0::DOUBLE)"))
+def snr_mix_decibel(spark, sf):
+    return _snr_mix(spark, sf, decibel=True)
 
 
 @query("shift_pad", _long_sql("CASE WHEN sh > 0 THEN list_concat(list_resize([]::DOUBLE[], sh, 0), list_slice(z, 1, 64 - sh)) ELSE list_concat(list_slice(z, 1 - sh, 64), list_resize([]::DOUBLE[], -sh, 0)) END",
@@ -169,11 +183,14 @@ def shift_pad(spark, sf):
     return _long(V.embeddings(spark, sf), arrays.shift_and_pad(F.col("z"), shift, DIM))
 
 
-@query("center_crop", _long_sql("CASE WHEN len(z) > 24 THEN list_slice(z, (len(z) - 24) // 2 + 1, (len(z) - 24) // 2 + 24) ELSE list_concat(z, list_resize([]::DOUBLE[], 24 - len(z), 0)) END",
-                                "(SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 10 + vec_id % 50) AS z FROM embeddings)"))
+_CROP = "CASE WHEN len(z) > {n} THEN list_slice(z, (len(z) - {n}) // 2 + 1, (len(z) - {n}) // 2 + {n}) ELSE list_concat(z, list_resize([]::DOUBLE[], {n} - len(z), 0)) END"
+
+
+@query("center_crop", _long_sql("CASE WHEN vec_id % 2 = 0 THEN " + _CROP.format(n=24) + " ELSE " + _CROP.format(n=80) + " END",
+                                "(SELECT vec_id, embedding::DOUBLE[] AS z FROM embeddings)"))
 def center_crop(spark, sf):
-    signal = F.slice("z", F.lit(1), (F.pmod("vec_id", F.lit(50)) + 10).cast("int"))
-    return _long(V.embeddings(spark, sf).withColumn("z", signal), arrays.center_crop(F.col("z"), 24))
+    cropped = F.when(F.pmod("vec_id", F.lit(2)) == 0, arrays.center_crop(F.col("z"), 24)).otherwise(arrays.center_crop(F.col("z"), 80))
+    return _long(V.embeddings(spark, sf), cropped)
 
 
 @query("time_slice", _long_sql("list_slice(z, round_even(s * 16, 0)::INTEGER + 1, least(64, round_even(e * 16, 0)::INTEGER))",
@@ -275,21 +292,21 @@ SEGMENT_FIELDS = {"first_frame": "bigint", "last_frame": "bigint", "speech_frame
 
 
 @query("segments_exact", f"""WITH RECURSIVE {V.FRAME_SQL},
-f AS (SELECT user_id, seq, value, value > 50 AS act, least(seq, 3) AS rn, sum(value) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rs FROM fr),
-m AS (SELECT user_id, 0::BIGINT AS seq, 0 AS cd, 0 AS run, 0 AS spk, 0 AS sil, 0::BIGINT AS len, 0.0::DOUBLE AS tot, 0 AS ev, 0::BIGINT AS elen, 0::BIGINT AS sp, 0.0::DOUBLE AS score FROM (SELECT DISTINCT user_id FROM fr)
+f AS (SELECT user_id, seq, value, value > 50 AS act, least(seq, 3) AS rn, list(value) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rs FROM fr),
+m AS (SELECT user_id, 0::BIGINT AS seq, 0 AS cd, 0 AS run, 0 AS spk, 0 AS sil, 0::BIGINT AS len, []::DOUBLE[] AS vals, 0 AS ev, 0::BIGINT AS elen, 0::BIGINT AS sp, 0.0::DOUBLE AS score FROM (SELECT DISTINCT user_id FROM fr)
   UNION ALL
   SELECT user_id, seq,
-    CASE WHEN pcd > 0 THEN pcd - 1 WHEN ev = 1 AND ntot / nlen >= 60 THEN 4 ELSE 0 END,
+    CASE WHEN pcd > 0 THEN pcd - 1 WHEN ev = 1 AND nscore >= 60 THEN 4 ELSE 0 END,
     CASE WHEN pcd > 0 THEN prun WHEN pspk = 0 AND nrun < 2 THEN nrun ELSE 0 END,
     CASE WHEN pcd > 0 THEN pspk WHEN pspk = 0 THEN (nrun >= 2)::INTEGER WHEN done THEN 0 ELSE 1 END,
     CASE WHEN pcd > 0 THEN psil WHEN pspk = 0 OR done THEN 0 ELSE nsil END,
     CASE WHEN pcd > 0 THEN plen WHEN pspk = 0 AND nrun >= 2 THEN rn WHEN pspk = 0 OR done THEN 0 ELSE nlen END,
-    CASE WHEN pcd > 0 THEN ptot WHEN pspk = 0 AND nrun >= 2 THEN rs WHEN pspk = 0 OR done THEN 0 ELSE ntot END,
-    ev, nlen, greatest(2, speech), CASE WHEN nlen > 0 THEN ntot / nlen ELSE 0 END
-  FROM (SELECT *, (done AND speech >= 2)::INTEGER AS ev FROM (
-    SELECT *, pcd = 0 AND pspk = 1 AND (nlen >= 12 OR nsil >= 2) AS done, CASE WHEN nlen >= 12 THEN nlen ELSE nlen - 2 END AS speech FROM (
-      SELECT f.user_id, f.seq, f.rn, f.rs, m.cd AS pcd, m.run AS prun, m.spk AS pspk, m.sil AS psil, m.len AS plen, m.tot AS ptot,
-        CASE WHEN act THEN m.run + 1 ELSE 0 END AS nrun, CASE WHEN act THEN 0 ELSE m.sil + 1 END AS nsil, m.len + 1 AS nlen, m.tot + f.value AS ntot
+    CASE WHEN pcd > 0 THEN pvals WHEN pspk = 0 AND nrun >= 2 THEN rs WHEN pspk = 0 OR done THEN []::DOUBLE[] ELSE nvals END,
+    ev, nlen, speech, coalesce(nscore, 0)
+  FROM (SELECT *, done::INTEGER AS ev, list_avg(list_slice(nvals, 1, speech)) AS nscore FROM (
+    SELECT *, pcd = 0 AND pspk = 1 AND (nlen >= 12 OR nsil >= 2) AS done, greatest(2, CASE WHEN nlen >= 12 THEN nlen ELSE nlen - 2 END) AS speech FROM (
+      SELECT f.user_id, f.seq, f.rn, f.rs, m.cd AS pcd, m.run AS prun, m.spk AS pspk, m.sil AS psil, m.len AS plen, m.vals AS pvals,
+        CASE WHEN act THEN m.run + 1 ELSE 0 END AS nrun, CASE WHEN act THEN 0 ELSE m.sil + 1 END AS nsil, m.len + 1 AS nlen, list_append(m.vals, f.value) AS nvals
       FROM m JOIN f ON f.user_id = m.user_id AND f.seq = m.seq + 1))))
 SELECT user_id, seq - elen + 1 AS first_frame, seq AS last_frame, sp AS speech_frames, round(score, 6) AS score, score >= 60 AS fired FROM m WHERE ev = 1
 """)

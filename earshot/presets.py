@@ -106,3 +106,9 @@ WORD_CORPUS_TASKS = {
     "MSWC15000U": (15000, 0, False),
     "MSWC-LargeU": (None, 2, False),
 }
+
+# Fixed format of one interval of a tier file: bounds as decimal numbers, text in double quotes (doubled inside).
+_NUMBER = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
+TIER_INTERVAL = (
+    r"intervals\s*\[[0-9]+\]:\s*xmin\s*=\s*" + _NUMBER + r"\s*xmax\s*=\s*" + _NUMBER + r'\s*text\s*=\s*"((?:[^"\n]|"")*)"'
+)

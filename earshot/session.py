@@ -1,4 +1,4 @@
-"""Session helpers: table access, checkpoint folder, size-bounded joins."""
+"""Session helpers: table access, checkpoint folder, written intermediates."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A side is broadcast only when its size in bytes is provably below this.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# The most bytes of a model that a task holds at once.
+MODEL_PART_BYTES = 64 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,66 +17,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's ``spark.checkpoint.dir`` when set.
-
-    A private temporary folder is chosen only for a local master (tests); on a
-    cluster a machine-local folder would not survive the loss of an executor.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for lineage cuts: that of ``spark.checkpoint.dir``, one of its own only where that is unset, as in tests."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if named:
-        if current is None:
-            context.setCheckpointDir(named)
-        return named
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="earshot-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="earshot-checkpoint-")
+        context.setCheckpointDir(named)
+    return named
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a few input files to all cores before heavy per-row work.
-
-    With at least one file per core the scan is parallel already and nothing is
-    shuffled, so only small inputs ever move.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    """Deal rows out by ``keys`` before heavy work on each row; adaptive execution picks the number of tasks."""
+    return df.repartition(*keys)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write an expensive intermediate once to the checkpoint folder and read it back.
 
     The written table survives the loss of executors and cuts the lineage; later
-    passes read only the columns they need.
+    passes read only the columns they need. ``replaces`` is a table of an earlier
+    round that nothing reads any more; it is deleted.
     """
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), f"earshot-{uuid.uuid4().hex}")
+    path = f"{ensure_checkpoint_dir(spark)}/earshot-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def join_bounded(
-    large: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    size_bytes: int,
-    salt_from: list[str],
-    how: str = "inner",
-    n_salts: int = 64,
-) -> DataFrame:
-    """Equi-join against a side whose size the caller can bound from parameters.
-
-    Within the limit the small side is broadcast. Beyond it the small side is
-    copied to ``n_salts`` salts and joined on ``on + salt``, so that one hot key
-    of the large side is spread over many tasks.
-    """
-    if size_bytes <= BROADCAST_LIMIT_BYTES:
-        return large.join(F.broadcast(small), on, how)
-    salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(n_salts)).cast("int"))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    return salted_large.join(salted_small, on + ["_salt"], how).drop("_salt")
+    old = getattr(replaces, "_written_to", None)
+    if old:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out

@@ -41,6 +41,14 @@ def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E"
 
 
+def _line_place() -> Column:
+    """Order of a line: its file's name, the split of the file it stands in, its place in the split."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
 def label_file(spark: SparkSession, path: str) -> DataFrame:
     """``<file> <label>`` lines; the first six characters of the file are the speaker."""
     parts = F.split(F.trim("value"), r"\s+")
@@ -54,13 +62,13 @@ def label_file(spark: SparkSession, path: str) -> DataFrame:
 def split_csvs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """One CSV with WORD, LINK, SPEAKER columns per split, in file order.
 
-    ``pos`` grows along each file; it numbers the lines of its partitions.
+    ``pos`` orders the lines, by file name and then by place in the file.
     """
     def one(split, path):
         rows = spark.read.option("header", True).csv(path)
         return rows.select(
             F.col("WORD").alias("label"), F.col("LINK").alias("file"), F.col("SPEAKER").alias("speaker"),
-            F.lit(split).alias("split"), F.monotonically_increasing_id().alias("pos"),
+            F.lit(split).alias("split"), _line_place().alias("pos"),
         )
 
     return reduce(DataFrame.unionByName, [one(s, p) for s, p in paths.items()])
@@ -100,7 +108,7 @@ def lexicon(spark: SparkSession, path: str, keep_stress: bool = False) -> DataFr
 
     # The CSV reader decodes other charsets line by line; separator and quote are switched off.
     raw = spark.read.schema("value string").option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").csv(path)
-    lines = raw.select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    lines = raw.select(F.trim("value").alias("line"), _line_place().alias("at"))
     lines = lines.filter("line <> ''").filter(~F.col("line").startswith(";;;") & ~F.col("line").startswith("#"))
     parts = F.split("line", r"\s+")
     rows = lines.filter(F.size(parts) >= 2).select("at", parts.alias("p"))
@@ -128,11 +136,6 @@ def unaligned_utterances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(first.alias("utt_id")).filter("utt_id <> ''").distinct()
 
 
-_INTERVAL = (
-    r'intervals\s*\[\d+\]:\s*xmin\s*=\s*([-+]?\d+(?:\.\d+)?)\s*xmax\s*=\s*([-+]?\d+(?:\.\d+)?)\s*text\s*=\s*"((?:[^"\n]|"")*)"'
-)
-
-
 def parse_tiers(files: DataFrame, utt: str, content: str) -> DataFrame:
     """Interval-tier texts to (utt_id, speaker_id, chapter_id, tier, pos, start, end, text, error).
 
@@ -140,10 +143,11 @@ def parse_tiers(files: DataFrame, utt: str, content: str) -> DataFrame:
     ``error`` says so; nothing stops the job.
     """
     # Everything after a 'name = "..."' line up to the next one belongs to that tier.
-    chunks = F.slice(F.split(content, r'(?m)^\s*name\s*=\s*'), F.lit(2), F.lit(1_000))
+    parts_of = F.split(content, r'(?m)^\s*name\s*=\s*')
+    chunks = F.slice(parts_of, F.lit(2), F.size(parts_of))
     tiers = F.transform(chunks, lambda c: F.struct(
         F.regexp_extract(c, r'^"([^"\n]*)"', 1).alias("name"),
-        F.regexp_extract_all(c, F.lit(_INTERVAL), F.lit(0)).alias("items"),
+        F.regexp_extract_all(c, F.lit(presets.TIER_INTERVAL), F.lit(0)).alias("items"),
     ))
     parts = F.split(utt, "-")
     base = files.select(
@@ -158,7 +162,7 @@ def parse_tiers(files: DataFrame, utt: str, content: str) -> DataFrame:
         "utt_id", "speaker_id", "chapter_id", F.explode("tiers").alias("t")
     ).select("utt_id", "speaker_id", "chapter_id", F.col("t.name").alias("tier"), F.posexplode("t.items").alias("i", "item"))
     def group(n):
-        return F.regexp_extract("item", "(?s)" + _INTERVAL, n)
+        return F.regexp_extract("item", "(?s)" + presets.TIER_INTERVAL, n)
 
     good = items.select(
         "utt_id", "speaker_id", "chapter_id", "tier", (F.col("i") + 1).alias("pos"),

@@ -56,5 +56,6 @@ def test_segment_closed_by_length_and_short_discard():
     assert sequential(by_length, [(i, i, 1.0, True) for i in range(1, 6)])[0] == (4, 1, 4, 4, 1.0, True)
     frames = [(1, 1, 1.0, True), (2, 2, 0.0, False), (3, 3, 0.0, False)]
     short = dict(onset=1, hangover=2, shortest=2, longest=9, pre=1, cooldown=0)
-    assert sequential(SegmentMachine(0.0, **short), frames) == []
-    assert sequential(SegmentMachine(0.0, **short, discard_short=False), frames)[0][3] == 2
+    assert sequential(SegmentMachine(0.0, **short, discard_short=True), frames) == []
+    # the length is raised to the least, and only those frames are scored
+    assert sequential(SegmentMachine(0.0, **short), frames)[0][3:] == (2, 0.5, True)

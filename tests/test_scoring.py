@@ -23,11 +23,26 @@ def vectors_(spark):
 def test_parts_equal_one_model(spark, vectors_):
     _, df = vectors_
     protos = P.class_means(df, ["label"], "z", 5)
-    whole = {r.vec_id: r for r in P.predict(df, protos, "label", "z", 5, 7, ["vec_id"], []).collect()}
-    parts = P.predict_in_parts(df, protos, "vec_id", "label", "z", 5, 7, part_classes=3).collect()
+    parts = P.predict(df, protos, "label", "z", 5, 7, ["vec_id"], [2, 5], part_bytes=100).collect()
+    whole = {r.vec_id: r for r in P.predict(df, protos, "label", "z", 5, 7, ["vec_id"], [2, 5]).collect()}
     assert len(parts) == 140
     for r in parts:
-        assert r.pred == whole[r.vec_id].pred and abs(r.conf - whole[r.vec_id].conf) < 1e-12
+        want = whole[r.vec_id]
+        assert r.pred == want.pred and np.allclose([r.conf, r.close_max, r.ood], [want.conf, want.close_max, want.ood], atol=1e-12)
+
+
+def test_labels_may_be_text(spark, vectors_):
+    _, df = vectors_
+    named = df.withColumn("label", F.concat(F.lit("c"), "label"))
+    by_number = {r.vec_id: r for r in P.predict(df, P.class_means(df, ["label"], "z", 5), "label", "z", 5, 7, ["vec_id"], [2]).collect()}
+    for r in P.predict(named, P.class_means(named, ["label"], "z", 5), "label", "z", 5, 7, ["vec_id"], ["c2"]).collect():
+        assert r.pred == f"c{by_number[r.vec_id].pred}" and abs(r.ood - by_number[r.vec_id].ood) < 1e-12
+
+
+def test_vector_of_another_length_stops_the_job(spark, vectors_):
+    _, df = vectors_
+    with pytest.raises(Exception, match="length 4"):
+        P.class_means(df, ["label"], "z", 4).collect()
 
 
 def test_model_bound_is_checked(spark, vectors_):
