@@ -37,13 +37,12 @@ def confusion(preds: DataFrame, keys: list[str]) -> DataFrame:
     cells = preds.groupBy(*keys, "true_cls", "pred_cls").agg(F.count(F.lit(1)).alias("n"))
     # From here on rows are bounded by the squared number of classes.
     labels = F.array_sort(F.array_union(F.collect_set("true_cls"), F.collect_set("pred_cls")))
-    filled = F.map_from_entries(F.collect_list(F.struct(F.struct("true_cls", "pred_cls"), "n")))
-    packed = (cells.groupBy(*keys) if keys else cells).agg(labels.alias("_l"), filled.alias("_m"))
-    grid = packed.withColumn("true_cls", F.explode("_l")).withColumn("pred_cls", F.explode("_l"))
-    return grid.select(
-        *keys, "true_cls", "pred_cls",
-        F.coalesce(F.element_at("_m", F.struct("true_cls", "pred_cls")), F.lit(0)).alias("n"),
-    )
+    packed = (cells.groupBy(*keys) if keys else cells).agg(labels.alias("_l"))
+    grid = packed.withColumn("true_cls", F.explode("_l")).withColumn("pred_cls", F.explode("_l")).drop("_l")
+    names = [*keys, "true_cls", "pred_cls"]
+    counted = cells.toDF(*(f"_{c}" for c in names), "_n")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return grid.join(counted, on, "left").select(*names, F.coalesce("_n", F.lit(0)).alias("n"))
 
 
 def _score_counts(preds: DataFrame, keys: list[str], score: str) -> DataFrame:

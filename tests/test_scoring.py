@@ -169,3 +169,9 @@ def test_array_functions(spark):
     assert row.crop == [2.0, 3.0, 4.0] and row.cut == [3.0, 4.0, 5.0]
     assert row.starts == [0, 3, 6] and row.short == [0] and row.pad == [0.0, 1.0, 0.0, 0.0]
     assert row.mono == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and row.frames == 49 and row.m == "1.234 KFLOPs" and row.rc == [5.0, 6.0]
+
+
+def test_confusion_grid_of_many_classes(spark):
+    rows = [(i % 300, (i * 7) % 300) for i in range(3000)]
+    out = E.confusion(spark.createDataFrame(rows, "true_cls int, pred_cls int"), []).filter("n > 0").collect()
+    assert {(r.true_cls, r.pred_cls): r.n for r in out} == {p: rows.count(p) for p in set(rows)}
