@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.store import arrow_map
+from earshot.llm.store import arrow_map, with_row_key
 
 #: Labelled pages of the fit (those with the least hash of their id).
 FIT_PAGES = 2_000
@@ -225,7 +225,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def fit(pages: DataFrame) -> dict[str, float]:
     """Log odds of tokens by the names around them, on at most ``FIT_PAGES`` pages that mark their main text."""
-    labelled = pages.where("lower(html) rlike '<article|<main|role=.?main'").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(FIT_PAGES)
+    keyed = with_row_key(pages.select("page_id", "url", "html"))
+    marked = keyed.where("lower(html) rlike '<article|<main|role=.?main'")
+    # numbers alone are sorted; the pages of the chosen ones are fetched by a second read
+    chosen = marked.select("row_key", F.xxhash64("page_id", "url").alias("place")).orderBy("place", "row_key").limit(FIT_PAGES)
+    labelled = keyed.join(F.broadcast(chosen.select("row_key")), "row_key")
 
     def run(batch):
         counts: Counter[tuple[str, bool]] = Counter()
