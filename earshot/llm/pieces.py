@@ -17,6 +17,7 @@ each step together in numpy; random numbers are hashes of (seed, row key, sample
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -99,7 +100,9 @@ class Lattices:
     def __init__(self, vocab: Vocabulary, points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         prefix = point_prefix(points)
         names = rolling.substring_hashes(prefix, starts, ends)
-        _, first, self.of = np.unique(names, return_index=True, return_inverse=True)
+        self.of, distinct = pd.factorize(names)
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[self.of[::-1]] = np.arange(len(names))[::-1]
         starts, ends = starts[first], ends[first]
         size = ends - starts
         self.base = np.cumsum(size) - size
@@ -123,7 +126,7 @@ class Lattices:
         node, length, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(node, kind="stable")
         self.node, self.length, self.piece, weight = node[order], length[order], piece[order], weight[order]
-        self.first = np.searchsorted(self.node, np.arange(nodes + 1))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.node, minlength=nodes))))
         self.width = int(np.diff(self.first).max(initial=1))
         # backward sums: all nodes with one number of characters to go at a time
         total, share = np.zeros(nodes + 1), np.zeros(len(weight))
@@ -132,7 +135,7 @@ class Lattices:
         to_go = left[self.node]
         # small numbers sort in linear time
         by_left = np.argsort(to_go.astype(np.uint16) if left.max(initial=0) < 1 << 16 else to_go, kind="stable")
-        cuts = np.searchsorted(to_go[by_left], np.arange(1, int(left.max(initial=0)) + 2))
+        cuts = np.cumsum(np.bincount(to_go))
         for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if begin == end:
                 continue
