@@ -73,10 +73,10 @@ def test_registered():
     assert set(registry.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_path_templates", "op5_sign_hashing", "op7_uniform_threshold"])
+@pytest.mark.parametrize("name", ["op2_path_templates", "op3_hyperminhash", "op5_sign_hashing", "op7_uniform_threshold"])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     frame = registry.QUERIES[name](spark, SF)
     want = con.execute(registry.SQL[name])
