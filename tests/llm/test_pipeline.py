@@ -75,6 +75,7 @@ def test_registered():
 
 @pytest.mark.parametrize("name", ["op2_path_templates", "op3_hyperminhash", "op5_sign_hashing", "op7_uniform_threshold"])
 def test_sql(spark, name):
+    registry.load_all()
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
