@@ -32,7 +32,6 @@ CHUNK_BYTES = 1 << 19
 CELL = 14
 SAMPLE_ONE_IN = 16
 HEAVY_IN_SAMPLE = 128
-MAX_HEAVY = 4096
 SALTS = 64
 
 _SEGMENTS = "row_key long, a long, lmin int, lmax int, core long, full long"
@@ -119,17 +118,20 @@ def _first_segments(docs: DataFrame, window: int, q: int) -> DataFrame:
     return arrow_map(docs, run, _SEGMENTS)
 
 
-def refine(segments: DataFrame, sample: DataFrame) -> DataFrame:
+def refine(segments: DataFrame, sample: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Segments whose bucket has other members: repeated (``done``) and what the next level looks at (``onward``).
 
     One member of a repeated class goes on too where its bucket has undecided members, as their counterpart.
     """
-    counts = lambda c: (
-        sample.groupBy(c).count().where(F.col("count") >= HEAVY_IN_SAMPLE).orderBy(F.desc("count")).limit(MAX_HEAVY)
-        .select(c, F.lit(True).alias(f"heavy_{c}"))
+    # at most sampled segments / HEAVY_IN_SAMPLE keys; written, so that Spark knows their size before it plans the joins
+    counts = lambda c: scratch.write(
+        sample.groupBy(c).count().where(F.col("count") >= HEAVY_IN_SAMPLE).select(c, F.lit(True).alias(f"heavy_{c}")),
+        f"{name}-heavy-{c}",
     )
-    marked = segments.join(F.broadcast(counts("core")), "core", "left").join(F.broadcast(counts("full")), "full", "left")
-    heavy, same = F.col("heavy_core").isNotNull(), F.col("heavy_full").isNotNull()
+    marked = segments.join(counts("core"), "core", "left").join(counts("full"), "full", "left")
+    heavy = F.col("heavy_core").isNotNull()
+    # members of a core are dealt by `full` all or none: else they would not meet
+    same = heavy & F.col("heavy_full").isNotNull()
     dealt = marked.select(
         "row_key", "a", "lmin", "lmax", "core", "full", heavy.alias("heavy"), same.alias("same"),
         F.when(same, F.xxhash64("full", F.pmod(F.xxhash64("row_key", "a"), F.lit(SALTS))))
@@ -201,14 +203,14 @@ def repeated_spans(docs: DataFrame, window: int = 400, scratch: Scratch | None =
     """
     scratch = scratch or Scratch(docs.sparkSession, "suffixes")
     q = window // 2
-    level = scratch.write(refine(_first_segments(docs, window, q), _first_segments(_sampled(docs), window, q)), "bucketed")
+    level = scratch.write(refine(_first_segments(docs, window, q), _first_segments(_sampled(docs), window, q), scratch, "bucketed"), "bucketed")
     span = [F.col("row_key"), (F.col("a") - F.col("lmax")).alias("begin"), (F.col("a") - F.col("lmin") + window).alias("end")]
     spans = level.where("done").select(*span)
     contexts = scratch.write(
         _contexts(docs, level.where("onward"), window).withColumn("top", F.col("lmax")), "contexts"
     )
     cells = _segments_of(contexts, CELL, window, q)
-    level = scratch.write(refine(cells, _sampled(cells)), "cells")
+    level = scratch.write(refine(cells, _sampled(cells), scratch, "cells"), "cells")
     spans = spans.union(level.where("done").select(*span))
     # the two ranges of a suffix cut between pieces of a long row are told apart by their bounds
     narrowed = (
@@ -218,7 +220,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, scratch: Scratch | None =
                 F.expr(f"substring(context, int(x.lmax - c.lmax + 1), int(c.lmax - c.lmin + {window}))").alias("context"))
     )
     windows = _segments_of(narrowed, 1, window, q)
-    singles = refine(windows, _sampled(windows))
+    singles = refine(windows, _sampled(windows), scratch, "windows")
     return spans.union(singles.where("done").select(*span))
 
 

@@ -157,6 +157,24 @@ def test_remove_repeats_in_pieces_of_long_rows(spark, monkeypatch):
     assert found == {(i, s) for i in range(2) for s in range(len(rows[i][1]) - 60 + 1)}
 
 
+def test_remove_repeats_with_many_heavy_buckets(spark, monkeypatch):
+    # more than 4,096 buckets count as heavy, many with a near copy whose finer identifier is another
+    rng = random.Random(12)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_ONE_IN", 1)
+    monkeypatch.setattr(suffix_dedup, "HEAVY_IN_SAMPLE", 2)
+    rows = []
+    for i in range(150):
+        base = words(rng, 300, 100_000)
+        cuts = set(itertools.takewhile(lambda at: at < 300, itertools.accumulate(rng.randrange(5, 15) for _ in range(60))))
+        near = [" ".join("x%d" % rng.randrange(10**6) if at in cuts else w for at, w in enumerate(base)) for _ in range(3)]
+        # the first have no exact copies: common buckets, but no common finer identifiers
+        rows += near if i < 110 else [" ".join(base), near[0], " ".join(base)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, 60).collect()}
+    assert got == removed(rows, 60)
+
+
 def test_remove_repeats_as_text(spark, none):
     rows = [(1, "ü" * 40), (2, "x" + "ü" * 40), (None, None)]
     out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 21, as_text=True).collect()
