@@ -368,7 +368,7 @@ def sample(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int):
 
 
 def segmentations(
-    docs: DataFrame, model_path: str, k: int = 2, alpha: float = 0.5, seed: int = 0, with_text: bool = False
+    docs: DataFrame, model_path: str, k: int = 3, alpha: float = 0.5, seed: int = 0, with_text: bool = False
 ) -> DataFrame:
     """``doc_id, rank, log_prob, perturbed, inclusion, ids`` of up to ``k`` distinct segmentations of every row.
 

@@ -396,6 +396,16 @@ def test_segmentations(spark, texts, none):
     assert pieces.segmentations(none, MODEL).count() == 0
 
 
+def test_op6_gives_three_segmentations(spark, tmp_path):
+    from earshot.llm.queries.pieces import op6_gumbel_pieces
+
+    frame = spark.createDataFrame([(1, "several words to cut"), (2, "more of them here"), (3, "")], "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = [(r.doc_id, r["rank"]) for r in op6_gumbel_pieces(spark, str(tmp_path)).collect()]
+    assert sorted(ranks) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1)]
+    assert sorted((r.doc_id, r["rank"]) for r in pieces.segmentations(frame, MODEL).collect()) == sorted(ranks)
+
+
 def test_segmentations_follow_their_probabilities():
     vocab, n = pieces.Vocabulary(MODEL, 0.5), 6000
     rows = pieces.sample(vocab, ["thea of"] * n, rolling.mix(np.arange(n).astype(np.uint64)), 2)
