@@ -4,7 +4,8 @@ A page is a sequence of tags and words. Words score positive and tags negative;
 with the greatest sum, found by one linear scan. The scores are log odds of a token standing inside the main text,
 counted on labelled pages: pages that mark it themselves (``<article>``, ``<main>``, role ``main``), a bounded sample.
 A token is counted with the tag, class and role words of the elements around it, so the scores carry over to pages that
-mark nothing. Text in elements that are never main text (scripts, styles, forms, menus, comments and the like, by tag or
+mark nothing; on pages with marks, standing inside or outside of them is one more name, which weighs like any other.
+Text in elements that are never main text (scripts, styles, forms, menus, comments and the like, by tag or
 by class, id or role words) scores like tags and is left out of the text even inside the run.
 """
 
@@ -42,7 +43,7 @@ NOT_MAIN_WORDS = {
 }
 MAIN_WORDS = {"main"}
 #: Elements whose class words speak of the page as a whole.
-WHOLE = {"html", "body", "main", "article"}
+WHOLE = {"html", "body"}
 #: Elements that close an open paragraph, or an open one of their own kind.
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4",
@@ -156,15 +157,21 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
-def feature_of(token: Token) -> tuple[str, ...]:
-    """What a token is counted by: tag or word, with each name around it."""
+def has_marks(found: list[Token]) -> bool:
+    """Whether a page marks some text as main."""
+    return any(t.main and not t.skipped and t.text and t.text.strip() for t in found)
+
+
+def feature_of(token: Token, marked: bool) -> tuple[str, ...]:
+    """What a token is counted by: tag or word, with each name around it and, on ``marked`` pages, the side of the mark."""
     kind = "tag" if token.text is None else "word"
-    return tuple(f"{kind} {name}" for name in token.context) or (f"{kind} -",)
+    around = tuple(f"{kind} {name}" for name in token.context) or (f"{kind} -",)
+    return (*around, f"{kind} @{'main' if token.main else 'rest'}") if marked else around
 
 
-def score_of(token: Token, weights: dict[str, float]) -> float:
+def score_of(token: Token, weights: dict[str, float], marked: bool) -> float:
     """Score of a tag, or of every word of a text: the mean weight of its features, kept on its side of zero."""
-    features = feature_of(token)
+    features = feature_of(token, marked)
     weight = sum(weights.get(f, 0.0) for f in features) / len(features)
     if token.text is None:
         return min(-0.2, weight)
@@ -186,19 +193,13 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the best run, one per line."""
     found = tokens(page or "")
-    marked = any(t.main and not t.skipped and t.text and t.text.strip() for t in found)
+    marked = has_marks(found)
     scores = []
     for t in found:
-        s = score_of(t, weights)
+        s = score_of(t, weights, marked)
         if t.text is not None:
             s *= len(t.text.split())
-            if marked and not t.main:  # the page says where its main text is
-                s = -abs(s)
-        elif marked and t.main and not t.skipped:
-            s = 0.0
-        elif t.skipped:
-            s = 0.0 if t.main else s
-        if t.text is not None and t.skipped and t.main:
+        if t.skipped and t.main:
             s = 0.0
         scores.append(s)
     begin, end = best_run(scores)
@@ -234,9 +235,11 @@ def fit(pages: DataFrame) -> dict[str, float]:
     def run(batch):
         counts: Counter[tuple[str, bool]] = Counter()
         for page in batch.column(0).to_pylist():
-            for t in tokens(page or ""):
+            found = tokens(page or "")
+            marked = has_marks(found)
+            for t in found:
                 n = 1 if t.text is None else len(t.text.split())
-                for f in feature_of(t):
+                for f in feature_of(t, marked):
                     counts[f, t.main and not t.skipped] += n
         rows = [(f, inside, n) for (f, inside), n in counts.items()]
         if rows:

@@ -348,6 +348,26 @@ def test_html_text(spark):
     assert html_text.extract(frame.where("false"), html_text.fit(frame.where("false"))).count() == 0
 
 
+def labelled_pages(spark):
+    pages = [
+        f"<body><nav><a>Home</a><a>More</a></nav><div class='extra'><a>x{i}</a></div><article><h1>T{i}</h1><p>{'word ' * 40}</p><p>{'text ' * 30}</p></article>"
+        f"<div class='extra'><a>y</a><a>z</a></div><footer>c</footer></body>" for i in range(20)
+    ]
+    return spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_marks_do_not_decide_alone(spark):
+    weights = html_text.fit(labelled_pages(spark))
+    story = " ".join(f"s{i}" for i in range(80))
+    body = f"<div class='extra'><a>x</a><a>y</a></div><div><p>{story}</p><p>{story}</p></div>"
+    assert html_text.main_text(f"<body><nav><a>Home</a></nav>{body}</body>", weights) == f"{story}\n{story}"
+    # the only <article> is a card beside the body
+    card = html_text.main_text(f"<body>{body}<div class='extra'><a>x</a></div><article><p>Read this too</p></article></body>", weights)
+    assert card.startswith(f"{story}\n{story}")
+    named = html_text.main_text(f"<body>{body}<article class='related teaser'><p>Read this too</p></article></body>", weights)
+    assert named == f"{story}\n{story}"
+
+
 def test_best_run_is_the_best():
     rng = random.Random(1)
     for _ in range(300):
