@@ -5,8 +5,10 @@ with the greatest sum, found by one linear scan. The scores are log odds of a to
 counted on labelled pages: pages that mark it themselves (``<article>``, ``<main>``, role ``main``), a bounded sample.
 A token is counted with the tag, class and role words of the elements around it, so the scores carry over to pages that
 mark nothing; on pages with marks, standing inside or outside of them is one more name, which weighs like any other.
-Text in elements that are never main text (scripts, styles, forms, menus, comments and the like, by tag or
-by class, id or role words) scores like tags and is left out of the text even inside the run.
+Elements that are never main text (scripts, styles, forms, menus, comments and the like, by tag or by class, id
+or role) score nothing and are left out of the text even inside the run. A class names what an element is by the whole
+of it or by its last word (``user-comments``, but not ``has-sidebar`` or ``search-results``), and never rules out an
+element that holds most of the page's words around its text blocks.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ NOT_MAIN_WORDS = {
     "toolbar", "widget",
 }
 MAIN_WORDS = {"main"}
+#: First words of names that tell whether a page has a part.
+ABOUT_PARTS = {"has", "have", "with", "without", "no", "not", "is", "hide", "show"}
 #: Elements whose class words speak of the page as a whole.
 WHOLE = {"html", "body"}
 #: Elements that close an open paragraph, or an open one of their own kind.
@@ -58,10 +62,17 @@ _NAME_WORD = re.compile(r"[a-z]+")
 
 @dataclass
 class Element:
+    """``parent``: its number, -1 without one. ``never``: skipped by its tag; ``named``: by its names, unless a wrapper."""
+
     tag: str
-    skipped: bool
+    parent: int
+    never: bool
+    named: bool
     main: bool
     words: frozenset[str]
+    n_words: int = 0
+    n_marks: int = 0
+    n_blocks: int = 0
 
 
 @dataclass
@@ -73,27 +84,66 @@ class Token:
     skipped: bool
     main: bool
     context: tuple[str, ...] = field(default_factory=tuple)
+    inside: int = -1
+
+
+def names_other(value: str) -> bool:
+    """Whether a class, id or role says that its element is not main text."""
+    runs = _NAME_WORD.findall(value)
+    return value in NOT_MAIN_WORDS or (len(runs) > 0 and runs[-1] in NOT_MAIN_WORDS and runs[0] not in ABOUT_PARTS)
+
+
+def skipped_elements(elements: list[Element]) -> list[bool]:
+    """Which elements are skipped, with all that they hold; those named so stay where they wrap most of the page."""
+    hidden: list[bool] = []
+    for e in elements:
+        hidden.append(e.never or (e.parent >= 0 and hidden[e.parent]))
+    total = marks = 0
+    for i in range(len(elements) - 1, -1, -1):
+        e = elements[i]
+        if hidden[i]:
+            continue
+        e.n_marks += e.main and not (e.parent >= 0 and elements[e.parent].main)
+        e.n_blocks += e.tag in ("p", "h1")
+        above = elements[e.parent] if e.parent >= 0 else None
+        if above:
+            above.n_words += e.n_words
+            above.n_marks += e.n_marks
+            above.n_blocks += e.n_blocks
+        else:
+            total, marks = total + e.n_words, marks + e.n_marks
+    out: list[bool] = []
+    for i, e in enumerate(elements):
+        wraps = 2 * e.n_words > total and (e.n_marks > 0 or (marks == 0 and e.n_blocks > 1))
+        out.append(hidden[i] or (e.parent >= 0 and out[e.parent]) or (e.named and not wraps))
+    return out
 
 
 def tokens(page: str) -> list[Token]:
     """Tags and texts of a page in order; an element left open ends with its parent."""
     out: list[Token] = []
     stack: list[Element] = []
+    places: list[int] = []
+    elements: list[Element] = []
 
-    def state() -> tuple[bool, bool, tuple[str, ...]]:
+    def state() -> tuple[int, bool, tuple[str, ...]]:
         if not stack:
-            return False, False, ()
+            return -1, False, ()
         top = stack[-1]
-        return top.skipped, top.main, (top.tag, *sorted(top.words))
+        return places[-1], top.main, (top.tag, *sorted(top.words))
 
     def text(piece: str) -> None:
         if piece:
-            skipped, main, context = state()
-            out.append(Token("", html.unescape(piece), skipped, main, context))
+            inside, main, context = state()
+            token = Token("", html.unescape(piece), False, main, context, inside)
+            out.append(token)
+            if stack:
+                stack[-1].n_words += len(token.text.split())
 
     def close(to: int) -> None:
         while len(stack) > to:
             stack.pop()
+            places.pop()
 
     at = 0
     for _ in iter(int, 1):
@@ -118,8 +168,8 @@ def tokens(page: str) -> list[Token]:
                 if stack[k].tag == tag:
                     close(k)
                     break
-            skipped, main, context = state()
-            out.append(Token("/" + tag, None, skipped, main, context))
+            inside, main, context = state()
+            out.append(Token("/" + tag, None, False, main, context, inside))
             continue
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
@@ -136,24 +186,31 @@ def tokens(page: str) -> list[Token]:
                 if stack[k].tag in CLOSES_OWN[tag]:
                     break
         names: set[str] = set()
-        role_main = False
+        role_main = named = False
         for a in _ATTRIBUTE.finditer(m[3] or ""):
             value = (a[2] or a[3] or a[4] or "").lower()
             names.update(_NAME_WORD.findall(value))
+            named |= any(names_other(v) for v in value.split())
             role_main |= a[1].lower() == "role" and value.strip() in MAIN_WORDS
         if tag in WHOLE:
-            names = set()
-        skipped, main, _ = state()
+            names, named = set(), False
+        parent, main, _ = state()
+        # a form may hold the whole page
         element = Element(
-            tag, skipped or tag in NOT_MAIN or bool(names & NOT_MAIN_WORDS), main or tag in ("article", "main") or role_main, frozenset(names)
+            tag, parent, tag in NOT_MAIN and tag != "form", named or tag == "form", main or tag in ("article", "main") or role_main, frozenset(names)
         )
-        out.append(Token(tag, None, element.skipped, element.main, (tag, *sorted(names))))
+        elements.append(element)
+        out.append(Token(tag, None, False, element.main, (tag, *sorted(names)), len(elements) - 1))
         if tag in RAW:
             end = re.compile(r"</" + re.escape(tag) + r"\s*/?>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             stack.append(element)
+            places.append(len(elements) - 1)
+    skipped = skipped_elements(elements)
+    for t in out:
+        t.skipped = t.inside >= 0 and skipped[t.inside]
     return out
 
 
@@ -175,7 +232,7 @@ def score_of(token: Token, weights: dict[str, float], marked: bool) -> float:
     weight = sum(weights.get(f, 0.0) for f in features) / len(features)
     if token.text is None:
         return min(-0.2, weight)
-    return weight - 2.0 if token.skipped else max(0.2, 1.0 + weight)
+    return max(0.2, 1.0 + weight)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -199,7 +256,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         s = score_of(t, weights, marked)
         if t.text is not None:
             s *= len(t.text.split())
-        if t.skipped and t.main:
+        if t.skipped:  # never output
             s = 0.0
         scores.append(s)
     begin, end = best_run(scores)

@@ -368,6 +368,20 @@ def test_marks_do_not_decide_alone(spark):
     assert named == f"{story}\n{story}"
 
 
+def test_names_of_wrappers_and_asides(spark):
+    weights = html_text.fit(labelled_pages(spark))
+    story = " ".join(f"s{i}" for i in range(80))
+    body = f"<p>{story}</p><p>{story}</p>"
+    for name in ("has-sidebar", "no-header", "search-results", "page-comments", "search", "with-sidebar wide"):
+        page = f"<body><div class='{name}'><article>{body}</article></div><footer>c</footer></body>"
+        assert html_text.main_text(page, weights) == f"{story}\n{story}", name
+        assert html_text.main_text(page.replace("article", "div"), weights) == f"{story}\n{story}", name
+    assert html_text.main_text(f"<body><form>{body}<div class='user-comments'><p>me too</p></div></form></body>", weights) == f"{story}\n{story}"
+    # what is skipped inside a body costs nothing
+    box = "<div class='comments'>" + f"<p>{'said ' * 9}</p>" * 9 + "</div>"
+    assert html_text.main_text(f"<body><div>{body}{box}<p>after all</p></div></body>", weights) == f"{story}\n{story}\nafter all"
+
+
 def test_best_run_is_the_best():
     rng = random.Random(1)
     for _ in range(300):
