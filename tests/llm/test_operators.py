@@ -412,6 +412,23 @@ def test_template_is_rejected_by_its_labels(spark):
     assert out[99] == "block" and out[98] == "allow"
 
 
+def test_templates_of_deep_paths(spark):
+    rules = [("block", "h.com", "/a/b/c/d/bad/e/1"), ("allow", "h.com", "/a/b/c/d/good/e/1")]
+    rows = [(i, f"http://h.com/a/b/c/d/{kind}/e/1{i:02}") for i in range(60) for kind in ("bad", "good")]
+    rows += [(90, "http://h.com/a/b/c/d/bad/e/7"), (91, "http://h.com/a/b/c/d/good/e/7"), (92, "http://h.com/a/b/c/d/bad/e/1x/" + "y/" * 300), (93, "http://one.com/" + "z/" * 300)]
+    out = {r.page_id: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect() if r.page_id >= 90}
+    assert [out[i].verdict for i in (90, 91)] == ["block", "allow"]
+    assert [out[i].template for i in (90, 91)] == ["h.com/a/b/c/d/bad/e/*", "h.com/a/b/c/d/good/e/*"]
+    assert out[92].template == "h.com/a/b/c/d/bad/e/*" + "/*" * 300 and out[93].template == "one.com" + "/*" * 300
+    # the share of the node above, then 300 nodes of this one page
+    share = 61 / 121
+    for bad, all_ in ((61, 121), *[(61, 121)] * 4, (61, 61), (61, 61), (61, 61)):
+        share = (bad + 4 * share) / (all_ + 4)
+    for _ in range(300):
+        share = (1 + 4 * share) / (1 + 4)
+    assert out[92].bad_share == pytest.approx(share, abs=1e-8)
+
+
 def test_segmentations(spark, texts, none):
     frame = spark.createDataFrame([*texts, (None, "x y")], "doc_id long, text string").repartition(4)
     rows = pieces.decoded(pieces.segmentations(frame, MODEL, k=4), MODEL).collect()
