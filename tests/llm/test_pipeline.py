@@ -69,11 +69,11 @@ def test_run(spark):
 def test_registered():
     registry.load_all()
     names = {n.split("_")[0] for n in registry.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(registry.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_path_templates", "op3_hyperminhash", "op5_sign_hashing", "op7_uniform_threshold"])
+@pytest.mark.parametrize("name", ["op2_path_templates", "op3_hyperminhash", "op5_sign_hashing", "op7_uniform_threshold", "op11_merkle_manifest", "op12_line_dedup", "op13_spelling_variants"])
 def test_sql(spark, name):
     registry.load_all()
     con = duckdb.connect()
