@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.operators.scans import bucketed_scan
+from earshot.operators.scans import range_scan
 from earshot.session import materialize
 
-SCORE_BUCKETS = 65536
-
 
 def accuracy_conf(preds: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.col("pred_cls") == F.col("true_cls")
@@ -50,30 +48,36 @@ def _score_counts(preds: DataFrame, keys: list[str], score: str) -> DataFrame:
     return preds.groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col("pos"), 1).otherwise(0)).alias("n_pos"),
         F.sum(F.when(F.col("pos"), 0).otherwise(1)).alias("n_neg"),
-    ).withColumn("_down", -F.col("threshold")).withColumn(
-        "_slice", F.floor((F.lit(1.0) - F.col("threshold")) * SCORE_BUCKETS).cast("int")
-    )
+    ).withColumn("_down", -F.col("threshold"))
 
 
 def cumulative_counts(preds: DataFrame, keys: list[str], score: str = "close_max") -> DataFrame:
-    """tps / fps at every distinct score (a probability), highest first."""
+    """tps / fps at every distinct score, highest first."""
     counts = _score_counts(preds, keys, score)
-    return bucketed_scan(
-        counts, keys, "_slice", ["_down"], rank="rank",
+    return range_scan(
+        counts, keys, ["_down"], rank="rank",
         sums={"tps": F.col("n_pos"), "fps": F.col("n_neg")},
         totals={"all_pos": F.col("n_pos"), "all_neg": F.col("n_neg")},
         following={"next_pos": "n_pos", "next_neg": "n_neg"},
-    ).drop("_slice", "_down")
+    ).drop("_down")
+
+
+def _area() -> list[Column]:
+    won = F.sum(F.col("n_pos") * (F.col("all_neg") - F.col("fps") + F.col("n_neg") / 2.0))
+    area = F.try_divide(won, F.max("all_pos").cast("double") * F.max("all_neg"))
+    return [area.alias("auc"), F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg")]
+
+
+def _bends() -> Column:
+    """Whether a score is a point of the curve: the first, the last, or followed by other counts."""
+    same = (F.col("next_pos") == F.col("n_pos")) & (F.col("next_neg") == F.col("n_neg"))
+    return (F.col("rank") == 1) | F.col("next_pos").isNull() | ~same
 
 
 def auroc(preds: DataFrame, keys: list[str], score: str = "close_max") -> DataFrame:
     """Mann-Whitney statistic, ties counted half; NULL without both kinds of rows."""
     c = cumulative_counts(preds, keys, score)
-    won = F.sum(F.col("n_pos") * (F.col("all_neg") - F.col("fps") + F.col("n_neg") / 2.0))
-    area = F.try_divide(won, F.max("all_pos").cast("double") * F.max("all_neg"))
-    return (c.groupBy(*keys) if keys else c).agg(
-        area.alias("auc"), F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg")
-    )
+    return (c.groupBy(*keys) if keys else c).agg(*_area())
 
 
 def roc_curve(preds: DataFrame, keys: list[str], score: str = "close_max", drop_collinear: bool = True) -> DataFrame:
@@ -84,8 +88,7 @@ def roc_curve(preds: DataFrame, keys: list[str], score: str = "close_max", drop_
     """
     c = cumulative_counts(preds, keys, score)
     if drop_collinear:
-        same = (F.col("next_pos") == F.col("n_pos")) & (F.col("next_neg") == F.col("n_neg"))
-        c = c.filter((F.col("rank") == 1) | F.col("next_pos").isNull() | ~same)
+        c = c.filter(_bends())
     point = F.struct(
         F.try_divide("fps", "all_neg").alias("fpr"),
         F.try_divide("tps", "all_pos").alias("tpr"),
@@ -102,6 +105,13 @@ def operating_threshold(preds: DataFrame, keys: list[str], target_far: float = 0
     return (curve.groupBy(*keys) if keys else curve).agg(F.min("threshold").alias("threshold"))
 
 
+def _threshold(target_far: float) -> Column:
+    """The same from the running counts: the leading row of the curve has no false alarms."""
+    within = _bends() & (F.try_divide("fps", "all_neg") <= target_far)
+    leading = F.when(F.max("all_neg") > 0, F.max("threshold") + 1)
+    return F.coalesce(F.min(F.when(within, F.col("threshold"))), leading)
+
+
 def operating_point(
     preds: DataFrame, keys: list[str], target_far: float = 0.05, unknown_cls: int = -1,
     score: str = "conf", drop_collinear: bool = True,
@@ -112,6 +122,10 @@ def operating_point(
     threshold comes from the keyword scores; ``score='close_max'`` aligns both.
     """
     limit = operating_threshold(preds, keys, target_far, drop_collinear=drop_collinear)
+    return _at_threshold(preds, keys, limit, unknown_cls, score)
+
+
+def _at_threshold(preds: DataFrame, keys: list[str], limit: DataFrame, unknown_cls: int, score: str) -> DataFrame:
     positives = preds.filter("pos")
     if keys:
         at = positives.join(limit, keys)
@@ -126,17 +140,27 @@ def operating_point(
     )
 
 
-def episode_metrics(preds: DataFrame, keys: list[str], target_far: float = 0.05) -> DataFrame:
-    """One row per key: AUC, counts, accuracies, operating point (NULL when closed-set)."""
-    preds = materialize(preds)  # four passes over scores that are costly to compute
+def episode_metrics(
+    preds: DataFrame, keys: list[str], target_far: float = 0.05, unknown_cls: int = -1, score: str = "conf"
+) -> DataFrame:
+    """One row per key: AUC, counts, accuracies, operating point (NULL when closed-set).
+
+    One running count serves the area and the threshold. ``cerr_far05`` is
+    reported and always 0, as nothing defines it.
+    """
+    preds = materialize(preds)  # several passes over scores that are costly to compute
     ok = F.when(F.col("pred_cls") == F.col("true_cls"), 1.0).otherwise(0.0)
     base = preds.groupBy(*keys).agg(
         F.avg(F.when(F.col("pos"), ok)).alias("accuracy_pos"),
         F.avg(F.when(~F.col("pos"), ok)).alias("accuracy_neg"),
     )
+    # one row per key
+    curve = materialize(cumulative_counts(preds, keys).groupBy(*keys).agg(*_area(), _threshold(target_far).alias("threshold")))
+    limit = curve.filter("threshold IS NOT NULL").select(*keys, "threshold")
     return (
-        base.join(auroc(preds, keys), keys, "left")
-        .join(operating_point(preds, keys, target_far), keys, "left")
+        base.join(curve.drop("threshold"), keys, "left")
+        .join(_at_threshold(preds, keys, limit, unknown_cls, score), keys, "left")
+        .withColumn("cerr_far05", F.when(F.col("n_neg") > 0, F.lit(0.0)))
     )
 
 

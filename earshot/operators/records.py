@@ -236,10 +236,10 @@ def duration_stats(df: DataFrame, category: str, value: str, known: list[str]) -
     """Count, min, median, mean, p95 and max per category, NULLs for empty ones.
 
     Percentiles interpolate linearly and are exact: equal durations are counted
-    first, and the two neighbouring order statistics are found by a bucketed
+    first, and the two neighbouring order statistics are found by a sliced
     running count, so a hot category is never collected.
     """
-    from earshot.operators.scans import bucketed_scan
+    from earshot.operators.scans import range_scan
 
     base = df.filter(F.col(value).isNotNull())
     stats = base.groupBy(category).agg(
@@ -248,14 +248,8 @@ def duration_stats(df: DataFrame, category: str, value: str, known: list[str]) -
         F.avg(value).alias("mean"),
         F.max(value).alias("max"),
     )
-    low = base.agg(F.min(value)).scalar()
-    high = base.agg(F.max(value)).scalar()
-    distinct = base.groupBy(category, value).agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_slice", F.coalesce(F.floor((F.col(value) - low) / (high - low) * 4095).cast("int"), F.lit(0))
-    )
-    ranked = bucketed_scan(
-        distinct, [category], "_slice", [value], sums={"_upto": F.col("_c")}, totals={"_all": F.col("_c")}
-    )
+    distinct = base.groupBy(category, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = range_scan(distinct, [category], [value], sums={"_upto": F.col("_c")}, totals={"_all": F.col("_c")})
 
     def order_statistic(rank: Column) -> Column:
         hit = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)

@@ -1,17 +1,27 @@
 """Ordered scans over groups of any size.
 
-A plain window puts a whole group into one task. Here a group is cut into
-ordered buckets: every bucket is scanned on its own, a small summary of the
-buckets carries totals forward, and both are joined again. No task ever holds
-more than one bucket, so a single key may own any share of the rows.
+A plain window puts a whole group into one task. Here the rows are cut by
+sampled quantiles of (group, order) into slices of about equal size: every
+slice is scanned on its own, a small summary of the slices carries totals
+forward, and both are joined again. A single key, value or outlier may own any
+share of the rows; only rows that are equal in all order columns stay together.
+
+``bucketed_scan`` does the same over buckets that the caller has cut, and is
+only as even as those.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.hashing import order_key
+from earshot.session import materialize
 
 DEFAULT_BLOCK_ROWS = 4096
 
@@ -28,6 +38,7 @@ def bucketed_scan(
     totals: dict[str, Column] | None = None,
     following: dict[str, str] | None = None,
     preceding: dict[str, str] | None = None,
+    summarised: DataFrame | None = None,
 ) -> DataFrame:
     """Running values along ``order`` inside ``group``, exact across buckets.
 
@@ -35,6 +46,8 @@ def bucketed_scan(
     number, ``count`` the group size, ``sums``/``maxes`` inclusive running
     aggregates, ``totals`` group-wide sums, ``following``/``preceding`` the
     value of a column in the next / previous row (NULL at the group's end).
+    ``summarised`` is ``df`` less an arrangement of its rows that the summary
+    does not need. Null is a group like any other.
     """
     sums, maxes, totals = sums or {}, maxes or {}, totals or {}
     following, preceding = following or {}, preceding or {}
@@ -65,7 +78,7 @@ def bucketed_scan(
         aggs.append(F.min_by(nxt, position).alias("_first"))
     if preceding:
         aggs.append(F.max_by(prv, position).alias("_last"))
-    summary = df.groupBy(*group, bucket).agg(*aggs)
+    summary = (df if summarised is None else summarised).groupBy(*group, bucket).agg(*aggs)
 
     along = Window.partitionBy(*group).orderBy(bucket)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +96,10 @@ def bucketed_scan(
     if preceding:
         carried.append(F.lag("_last").over(along).alias("_ahead"))
 
-    out = local.join(summary.select(*carried), [*group, bucket])
+    keys = [*group, bucket]
+    told = summary.select(*carried).withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    out = local.join(told, same).drop(*(f"_of_{c}" for c in keys))
     dropped = []
     if rank:
         out = out.withColumn(rank, (F.col("_rank") + F.col("_before")).cast("bigint"))
@@ -107,15 +123,24 @@ def bucketed_scan(
     return out.drop(*dropped)
 
 
-def hash_rank(df, group: list[str], ids: list[str], seed, rank: str, count: str | None = None) -> DataFrame:
-    """Position of each row in a seeded shuffle of its group (1-based).
+def range_scan(df: DataFrame, group: list[str], order: list[str], keep_slice: bool = False, **scan) -> DataFrame:
+    """``bucketed_scan`` over slices cut at sampled quantiles of (group, order), left in ``_slice`` where asked.
 
-    The digest is uniform, so its first three hex digits cut a group into 4096
-    equal buckets.
+    The cut rows are written once, so that their slice is the same in every
+    pass. The summary has one row per slice and group that starts or goes on
+    in it: at most as many as there are slices and groups together.
     """
-    keyed = df.withColumn("_digest", order_key(seed, *ids)).withColumn("_slice", F.substring("_digest", 1, 3))
-    ranked = bucketed_scan(keyed, group, "_slice", ["_digest", *ids], rank=rank, count=count)
-    return ranked.drop("_digest", "_slice")
+    cut = df.repartitionByRange(*[F.col(c) for c in (*group, *order)]).withColumn("_slice", F.spark_partition_id())
+    placed = materialize(cut)
+    # a slice is a task again: hashing would put several into one
+    out = bucketed_scan(placed.repartitionByRange("_slice"), group, "_slice", order, summarised=placed, **scan)
+    return out if keep_slice else out.drop("_slice")
+
+
+def hash_rank(df, group: list[str], ids: list[str], seed, rank: str, count: str | None = None) -> DataFrame:
+    """Position of each row in a seeded shuffle of its group (1-based)."""
+    keyed = df.withColumn("_digest", order_key(seed, *ids))
+    return range_scan(keyed, group, ["_digest", *ids], rank=rank, count=count).drop("_digest")
 
 
 # Up to this n Spark limits a row_number filter to n rows per group map-side
@@ -149,19 +174,14 @@ def top_hashed(df, group: list[str], ids: list[str], seed, k: int) -> DataFrame:
     return top_rows(keyed, group, ["_digest", *ids], k, ids).drop("_rn", "_digest")
 
 
-def integer_rank(df, group: list[str], key: str, rank: str, count: str | None = None, n_buckets: int = 4096) -> DataFrame:
-    """Position along a unique integer key, e.g. the file order of a corpus."""
-    low = df.agg(F.min(key).alias("lo")).scalar()
-    high = df.agg(F.max(key).alias("hi")).scalar()
-    bucket = F.floor((F.col(key) - low) * F.lit(float(n_buckets)) / (high - low + F.lit(1))).cast("int")
-    return bucketed_scan(df.withColumn("_slice", bucket), group, "_slice", [key], rank=rank, count=count).drop("_slice")
+def integer_rank(df, group: list[str], key: str, rank: str, count: str | None = None) -> DataFrame:
+    """Position along a unique key, e.g. the file order of a corpus."""
+    return range_scan(df, group, [key], rank=rank, count=count)
 
 
-def series_rank(df, key: list[str], ts: str, tie: str, rank: str, bucket_seconds: int = 3600, **scan) -> DataFrame:
+def series_rank(df, key: list[str], ts: str, tie: str, rank: str, **scan) -> DataFrame:
     """Position of each row in the time order of its series."""
-    bucket = F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
-    sliced = df.withColumn("_slice", bucket)
-    return bucketed_scan(sliced, key, "_slice", [ts, tie], rank=rank, **scan).drop("_slice")
+    return range_scan(df, key, [ts, tie], rank=rank, **scan)
 
 
 def with_blocks(df: DataFrame, position: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -182,3 +202,70 @@ def with_halo(df: DataFrame, position: str, halo: int, block_rows: int = DEFAULT
     return df.withColumn("_own", own).withColumn("block", F.explode(blocks)).withColumn(
         "is_halo", F.col("block") != F.col("_own")
     ).drop("_own")
+
+
+def with_margins(df: DataFrame, position: str, before: int, after: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Cut a series into blocks that also hold the last ``before`` rows ahead of them and the first ``after`` behind.
+
+    Adds ``block`` and ``is_own``.
+    """
+    block_rows = max(block_rows, before, after)
+    at = F.col(position) - 1
+    own = F.floor(at / F.lit(block_rows)).cast("bigint")
+    offset = F.pmod(at, F.lit(block_rows))
+    shared = F.array(own, F.when(offset >= block_rows - before, own + 1), F.when((offset < after) & (own > 0), own - 1))
+    return df.withColumn("_own", own).withColumn("block", F.explode(F.array_compact(shared))).withColumn(
+        "is_own", F.col("block") == F.col("_own")
+    ).drop("_own")
+
+
+def map_groups(
+    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, int, int], pa.RecordBatch | None], schema: str,
+    stretch_rows: int = 65_536,
+) -> DataFrame:
+    """``fn(rows, begin, end)`` for every group of equal ``keys``, sorted by ``order``, as one Arrow pass.
+
+    Spark deals out and sorts the groups; a task holds a stretch of whole groups, or one longer group. Groups cost a
+    slice each, so many small ones are cheap.
+    """
+    n_keys = len(keys)
+
+    def cuts(rows: pa.Table) -> list[int]:
+        differs = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+        for i in range(n_keys):
+            column = rows.column(i).combine_chunks()
+            a, b = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+            same = pc.or_kleene(pc.equal(a, b), pc.and_(pc.is_null(a), pc.is_null(b))).fill_null(False)
+            differs |= ~same.to_numpy(zero_copy_only=False)
+        return [0, *(np.flatnonzero(differs) + 1).tolist(), rows.num_rows]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        def finished(rows: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+            for begin, end in zip(bounds[:-1], bounds[1:]):
+                out = fn(rows, begin, end)
+                if out is not None and out.num_rows:
+                    yield out
+
+        def merged(rows: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+            found = list(finished(rows, bounds))
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < stretch_rows:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            bounds = cuts(rows)
+            if len(bounds) > 2:
+                yield from merged(rows, bounds[:-1])
+                rows = rows.slice(bounds[-2])
+            held, n = rows.to_batches(), rows.num_rows
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield from merged(rows, cuts(rows))
+
+    ordered = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ordered.mapInArrow(run, schema)

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.hashing import order_key, uniform
-from earshot.operators.scans import hash_rank, integer_rank, top_hashed, top_rows
+from earshot.operators.scans import hash_rank, integer_rank, range_scan, top_hashed, top_rows
 
 
 def _round_half_even(x: Column) -> Column:
     return F.rint(x).cast("bigint")
 
 
+def capped_files(files: DataFrame, path: str, n: int, seed) -> DataFrame:
+    """The first ``n`` files of a seeded shuffle, all of them where ``n`` is 0: a cap on a corpus that is only sampled."""
+    return hash_rank(files, [], [path], seed, "_rn").filter(F.col("_rn") <= n).drop("_rn") if n > 0 else files
+
+
 def speaker_split(
     records: DataFrame, speaker: str, seed, val_pct: float, test_pct: float, out: str = "split"
 ) -> DataFrame:
@@ -114,14 +119,36 @@ def episode_classes(classes: DataFrame, label: str, n_episodes: int, n_way: int,
     )
 
 
+def draw_numbers(n: Column, k: int, seed, *names: str) -> Column:
+    """``k`` different numbers of 1..n (all, if fewer) as an array, by the hash of ``names`` and the step alone.
+
+    Step j of n-k+1..n takes a number of 1..j, or j itself where that one has been taken; every set of numbers is as
+    likely as any other.
+    """
+    steps = F.sequence(F.greatest(F.lit(1).cast("bigint"), n - k + 1), n)
+
+    def take(taken, j):
+        number = (F.floor(uniform(seed, *names, j) * j) + 1).cast("bigint")
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), j).otherwise(number)))
+
+    return F.when(n > 0, F.aggregate(steps, F.array().cast("array<bigint>"), take))
+
+
 def episode_support(
     rows: DataFrame, episodes: DataFrame, label: str, row_id: str, k: int, seed
 ) -> DataFrame:
-    """``k`` hashed rows of every drawn class of every episode."""
-    drawn = rows.join(episodes, label).withColumn("_key", order_key(seed, "episode", row_id))
+    """``k`` rows of every drawn class of every episode, drawn by number.
+
+    The rows of a class are numbered once; an episode costs its ``k`` numbers per class, however many rows there are.
+    """
     if k <= 0:
-        return drawn.drop("_key")
-    return top_rows(drawn, ["episode", label], ["_key", row_id], k, [row_id], rank="sample_no").drop("_key")
+        return rows.join(episodes, label)
+    numbered = range_scan(rows, [label], [row_id], rank="_no")
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = episodes.join(sizes, label).select(
+        "episode", label, F.posexplode(draw_numbers(F.col("_n"), k, seed, "episode", label)).alias("_pos", "_no")
+    )
+    return drawn.join(numbered, [label, "_no"]).withColumn("sample_no", F.col("_pos") + 1).drop("_pos", "_no")
 
 
 def review_sample(rows: DataFrame, category: str, row_id: str, seed, per_category: int = 25) -> DataFrame:
@@ -162,49 +189,65 @@ def assign_background(records: DataFrame, row_id: str, backgrounds: DataFrame, b
     return records.withColumn("_no", pick).join(numbered.select("_no", bg_id), "_no").drop("_no")
 
 
-def weighted_sample(weights: DataFrame, row_id: str, weight: str, draws: DataFrame, draw_id: str, seed) -> DataFrame:
-    """Weighted draws with replacement.
+def weighted_sample(
+    weights: DataFrame, row_id: str, weight: str, draws: DataFrame, draw_id: str, seed, carry: list[str] = ()
+) -> DataFrame:
+    """Weighted draws with replacement: each draw with the row it takes and that row's ``carry`` columns.
 
     Weights become consecutive ranges of [0, total); each draw takes the range
     its number falls into. Ranges and numbers are merged in one ordered scan,
     so neither side is paired with the other and no row weight causes skew.
     """
-    from earshot.operators.scans import bucketed_scan
-
-    low, high = weights.agg(F.min(row_id)).scalar(), weights.agg(F.max(row_id)).scalar()
-    sliced = weights.filter(F.col(weight) > 0).select(row_id, weight).withColumn(
-        "_slice", F.floor((F.col(row_id) - low) * 4096.0 / (high - low + 1)).cast("int")
-    )
-    ranges = bucketed_scan(
-        sliced, [], "_slice", [row_id], sums={"_hi": F.col(weight)}, totals={"_total": F.col(weight)}
+    ranges = range_scan(
+        weights.filter(F.col(weight) > 0).select(row_id, weight, *carry), [], [row_id],
+        sums={"_hi": F.col(weight)}, totals={"_total": F.col(weight)},
     )
     starts = ranges.select(
         ((F.col("_hi") - F.col(weight)) / F.col("_total")).alias("_at"),
-        F.lit(0).alias("_kind"), F.col(row_id).cast("bigint").alias("_row"), F.lit(None).cast("bigint").alias(draw_id),
+        F.lit(0).alias("_kind"), F.col(row_id).cast("bigint").alias("_row"), F.lit(None).cast("bigint").alias(draw_id), *carry,
     )
+    types = dict(weights.dtypes)
     points = draws.select(
         uniform(seed, draw_id).alias("_at"),
         F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_row"), F.col(draw_id).cast("bigint").alias(draw_id),
+        *(F.lit(None).cast(types[c]).alias(c) for c in carry),
     )
-    merged = starts.unionByName(points).withColumn("_slice", F.floor(F.col("_at") * 4096).cast("int")).withColumn(
-        "_tie", F.coalesce("_row", draw_id)
+    merged = starts.unionByName(points).withColumn("_tie", F.coalesce("_row", draw_id))
+    owner = F.when(F.col("_kind") == 0, F.struct("_at", "_row", *carry))
+    scanned = range_scan(merged, [], ["_at", "_kind", "_tie"], maxes={"_owner": owner})
+    return scanned.filter(F.col("_kind") == 1).select(
+        draw_id, F.col("_owner._row").alias(row_id), *(F.col(f"_owner.{c}").alias(c) for c in carry)
     )
-    owner = F.when(F.col("_kind") == 0, F.struct("_at", "_row"))
-    scanned = bucketed_scan(merged, [], "_slice", ["_at", "_kind", "_tie"], maxes={"_owner": owner})
-    return scanned.filter(F.col("_kind") == 1).select(draw_id, F.col("_owner._row").alias(row_id))
 
 
-def length_buckets(df: DataFrame, row_id: str, length: str, bucket_samples: int, batch_size: int, max_len: int) -> DataFrame:
-    """Batch number after sorting by (length bucket, length): neighbours share a batch."""
-    from earshot.operators.scans import bucketed_scan
+def epoch_size(records: DataFrame, label: str, per_class: int) -> int:
+    """Draws of an epoch: ``per_class`` for every class, or as many as there are records where that is 0."""
+    if per_class > 0:
+        return per_class * records.agg(F.count_distinct(label)).first()[0]
+    return records.count()
+
+
+def epoch_batches(
+    weights: DataFrame, row_id: str, weight: str, length: str, n_draws: int, batch_size: int, bucket_samples: int, seed
+) -> DataFrame:
+    """An epoch of weighted draws with replacement, in batches of like length, the batches shuffled.
 
+    ``draw_no, row_id, length, batch`` (in the order of lengths) ``, place`` (of the batch in the epoch). A row that is
+    drawn very often spreads like any other, as draws carry their length along and are ordered by range.
+    """
+    spark = weights.sparkSession
+    draws = spark.range(1, n_draws + 1).withColumnRenamed("id", "draw_no")
+    drawn = weighted_sample(weights, row_id, weight, draws, "draw_no", seed, [length])
+    batched = length_buckets(drawn, "draw_no", length, bucket_samples, batch_size)
+    # one row per batch
+    batches = spark.range(-(-n_draws // batch_size)).withColumnRenamed("id", "batch")
+    places = hash_rank(batches, [], ["batch"], seed, "place")
+    return batched.join(places, "batch")
+
+
+def length_buckets(df: DataFrame, row_id: str, length: str, bucket_samples: int, batch_size: int) -> DataFrame:
+    """Batch number after sorting by (length bucket, length): neighbours share a batch."""
     bucket = F.floor(F.col(length) / bucket_samples).cast("int") if bucket_samples > 0 else F.lit(0)
-    # Equal lengths may be very many; a hash of the id cuts them further.
-    spread = F.concat_ws(
-        ":", F.lpad(F.col(length).cast("string"), 12, "0"), F.substring(order_key("len", row_id), 1, 2)
-    )
-    keyed = df.withColumn("bucket", bucket).withColumn("_slice", spread).withColumn("_digest", order_key("len", row_id))
-    ranked = bucketed_scan(keyed, [], "_slice", [length, "_digest", row_id], rank="_rn")
-    return ranked.withColumn("batch", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")).drop(
-        "_rn", "_slice", "_digest"
-    )
+    keyed = df.withColumn("bucket", bucket).withColumn("_digest", order_key("len", row_id))
+    ranked = range_scan(keyed, [], [length, "_digest", row_id], rank="_rn")
+    return ranked.withColumn("batch", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")).drop("_rn", "_digest")

@@ -354,9 +354,9 @@ def episode_classes(spark, sf):
 WITH c AS (SELECT DISTINCT label FROM embeddings), e AS (SELECT unnest(range(0, {N_EPISODES}))::INTEGER AS episode),
 r AS (SELECT episode, label, row_number() OVER (PARTITION BY episode ORDER BY md5('{SEED}:' || episode || ':' || label)) - 1 AS pos FROM c, e),
 d AS (SELECT episode, label FROM r WHERE pos < {N_WAY}),
-s AS (SELECT episode, d.label, vec_id, row_number() OVER (PARTITION BY episode, d.label ORDER BY md5('{SEED}:' || episode || ':' || vec_id), vec_id) AS sample_no
-      FROM d JOIN embeddings m ON m.label = d.label)
-SELECT episode, label, vec_id, sample_no::INTEGER AS sample_no FROM s WHERE sample_no <= {K_SHOT}
+{V.draw_sql("d JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)", "label", K_SHOT)},
+num AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS no FROM embeddings)
+SELECT episode, label, vec_id, sample_no::INTEGER AS sample_no FROM taken JOIN num USING (label, no)
 """)
 def episode_support(spark, sf):
     rows = V.embeddings(spark, sf).select("vec_id", "label")
@@ -503,6 +503,40 @@ def weighted_sample(spark, sf):
     return S.weighted_sample(event_weights(spark, sf), "event_id", "weight", draws, "draw_no", SEED)
 
 
+@query("sampler_epoch", f"""
+WITH {WEIGHT_SQL},
+len AS (SELECT event_id, CASE WHEN is_silence AND silence_duration_seconds IS NOT NULL THEN greatest(1, floor(silence_duration_seconds * 16000))::INTEGER
+   WHEN bg_duration_seconds IS NOT NULL THEN greatest(1, floor(bg_duration_seconds * 16000))::INTEGER
+   ELSE least(greatest(1, file_samples), 49600) END AS n_samples FROM rec),
+c AS (SELECT event_id, sum(weight) OVER (ORDER BY event_id) - weight AS lo, sum(weight) OVER () AS t FROM wt),
+g AS (SELECT lo / t AS lo, event_id FROM c),
+size AS (SELECT (count(*) // 20) * count(DISTINCT label) AS n FROM rec),
+d AS (SELECT draw_no, ('0x' || right(md5('{SEED}:' || draw_no), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT unnest(range(1, n + 1)) AS draw_no FROM size)),
+dr AS (SELECT draw_no, event_id, n_samples FROM d ASOF JOIN g ON d.u >= g.lo JOIN len USING (event_id)),
+b AS (SELECT *, (row_number() OVER (ORDER BY n_samples, md5('len:' || draw_no), draw_no) - 1) // 64 AS batch FROM dr),
+p AS (SELECT batch, row_number() OVER (ORDER BY md5('{SEED}:' || batch), batch) AS place FROM (SELECT DISTINCT batch FROM b))
+SELECT draw_no, event_id, n_samples, floor(n_samples / 8000)::INTEGER AS bucket, batch::BIGINT AS batch, place::BIGINT AS place FROM b JOIN p USING (batch)
+""")
+def sampler_epoch(spark, sf):
+    """An epoch of a twentieth of the records for each class, in shuffled batches of like length."""
+    rec = V.event_records(spark, sf)
+    n = R.effective_length(
+        F.col("is_silence"), F.col("silence_duration_seconds"), F.col("bg_duration_seconds"), F.col("file_samples"), 16000, 49600
+    )
+    weighted = event_weights(spark, sf).join(rec.select("event_id", n.alias("n_samples")), "event_id")
+    draws = S.epoch_size(rec, "label", rec.count() // 20)
+    return S.epoch_batches(weighted, "event_id", "weight", "n_samples", draws, 64, 8000, SEED)
+
+
+@query("capped_files", f"""
+SELECT event_id FROM events QUALIFY row_number() OVER (ORDER BY md5('{SEED}:' || event_id), event_id) <= (SELECT count(*) // 3 FROM events)
+""")
+def capped_files(spark, sf):
+    """A third of the files, by a seeded shuffle."""
+    files = read_table(spark, sf, "events").select("event_id")
+    return S.capped_files(files, "event_id", files.count() // 3, SEED)
+
+
 @query("length_bucket", f"""
 WITH {V.RECORD_SQL},
 l AS (SELECT event_id, CASE WHEN is_silence AND silence_duration_seconds IS NOT NULL THEN greatest(1, floor(silence_duration_seconds * 16000))::INTEGER
@@ -516,7 +550,7 @@ def length_bucket(spark, sf):
     n = R.effective_length(
         F.col("is_silence"), F.col("silence_duration_seconds"), F.col("bg_duration_seconds"), F.col("file_samples"), 16000, 49600
     )
-    return S.length_buckets(rec.select("event_id", n.alias("n_samples")), "event_id", "n_samples", 8000, 64, 49600)
+    return S.length_buckets(rec.select("event_id", n.alias("n_samples")), "event_id", "n_samples", 8000, 64)
 
 
 @query("blacklist_setops", """

@@ -146,3 +146,11 @@ fr AS (SELECT user_id, event_id, ts, event_type, value,
               count(*) OVER (PARTITION BY user_id) AS n
        FROM events)
 """
+
+
+def draw_sql(drawn: str, label: str, k: int) -> str:
+    """CTE ``taken`` (episode, label, no, sample_no): ``k`` numbers of 1..n for every row of ``drawn`` (episode, label, n)."""
+    return f"""steps AS (SELECT episode, {label}, list_transform(range(greatest(1, n - {k} + 1), n + 1), lambda j:
+    [j, 1 + floor(('0x' || right(md5('{SEED}:' || episode || ':' || {label} || ':' || j), 8))::BIGINT / 4294967296.0::DOUBLE * j)::BIGINT]) AS s FROM {drawn}),
+nos AS (SELECT episode, {label}, list_reduce(s, lambda a, x: list_append(a, CASE WHEN list_contains(a, x[2]) THEN x[1] ELSE x[2] END), []::BIGINT[]) AS l FROM steps),
+taken AS (SELECT episode, {label}, unnest(l) AS no, generate_subscripts(l, 1) AS sample_no FROM nos)"""

@@ -48,7 +48,7 @@ def test_hash_rank_is_a_permutation_per_group(spark):
 
 def test_halo_windows_equal_whole_series(spark):
     rows, df = skewed(spark)
-    series = scans.integer_rank(df, ["k"], "id", "seq", n_buckets=9)
+    series = scans.integer_rank(df, ["k"], "id", "seq")
     out = Q.rolling_window(series, ["k"], "seq", 6, 1, {"s": F.sum("v")}, block_rows=16).collect()
     got = {r.id: r.s for r in out}
     for key in range(6):
@@ -60,7 +60,7 @@ def test_halo_windows_equal_whole_series(spark):
 
 def test_ema_streaks_and_crop_on_small_blocks(spark):
     rows, df = skewed(spark, 400)
-    series = scans.integer_rank(df, ["k"], "id", "seq", n_buckets=5, ).withColumn("lab", (F.col("ord") % 2).cast("string"))
+    series = scans.integer_rank(df, ["k"], "id", "seq").withColumn("lab", (F.col("ord") % 2).cast("string"))
     smooth = {r.id: r.e for r in Q.ema(series, ["k"], "seq", {"e": "v"}, 0.25).collect()}
     prev = scans.bucketed_scan(
         scans.with_blocks(series, "seq", 8), ["k"], "block", ["seq"], preceding={"pl": "lab", "pv": "v"}
@@ -113,7 +113,7 @@ def test_splits_keep_speakers_apart(spark):
 
 def test_length_buckets_order(spark):
     df = spark.createDataFrame([(i, (i * 37) % 90) for i in range(200)], "id long, n int")
-    out = S.length_buckets(df, "id", "n", 10, 16, 90).collect()
+    out = S.length_buckets(df, "id", "n", 10, 16).collect()
     spans = {}
     for r in out:
         spans.setdefault(r.batch, []).append(r.n)
