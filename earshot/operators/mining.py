@@ -6,17 +6,18 @@ per utterance, so a very long recording is spread over many tasks.
 
 from __future__ import annotations
 
-import itertools
+import math
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot import presets
 from earshot.functions import text as T
-from earshot.operators.scans import bucketed_scan, top_rows, with_halo
+from earshot.operators.scans import bucketed_scan, map_groups, range_scan, top_rows, with_halo
 from earshot.session import materialize
 
 
@@ -258,49 +259,98 @@ def interval_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(hull > 0, inter / hull).otherwise(F.lit(0.0))
 
 
-def _decide_block(pdf: pd.DataFrame, max_iou: float) -> np.ndarray:
-    """States of one block's rows after local greedy suppression.
+def _settle(
+    start: np.ndarray, end: np.ndarray, order: np.ndarray, kept: np.ndarray, max_iou: float,
+    low: float = -np.inf, high: float = np.inf, longest: float = np.inf,
+) -> np.ndarray:
+    """States of rows after greedy suppression in ``order``: 0 undecided, 1 kept, 2 suppressed.
 
-    0 undecided, 1 kept, 2 suppressed. A row is decided only when every
-    interval that could overlap it lies in the block.
+    ``kept`` rows are settled before. Rows that start up to ``low`` or from ``high`` on may be missing: a row that could
+    clash with them stays undecided, and so does one that clashes with a better undecided row and no kept one.
+    Only rows that are kept or undecided cost a step.
     """
-    start, end = pdf["_s"].to_numpy(), pdf["_e"].to_numpy()
-    state = pdf["_state"].to_numpy().copy()
     by_start = np.argsort(start, kind="stable")
     sorted_start = start[by_start]
-    # only intervals shorter than 1 / max_iou of a row's length can clash with it
     length = end - start
-    span = np.minimum(float(pdf["_maxdur"].iloc[0]), length / max_iou if max_iou > 0 else np.inf)
-    low = -np.inf if bool(pdf["_first_block"].iloc[0]) else sorted_start[0]
-    high = np.inf if bool(pdf["_last_block"].iloc[0]) else sorted_start[-1]
-    inside = (start - span > low) & (end < high)
-    for i in np.lexsort((pdf["_tie"].to_numpy(), start, pdf["_p2"].to_numpy(), pdf["_p1"].to_numpy())):
-        if state[i]:
-            continue
-        lo = np.searchsorted(sorted_start, start[i] - span[i], side="left")
-        hi = np.searchsorted(sorted_start, end[i], side="right")
-        near = by_start[lo:hi]
-        near = near[near != i]
+    # clashing rows start at most this much later, or earlier
+    ahead = length * (1 - max_iou) * (1 + 1e-9)
+    back = np.minimum(ahead / max_iou if max_iou > 0 else np.inf, longest)
+    inside = (start - back > low) & (start + ahead < high)
+    first, last = np.searchsorted(sorted_start, start - back, "left"), np.searchsorted(sorted_start, start + ahead, "right")
+    state, tainted = kept.astype(np.int8), np.zeros(len(start), bool)
+
+    def clashing(i: int) -> np.ndarray:
+        near = by_start[first[i] : last[i]]
         inter = np.minimum(end[near], end[i]) - np.maximum(start[near], start[i])
         hull = np.maximum(end[near], end[i]) - np.minimum(start[near], start[i])
-        clash = near[(inter > 0) & (hull > 0) & (inter > max_iou * hull)]
-        better = clash[_ahead(pdf, clash, i)]
-        if (state[better] == 1).any():
-            state[i] = 2
-        elif inside[i] and not (state[better] == 0).any():
+        return near[(inter > 0) & (inter > max_iou * hull) & (near != i)]
+
+    for i in np.flatnonzero(kept):
+        hit = clashing(i)
+        state[hit[state[hit] == 0]] = 2
+    for i in order:
+        if state[i]:
+            continue
+        hit = clashing(i)
+        if inside[i] and not tainted[i]:
             state[i] = 1
+            state[hit[state[hit] == 0]] = 2
+        else:
+            # what comes later in the order has to wait for this row
+            tainted[hit] = True
     return state
 
 
-def _ahead(pdf: pd.DataFrame, rows: np.ndarray, i: int) -> np.ndarray:
-    """Which of ``rows`` come before row ``i`` in the greedy order."""
-    result = np.zeros(len(rows), dtype=bool)
-    tied = np.ones(len(rows), dtype=bool)
-    for column in ("_p1", "_p2", "_s", "_tie"):
-        values = pdf[column].to_numpy()
-        result |= tied & (values[rows] < values[i])
-        tied &= values[rows] == values[i]
-    return result
+#: What a row needs to be compared: bounds, order and state (1: kept before).
+_ROW = ["_s", "_e", "_p1", "_p2", "_tie", "_state"]
+
+
+def _settled(df: DataFrame, group: list[str], max_iou: float, edges: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the states of its rows after one greedy pass over every group."""
+    names = [*group, *_ROW]
+
+    def run(rows: pa.Table, begin: int, end_: int) -> pa.RecordBatch:
+        part = rows.slice(begin, end_ - begin)
+        s, e, p1, p2, tie, kept = (part.column(c).to_numpy() for c in _ROW)
+        # undecided rows in the greedy order
+        order = np.lexsort((tie, s, p2, p1))
+        bounds = [float(part.column(c)[0].as_py()) for c in edges]
+        state = _settle(s, e, order, kept == 1, max_iou, *bounds)
+        columns = [pa.concat_arrays(part.column(c).chunks) for c in names[:-1]]
+        return pa.record_batch([*columns, pa.array(state.astype(np.int32))], names=names)
+
+    kinds = dict(df.dtypes)
+    return map_groups(df, group, ["_s", "_tie"], run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
+def _components(state: DataFrame, key: str, max_iou: float) -> DataFrame:
+    """``state`` with ``_band``, ``_comp``, ``_rn`` (place in the component), ``_n`` (its rows) and ``_open`` (undecided ones).
+
+    Two rows clash only if neither is longer than the other by more than 1 / max_iou, and only if the later one starts
+    before the first has run for 1 - max_iou of its length. So a key falls apart in bands of lengths that are that far
+    from each other, and a band at each start that no row before it reaches.
+    """
+    steps = F.floor(F.ln(F.col("_e") - F.col("_s")) / math.log(1 / max_iou)).cast("int") if max_iou > 0 else F.lit(0)
+    graded = state.withColumn("_step", steps)
+    # at most as many lengths as there are exponents
+    held = graded.groupBy(key, "_step").agg(F.count(F.lit(1)).alias("_c"))
+    along = Window.partitionBy(key).orderBy("_step")
+    gap = F.when(F.col("_step") - F.lag("_step").over(along) > 1, 1).otherwise(0)
+    bands = held.withColumn("_gap", gap).withColumn("_band", F.sum("_gap").over(along)).select(key, "_step", "_band")
+    banded = graded.join(bands, [key, "_step"]).drop("_step")
+    reach = F.col("_s") + (F.col("_e") - F.col("_s")) * (1 - max_iou) * (1 + 1e-9)
+    swept = range_scan(
+        banded, [key, "_band"], ["_s", "_tie"], keep_slice=True, maxes={"_reach": reach}, following={"_then": "_s"},
+    )
+    # written, as the components are counted from it by the same slices
+    swept = materialize(swept.withColumn("_ends", F.when(F.col("_then").isNull() | (F.col("_reach") <= F.col("_then")), 1).otherwise(0)))
+    numbered = bucketed_scan(swept, [key, "_band"], "_slice", ["_s", "_tie"], rank="_at", sums={"_upto": F.col("_ends")})
+    numbered = numbered.withColumn("_comp", (F.col("_upto") - F.col("_ends")).cast("bigint"))
+    sizes = numbered.groupBy(key, "_band", "_comp").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.expr("int(_state = 0)")).alias("_open"), F.min("_at").alias("_begin"), F.max(F.col("_e") - F.col("_s")).alias("_longest"),
+    )
+    out = numbered.join(sizes, [key, "_band", "_comp"]).withColumn("_rn", F.col("_at") - F.col("_begin") + 1)
+    return out.select(key, "_band", "_comp", "_rn", "_n", "_open", "_longest", *_ROW)
 
 
 def suppress_overlaps(
@@ -309,12 +359,16 @@ def suppress_overlaps(
 ) -> DataFrame:
     """Greedy overlap suppression per key in the order (-score, distance, start, tie).
 
-    Each key's intervals are cut by start time into blocks of bounded size. A
-    block decides the rows whose whole neighbourhood it sees; the next round
-    moves the cuts by half a block, so rows near a cut become inner rows. The
-    result equals the sequential pass over each key, whatever its size.
-    Of exact copies of an interval only the best can survive, so the others
-    are dropped before anything is compared.
+    Keys of up to ``block_rows`` rows are settled in one pass. A longer key is
+    split into components that cannot clash with each other; those that fit
+    are settled as a whole, the others in blocks along their starts. A block
+    decides the rows whose neighbourhood it sees; only undecided components go
+    on to the next round, split anew, with the cuts moved by half a block.
+    Where neither cut decides a row, neighbourhoods are wider than a block:
+    then the best rows of small cells are compared. Blocks never grow. The
+    result equals the sequential pass over each key. Of exact copies of an
+    interval only the best can survive, so the others are dropped before
+    anything is compared.
     """
     keyed = df.withColumns({
         "_s": F.col(start).cast("double"), "_e": F.col(end).cast("double"),
@@ -324,44 +378,105 @@ def suppress_overlaps(
     positive = F.col("_e") > F.col("_s")
     rest = keyed.filter(~positive)  # empty intervals overlap nothing
     best = keyed.filter(positive).groupBy(key, "_s", "_e").agg(F.min_by(F.struct("_p1", "_p2", "_tie"), order).alias("b")).select(
-        key, "_s", "_e", "b.*"
+        key, "_s", "_e", "b.*", F.lit(0).alias("_state")
     )
-    state, chosen = materialize(best.withColumn("_state", F.lit(0))), []
-    for turn in itertools.count():
-        done = materialize(_suppression_round(state, key, block_rows, (block_rows // 2) * (turn % 2), max_iou))
-        chosen.append(done.filter("_state = 1").select(key, "_tie"))
-        still = done.filter("_state = 0")
-        if still.isEmpty():
-            break
-        # what is left waits on long chains of decisions, or has a neighbourhood wider than a block
-        block_rows *= 1 + turn % 2
-        # suppressed rows no longer matter, nor kept ones of a length with which no open row can clash
-        length = F.col("_e") - F.col("_s")
-        bounds = still.groupBy(key).agg((F.min(length) * max_iou).alias("_short"), (F.max(length) / (max_iou or 1e-300)).alias("_long"))
-        near = done.filter("_state < 2").join(bounds, key).filter((F.col("_state") == 0) | length.between(F.col("_short"), F.col("_long")))
-        state = materialize(near.drop("_short", "_long"), replaces=state)
+    if max_iou >= 1:
+        chosen = [best.select(key, "_tie")]
+    else:
+        best = materialize(best)
+        counts = best.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        sized = best.join(counts, key)
+        small, large = sized.filter(F.col("_n") <= block_rows).drop("_n"), sized.filter(F.col("_n") > block_rows).drop("_n")
+        chosen = [_settled(small, [key], max_iou).filter("_state = 1").select(key, "_tie")]
+        if not counts.filter(F.col("_n") > block_rows).isEmpty():
+            chosen += _rounds(materialize(large), key, max_iou, block_rows)
     kept = reduce(DataFrame.unionByName, chosen).distinct().unionByName(rest.select(key, "_tie"))
     return keyed.join(kept, [key, "_tie"], "left_semi").select(*df.columns)
 
 
-def _suppression_round(state: DataFrame, key: str, block_rows: int, shift: int, max_iou: float) -> DataFrame:
-    names = state.columns
-    low, high = state.agg(F.min("_s")).scalar(), state.agg(F.max("_s")).scalar()
-    slices = state.withColumn("_slice", F.coalesce(F.floor((F.col("_s") - low) / F.nullif(high - low, F.lit(0.0)) * 8191).cast("int"), F.lit(0)))
-    span = state.groupBy(key).agg(F.max(F.col("_e") - F.col("_s")).alias("_maxdur"))
-    ranked = bucketed_scan(slices, [key], "_slice", ["_s", "_e"], rank="_rn", count="_n").join(span, key).drop("_slice")
-    block = F.floor((F.col("_rn") - 1 + shift) / F.lit(block_rows)).cast("bigint")
-    last = F.floor((F.col("_n") - 1 + shift) / F.lit(block_rows)).cast("bigint")
-    blocked = ranked.withColumns({"_block": block}).withColumns(
-        {"_first_block": F.col("_block") == 0, "_last_block": F.col("_block") == last}
-    )
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        pdf["_state"] = _decide_block(pdf, max_iou)
-        return pdf[names]
-
-    return blocked.groupBy(key, "_block").applyInPandas(settle, state.schema)
+def _rounds(state: DataFrame, key: str, max_iou: float, block_rows: int) -> list[DataFrame]:
+    """Kept rows (key, _tie) of keys that are longer than a block; every round decides at least one row of each component."""
+    chosen, group = [], [key, "_band", "_comp", "_block"]
+    open_before, stuck, turn = None, 0, 0
+    while True:
+        parts = _components(state, key, max_iou).filter("_open > 0")
+        shift = (block_rows // 2) * (turn % 2)
+        fits = F.col("_n") <= block_rows
+        block = F.when(fits, 0).otherwise(F.floor((F.col("_rn") - 1 + shift) / F.lit(block_rows))).cast("bigint")
+        last = F.floor((F.col("_n") - 1 + shift) / F.lit(block_rows)).cast("bigint")
+        blocked = materialize(parts.withColumns({"_block": block, "_last": F.when(fits, 0).otherwise(last)}))
+        edges = blocked.groupBy(*group).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.first("_last").alias("_end"), F.first("_longest").alias("_longest"))
+        edges = edges.select(
+            *group, "_longest", F.when(F.col("_block") == 0, F.lit(float("-inf"))).otherwise(F.col("_lo")).alias("_low"),
+            F.when(F.col("_block") == F.col("_end"), F.lit(float("inf"))).otherwise(F.col("_hi")).alias("_high"),
+        )
+        told = blocked.select(*group, *_ROW).join(edges, group)
+        done = materialize(_settled(told, group, max_iou, ("_low", "_high", "_longest")))
+        chosen.append(done.filter("_state = 1").select(key, "_tie"))
+        left = done.filter("_state < 2").select(key, *_ROW)
+        n_open = left.filter("_state = 0").count()
+        if not n_open:
+            return chosen
+        stuck = stuck + 1 if n_open == open_before else 0
+        if stuck > 1:  # both cuts have been tried
+            left, stuck = _best_of_cells(left, key, max_iou), 0
+        state, turn, open_before = materialize(left, replaces=state), turn + 1, n_open
+
+
+def _best_of_cells(state: DataFrame, key: str, max_iou: float, grain: float = 1.25) -> DataFrame:
+    """``state`` after one round in which a row is kept if no row near it is better; suppressed rows are gone.
+
+    Rows of like length and start share a cell. The best undecided row of a cell is kept if it is better than the best
+    of every cell that may hold a row it clashes with; it then suppresses the rows it clashes with, as do the rows kept
+    before. Rows reach a bounded number of cells, and kept rows do not clash, so few of them share one.
+    """
+    if max_iou <= 0:
+        return _best_of_all(state, key)
+    length = F.col("_e") - F.col("_s")
+    graded = state.withColumn("_g", F.floor(F.ln(length) / math.log(grain)).cast("int"))
+    width = F.pow(F.lit(grain), F.col("_g")) * (grain - 1)
+    celled = materialize(graded.withColumn("_cell", F.floor(F.col("_s") / width).cast("bigint")))
+    cell, reach = [key, "_g", "_cell"], math.ceil(math.log(1 / max_iou) / math.log(grain)) + 1
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Rows under every cell that may hold a row they clash with."""
+        levels = rows.withColumn("_g", F.explode(F.sequence(F.col("_g") - reach, F.col("_g") + reach)))
+        step, reached = F.pow(F.lit(grain), F.col("_g")) * (grain - 1), length * (1 - max_iou) * (1 + 1e-9)
+        low, high = F.col("_s") - reached / max_iou, F.col("_s") + reached
+        cells = F.sequence(F.floor(low / step).cast("bigint"), F.floor(high / step).cast("bigint"))
+        return levels.withColumn("_cell", F.explode(cells))
+
+    def without_clashes(rows: DataFrame, kept: DataFrame) -> DataFrame:
+        told = around(kept.select(*cell, "_s", "_e", "_tie")).select(
+            *cell, F.col("_s").alias("_ks"), F.col("_e").alias("_ke"), F.col("_tie").alias("_kt")
+        )
+        inter = F.least("_e", "_ke") - F.greatest("_s", "_ks")
+        hull = F.greatest("_e", "_ke") - F.least("_s", "_ks")
+        met = rows.filter("_state = 0").join(told, cell).filter((inter > 0) & (inter > max_iou * hull) & (F.col("_tie") != F.col("_kt")))
+        return rows.join(met.select(key, "_tie").distinct(), [key, "_tie"], "left_anti")
+
+    celled = materialize(without_clashes(celled, celled.filter("_state = 1")))
+    mine = F.struct("_p1", "_p2", "_s", "_tie", "_e")
+    best = materialize(celled.filter("_state = 0").groupBy(*cell).agg(F.min(mine).alias("_best")))
+    leaders = best.select(*cell, F.col("_g").alias("_own_g"), F.col("_cell").alias("_own_cell"), "_best.*")
+    rivals = around(leaders).select(key, "_g", "_cell", "_own_g", "_own_cell").join(best, cell)
+    least = rivals.groupBy(key, "_own_g", "_own_cell").agg(F.min("_best").alias("_least"))
+    wins = leaders.join(least, [key, "_own_g", "_own_cell"]).filter(F.col("_least") == mine).select(*cell, "_s", "_e", "_tie")
+    wins = materialize(wins)
+    left = without_clashes(celled, wins).join(wins.select(key, "_tie", F.lit(1).alias("_won")), [key, "_tie"], "left")
+    return left.withColumn("_state", F.coalesce("_won", "_state")).select(key, *_ROW)
+
+
+def _best_of_all(state: DataFrame, key: str) -> DataFrame:
+    """The same where any overlap is a clash: the best undecided row of a key is kept."""
+    mine = F.struct("_p1", "_p2", "_s", "_tie", "_e")
+    wins = materialize(state.filter("_state = 0").groupBy(key).agg(F.min(mine).alias("_w")))
+    met = state.join(wins, key).withColumn("_won", F.col("_tie") == F.col("_w._tie"))
+    overlaps = F.least("_e", "_w._e") > F.greatest("_s", "_w._s")
+    left = met.filter((F.col("_state") == 1) | F.col("_won") | ~overlaps)
+    left = left.withColumn("_state", F.when(F.col("_won"), 1).otherwise(F.col("_state"))).select(key, *_ROW)
+    # rows that an earlier one has reached from another block
+    return left
 
 
 def _quota_pass(pdf: pd.DataFrame, speaker_cap: int, category_cap: int) -> pd.DataFrame:

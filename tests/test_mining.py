@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from earshot.functions import text as T
@@ -65,11 +66,40 @@ def test_suppression_in_small_blocks_equals_sequential_pass(spark):
 
 
 def test_suppression_of_a_long_chain_and_one_interval_over_all(spark):
-    # rising scores: every decision waits for the next row's, over 40 blocks; one interval spans the key
-    rows = [(i, 0, i * 1.0, i + 1.4, i / 1000, 0) for i in range(400)] + [(5000, 0, 0.0, 500.0, 2.0, 0)]
+    # rising scores: every decision waits for the next row's, over several blocks; one interval spans the key
+    rows = [(i, 0, i * 1.0, i + 1.4, i / 1000, 0) for i in range(90)] + [(5000, 0, 0.0, 500.0, 2.0, 0)]
     df = spark.createDataFrame(rows, "id long, k int, s double, e double, score double, dist int")
-    out = sorted(r.id for r in M.suppress_overlaps(df, "k", "s", "e", "score", "dist", "id", max_iou=0.15, block_rows=10).collect())
-    assert out == [*range(1, 400, 2), 5000]
+    out = sorted(r.id for r in M.suppress_overlaps(df, "k", "s", "e", "score", "dist", "id", max_iou=0.15, block_rows=25).collect())
+    assert out == [*range(1, 90, 2), 5000]
+
+
+def greedy(rows, max_iou):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[5], r[2], r[0])):
+        clash = False
+        for k in kept:
+            inter = min(r[3], k[3]) - max(r[2], k[2])
+            clash |= inter > 0 and inter > max_iou * (max(r[3], k[3]) - min(r[2], k[2]))
+        if not clash:
+            kept.append(r)
+    return sorted(r[0] for r in kept)
+
+
+@pytest.mark.parametrize("max_iou", [0.5, 0.0])
+def test_suppression_of_neighbourhoods_wider_than_a_block(spark, max_iou):
+    rng = random.Random(3)
+    rows = [(i, 0, rng.random(), 10 + rng.random(), rng.random(), rng.randrange(3)) for i in range(60)]
+    rows += [(i, 0, s := rng.random() * 40, s + rng.choice([0.3, 4.0]), rng.random(), 0) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "id long, k int, s double, e double, score double, dist int")
+    out = M.suppress_overlaps(df, "k", "s", "e", "score", "dist", "id", max_iou=max_iou, block_rows=8)
+    assert sorted(r.id for r in out.collect()) == greedy(rows, max_iou)
+
+
+def test_components_part_a_key_at_an_interval_over_all(spark):
+    rows = [(0, i * 2.0, i * 2 + 1.0, 0.0, 0.0, i, 0) for i in range(50)] + [(0, 0.0, 100.0, 0.0, 0.0, 99, 0)]
+    state = spark.createDataFrame(rows, "k int, _s double, _e double, _p1 double, _p2 double, _tie long, _state int")
+    parts = M._components(state, "k", 0.5).collect()
+    assert len({(r["_band"], r["_comp"]) for r in parts}) == 51 and {r["_n"] for r in parts} == {1}
 
 
 def test_overlap_join_reports_each_pair_once(spark):
