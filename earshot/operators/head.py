@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.operators import evaluation as E
+from earshot.operators import prototypes as P
+from earshot.session import materialize
+from earshot.sources.sinks import load_model, save_model
 
 
 def train_head(rows: DataFrame, vec: str, label_idx: str, weight: str, max_iter: int = 50, reg: float = 1e-3, tol: float = 1e-6) -> LogisticRegressionModel:
@@ -18,25 +21,47 @@ def train_head(rows: DataFrame, vec: str, label_idx: str, weight: str, max_iter:
     ).fit(features)
 
 
+def head_rows(model: LogisticRegressionModel) -> DataFrame:
+    """The head as a table: ``class`` and ``proto``, its weights with the intercept as the last one."""
+    spark = SparkSession.active()
+    weights, offsets = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    rows = [(k, [*w.tolist(), float(b)]) for k, (w, b) in enumerate(zip(weights, offsets))]
+    return spark.createDataFrame(rows, "class int, proto array<double>")
+
+
 def class_probabilities(model: LogisticRegressionModel, rows: DataFrame, vec: str, keep: list[str]) -> DataFrame:
     """``keep`` columns plus ``p``: the probability of every class."""
     scored = model.transform(rows.withColumn("features", array_to_vector(vec)))
     return scored.select(*keep, vector_to_array("probability").alias("p"))
 
 
-def head_predictions(model: LogisticRegressionModel, rows: DataFrame, vec: str, keep: list[str], true_idx: str, reject: list[int]) -> DataFrame:
-    """Open-set predictions: rejected classes collapse to -1, keyword scores stay apart."""
-    scored = model.transform(rows.withColumn("features", array_to_vector(vec))).withColumn("_p", vector_to_array("probability"))
-    accepted = [F.col("_p")[i] for i in range(model.numClasses) if i not in reject]
-    collapse = lambda c: F.when(c.isin(*reject), F.lit(-1)).otherwise(c.cast("int"))
-    return scored.select(
-        *keep, (~F.col(true_idx).isin(*reject)).alias("pos"), collapse(F.col(true_idx)).alias("true_cls"),
-        collapse(F.col("prediction")).alias("pred_cls"), F.array_max("_p").alias("conf"),
-        F.greatest(*accepted).alias("close_max"),
-        sum((F.col("_p")[i] for i in reject), F.lit(0.0)).alias("ood"),
+def head_predictions(
+    head: DataFrame, rows: DataFrame, vec: str, dim: int, n_classes: int, keep: list[str], true_idx: str, reject: list[int]
+) -> DataFrame:
+    """Open-set predictions of a stored head: rejected classes collapse to -1, keyword scores stay apart."""
+    extended = rows.withColumn("_x", F.concat(F.col(vec), F.array(F.lit(1.0))))
+    out = P.predict(extended, head, "class", "_x", dim + 1, n_classes, list(dict.fromkeys([*keep, true_idx])), reject, method="dot")
+    collapse = lambda c: F.when(F.col(c).isin(*reject), F.lit(-1)).otherwise(F.col(c).cast("int"))
+    return out.select(
+        *keep, (~F.col(true_idx).isin(*reject)).alias("pos"), collapse(true_idx).alias("true_cls"),
+        collapse("pred").alias("pred_cls"), "conf", "close_max", "ood",
     )
 
 
+def evaluate_stored(
+    spark: SparkSession, folder: str, rows: DataFrame, vec: str, dim: int, n_classes: int, row_id: str, true_idx: str,
+    reject: list[int], target_far: float = 0.05,
+) -> DataFrame:
+    """Scores held-out rows and the reject pool with the head stored in ``folder`` and writes its threshold back.
+
+    The new figures become a new version of the model, which readers see once it is complete; returns the predictions.
+    """
+    head, meta = load_model(spark, folder)
+    preds = materialize(head_predictions(head, rows, vec, dim, n_classes, [row_id], true_idx, reject))
+    save_model(head, recalibrate(meta, preds, target_far), folder)
+    return preds
+
+
 def recalibrate(meta: DataFrame, preds: DataFrame, target_far: float = 0.05) -> DataFrame:
     """Model metadata with threshold, accuracy and AUC measured on ``preds``."""
     at = E.operating_point(preds, [], target_far)

@@ -58,7 +58,7 @@ def fetch_model(protos: DataFrame, keys: list[str], cls: str, dim: int, n_vector
     return columns, table[cls].combine_chunks(), matrix
 
 
-def _row_chunks(rows: int, width: int):
+def row_chunks(rows: int, width: int):
     """Bounds of stretches of rows whose score matrix of ``width`` columns stays small."""
     step = max(1, SCORE_BYTES // (8 * max(width, 1)))
     return [(lo, min(lo + step, rows)) for lo in range(0, rows, step)]
@@ -80,18 +80,18 @@ def score_matrix(method: str, z: np.ndarray, p: np.ndarray, beta: float = 0.0) -
     raise ValueError(f"unknown scoring method {method!r}")
 
 
-def _vectors_of(batch: pa.RecordBatch, vec: str, dim: int) -> np.ndarray:
+def vectors_of(batch: pa.RecordBatch, vec: str, dim: int) -> np.ndarray:
     column = batch.column(batch.schema.get_field_index(vec))
     if column.null_count or not (column.value_lengths().to_numpy() == dim).all():
         raise ValueError(f"every vector needs {dim} components")
     return column.flatten().to_numpy().reshape(-1, dim)
 
 
-def _kept(batch: pa.RecordBatch, keep: list[str]) -> list[pa.Array]:
+def kept_columns(batch: pa.RecordBatch, keep: list[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(c)) for c in keep]
 
 
-def _schema(df: DataFrame, keep: list[str], extra: str) -> str:
+def schema_of(df: DataFrame, keep: list[str], extra: str) -> str:
     types = dict(df.dtypes)
     return ", ".join([f"{c} {types[c]}" for c in keep] + [extra])
 
@@ -105,18 +105,18 @@ def with_scores(
 
     def run(batches):
         for batch in batches:
-            for lo, hi in _row_chunks(batch.num_rows, len(classes)):
+            for lo, hi in row_chunks(batch.num_rows, len(classes)):
                 part = batch.slice(lo, hi - lo)
-                scores = score_matrix(method, _vectors_of(part, vec, dim), matrix, **options)
+                scores = score_matrix(method, vectors_of(part, vec, dim), matrix, **options)
                 names = classes.take(pa.array(np.tile(np.arange(len(classes)), len(part))))
                 flat = pa.StructArray.from_arrays([names, pa.array(scores.ravel())], ["cls", "s"])
                 offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(classes))
-                yield pa.RecordBatch.from_arrays([*_kept(part, keep), pa.ListArray.from_arrays(offsets, flat)], [*keep, "scores"])
+                yield pa.RecordBatch.from_arrays([*kept_columns(part, keep), pa.ListArray.from_arrays(offsets, flat)], [*keep, "scores"])
 
-    return queries.select(*keep, vec).mapInArrow(run, _schema(queries, keep, f"scores array<struct<cls:{kind},s:double>>"))
+    return queries.select(*keep, vec).mapInArrow(run, schema_of(queries, keep, f"scores array<struct<cls:{kind},s:double>>"))
 
 
-def _decide(scores: np.ndarray, classes: np.ndarray, reject: list[int]) -> list[np.ndarray]:
+def decide(scores: np.ndarray, classes: np.ndarray, reject: list[int]) -> list[np.ndarray]:
     """pred, conf, close_max, ood for (..., n) scores and classes; ties go to the lowest class."""
     weights = np.exp(scores - scores.max(axis=-1, keepdims=True))
     probs = weights / weights.sum(axis=-1, keepdims=True)
@@ -127,8 +127,8 @@ def _decide(scores: np.ndarray, classes: np.ndarray, reject: list[int]) -> list[
     return [pred.astype(np.int32), probs.max(axis=-1), close, np.where(rejected, probs, 0.0).sum(axis=-1)]
 
 
-_PREDICTION = "pred int, conf double, close_max double, ood double"
-_PREDICTION_NAMES = ["pred", "conf", "close_max", "ood"]
+PREDICTION = "pred int, conf double, close_max double, ood double"
+PREDICTION_NAMES = ["pred", "conf", "close_max", "ood"]
 
 
 def predict(
@@ -174,20 +174,20 @@ def _part_scores(rows, protos, cls, vec, dim, n_way, keep, reject, method, kind,
 
     def run(batches):
         for batch in batches:
-            for lo, hi in _row_chunks(batch.num_rows, len(classes)):
+            for lo, hi in row_chunks(batch.num_rows, len(classes)):
                 if not len(classes):
                     continue
                 part = batch.slice(lo, hi - lo)
-                scores = score_matrix(method, _vectors_of(part, vec, dim), matrix, **options)
+                scores = score_matrix(method, vectors_of(part, vec, dim), matrix, **options)
                 top = scores.max(axis=1)
                 weights = np.exp(scores - top[:, None])
                 out = [
                     pa.array(top), classes.take(pa.array(scores.argmax(axis=1))), pa.array(weights.sum(axis=1)),
                     pa.array(np.where(rejected, -np.inf, scores).max(axis=1)), pa.array(np.where(rejected, weights, 0.0).sum(axis=1)),
                 ]
-                yield pa.RecordBatch.from_arrays([*_kept(part, [*keep, "_row"]), *out], [*keep, "_row", *names])
+                yield pa.RecordBatch.from_arrays([*kept_columns(part, [*keep, "_row"]), *out], [*keep, "_row", *names])
 
-    return rows.mapInArrow(run, _schema(rows, [*keep, "_row"], f"top double, best {kind}, mass double, close double, refused double"))
+    return rows.mapInArrow(run, schema_of(rows, [*keep, "_row"], f"top double, best {kind}, mass double, close double, refused double"))
 
 
 def predict_episodes(
@@ -209,23 +209,23 @@ def predict_episodes(
 
     def run(batches):
         for batch in batches:
-            z = _vectors_of(batch, vec, dim)
+            z = vectors_of(batch, vec, dim)
             lists = batch.column(batch.schema.get_field_index(asked))
             rows = np.repeat(np.arange(len(z)), lists.value_lengths().to_numpy())
             wanted = lists.flatten().to_numpy()
             at = np.searchsorted(numbers, wanted)
-            for lo, hi in _row_chunks(len(rows), max(n_way, len(matrix))):
+            for lo, hi in row_chunks(len(rows), max(n_way, len(matrix))):
                 r, e = rows[lo:hi], at[lo:hi]
                 span = slice(r[0], r[-1] + 1)
                 scores = score_matrix(method, z[span], matrix, **options)[(r - r[0])[:, None], slots[e]]
                 scores = np.where(absent[e], -np.inf, scores)
-                out = [pa.array(x) for x in _decide(scores, slot_classes[e], reject)]
-                kept = [c.take(pa.array(r)) for c in _kept(batch, keep)]
+                out = [pa.array(x) for x in decide(scores, slot_classes[e], reject)]
+                kept = [c.take(pa.array(r)) for c in kept_columns(batch, keep)]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(wanted[lo:hi].astype(np.int32)), *out], [*keep, "episode", *_PREDICTION_NAMES]
+                    [*kept, pa.array(wanted[lo:hi].astype(np.int32)), *out], [*keep, "episode", *PREDICTION_NAMES]
                 )
 
-    return queries.select(*keep, vec, asked).mapInArrow(run, _schema(queries, keep, "episode int, " + _PREDICTION))
+    return queries.select(*keep, vec, asked).mapInArrow(run, schema_of(queries, keep, "episode int, " + PREDICTION))
 
 
 def probabilities(scores: Column) -> Column:
@@ -249,11 +249,13 @@ def probabilities(scores: Column) -> Column:
     return V.let(V.let(scores, weigh), share)
 
 
-def tail_distances(rows: DataFrame, protos: DataFrame, cls: str, vec: str, row_id: str, tail: int = 5) -> DataFrame:
-    """The ``tail`` largest squared distances of each class's rows to its mean."""
-    far = rows.join(protos.select(cls, "proto"), cls).select(
-        cls, row_id, V.squared_distance(F.col(vec), F.col("proto")).alias("distance")
-    )
+def tail_distances(
+    rows: DataFrame, protos: DataFrame, cls: str, vec: str, row_id: str, tail: int = 5, kind: str = "euclidean"
+) -> DataFrame:
+    """The ``tail`` largest distances of each class's rows to its mean: squared euclidean, one less the cosine, or both."""
+    square, angle = V.squared_distance(F.col(vec), F.col("proto")), 1.0 - V.cosine(F.col(vec), F.col("proto"))
+    distance = {"euclidean": square, "cosine": angle, "combined": square + angle}[kind]
+    far = rows.join(protos.select(cls, "proto"), cls).select(cls, row_id, distance.alias("distance"))
     return top_rows(far, [cls], [F.desc("distance"), row_id], tail, [row_id], rank="tail_no")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot import presets
@@ -9,6 +12,7 @@ from earshot.functions import arrays, vectors
 from earshot.operators import evaluation as E
 from earshot.operators import prototypes as P
 from earshot.operators import splits as S
+from earshot.operators.classifiers import classifier
 from earshot.plans import views as V
 from earshot.plans.registry import query
 from earshot.session import read_table
@@ -207,6 +211,43 @@ def openmax_with(spark, sf, params):
     return probs.select("vec_id", F.col("x.cls").alias("class"), F.col("x.p").alias("probability"))
 
 
+_KINDS = ("euclidean", "cosine", "combined")
+_SQUARE = "list_sum(list_transform(list_zip(z, p), lambda t: (t[1]-t[2])*(t[1]-t[2])))"
+_ANGLE = "(1 - list_inner_product(z, p) / greatest(sqrt(list_inner_product(z, z)) * sqrt(list_inner_product(p, p)), 1e-8))"
+_KIND_SQL = "unnest([{'kind': 'euclidean', 'd': q}, {'kind': 'cosine', 'd': a}, {'kind': 'combined', 'd': q + a}], recursive := true)"
+
+
+@query("openmax_classify", f"""WITH RECURSIVE {V.PROTO_SQL},
+sd AS (SELECT label AS class, vec_id, {_KIND_SQL} FROM (SELECT label, vec_id, {_SQUARE} AS q, {_ANGLE} AS a FROM sup JOIN proto ON class = label WHERE label < {V.N_KNOWN})),
+tail AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY kind, class ORDER BY d DESC, vec_id) <= 5),
+x AS (SELECT kind, class, min(d) AS shift, list(d + 1) AS raw FROM tail GROUP BY kind, class),
+u AS (SELECT kind, class, shift, list_transform(raw, lambda d: d - shift) AS x FROM x),
+fit AS (SELECT kind, class, 0 AS turn, 1e-3::DOUBLE AS lo, 1e5::DOUBLE AS hi, list_transform(x, lambda v: v / list_max(x)) AS x FROM u
+  UNION ALL
+  SELECT kind, class, turn + 1, CASE WHEN f < 0 THEN mid ELSE lo END, CASE WHEN f < 0 THEN hi ELSE mid END, x FROM (
+    SELECT *, list_sum(list_transform(x, lambda v: pow(v, mid) * ln(v))) / list_sum(list_transform(x, lambda v: pow(v, mid))) - 1 / mid - list_avg(list_transform(x, lambda v: ln(v))) AS f
+    FROM (SELECT *, sqrt(lo * hi) AS mid FROM fit WHERE turn < 90))),
+par AS (SELECT kind, class, shift, k AS shape, list_max(u.x) * pow(list_avg(list_transform(f.x, lambda v: pow(v, k))), 1 / k) AS scale
+  FROM (SELECT kind, class, x, sqrt(lo * hi) AS k FROM fit WHERE turn = 90) f JOIN u USING (kind, class)),
+qd AS (SELECT vec_id, class, {_KIND_SQL} FROM (SELECT vec_id, class, {_SQUARE} AS q, {_ANGLE} AS a FROM qry, proto WHERE class < {V.N_KNOWN})),
+w AS (SELECT kind, vec_id, class, d, d * CASE WHEN d + 1 - shift > 0 THEN 1 - exp(-pow((d + 1 - shift) / scale, shape)) ELSE 0 END AS kept FROM qd JOIN par USING (kind, class)),
+sc AS (SELECT kind, vec_id, class, -kept AS s FROM w UNION ALL SELECT kind, vec_id, -1, -sum(d - kept) FROM w GROUP BY kind, vec_id),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY kind, vec_id)) AS e FROM sc),
+pr AS (SELECT *, e / sum(e) OVER (PARTITION BY kind, vec_id) AS p FROM e)
+SELECT kind, vec_id, round(max(p), 6) AS conf, round(max(p) FILTER (WHERE class >= 0), 6) AS close_max, round(sum(p) FILTER (WHERE class = -1), 6) AS ood FROM pr GROUP BY kind, vec_id
+""")
+def openmax_classify(spark, sf):
+    """Tail models fitted on the support score every query, for each kind of distance."""
+    support, rows = V.support(spark, sf), V.queries(spark, sf)
+
+    def under(kind):
+        fitted = classifier("ncm_openmax", dim=DIM, n_way=N_CLASSES, reject=tuple(V.REJECT), distance=kind).fit(support, "label", "z", "vec_id")
+        return fitted.predict(rows, "z", ["vec_id"]).withColumn("kind", F.lit(kind))
+
+    out = reduce(DataFrame.unionByName, [under(k) for k in _KINDS])
+    return out.select("kind", "vec_id", *(F.round(c, 6).alias(c) for c in ("conf", "close_max", "ood")))
+
+
 @query("dummy_proto_scores", f"""WITH {V.PROBA_SQL},
 sc AS (SELECT vec_id, class, s FROM dist WHERE class < {V.N_KNOWN} UNION ALL SELECT vec_id, 99, max(s / 3) FROM dist WHERE class >= {V.N_KNOWN} GROUP BY vec_id),
 e2 AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM sc)
@@ -298,12 +339,14 @@ _EPISODE_SQL = f"""
 m AS (SELECT vec_id, CASE WHEN label < {V.N_KNOWN} THEN label ELSE -1 END AS cls, embedding::DOUBLE[] AS z FROM embeddings),
 ec AS (SELECT episode, cls FROM (SELECT episode, cls, row_number() OVER (PARTITION BY episode ORDER BY CASE WHEN cls = -1 THEN 0 ELSE 1 END, md5('{SEED}:' || episode || ':' || cls)) AS rn
        FROM (SELECT DISTINCT cls FROM m), (SELECT unnest(range(0, {EPISODES}))::INTEGER AS episode)) WHERE rn <= {WAYS}),
-er AS (SELECT episode, m.cls, vec_id, z, row_number() OVER (PARTITION BY episode, m.cls ORDER BY md5('{SEED}:' || episode || ':' || vec_id), vec_id) AS rn FROM m JOIN ec USING (cls)),
-el AS (SELECT episode, cls, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM er WHERE rn <= {SHOTS}),
+{V.draw_sql("ec JOIN (SELECT cls, count(*) AS n FROM m GROUP BY cls) USING (cls)", "cls", SHOTS)},
+num AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY vec_id) AS no FROM m),
+er AS (SELECT ec.episode, cls, vec_id, z, sample_no FROM num JOIN ec USING (cls) LEFT JOIN taken USING (episode, cls, no)),
+el AS (SELECT episode, cls, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM er WHERE sample_no IS NOT NULL),
 em AS (SELECT episode, cls, i, avg(v) AS v FROM el GROUP BY ALL),
 ep AS (SELECT episode, cls, list(v ORDER BY i) AS p FROM em GROUP BY episode, cls),
 ed AS (SELECT er.episode, vec_id, er.cls AS true_cls, ep.cls, list_inner_product(z, z) + list_inner_product(p, p) - 2 * list_inner_product(z, p) AS d
-       FROM er JOIN ep USING (episode) WHERE rn > {SHOTS}),
+       FROM er JOIN ep USING (episode) WHERE sample_no IS NULL),
 ex AS (SELECT *, exp(-d - max(-d) OVER (PARTITION BY episode, vec_id)) AS e FROM ed),
 eq AS (SELECT *, e / sum(e) OVER (PARTITION BY episode, vec_id) AS pr FROM ex),
 pred AS (SELECT episode, vec_id, any_value(true_cls) AS true_cls, any_value(true_cls) >= 0 AS pos, arg_max(cls, (pr, -cls)) AS pred_cls,
@@ -319,9 +362,10 @@ t AS (SELECT episode, min(thr) AS thr FROM roc WHERE fpr <= 0.05 GROUP BY episod
 op AS (SELECT episode, max(thr) AS thr_far05, avg(CASE WHEN conf >= thr AND pred_cls = true_cls THEN 1.0::DOUBLE ELSE 0 END) AS acc_far05,
        avg(CASE WHEN conf < thr OR pred_cls = -1 THEN 1.0::DOUBLE ELSE 0 END) AS frr_far05 FROM pred JOIN t USING (episode) WHERE pos GROUP BY episode),
 met AS (SELECT episode, round(auc, 6) AS auc, n_pos, n_neg, round(accuracy_pos, 6) AS accuracy_pos, round(accuracy_neg, 6) AS accuracy_neg,
-        round(thr_far05, 6) AS thr_far05, round(acc_far05, 6) AS acc_far05, round(frr_far05, 6) AS frr_far05 FROM acc JOIN auc USING (episode) JOIN op USING (episode))
+        round(thr_far05, 6) AS thr_far05, round(acc_far05, 6) AS acc_far05, round(frr_far05, 6) AS frr_far05, 0.0::DOUBLE AS cerr_far05
+        FROM acc JOIN auc USING (episode) JOIN op USING (episode))
 """
-METRICS = ["auc", "accuracy_pos", "accuracy_neg", "thr_far05", "acc_far05", "frr_far05"]
+METRICS = ["auc", "accuracy_pos", "accuracy_neg", "thr_far05", "acc_far05", "frr_far05", "cerr_far05"]
 
 
 def episode_predictions(spark, sf, n_episodes=EPISODES, n_way=WAYS, k=SHOTS):
