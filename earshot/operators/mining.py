@@ -419,7 +419,8 @@ def _rounds(state: DataFrame, key: str, max_iou: float, block_rows: int) -> list
             return chosen
         stuck = stuck + 1 if n_open == open_before else 0
         if stuck > 1:  # both cuts have been tried
-            left, stuck = _best_of_cells(left, key, max_iou), 0
+            left, stuck = materialize(_best_of_cells(left, key, max_iou)), 0
+            chosen.append(left.filter("_state = 1").select(key, "_tie"))
         state, turn, open_before = materialize(left, replaces=state), turn + 1, n_open
 
 
@@ -470,13 +471,18 @@ def _best_of_cells(state: DataFrame, key: str, max_iou: float, grain: float = 1.
 def _best_of_all(state: DataFrame, key: str) -> DataFrame:
     """The same where any overlap is a clash: the best undecided row of a key is kept."""
     mine = F.struct("_p1", "_p2", "_s", "_tie", "_e")
-    wins = materialize(state.filter("_state = 0").groupBy(key).agg(F.min(mine).alias("_w")))
-    met = state.join(wins, key).withColumn("_won", F.col("_tie") == F.col("_w._tie"))
-    overlaps = F.least("_e", "_w._e") > F.greatest("_s", "_w._s")
-    left = met.filter((F.col("_state") == 1) | F.col("_won") | ~overlaps)
-    left = left.withColumn("_state", F.when(F.col("_won"), 1).otherwise(F.col("_state"))).select(key, *_ROW)
-    # rows that an earlier one has reached from another block
-    return left
+
+    def without_clashes(rows: DataFrame) -> DataFrame:
+        # kept rows are disjoint: of those that start before a row ends, one that ends after its start overlaps it
+        points = rows.withColumn("_at", F.when(F.col("_state") == 1, F.col("_s")).otherwise(F.col("_e")))
+        ends = F.when(F.col("_state") == 1, F.col("_e"))
+        swept = range_scan(points, [key], ["_at", "_state", "_tie"], maxes={"_top": ends})
+        return swept.filter((F.col("_state") == 1) | F.col("_top").isNull() | (F.col("_top") <= F.col("_s"))).select(key, *_ROW)
+
+    free = materialize(without_clashes(state))
+    wins = free.filter("_state = 0").groupBy(key).agg(F.min(mine).alias("_w")).select(key, F.col("_w._tie").alias("_won"))
+    chosen = free.join(wins, key, "left").withColumn("_state", F.when(F.col("_tie") == F.col("_won"), 1).otherwise(F.col("_state")))
+    return without_clashes(chosen.select(key, *_ROW))
 
 
 def _quota_pass(pdf: pd.DataFrame, speaker_cap: int, category_cap: int) -> pd.DataFrame:

@@ -88,8 +88,8 @@ def greedy(rows, max_iou):
 @pytest.mark.parametrize("max_iou", [0.5, 0.0])
 def test_suppression_of_neighbourhoods_wider_than_a_block(spark, max_iou):
     rng = random.Random(3)
-    rows = [(i, 0, rng.random(), 10 + rng.random(), rng.random(), rng.randrange(3)) for i in range(60)]
-    rows += [(i, 0, s := rng.random() * 40, s + rng.choice([0.3, 4.0]), rng.random(), 0) for i in range(100, 130)]
+    rows = [(i, 0, rng.random(), 10 + rng.random(), rng.random(), rng.randrange(3)) for i in range(30)]
+    rows += [(i, 0, s := rng.random() * 40, s + rng.choice([0.3, 4.0]), rng.random(), 0) for i in range(100, 115)]
     df = spark.createDataFrame(rows, "id long, k int, s double, e double, score double, dist int")
     out = M.suppress_overlaps(df, "k", "s", "e", "score", "dist", "id", max_iou=max_iou, block_rows=8)
     assert sorted(r.id for r in out.collect()) == greedy(rows, max_iou)
