@@ -82,22 +82,32 @@ def _copies(weight: Column) -> Column:
     return F.ceil(weight / CLIMBERS).cast("int")
 
 
+def _below(pos: str, level: int, fanout: int) -> Column:
+    """Leaves below a node of a group's tree, whose ``size`` is known."""
+    width = fanout**level
+    return F.least(F.lit(width), F.col("size") - F.col(pos) * width)
+
+
 def _above(level: DataFrame, number: int, fanout: int) -> DataFrame:
     """Nodes of ``level`` whose tree goes on, with the key of their parent, their slot and the parent's copies."""
-    run = F.floor(F.col("pos") / fanout)
-    siblings = Window.partitionBy("tree", "up_pos")
-    return level.where("n > 1").withColumns(
-        {"up_tree": F.col("tree"), "up_level": F.lit(number + 1), "up_pos": run, "slot": F.pmod("pos", F.lit(fanout)).cast("int")}
-    ).withColumn("up_copies", _copies(F.sum("weight").over(siblings)))
+    up = level.where("n > 1").withColumns({
+        "up_tree": F.col("tree"), "up_level": F.lit(number + 1), "up_pos": F.floor(F.col("pos") / fanout),
+        "slot": F.pmod("pos", F.lit(fanout)).cast("int"),
+    })
+    if "size" in level.columns:
+        return up.withColumn("up_copies", _copies(_below("up_pos", number + 1, fanout)))
+    # above the subroots, whose groups differ in size
+    return up.withColumn("up_copies", _copies(F.sum("weight").over(Window.partitionBy("tree", "up_pos"))))
 
 
 def _next(level: DataFrame, fanout: int) -> DataFrame:
+    weight = F.first("size").alias("size") if "size" in level.columns else F.sum("weight").alias("weight")
     run = level.where("n > 1").groupBy("tree", F.floor(F.col("pos") / fanout).alias("pos")).agg(
         F.array_sort(F.collect_list(F.struct(F.pmod("pos", F.lit(fanout)).alias("slot"), "digest"))).alias("run"),
-        F.sum("weight").alias("weight"), F.ceil(F.first("n") / fanout).alias("n"),
+        weight, F.ceil(F.first("n") / fanout).alias("n"),
     )
     children = F.array_join(F.transform("run", lambda x: hex_text(x["digest"])), "")
-    return run.select("tree", "pos", "n", digest(children).alias("digest"), "weight", F.unhex(children).alias("children"))
+    return run.select("tree", "pos", "n", digest(children).alias("digest"), run.columns[3], F.unhex(children).alias("children"))
 
 
 def _levels(level: DataFrame, fanout: int, scratch: Scratch, name: str) -> list[DataFrame]:
@@ -133,12 +143,14 @@ def build(
     # the last key spreads rows that are equal in all others
     hashed = scratch.write(hashed.withColumn("tie", F.monotonically_increasing_id()), "hashed")
     leaves, stretches = _numbered(hashed, "group", ["group", "order", "digest", "received", "tie"], scratch, "leaves")
+    scratch.drop("hashed")
     leaves = scratch.write(_with_place(leaves.drop("tie"), stretches, "group"), "places")
-    bottom = leaves.select("tree", "pos", "n", "digest", F.lit(1).cast("long").alias("weight"), F.lit(None).cast("binary").alias("children"), "row", "received")
+    scratch.drop("leaves")
+    bottom = leaves.select("tree", "pos", "n", "digest", F.col("n").alias("size"), F.lit(None).cast("binary").alias("children"), "row", "received")
     levels = _levels(bottom, fanout, scratch, "level")
 
     plain = ["tree", "digest", "weight", "children"]
-    ends = _union([x.where("n = 1").select(*plain, F.lit(k).alias("level")) for k, x in enumerate(levels)])
+    ends = _union([x.where("n = 1").select("tree", "digest", F.col("size").alias("weight"), "children", F.lit(k).alias("level")) for k, x in enumerate(levels)])
     ends = ends.withColumn("all", F.lit(TOP).cast("long"))
     subroots, over = _numbered(ends, "all", ["all", "tree"], scratch, "subroots")
     top = _with_place(subroots.withColumnRenamed("tree", "of_tree").withColumnRenamed("level", "of_level"), over, "all")
@@ -146,7 +158,10 @@ def build(
     tops = _levels(top.select(*plain, "pos", "n", "of_tree", "of_level"), fanout, scratch, "top")
 
     node = ["tree", "level", "pos", "children", "weight"]
-    inner = [_above(x, k, fanout).withColumn("level", F.lit(k)).select(*node, *LINK) for k, x in enumerate(levels) if k]
+    inner = [
+        _above(x, k, fanout).withColumns({"level": F.lit(k), "weight": _below("pos", k, fanout)}).select(*node, *LINK)
+        for k, x in enumerate(levels) if k
+    ]
     crowns = scratch.write(
         _above(tops[0], 0, fanout).select(
             F.col("of_tree").alias("tree"), F.col("of_level").alias("level"), F.lit(0).cast("long").alias("pos"), "children", "weight", *LINK
@@ -219,7 +234,8 @@ def verify(manifest: Manifest) -> DataFrame:
     spark = manifest.leaves.sparkSession
     steps = F.array_sort(F.collect_list(F.struct("step", "siblings")))
     proof = digest(F.array_join(F.transform("steps", lambda s: hex_text(s["siblings"])), ""))
-    climbed = climb(manifest).groupBy("row").agg(steps.alias("steps"), F.max_by("folded", "step").alias("folded_root"))
+    # rows of a leaf come from different steps, so there is nothing to combine before they are shuffled
+    climbed = climb(manifest).repartition("row").groupBy("row").agg(steps.alias("steps"), F.max_by("folded", "step").alias("folded_root"))
     with _unlimited(spark):
         proofs = Scratch(spark, "merkle").write(climbed.select("row", proof.alias("proof"), "folded_root"), "proofs")
     subroots = manifest.subroots.select("tree", F.col("digest").alias("subroot"))
