@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.store import without
+from earshot.llm.store import Scratch, without
 
 #: The white space that is stripped, and the letters that are lowered.
 SPACE = " \t\n\x0b\x0c\r"
@@ -36,7 +36,11 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> D
 
     ``key`` is the MD5 of the key text. The owner is the smallest doc_id that holds it; rows without doc_id count as one document and own nothing.
     """
-    held = _keyed(docs, min_chars).select("key", F.col("doc_id").isNull().alias("null_id"), "doc_id").distinct()
+    return _shared(_keyed(docs, min_chars), min_docs)
+
+
+def _shared(keyed: DataFrame, min_docs: int) -> DataFrame:
+    held = keyed.select("key", "doc_id").distinct()
     counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("owner"))
     return counted.where(F.col("n_docs") >= min_docs)
 
@@ -58,8 +62,9 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10)
     one empty line, which is too short to go. Other columns stay, but for any named like a new one.
     """
     own = without(docs, "kept", "n_lines", "n_dropped", "text_key", "gone", "_id")
-    shared = repeated_lines(docs.select("doc_id", "text"), min_docs, min_chars).select("key", "owner")
-    lines = _keyed(docs.select("doc_id", "text"), min_chars)
+    # written, as both the count and the join read it: a hash and two numbers a line
+    lines = Scratch(docs.sparkSession, "lines").write(_keyed(docs.select("doc_id", "text"), min_chars), "keyed")
+    shared = _shared(lines, min_docs).select("key", "owner")
     dropped = lines.join(shared, "key").where("owner is not null and not (doc_id <=> owner)")
     gone = dropped.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("gone")).withColumnRenamed("doc_id", "_id")
     told = own.withColumn("text_key", F.xxhash64("text"))
