@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -9,18 +11,49 @@ from pyspark.sql import functions as F
 
 from earshot.operators import evaluation as E
 from earshot.operators import prototypes as P
-from earshot.session import materialize
+from earshot.session import materialize, spread
 from earshot.sources.sinks import load_model, save_model
 
 
 def train_head(rows: DataFrame, vec: str, label_idx: str, weight: str, max_iter: int = 50, reg: float = 1e-3, tol: float = 1e-6) -> LogisticRegressionModel:
-    """Multinomial logistic regression with per-row weights."""
-    features = rows.select(array_to_vector(vec).alias("features"), F.col(label_idx).cast("double").alias("y"), F.col(weight).alias("w"))
+    """Multinomial logistic regression with per-row weights and the penalty reg / 2 * |coefficients|^2.
+
+    A step is a job over all rows, so these are first brought into as many tasks as adaptive execution finds worth it.
+    """
+    features = spread(rows, vec).select(array_to_vector(vec).alias("features"), F.col(label_idx).cast("double").alias("y"), F.col(weight).alias("w"))
     return LogisticRegression(
-        featuresCol="features", labelCol="y", weightCol="w", family="multinomial", maxIter=max_iter, regParam=reg, tol=tol
+        featuresCol="features", labelCol="y", weightCol="w", family="multinomial", maxIter=max_iter, regParam=reg, tol=tol, standardization=False,
     ).fit(features)
 
 
+def gradient(head: DataFrame, rows: DataFrame, vec: str, label_idx: str, weight: str, dim: int, n_classes: int) -> DataFrame:
+    """``class, feature, slope``: the weighted mean of (p - y) * x per class and feature; feature ``dim`` is the intercept.
+
+    Partial sums of every batch are added up, so the table has a row per weight of the head and batch.
+    """
+    _, classes, matrix = P.fetch_model(head, [], "class", dim + 1, n_classes)
+    order = classes.to_numpy(zero_copy_only=False)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack((P.vectors_of(batch, vec, dim), np.ones(batch.num_rows)))
+            y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            score = x @ matrix.T
+            p = np.exp(score - score.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            sums = ((p - (y[:, None] == order[None, :])) * w[:, None]).T @ x
+            n = dim + 1
+            yield pa.record_batch(
+                [np.repeat(order.astype(np.int32), n), np.tile(np.arange(n, dtype=np.int32), len(order)), sums.ravel(), np.full(sums.size, w.sum())],
+                names=["class", "feature", "s", "w"],
+            )
+
+    parts = rows.select(vec, F.col(label_idx).cast("int"), F.col(weight).cast("double")).mapInArrow(run, "class int, feature int, s double, w double")
+    return parts.groupBy("class", "feature").agg((F.sum("s") / F.sum("w")).alias("slope"))
+
+
 def head_rows(model: LogisticRegressionModel) -> DataFrame:
     """The head as a table: ``class`` and ``proto``, its weights with the intercept as the last one."""
     spark = SparkSession.active()

@@ -15,8 +15,8 @@ from earshot.plans.scoring_queries import _ROC_SQL, DIM, N_CLASSES, predictions
 from earshot.session import ensure_checkpoint_dir, materialize
 from earshot.sources.sinks import load_model, save_model
 
-#: Rows held out of the training.
-HELD_OUT = "vec_id % 5 = 0"
+#: Rows held out of the training, and the penalty.
+HELD_OUT, REG = "vec_id % 5 = 0", 1e-3
 
 
 def trained_head(spark, sf):
@@ -24,29 +24,32 @@ def trained_head(spark, sf):
     rows = V.embeddings(spark, sf).withColumn("name", F.concat(F.lit("c"), "label")).withColumn("source", F.lit(""))
     train = rows.filter(f"NOT ({HELD_OUT})").withColumn("hardneg_category", F.lit(None).cast("string"))
     weighted = materialize(R.sample_weights(train, {}, label="name").select("vec_id", "z", "label", "weight"))
-    return H.train_head(weighted, "z", "label", "weight", max_iter=300, tol=1e-10), weighted
+    return H.train_head(weighted, "z", "label", "weight", max_iter=300, reg=REG, tol=1e-10), weighted
 
 
 @query("linear_head", f"""
 SELECT label, count(*) FILTER (WHERE NOT ({HELD_OUT})) AS n_train, count(*) FILTER (WHERE {HELD_OUT}) AS n_held_out,
- 0.0::DOUBLE AS residual, 0::BIGINT AS bad_sums FROM embeddings GROUP BY label
+ 0.0::DOUBLE AS residual, 0.0::DOUBLE AS slope, 0::BIGINT AS bad_sums FROM embeddings GROUP BY label
 """)
 def linear_head(spark, sf):
-    """At the optimum the weighted predicted mass of every class equals its weighted rows; held-out rows are scored too."""
+    """At the optimum the gradient of the penalised likelihood vanishes, by intercept and by feature; held-out rows are scored too."""
     model, train = trained_head(spark, sf)
-    keep = ["vec_id", "label"]
-    parts = [H.class_probabilities(model, train, "z", [*keep, "weight"]).withColumn("held", F.lit(0))]
-    test = V.embeddings(spark, sf).filter(HELD_OUT).withColumn("weight", F.lit(0.0))
-    parts.append(H.class_probabilities(model, test, "z", [*keep, "weight"]).withColumn("held", F.lit(1)))
-    rows = parts[0].unionByName(parts[1]).select(*keep, "weight", "held", F.posexplode("p").alias("cls", "p"))
-    excess = F.sum(F.col("weight") * (F.col("p") - (F.col("cls") == F.col("label")).cast("int"))) / F.sum("weight")
-    by_class = rows.groupBy(F.col("cls").alias("label")).agg((F.round(excess, 4) + F.lit(0.0)).alias("residual"))
-    sums = rows.groupBy("vec_id", "label", "held").agg(F.sum("p").alias("total"))
-    counts = sums.groupBy("label").agg(
+    head = materialize(H.head_rows(model))
+    weights = head.select("class", F.posexplode("proto").alias("feature", "b"))
+    slopes = H.gradient(head, train, "z", "label", "weight", DIM, N_CLASSES).join(weights, ["class", "feature"])
+    penalty = F.when(F.col("feature") < DIM, REG * F.col("b")).otherwise(0.0)
+    steepest = slopes.groupBy(F.col("class").alias("label")).agg(
+        (F.round(F.max(F.when(F.col("feature") == DIM, F.abs("slope"))), 4) + F.lit(0.0)).alias("residual"),
+        (F.round(F.max(F.abs(F.col("slope") + penalty)), 4) + F.lit(0.0)).alias("slope"),
+    )
+    rows = V.embeddings(spark, sf).withColumn("held", F.expr(f"int({HELD_OUT})"))
+    scored = H.class_probabilities(model, rows, "z", ["label", "held"])
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    counts = scored.groupBy("label").agg(
         F.sum((F.col("held") == 0).cast("int")).alias("n_train"), F.sum("held").alias("n_held_out"),
-        F.sum((F.abs(F.col("total") - 1) > 1e-9).cast("int")).alias("bad_sums"),
+        F.sum((F.abs(total - 1) > 1e-9).cast("int")).alias("bad_sums"),
     )
-    return counts.join(by_class, "label").select("label", "n_train", "n_held_out", "residual", "bad_sums")
+    return counts.join(steepest, "label").select("label", "n_train", "n_held_out", "residual", "slope", "bad_sums")
 
 
 @query("head_eval", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot import presets
+from earshot.functions.vectors import let
 from earshot.operators import records as R
 
 RECORD_SCHEMA = "label string, file string, speaker string"
@@ -139,37 +140,43 @@ def unaligned_utterances(spark: SparkSession, path: str) -> DataFrame:
 def parse_tiers(files: DataFrame, utt: str, content: str) -> DataFrame:
     """Interval-tier texts to (utt_id, speaker_id, chapter_id, tier, pos, start, end, text, error).
 
-    A text without both a words and a phones tier yields one row whose
-    ``error`` says so; nothing stops the job.
+    A text without both a words and a phones tier yields one row whose ``error`` says so; nothing stops the job. A text
+    is matched once: its intervals, or its error, are one array, and an interval is taken apart by plain splits.
     """
     # Everything after a 'name = "..."' line up to the next one belongs to that tier.
-    parts_of = F.split(content, r'(?m)^\s*name\s*=\s*')
-    chunks = F.slice(parts_of, F.lit(2), F.size(parts_of))
-    tiers = F.transform(chunks, lambda c: F.struct(
-        F.regexp_extract(c, r'^"([^"\n]*)"', 1).alias("name"),
-        F.regexp_extract_all(c, F.lit(presets.TIER_INTERVAL), F.lit(0)).alias("items"),
-    ))
+    chunks = F.split(content, r'(?m)^\s*name\s*=\s*')
+
+    def tier_of(chunk: Column) -> Column:
+        name = F.substring_index(F.substring(chunk, 2, 1 << 30), '"', 1)
+        return F.struct(name.alias("name"), F.regexp_extract_all(chunk, F.lit(presets.TIER_INTERVAL), F.lit(0)).alias("items"))
+
+    def row(tier, pos, item, error) -> Column:
+        return F.struct(
+            F.lit(tier).cast("string").alias("tier") if tier is None else tier.alias("tier"), F.lit(pos).cast("int").alias("pos"),
+            F.lit(item).cast("string").alias("item"), F.lit(error).cast("string").alias("error"),
+        )
+
+    def rows_of(tiers: Column) -> Column:
+        names = F.transform(tiers, lambda t: t["name"])
+        complete = F.array_contains(names, "words") & F.array_contains(names, "phones")
+        intervals = F.flatten(F.transform(tiers, lambda t: F.transform(t["items"], lambda item, i: row(t["name"], i + 1, item, None))))
+        return F.when(complete, intervals).otherwise(F.array(row(None, None, None, "missing required words/phones tiers")))
+
+    tiers = F.transform(F.slice(chunks, F.lit(2), F.size(chunks)), tier_of)
     parts = F.split(utt, "-")
-    base = files.select(
-        F.col(utt).alias("utt_id"), parts[0].alias("speaker_id"),
-        F.when(F.size(parts) >= 2, parts[1]).otherwise("").alias("chapter_id"), tiers.alias("tiers"),
-    ).withColumn("names", F.transform("tiers", lambda t: t["name"]))
-    complete = F.array_contains("names", "words") & F.array_contains("names", "phones")
-    bad = base.filter(~complete).select(
-        "utt_id", "speaker_id", "chapter_id", F.lit("missing required words/phones tiers").alias("error")
+    found = files.select(
+        F.col(utt).alias("utt_id"), parts[0].alias("speaker_id"), F.when(F.size(parts) >= 2, parts[1]).otherwise("").alias("chapter_id"),
+        F.explode(let(tiers, rows_of)).alias("r"),
     )
-    items = base.filter(complete).select(
-        "utt_id", "speaker_id", "chapter_id", F.explode("tiers").alias("t")
-    ).select("utt_id", "speaker_id", "chapter_id", F.col("t.name").alias("tier"), F.posexplode("t.items").alias("i", "item"))
-    def group(n):
-        return F.regexp_extract("item", "(?s)" + presets.TIER_INTERVAL, n)
-
-    good = items.select(
-        "utt_id", "speaker_id", "chapter_id", "tier", (F.col("i") + 1).alias("pos"),
-        group(1).cast("double").alias("start"), group(2).cast("double").alias("end"),
-        F.trim(F.replace(group(3), F.lit('""'), F.lit('"'))).alias("text"),
+    # 'intervals [i]: xmin = a xmax = b text = "..."', where only the text may hold further signs of equality
+    sides = found.select("utt_id", "speaker_id", "chapter_id", "r.tier", "r.pos", F.split("r.item", "=", 4).alias("p"), "r.error")
+    number = lambda side: F.trim(F.regexp_replace(side, r"\s*[a-z]+\s*$", "")).cast("double")
+    quoted = F.trim(F.translate(F.col("p")[3], "\t\r\n", "   "))
+    inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return sides.select(
+        "utt_id", "speaker_id", "chapter_id", "tier", "pos", number(F.col("p")[1]).alias("start"), number(F.col("p")[2]).alias("end"),
+        F.trim(F.replace(inner, F.lit('""'), F.lit('"'))).alias("text"), "error",
     )
-    return good.unionByName(bad, allowMissingColumns=True)
 
 
 def tier_files(spark: SparkSession, root: str, pattern: str = "*.TextGrid") -> DataFrame:
