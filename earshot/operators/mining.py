@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from earshot import presets
 from earshot.functions import text as T
-from earshot.operators.scans import bucketed_scan, map_groups, range_scan, top_rows, with_halo
+from earshot.operators.scans import bucketed_scan, map_groups, range_scan, top_rows, with_halo, with_margins
 from earshot.session import materialize
 
 
@@ -109,39 +109,171 @@ def ngrams(items: DataFrame, key: str, lengths: list[int], fields: list[str], bl
     return seen.select(key, F.col("pos").alias("last_pos"), F.explode(runs).alias("r")).select(key, "last_pos", "r.*")
 
 
-def runs_with_overlaps(
-    items: DataFrame, others: DataFrame, key: str, lengths: list[int], bin_seconds: float, eps: float = 1e-5, block_rows: int = 4096
+def overlapped(
+    items: DataFrame, others: DataFrame, key: str, carried: dict[str, str], bin_seconds: float, eps: float = 1e-5
 ) -> DataFrame:
-    """Runs of consecutive items with the intervals of the other tier overlapping them.
+    """``items`` with the range of ``others`` that overlap them, and of those that begin since the item before.
+
+    Both tiers are disjoint and in time order; ``items`` has (key, pos, since, start, end), ``others`` (key, pos, start,
+    end, code) and the integer columns ``carried``. Adds ``own_lo``, ``own_hi`` (places in the other tier; null where
+    there is none) and ``own`` (their codes) for what overlaps the item, ``near_lo``, ``near_hi`` and ``near`` for what
+    begins after ``since`` and before the item's end, and for each ``carried`` column its value at the first or at the
+    last place, as it says.
 
-    Both sides have (key, pos, start, end, text, code). The other tier is
-    looked up once per item, not once per run: intervals overlapping the item
-    itself, and those overlapping the stretch since the previous item. A run
-    takes its first item's own intervals and the stretches of the rest.
-    Returns (key, last_pos, n, start, end, items, found), both lists in time order.
+    Each side is dealt to the stretches of time it touches; there one merge in order answers all items at once. Only
+    items that touch several stretches are put together afterwards.
     """
-    near = with_halo(items, "pos", 1, block_rows)
-    before = F.lag("end").over(Window.partitionBy(key, "block").orderBy("pos"))
-    stretch = near.withColumn("_since", F.least(F.coalesce(before - 2 * eps, F.col("start")), F.col("start"))).filter(~F.col("is_halo"))
-    looked_up = others.select(key, F.col("pos").alias("_at"), "start", "end", F.col("text").alias("_text"), F.col("code").alias("_code"))
-    pairs = overlap_join(
-        stretch.select(key, "pos", F.col("start").alias("_own"), F.col("_since").alias("start"), "end"), looked_up,
-        key, "start", "end", bin_seconds, eps,
+    width = F.lit(float(bin_seconds))
+    extra = [c for c in items.columns if c not in (key, "pos", "since", "start", "end")]
+    span = lambda lo, hi: F.sequence(F.floor(lo / width).cast("bigint"), F.floor(F.greatest(hi, lo) / width).cast("bigint"))
+    kinds = dict(items.dtypes)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    asked = items.withColumn("_bins", span(F.least("since", "start"), F.col("end"))).withColumn("_many", F.size("_bins") > 1).select(
+        key, F.explode("_bins").alias("_bin"), F.lit(1).alias("_kind"), "pos", "since", "start", "end", "_many", nothing("string").alias("_code"),
+        *(nothing("int").alias(f"_{c}") for c in carried), *extra,
     )
-    hit = F.struct(F.col("_at").alias("at"), F.col("_text").alias("text"), F.col("_code").alias("code"))
-    found = pairs.groupBy(key, "pos").agg(
-        F.array_sort(F.collect_list(hit)).alias("near"),
-        F.array_sort(F.collect_list(F.when(F.col("iv_end") > F.col("_own") + eps, hit))).alias("own"),
+    held = others.withColumn("_bins", span(F.col("start"), F.col("end"))).select(
+        key, F.explode("_bins").alias("_bin"), F.lit(0).alias("_kind"), "pos", F.col("start").alias("since"), "start", "end", F.lit(False).alias("_many"),
+        F.col("code").alias("_code"), *(F.col(c).alias(f"_{c}") for c in carried), *(nothing(kinds[c]).alias(c) for c in extra),
     )
-    runs = ngrams(items.join(found, [key, "pos"], "left"), key, lengths, ["start", "end", "text", "code", "near", "own"], block_rows)
-    nothing = F.array().cast("array<struct<at:bigint,text:string,code:string>>")
-    heard = F.concat(
-        F.array(F.coalesce(F.col("items")[0]["own"], nothing)), F.array_compact(F.slice("items.near", F.lit(2), F.col("n") - 1))
+    sides = [f"{side}_{c}" for side in ("near", "own") for c in carried]
+    found = ["near_lo", "near_hi", "near", "own_lo", "own_hi", "own", *sides]
+
+    def merge(rows: pa.Table, begin: int, end: int) -> pa.RecordBatch | None:
+        part = rows.slice(begin, end - begin)
+        kind = part.column("_kind").to_numpy()
+        n = int(np.searchsorted(kind, 1))  # the other tier comes first
+        if n == len(kind):
+            return None
+        num = lambda c, cut: part.column(c).slice(*cut).to_numpy()
+        theirs, mine = (0, n), (n, len(kind) - n)
+        place, s, e = num("pos", theirs), num("start", theirs), num("end", theirs)
+        codes = part.column("_code").slice(*theirs).to_pylist()
+        until = np.concatenate(([0], np.cumsum([len(c) for c in codes], dtype=np.int64)))
+        text = "".join(codes)
+        bin_start = part.column("_bin")[0].as_py() * bin_seconds
+        since, at, to = num("since", mine), num("start", mine), num("end", mine)
+        # of a pair that meets in several stretches, only the first one tells
+        first = np.floor(np.minimum(since, at) / bin_seconds) * bin_seconds < bin_start
+        new = np.searchsorted(s, bin_start, "left")
+        hi = np.searchsorted(s, to - eps, "left")
+        values = {c: num(f"_{c}", theirs) for c in carried}
+        columns = {}
+        for side in ("near", "own"):
+            if side == "near":
+                lo = np.maximum(np.searchsorted(s, since + eps, "left"), new)
+            else:
+                lo = np.searchsorted(e, at + eps, "right")
+                lo = np.where(first, np.maximum(lo, new), lo)
+            some = hi > lo
+            columns[f"{side}_lo"] = pa.array(place[np.minimum(lo, n - 1)] if n else lo, pa.int64(), mask=~some)
+            columns[f"{side}_hi"] = pa.array(place[np.maximum(hi - 1, 0)] if n else hi, pa.int64(), mask=~some)
+            begins, stops = until[np.minimum(lo, n)], until[np.maximum(hi, lo)]
+            columns[side] = pa.array([text[b:f] for b, f in zip(begins.tolist(), stops.tolist())], pa.string())
+            for c, which in carried.items():
+                spot = np.minimum(lo, n - 1) if which == "first" else np.maximum(hi - 1, 0)
+                columns[f"{side}_{c}"] = pa.array(values[c][spot] if n else np.zeros(len(lo), np.int32), pa.int32(), mask=~some)
+        kept = [pa.concat_arrays(part.column(c).slice(*mine).chunks) for c in (key, "_bin", "pos", "start", "end", "_many", *extra)]
+        return pa.record_batch([*kept, *(columns[c] for c in found)], names=[key, "_bin", "pos", "start", "end", "_many", *extra, *found])
+
+    schema = ", ".join([
+        f"{key} {kinds[key]}", "_bin bigint", "pos bigint", "start double", "end double", "_many boolean", *(f"{c} {kinds[c]}" for c in extra),
+        "near_lo bigint, near_hi bigint, near string, own_lo bigint, own_hi bigint, own string", *(f"{c} int" for c in sides),
+    ])
+    out = materialize(map_groups(held.unionByName(asked), [key, "_bin"], ["_kind", "pos"], merge, schema))
+    whole = out.filter("not _many").drop("_bin", "_many")
+    several = out.filter("_many")
+    ordered = F.array_sort(F.collect_list(F.struct("_bin", *found)))
+    gathered = several.groupBy(key, "pos").agg(
+        F.first("start").alias("start"), F.first("end").alias("end"), *(F.first(c).alias(c) for c in extra), ordered.alias("_p")
     )
-    return runs.select(
-        key, "last_pos", "n", F.col("items")[0]["start"].alias("start"), F.array_max("items.end").alias("end"),
-        "items", F.array_distinct(F.flatten(heard)).alias("found"),
+
+    def of(name: str) -> Column:
+        values = F.transform("_p", lambda x: x[name])
+        if name in ("near", "own"):
+            return F.array_join(values, "")
+        told = F.array_compact(values)
+        last = name.endswith("_hi") or carried.get(name.split("_", 1)[1]) == "last"
+        return F.get(told, F.size(told) - 1) if last else F.get(told, F.lit(0))
+
+    merged = gathered.select(key, "pos", "start", "end", *extra, *(of(c).alias(c) for c in found))
+    return whole.unionByName(merged)
+
+
+def _since(items: DataFrame, key: str, eps: float, block_rows: int) -> DataFrame:
+    """``items`` with ``since``: just before the end of the item before, or the item's own start."""
+    near = with_halo(items, "pos", 1, block_rows)
+    before = F.lag("end").over(Window.partitionBy(key, "block").orderBy("pos"))
+    since = F.coalesce(before - 2 * eps, F.col("start"))
+    return near.withColumn("since", since).filter(~F.col("is_halo")).drop("block", "is_halo")
+
+
+def runs_with_overlaps(
+    items: DataFrame, others: DataFrame, key: str, lengths: list[int], text: str, carried: dict[str, str] | None = None,
+    bin_seconds: float = 600.0, eps: float = 1e-5, block_rows: int = 4096,
+) -> DataFrame:
+    """Runs of consecutive items with the places and codes of the other tier that they overlap.
+
+    Both sides have (key, pos, start, end, text, code); the other tier is looked up once per item, not once per run: a
+    run takes what its first item overlaps and what begins within the others, counted from the item before. Returns (key, pos of the
+    first item, n, start, end, texts, code of the items, lo, hi, heard: the codes of the other tier, and the ``carried``
+    columns at its first or last place).
+    """
+    carried = carried or {}
+    placed = overlapped(_since(items.select(key, "pos", "start", "end", text, "code"), key, eps, block_rows), others, key, carried, bin_seconds, eps)
+    longest = max(lengths)
+    # a run is told by its first row, so blocks hold the rows that follow
+    blocks = with_margins(placed, "pos", 0, longest - 1, block_rows)
+    along = Window.partitionBy(key, "block").orderBy("pos")
+    fields = ["end", text, "code", "near_lo", "near_hi", "near", *(f"near_{c}" for c in carried)]
+    ahead = F.struct(*fields)
+    for k in range(1, longest):
+        blocks = blocks.withColumn(f"_next{k}", F.lead(ahead, k).over(along))
+    blocks = blocks.filter("is_own")
+
+    def run(n: int) -> Column:
+        rest = [F.col(f"_next{k}") for k in range(1, n)]
+        firsts = lambda c: F.coalesce(F.col(f"own_{c}"), *(r[f"near_{c}"] for r in rest))
+        lasts = lambda c: F.coalesce(*(r[f"near_{c}"] for r in reversed(rest)), F.col(f"own_{c}"))
+        ends = [F.col("end"), *(r["end"] for r in rest)]
+        return F.struct(
+            F.lit(n).alias("n"), (F.greatest(*ends) if rest else ends[0]).alias("end"), F.array(F.col(text), *(r[text] for r in rest)).alias("texts"),
+            F.concat(F.col("code"), *(r["code"] for r in rest)).alias("code"), firsts("lo").alias("lo"), lasts("hi").alias("hi"),
+            F.concat(F.col("own"), *(r["near"] for r in rest)).alias("heard"),
+            *((firsts if which == "first" else lasts)(c).alias(c) for c, which in carried.items()),
+        )
+
+    whole = [F.when(F.col(f"_next{n - 1}").isNotNull() if n > 1 else F.lit(True), run(n)) for n in lengths]
+    return blocks.select(key, "pos", "start", F.explode(F.array_compact(F.array(*whole))).alias("r")).select(key, "pos", "start", "r.*")
+
+
+def _listed(spans: DataFrame, others: DataFrame, key: str, out: str) -> DataFrame:
+    """``spans`` (with ``_span``, lo and hi) with the texts of the other tier at these places, in order."""
+    places = spans.filter("lo IS NOT NULL").select(key, "_span", F.explode(F.sequence("lo", "hi")).alias("pos"))
+    texts = places.join(others.select(key, "pos", "text"), [key, "pos"]).groupBy("_span").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias(out)
     )
+    return spans.join(texts, "_span", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
+def _phrase_edges(words: DataFrame, key: str, blacklist: list[str], block_rows: int = 4096) -> DataFrame:
+    """``words`` with ``begins`` and ``closes``: the fewest words from here on, or up to here, that are a listed phrase."""
+    by_words: dict[int, list[str]] = {}
+    for item in blacklist:
+        by_words.setdefault(len(item.split(" ")), []).append(item)
+    longest = max(by_words, default=1)
+    blocks = with_margins(words, "pos", longest - 1, longest - 1, block_rows)
+    along = Window.partitionBy(key, "block").orderBy("pos")
+    step = lambda k: F.col("text") if k == 0 else (F.lead("text", k) if k > 0 else F.lag("text", -k)).over(along)
+
+    def fewest(sign: int) -> Column:
+        hits = []
+        for k, items in sorted(by_words.items()):
+            parts = [step(sign * i) for i in (range(k) if sign > 0 else range(k - 1, -1, -1))]
+            hits.append(F.when(F.concat_ws(" ", *parts).isin(*items) & F.concat(*parts).isNotNull(), k))
+        return F.coalesce(*hits, F.lit(1 << 30)).cast("int") if hits else F.lit(1 << 30)
+
+    return blocks.withColumns({"begins": fewest(1), "closes": fewest(-1)}).filter("is_own").drop("block", "is_own")
 
 
 def _best_target(spelled: Column, length: Column, names: list[str], targets, alphabet) -> Column:
@@ -161,13 +293,14 @@ def _best_target(spelled: Column, length: Column, names: list[str], targets, alp
 def mine_candidates(
     words: DataFrame, phones: DataFrame, alphabet: list[str], min_sec: float, max_sec: float, pre_pad: float, post_pad: float,
     similarity: float, max_distance: int, targets=None, category_targets=None, phrase_blacklist=None, wake_targets=None,
-    bin_seconds: float = 10.0,
+    bin_seconds: float = 600.0,
 ) -> DataFrame:
     """Scored, flagged and gated candidates of time-aligned utterances.
 
     ``words`` and ``phones`` have (utt_id, pos, start, end, text) with
-    normalised visible words and scoring phones. Adds ``blacklist_flag`` and
-    ``passes``; a candidate is kept when it passes and carries no flag.
+    normalised visible words and scoring phones. Runs that pass the gates or
+    carry a ``blacklist_flag`` are returned; one is kept when it ``passes`` and
+    carries no flag.
     """
     targets = targets or presets.PHONE_TARGETS
     category_targets = category_targets or presets.CATEGORY_TARGETS
@@ -179,10 +312,7 @@ def mine_candidates(
     plain = words.withColumn("code", F.lit(""))
 
     # Word runs: one to three words; phones are those overlapping the run in time.
-    sound = runs_with_overlaps(plain, coded, "utt_id", [1, 2, 3], bin_seconds).select(
-        "utt_id", "n", "start", "end", F.col("items.text").alias("texts"), F.col("found.text").alias("phones"),
-        F.array_join("found.code", "").alias("spelled"),
-    )
+    sound = runs_with_overlaps(plain, coded, "utt_id", [1, 2, 3], "text", bin_seconds=bin_seconds)
     is_prefix = F.col("texts")[0].isin(*presets.PREFIX_WORDS)
 
     def entry(cond, category, rule):
@@ -198,42 +328,51 @@ def mine_candidates(
         entry(short, "reco_phoneme_similar", gram),
     ))
     from_words = sound.withColumn("_e", F.explode(entries)).select(
-        "utt_id", "start", "end", F.col("texts").alias("words"), "phones", "spelled", F.col("_e.category").alias("category"), F.col("_e.rule").alias("rule")
+        "utt_id", "start", "end", "texts", F.col("heard").alias("spelled"), "lo", "hi", F.col("_e.category").alias("category"),
+        F.col("_e.rule").alias("rule"), T.phrase_hits(F.array_join("texts", " "), phrase_blacklist).alias("listed"),
     )
     # Phone runs: four to seven phones; their words are those overlapping in time.
-    spoken = runs_with_overlaps(coded, plain, "utt_id", [4, 5, 6, 7], bin_seconds)
+    edged = _phrase_edges(plain, "utt_id", phrase_blacklist)
+    spoken = runs_with_overlaps(
+        coded, edged, "utt_id", [4, 5, 6, 7], "text", {"begins": "first", "closes": "last"}, bin_seconds=bin_seconds
+    )
+    n_words = F.col("hi") - F.col("lo") + 1
     from_phones = spoken.select(
-        "utt_id", "start", "end",
-        F.when(F.size("found") > 0, F.col("found.text")).otherwise(F.array(F.lit("<PHONE_SPAN>"))).alias("words"),
-        F.col("items.text").alias("phones"), F.array_join("items.code", "").alias("spelled"),
-        F.lit("local_phoneme_confuser").alias("category"), F.lit("local_phone_ngram").alias("rule"),
+        "utt_id", "start", "end", "texts", F.col("code").alias("spelled"), "lo", "hi", F.lit(PHONE_RUNS).alias("category"),
+        F.lit("local_phone_ngram").alias("rule"),
+        F.coalesce((F.col("begins") <= n_words) | (F.col("closes") <= n_words), F.lit(False)).alias("listed"),
     )
-    spans = from_words.unionByName(from_phones)
-    return score_candidates(
-        spans, alphabet, min_sec, max_sec, pre_pad, post_pad, similarity, max_distance,
-        targets, category_targets, phrase_blacklist, wake_targets,
+    kept = score_candidates(
+        from_words.unionByName(from_phones), alphabet, min_sec, max_sec, pre_pad, post_pad, similarity, max_distance,
+        targets, category_targets, wake_targets,
     )
+    kept = materialize(kept.withColumn("_span", F.monotonically_increasing_id()))
+    # only what is kept needs the texts of the other tier
+    by_words = _listed(kept.filter(F.col("category") != PHONE_RUNS), phones, "utt_id", "phones").withColumnRenamed("texts", "words")
+    by_phones = _listed(kept.filter(F.col("category") == PHONE_RUNS), words, "utt_id", "words").withColumnRenamed("texts", "phones")
+    by_phones = by_phones.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("<PHONE_SPAN>"))))
+    out = by_words.unionByName(by_phones).drop("_span", "lo", "hi", "listed")
+    return out.withColumn("phrase", F.array_join("words", " "))
+
+
+#: Category of the runs of phones.
+PHONE_RUNS = "local_phoneme_confuser"
 
 
 def score_candidates(
-    spans: DataFrame, alphabet, min_sec, max_sec, pre_pad, post_pad, similarity, max_distance,
-    targets, category_targets, phrase_blacklist, wake_targets,
+    spans: DataFrame, alphabet, min_sec, max_sec, pre_pad, post_pad, similarity, max_distance, targets, category_targets, wake_targets,
 ) -> DataFrame:
-    """Best target, blacklist flag and gates of spans with words, phones and their spelling."""
+    """Spans (with their spelling) that pass the gates or carry a flag, with best target, flag and verdict.
+
+    Every distinct spelling of a category is scored once; spans are then looked up.
+    """
     code = T.letters_of(alphabet)
-    spelled, length = F.col("spelled"), F.size("phones")
-    df = spans.withColumn("phrase", F.array_join("words", " "))
+    spellings = spans.select("category", "spelled").distinct()
+    spelled, length = F.col("spelled"), F.char_length("spelled")
     best = None
     for category, names in category_targets.items():
         value = _best_target(spelled, length, names, targets, alphabet)
         best = F.when(F.col("category") == category, value) if best is None else best.when(F.col("category") == category, value)
-    df = df.withColumn("_b", best).withColumns({
-        "start_sec": F.greatest(F.lit(0.0), F.col("start") - pre_pad), "end_sec": F.col("end") + post_pad,
-    })
-    df = df.withColumns({
-        "target": F.col("_b.target"), "similarity": F.col("_b.sim"), "edit_distance": -F.col("_b.neg_dist"),
-        "duration_sec": F.greatest(F.lit(0.0), F.col("end_sec") - F.col("start_sec")),
-    })
     near = F.lit(None).cast("string")
     for name in reversed(wake_targets):
         n = len(targets[name])
@@ -241,15 +380,21 @@ def score_candidates(
         dist, sim = T.edit_distance_or_length(raw, length, F.lit(n)), T.edit_similarity(raw, length, F.lit(n))
         hit = (dist <= max(1, min(max_distance, 1))) | ((sim >= 0.92) & (length >= n - 1))
         near = F.when(hit, F.lit(f"wake_phone_blacklist:{name}")).otherwise(near)
-    flag = F.when(T.phrase_hits(F.col("phrase"), phrase_blacklist), F.lit("text_blacklist")).otherwise(F.coalesce(near, F.lit("")))
-    fits = F.col("duration_sec").between(min_sec, max_sec)
-    prefix_gate = fits & length.between(2, 4) & (F.col("edit_distance") <= 1) & (F.col("similarity") >= 0.66)
-    general_gate = fits & (F.col("similarity") >= similarity) & (F.col("edit_distance") <= max_distance) & (length >= 2)
-    passes = F.when(F.col("category") == presets.PREFIX_CATEGORY, prefix_gate).otherwise(general_gate)
-    scored = df.withColumns({"blacklist_flag": flag, "passes": passes}).drop("spelled", "_b", "start", "end")
-    # Behind a generator, so that a filter on the verdict is not rewritten into
-    # one that evaluates phrase and distances again for each of its parts.
-    return scored.select(F.explode(F.array(F.struct(*scored.columns))).alias("c")).select("c.*")
+    scored = spellings.withColumn("_b", best).select(
+        "category", "spelled", F.col("_b.target").alias("target"), F.col("_b.sim").alias("similarity"),
+        (-F.col("_b.neg_dist")).alias("edit_distance"), F.coalesce(near, F.lit("")).alias("near"),
+    )
+    prefix_gate = length.between(2, 4) & (F.col("edit_distance") <= 1) & (F.col("similarity") >= 0.66)
+    general_gate = (F.col("similarity") >= similarity) & (F.col("edit_distance") <= max_distance) & (length >= 2)
+    gate = F.when(F.col("category") == presets.PREFIX_CATEGORY, prefix_gate).otherwise(general_gate)
+    # written, so that Spark knows the size before it plans the join
+    scored = materialize(scored.withColumn("gate", gate))
+    timed = spans.withColumns({"start_sec": F.greatest(F.lit(0.0), F.col("start") - pre_pad), "end_sec": F.col("end") + post_pad})
+    timed = timed.withColumn("duration_sec", F.greatest(F.lit(0.0), F.col("end_sec") - F.col("start_sec")))
+    flag = F.when(F.col("listed"), F.lit("text_blacklist")).otherwise(F.col("near"))
+    passes = F.col("gate") & F.col("duration_sec").between(min_sec, max_sec)
+    judged = timed.join(scored, ["category", "spelled"]).withColumns({"blacklist_flag": flag, "passes": passes})
+    return judged.filter("passes OR blacklist_flag <> ''").drop("spelled", "start", "end", "gate", "near")
 
 
 def interval_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

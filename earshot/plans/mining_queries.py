@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from earshot import presets
 from earshot.functions import text as T
 from earshot.operators import mining as M
+from earshot.operators import scans
 from earshot.plans.record_queries import WORDS_SQL, lexicon_words
 from earshot.plans.registry import query
 from earshot.session import materialize, read_table, spread
@@ -79,17 +80,18 @@ def aligned_utterances(spark, sf):
         (start + F.size("_letters") * PHONE_SEC).alias("end"), "text", "_letters",
     )
     phone_of = F.create_map(*[F.lit(x) for kv in LETTER_PHONES.items() for x in kv])
-    letters = timed.select("utt_id", "pos", "start", F.posexplode("_letters").alias("j", "letter"))
+    # a phone's number is its place in the word after all letters of the words before
+    timed = materialize(scans.range_scan(
+        timed.withColumn("_size", F.size("_letters")), ["utt_id"], ["pos"], sums={"_upto": F.col("_size")},
+    ))
+    letters = timed.select("utt_id", "start", (F.col("_upto") - F.col("_size")).alias("before"), F.posexplode("_letters").alias("j", "letter"))
     phones = letters.select(
-        "utt_id", "pos", "j", (F.col("start") + F.col("j") * PHONE_SEC).alias("start"),
+        "utt_id", (F.col("before") + F.col("j") + 1).alias("pos"), (F.col("start") + F.col("j") * PHONE_SEC).alias("start"),
         (F.col("start") + (F.col("j") + 1) * PHONE_SEC).alias("end"),
         F.coalesce(F.element_at(phone_of, F.col("letter")), F.col("letter")).alias("text"),
     )
-    from earshot.operators.scans import bucketed_scan
-
-    numbered = bucketed_scan(phones.withColumnRenamed("pos", "wpos"), ["utt_id"], "wpos", ["j"], rank="pos")
     # Written once, as a corpus of aligned utterances would be: mining reads it several times.
-    return materialize(timed.drop("_letters")), materialize(numbered.select("utt_id", "pos", "start", "end", "text"))
+    return timed.select("utt_id", F.col("pos").cast("bigint").alias("pos"), "start", "end", "text"), materialize(phones)
 
 
 def candidates(spark, sf):
