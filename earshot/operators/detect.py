@@ -9,6 +9,7 @@ of these starts the sequential pass goes through.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,6 +111,26 @@ class SmoothedTrigger:
         inner, event = self.machine.step(inner, label, score)
         return [smooth, inner], event
 
+    def reach(self) -> tuple[int, int]:
+        """What is further back than this many rows is below the precision of a double."""
+        before, after = self.machine.reach()
+        memory = math.ceil(-38 / math.log1p(-self.alpha)) if self.alpha < 1 else 0
+        return before + memory, after
+
+    def candidates(self, position: np.ndarray, *probs: np.ndarray):
+        smooth = np.column_stack(probs).astype(float)
+        for i in range(1, len(smooth)):
+            smooth[i] = self.alpha * smooth[i] + (1 - self.alpha) * smooth[i - 1]
+        accepted = [i for i, name in enumerate(self.labels) if name not in self.reject]
+        rounded = np.array([[round(x, self.digits) for x in row] for row in smooth[:, accepted].tolist()]).reshape(-1, len(accepted))
+        best = rounded.argmax(axis=1) if len(rounded) else np.zeros(0, int)
+        names = np.array([self.labels[i] for i in accepted], dtype=object)
+        return self.machine.candidates(position, names[best], rounded[np.arange(len(best)), best])
+
+    @property
+    def first(self) -> int:
+        return self.machine.first
+
 
 @dataclass(frozen=True)
 class SegmentMachine:

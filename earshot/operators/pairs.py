@@ -7,8 +7,6 @@ work grows linearly with the table and each group has at most n_way * k rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +24,14 @@ def assign_batches(rows: DataFrame, label: str, row_id: str, seed, n_way: int, k
     return ranked.withColumn("batch", F.concat_ws(":", way, shot)).drop("_rn")
 
 
-def _order(*parts) -> str:
-    return hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()
+#: Fixed values of the draw order: a prime modulus and factors for up to three ids.
+MODULUS, FACTORS, SPREAD = 2_147_483_647, (73_856_093, 19_349_663, 83_492_791), 48_271
+
+
+def draw_order(seed: int, *ids: np.ndarray) -> np.ndarray:
+    """A seeded pseudo-random number per combination of integer ids; the least is drawn first."""
+    mixed = sum(((np.asarray(x, dtype=np.int64) % MODULUS) * f for x, f in zip(ids, FACTORS)), np.int64(seed % MODULUS))
+    return mixed % MODULUS * SPREAD % MODULUS
 
 
 def _distances(vectors: np.ndarray) -> np.ndarray:
@@ -51,7 +55,7 @@ def pairs(batches: DataFrame, label: str, row_id: str, vec: str, negatives: str,
         same = labels[i] == labels[j]
         pos, neg = np.flatnonzero(same), np.flatnonzero(~same)
         if negatives == "random":
-            neg = np.array(sorted(neg, key=lambda t: _order(seed, ids[i[t]], ids[j[t]])), dtype=int)[: len(pos)]
+            neg = neg[np.lexsort((ids[j[neg]], ids[i[neg]], draw_order(seed, ids[i[neg]], ids[j[neg]])))][: len(pos)]
         elif negatives == "hard":
             neg = neg[np.lexsort((ids[j[neg]], ids[i[neg]], np.round(dist[i[neg], j[neg]], 9)))][: len(pos)]
         take = np.concatenate([pos, neg]).astype(int)
@@ -66,16 +70,22 @@ def pairs(batches: DataFrame, label: str, row_id: str, vec: str, negatives: str,
     )
 
 
-def _choose(strategy: str, losses: np.ndarray, margin: float, names) -> int | None:
-    """Index of the selected negative, or None; ties and draws follow the seeded order."""
+#: Losses that are compared at once.
+GRID = 1 << 22
+
+
+def _chosen(strategy: str, losses: np.ndarray, margin: float, order) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a (pairs, negatives) grid for which a negative qualifies, and the negative; draws follow ``order()``."""
     if strategy == "hardest":
-        best = int(np.argmax(losses))
-        return best if losses[best] > 0 else None
+        best = losses.argmax(axis=1)
+        rows = np.flatnonzero(losses[np.arange(len(losses)), best] > 0)
+        return rows, best[rows]
     fits = losses > 0
     if strategy == "semihard":
         fits &= losses < margin
-    hits = np.flatnonzero(fits)
-    return int(min(hits, key=names)) if len(hits) else None
+    rows = np.flatnonzero(fits.any(axis=1))
+    ranks = np.where(fits, order(), np.iinfo(np.int64).max)
+    return rows, ranks[rows].argmin(axis=1)
 
 
 def triplets(batches: DataFrame, label: str, row_id: str, vec: str, strategy: str, margin: float, seed) -> DataFrame:
@@ -83,30 +93,31 @@ def triplets(batches: DataFrame, label: str, row_id: str, vec: str, strategy: st
 
     ``strategy``: 'all', or one negative per positive pair: 'hardest',
     'random' (violating the margin) or 'semihard'. A batch in which no
-    negative qualifies yields its last pair with the first negative.
+    negative qualifies yields its last pair with the first negative. The pairs
+    of a class meet all negatives in grids of bounded size.
     """
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, labels, dist = _batch(pdf, label, row_id, vec)
-        out: list[tuple[int, int, int]] = []
-        fallback = None
+        found, fallback = [], None
         for value in np.unique(labels):
             own, other = np.flatnonzero(labels == value), np.flatnonzero(labels != value)
             if len(own) < 2 or not len(other):
                 continue
-            for x in range(len(own)):
-                for y in range(x + 1, len(own)):
-                    a, p = own[x], own[y]
-                    fallback = (a, p, other[0])
-                    if strategy == "all":
-                        out.extend((a, p, n) for n in other)
-                        continue
-                    losses = dist[a, p] - dist[a, other] + margin
-                    pick = _choose(strategy, losses, margin, lambda t: _order(seed, ids[a], ids[p], ids[other[t]]))
-                    if pick is not None:
-                        out.append((a, p, other[pick]))
-        if not out and fallback is not None:
-            out.append(fallback)
-        t = np.array(out, dtype=int).reshape(-1, 3)
+            x, y = np.triu_indices(len(own), 1)
+            a, p = own[x], own[y]
+            fallback = np.array([[a[-1], p[-1], other[0]]])
+            step = max(1, GRID // len(other))
+            for lo in range(0, len(a), step):
+                ai, pi = a[lo : lo + step], p[lo : lo + step]
+                if strategy == "all":
+                    found.append(np.column_stack((np.repeat(ai, len(other)), np.repeat(pi, len(other)), np.tile(other, len(ai)))))
+                    continue
+                losses = dist[ai, pi][:, None] - dist[ai[:, None], other[None, :]] + margin
+                rows, picks = _chosen(strategy, losses, margin, lambda: draw_order(seed, ids[ai][:, None], ids[pi][:, None], ids[other][None, :]))
+                found.append(np.column_stack((ai[rows], pi[rows], other[picks])))
+        t = np.concatenate([*found, np.zeros((0, 3), dtype=int)])
+        if not len(t) and fallback is not None:
+            t = fallback
         return pd.DataFrame({
             "batch": pd.Series([pdf["batch"].iloc[0]] * len(t), dtype=object), "anchor": ids[t[:, 0]], "positive": ids[t[:, 1]], "negative": ids[t[:, 2]],
             "d_pos": dist[t[:, 0], t[:, 1]], "d_neg": dist[t[:, 0], t[:, 2]],

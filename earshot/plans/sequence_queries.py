@@ -45,7 +45,7 @@ _NEG = "SELECT batch, a, b, positive, d FROM (SELECT pr.*, row_number() OVER (PA
 _PAIR_OUT = "SELECT batch, a, b, positive, round(d, 6) AS distance FROM (SELECT batch, a, b, positive, d FROM pr WHERE positive UNION ALL {})"
 
 
-@query("pairs_all", f"WITH {_BATCH_SQL} " + _PAIR_OUT.format(_NEG.format(f"md5('{SEED}:' || a || ':' || b)")))
+@query("pairs_all", f"WITH {_BATCH_SQL} " + _PAIR_OUT.format(_NEG.format(f"((abs(a) % {PR.MODULUS}) * {PR.FACTORS[0]} + (abs(b) % {PR.MODULUS}) * {PR.FACTORS[1]} + {SEED}) % {PR.MODULUS} * {PR.SPREAD} % {PR.MODULUS}, a, b")))
 def pairs_all(spark, sf):
     return _pairs(spark, sf, "random")
 
@@ -68,7 +68,8 @@ _PICK = "WITH " + _TRIPLET_SQL.replace("{", "{{").replace("}", "}}") + """,
 sel AS (SELECT * FROM tr WHERE {where} QUALIFY row_number() OVER (PARTITION BY batch, anchor, positive ORDER BY {order}) = 1),
 res AS (SELECT batch, anchor, positive, negative, d_pos, d_neg FROM sel UNION ALL SELECT batch, f.a, f.p, f.n, f.dp, f.dn FROM fb WHERE batch NOT IN (SELECT batch FROM sel))
 """
-_MD5 = f"md5('{SEED}:' || anchor || ':' || positive || ':' || negative)"
+_FACTORS = dict(zip(("anchor", "positive", "negative"), PR.FACTORS))
+_DRAW = f"(({' + '.join(f'(abs({c}) % {PR.MODULUS}) * {f}' for c, f in _FACTORS.items())} + {SEED}) % {PR.MODULUS} * {PR.SPREAD} % {PR.MODULUS}), negative"
 
 
 @query("triplets_all", f"WITH {_TRIPLET_SQL} SELECT {_T} FROM tr")
@@ -81,12 +82,12 @@ def triplets_hardest(spark, sf):
     return _triplets(spark, sf, "hardest")
 
 
-@query("triplets_semihard", _PICK.format(where=f"loss > 0 AND loss < {MARGIN}", order=_MD5) + f"SELECT {_T} FROM res")
+@query("triplets_semihard", _PICK.format(where=f"loss > 0 AND loss < {MARGIN}", order=_DRAW) + f"SELECT {_T} FROM res")
 def triplets_semihard(spark, sf):
     return _triplets(spark, sf, "semihard")
 
 
-@query("triplet_hinge", _PICK.format(where="loss > 0", order=_MD5) + f"SELECT round(avg(greatest(0, d_pos - d_neg + {MARGIN})), 6) AS loss, count(*) AS n_triplets FROM res")
+@query("triplet_hinge", _PICK.format(where="loss > 0", order=_DRAW) + f"SELECT round(avg(greatest(0, d_pos - d_neg + {MARGIN})), 6) AS loss, count(*) AS n_triplets FROM res")
 def triplet_hinge(spark, sf):
     return PR.triplet_hinge(mined(spark, sf, "random"), MARGIN).withColumn("loss", F.round("loss", 6))
 

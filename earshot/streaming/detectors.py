@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+#: Length of the stretches of event time in which frames wait.
+BUCKET_MS = 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,7 +25,9 @@ class MachineProcessor(StatefulProcessor):
 
     With ``buffered`` frames wait in state until the watermark has passed them
     and are then handled in time order; without it each micro-batch is sorted
-    and handled at once, which suits sources that deliver in order.
+    and handled at once, which suits sources that deliver in order. Waiting
+    frames lie in stretches of event time, each an entry of a map with one
+    timer, at its end; a timer reads and removes its own entries only.
     """
 
     def __init__(self, machine, keys, order, columns, fields, buffered):
@@ -33,7 +37,7 @@ class MachineProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.state = handle.getValueState("machine", "body string")
         if self.buffered:
-            self.waiting = handle.getListState("waiting", "body string")
+            self.waiting = handle.getMapState("waiting", "bucket bigint", "body string")
         self.handle = handle
 
     def _advance(self, key, frames: list[list]) -> pd.DataFrame:
@@ -56,19 +60,25 @@ class MachineProcessor(StatefulProcessor):
         if not self.buffered:
             yield self._advance(key, frames)
             return
-        self.waiting.appendList([(json.dumps(f),) for f in frames])
-        for due in {int(f[0] // 1000) for f in frames}:
-            self.handle.registerTimer(due)
+        by_bucket: dict[int, list[list]] = {}
+        for frame in frames:
+            by_bucket.setdefault(int(frame[0] // (1000 * BUCKET_MS)), []).append(frame)
+        for bucket, new in by_bucket.items():
+            if self.waiting.containsKey((bucket,)):
+                new = json.loads(self.waiting.getValue((bucket,))[0]) + new
+            else:
+                self.handle.registerTimer((bucket + 1) * BUCKET_MS)
+            self.waiting.updateValue((bucket,), (json.dumps(new),))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs()
-        held = [json.loads(b[0]) for b in self.waiting.get()]
-        ready = [f for f in held if f[0] // 1000 <= limit]
-        if not ready:
+        # timers of one key come in the order of their times
+        bucket = (expiredTimerInfo.getExpiryTimeInMs() // BUCKET_MS - 1,)
+        if not self.waiting.containsKey(bucket):
             yield pd.DataFrame()
             return
-        self.waiting.put([(json.dumps(f),) for f in held if f[0] // 1000 > limit]) if len(ready) < len(held) else self.waiting.clear()
+        ready = json.loads(self.waiting.getValue(bucket)[0])
+        self.waiting.removeKey(bucket)
         yield self._advance(key, ready)
 
     def close(self) -> None:
