@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import rolling
 from earshot.llm.components import components
-from earshot.llm.store import Forest, Scratch, arrow_map, grouped, text_chunks, with_row_key
+from earshot.llm.store import Forest, Scratch, arrow_map, grouped, numbered, text_chunks, without
 
 CHUNK_BYTES = 1 << 19
 BANDS, ROWS = 25, 5
@@ -235,10 +235,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     is the smallest doc_id reachable; ``kept`` says that it is the row's own. Repeated rows share their component, so
     repeated rows with one doc_id are all kept or all not; ``first`` holds for exactly one row of every component, and
     for every row that links nothing. A row without doc_id links nothing and has a null component and ``kept`` null.
-    ``row_key`` is the row's number by ``with_row_key``.
+    ``row_key`` numbers the rows; they are numbered and written once, and every pass reads that table.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    docs = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
+    return _grouped(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), scratch), shingle, percent, scratch)
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are first in their component (see ``near_duplicates``), with all their columns."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    rows = numbered(without(docs, "row_key"), scratch)
+    known = rows.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first = _grouped(known, shingle, percent, scratch).where("first").select("row_key")
+    return rows.join(first, "row_key", "left_semi").drop("row_key")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     rows = scratch.write(_sketches(docs.select("row_key", "doc_id", "text"), shingle), "sketches")
     named = rows.where("doc_id is not null and n_shingles > 0")
     sets = scratch.write(

@@ -12,9 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one is chosen only where the setting is missing, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -23,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
+
 class Scratch:
     """Intermediate tables of one call, written to the shared folder under a name of their own.
 
@@ -50,9 +53,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """A number per row that stays the same when a task is repeated (input split and place in it)."""
+    """A number per row (input split and place in it), for a plan that is run once: another read of the same table may
+    split it otherwise, as splits follow the cores that are there."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
+
+def numbered(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with ``row_key``, written once; all passes over that table see the same numbers."""
+    return scratch.write(with_row_key(df), "numbered")
+
+
 def text_chunks(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column whose bytes stay near ``max_bytes``; a longer row is alone."""
     begin = size = 0
@@ -65,6 +75,7 @@ def text_chunks(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     if begin < len(lengths):
         yield begin, len(lengths)
 
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -76,7 +87,6 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-
 def grouped(
     df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[tuple[int, int]]], Iterator[pa.RecordBatch]], schema: str,
     max_rows: int = 20_000,
