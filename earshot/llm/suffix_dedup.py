@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm import rolling
-from earshot.llm.store import Scratch, arrow_map, text_chunks, with_row_key, without
+from earshot.llm.store import Scratch, arrow_map, numbered, text_chunks, without
 
 CHUNK_BYTES = 1 << 19
 #: Starts per cell on the middle level.
@@ -231,10 +231,10 @@ def remove_repeats(docs: DataFrame, window: int = 400, as_text: bool = False) ->
 
     Removes each byte that lies in a string of ``window`` bytes which starts somewhere else too, the same row
     included. Null and shorter texts lose nothing (null: no bytes). Repeated rows remove each other. Other columns stay,
-    but for any named like a new one. ``docs`` must be a table or another plan that repeats its rows in the same order.
+    but for any named like a new one. The rows are numbered and written once; every pass reads that table.
     """
-    keyed = with_row_key(without(docs, "row_key", "spans", "kept", "n_bytes", "n_removed", "n_spans"))
     scratch = Scratch(docs.sparkSession, "suffixes")
+    keyed = numbered(without(docs, "row_key", "spans", "kept", "n_bytes", "n_removed", "n_spans"), scratch)
     spans = repeated_spans(keyed.select("row_key", F.col("text")), window, scratch)
     merged = spans.groupBy("row_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = keyed.join(merged, "row_key", "left").drop("row_key")
