@@ -28,7 +28,7 @@ BLOCK = 2048
 
 def table_shape(n: int, cosine: float) -> tuple[int, int]:
     """Bits and tables for ``n`` classes."""
-    bits = min(32, max(10, math.ceil(math.log2(max(n, 2)))))
+    bits = max(10, math.ceil(math.log2(max(n, 2))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log1p(-same))
 
@@ -59,7 +59,7 @@ def _classes(rows: DataFrame) -> DataFrame:
 def _codes(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     planes = np.random.default_rng([bits, tables, vectors.shape[1]]).standard_normal((vectors.shape[1], tables * bits))
     signs = (vectors @ planes >= 0).reshape(len(vectors), tables, bits)
-    return (signs * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2).astype("<u4")
+    return (signs * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2).astype("<u8")
 
 
 def _coded(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _compare(members: DataFrame, cosine: float) -> DataFrame:
             # scaled first, so that tiny and huge components neither vanish nor overflow
             v = v / np.abs(v).max(axis=1, keepdims=True)
             v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-            codes = np.frombuffer(b"".join(coded[begin:end]), "<u4").reshape(n, -1)
+            codes = np.frombuffer(b"".join(coded[begin:end]), "<u8").reshape(n, -1)
             hit = v @ v.T >= cosine
             if side[begin:end].any():
                 hit &= side[begin:end, None] != side[None, begin:end]
@@ -124,13 +124,15 @@ def link_vectors(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     Rows with equal labels are linked when their cosine reaches ``cosine``. A null label, a null or zero vector, null
     or non-finite components and another length link with nothing; a null vec_id too (its component is null).
-    ``n_links`` counts the other rows linked directly; rows that repeat count one by one.
+    ``n_links`` counts the other rows linked directly; rows that repeat count one by one, and rows that share a vec_id
+    but not label and vector have links of their own.
     """
     scratch = Scratch(rows.sparkSession, "vectors")
     own = scratch.write(_classes(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")), "rows")
     usable = own.where("vec_id is not null and label is not null and vector is not null")
-    classes = scratch.write(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
-    # repeated vec_ids may stand for several classes: those share their links, as they share their id
+    # classes have numbers of their own, as several may share their least vec_id
+    alike = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    classes = scratch.write(alike.withColumn("rep", F.monotonically_increasing_id()), "classes")
     bits, tables = table_shape(classes.count(), cosine)
     coded = _coded(classes, bits, tables)
     shared = coded.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -146,9 +148,12 @@ def link_vectors(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     found = scratch.write(_compare(met, cosine), "found")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     linked = components(found.where("b is not null").select("a", "b"), scratch, "links")
+    placed = classes.select("rep", "least").join(linked.withColumnRenamed("node", "rep"), "rep")
+    heads = placed.groupBy("component").agg(F.min("least").alias("head"))
+    headed = placed.join(heads, "component").select("rep", "head")
     known = (
-        classes.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        classes.join(counts, "rep", "left").join(headed, "rep", "left")
+        .select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("head", "least").alias("component"))
     )
     free = own.join(known, ["label", "vector"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
