@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.store import arrow_map, with_row_key
+from earshot.llm.store import arrow_map
 
 #: Labelled pages of the fit (those with the least hash of their id).
 FIT_PAGES = 2_000
@@ -125,6 +125,8 @@ def tokens(page: str) -> list[Token]:
     stack: list[Element] = []
     places: list[int] = []
     elements: list[Element] = []
+    # open elements by tag, so that an end without a beginning costs nothing
+    open_tags: Counter[str] = Counter()
 
     def state() -> tuple[int, bool, tuple[str, ...]]:
         if not stack:
@@ -142,11 +144,11 @@ def tokens(page: str) -> list[Token]:
 
     def close(to: int) -> None:
         while len(stack) > to:
-            stack.pop()
+            open_tags[stack.pop().tag] -= 1
             places.pop()
 
     at = 0
-    for _ in iter(int, 1):
+    while True:
         start = page.find("<", at)
         if start < 0:
             text(page[at:])
@@ -164,21 +166,22 @@ def tokens(page: str) -> list[Token]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if open_tags[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             inside, main, context = state()
             out.append(Token("/" + tag, None, False, main, context, inside))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == "p":
                     close(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
-        if tag in CLOSES_OWN:
+        if tag in CLOSES_OWN and any(open_tags[t] for t in (("dt", "dd") if tag in ("dt", "dd") else (tag,))):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag or (tag in ("dt", "dd") and stack[k].tag in ("dt", "dd")):
                     close(k)
@@ -208,6 +211,7 @@ def tokens(page: str) -> list[Token]:
         if tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             stack.append(element)
             places.append(len(elements) - 1)
+            open_tags[tag] += 1
     skipped = skipped_elements(elements)
     for t in out:
         t.skipped = t.inside >= 0 and skipped[t.inside]
@@ -283,11 +287,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def fit(pages: DataFrame) -> dict[str, float]:
     """Log odds of tokens by the names around them, on at most ``FIT_PAGES`` pages that mark their main text."""
-    keyed = with_row_key(pages.select("page_id", "url", "html"))
-    marked = keyed.where("lower(html) rlike '<article|<main|role=.?main'")
-    # numbers alone are sorted; the pages of the chosen ones are fetched by a second read
-    chosen = marked.select("row_key", F.xxhash64("page_id", "url").alias("place")).orderBy("place", "row_key").limit(FIT_PAGES)
-    labelled = keyed.join(F.broadcast(chosen.select("row_key")), "row_key")
+    placed = pages.select(F.xxhash64("page_id", "url", "html").alias("place"), "html")
+    marked = placed.where("lower(html) rlike '<article|<main|role=.?main'")
+    # numbers alone are sorted; the pages of the chosen ones are fetched by a second read, repeated pages once
+    chosen = marked.select("place").distinct().orderBy("place").limit(FIT_PAGES)
+    labelled = placed.join(F.broadcast(chosen), "place").dropDuplicates(["place"])
 
     def run(batch):
         counts: Counter[tuple[str, bool]] = Counter()
@@ -308,9 +312,8 @@ def fit(pages: DataFrame) -> dict[str, float]:
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outside")
     )
     odds = F.round(F.log((F.col("inside") + 1) / (F.col("outside") + 1)), 4)
-    # the most frequent names of a bounded sample
-    top = sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(5_000).select("feature", odds.alias("weight")).collect()
-    return {r["feature"]: max(-3.0, min(3.0, r["weight"])) for r in top}
+    # the names of at most FIT_PAGES pages
+    return {r["feature"]: max(-3.0, min(3.0, r["weight"])) for r in sums.select("feature", odds.alias("weight")).collect()}
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -319,7 +322,7 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     Character references are decoded, white space inside a block becomes one space, blocks follow one another on lines
     of their own in page order. Repeated pages are extracted like any other; other columns are left out.
     """
-    known = pages.sparkSession.sparkContext.broadcast(weights)  # at most 5,000 numbers
+    known = pages.sparkSession.sparkContext.broadcast(weights)  # a number per name of the fit's pages
 
     def run(batch):
         for begin in range(0, batch.num_rows, 200):

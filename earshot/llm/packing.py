@@ -122,8 +122,8 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = 1024, end
 
     ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: the piece holds the ids from ``start`` on of its
     row, at ``offset`` in its sequence; ``ids`` are little-endian 16-bit. A row is its ids and then ``end_id``; null and
-    empty texts are ``end_id`` alone. Repeated rows and rows without doc_id are packed like any other. ``docs`` must be
-    a table or another plan that repeats its rows in the same order.
+    empty texts are ``end_id`` alone. Repeated rows and rows without doc_id are packed like any other. ``docs`` is
+    read once.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))

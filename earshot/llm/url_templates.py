@@ -39,6 +39,8 @@ def rule_of(rules: list[tuple[str, str, str]]) -> tuple[str, str]:
     """SQL for the longest fitting rule and its verdict, from (verdict, host, path)."""
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     cases = [(f"(host = '{h}' or endswith(host, '.{h}')) and startswith(path, '{p}')", h + p, v) for v, h, p in ordered]
+    if not cases:
+        return ("cast(null as string)",) * 2
     return tuple("case " + " ".join(f"when {c} then '{(r, v)[i]}'" for c, r, v in cases) + " end" for i in (0, 1))
 
 

@@ -1,16 +1,20 @@
 """Merkle manifest, line dedup and spelling variants against plain Python, with the awkward cases."""
 
+import collections
 import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.llm import line_dedup, merkle, spelling
+from earshot.llm import html_text, line_dedup, merkle, minhash, spelling, suffix_dedup, url_templates
+from earshot.llm.embedding_dedup import link_vectors
+from earshot.llm.store import Scratch
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, row string, part string, tree string, kept string"
@@ -234,3 +238,64 @@ def test_reach_finds_every_neighbour():
             one = np.abs(step).max() == 1 and len(down) == 1
             if one and (len(up) == 1 and down[0] < up[0] if replaced else len(up) == 0):
                 assert (a, b) in found
+
+
+@pytest.fixture
+def shifting_splits(spark, monkeypatch):
+    """Other file splits after every written table, as when cores come and go between two jobs."""
+    turn, plain = itertools.count(1), Scratch.write
+
+    def write(self, df, name):
+        out = plain(self, df, name)
+        n = next(turn)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1 + 7 * n % 23)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1 + 4096 * (n * 37 % 101))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    yield
+    for name in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(name)
+
+
+def test_splits_may_change_between_reads(spark, tmp_path, shifting_splits):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(300)}" for _ in range(80)) for _ in range(30)]
+    rows = [(i, (base[i] if i < 30 else rng.choice(base)) + ("" if i % 3 else f" tail{i}")) for i in range(150)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(24).write.parquet(path)
+    docs = spark.read.parquet(path)
+    groups = {}
+    for r in minhash.near_duplicates(docs, 5, 80).collect():
+        groups.setdefault(r.component_id, set()).add(r.doc_id)
+    words = dict(rows)
+    stems = {}
+    for i, text in words.items():
+        stems.setdefault(text.split(" tail")[0], set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, stems.values()))
+    assert minhash.first_of_each(docs).count() == len(stems)
+    out = suffix_dedup.remove_repeats(docs, 60).collect()
+    count = collections.Counter()
+    for text in words.values():
+        count.update({(text[k : k + 60], k) for k in range(len(text) - 59)})
+    assert len(out) == 150 and all(r.n_removed >= len(words[r.doc_id].split(" tail")[0]) for r in out if len(stems[words[r.doc_id].split(" tail")[0]]) > 1)
+
+
+def test_vectors_that_share_an_id(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0, 2.0]
+    rows = [(1, v, "a"), (1, v, "b"), (2, v, "a"), (3, w, "a"), (3, v, "c"), (3, [2.0, 0.0, 0.0], "c"), (4, w, "a")]
+    out = link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert got == sorted([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 3, False)])
+
+
+def test_urls_without_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string")
+    assert {(r.page_id, r.rule, r.verdict) for r in url_templates.judge(pages, []).collect()} == {(1, None, "allow"), (2, None, "allow")}
+
+
+def test_deep_and_unmatched_html():
+    deep = "<div>" * 20_000 + "</b></i></section>" * 20_000 + "<p>some words here</p>"
+    begin = time.perf_counter()
+    assert html_text.main_text(deep, {}) == "some words here"
+    assert time.perf_counter() - begin < 5
