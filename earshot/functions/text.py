@@ -29,6 +29,16 @@ def normalize_word(word: Column) -> Column:
     return F.regexp_replace(upper, r"^[^A-Z'<]+|[^A-Z'>]+$", "")
 
 
+def safe_float(text: Column) -> Column:
+    """The number that a text holds, NaN where it holds none."""
+    return F.coalesce(F.trim(text).try_cast("double"), F.lit(float("nan")))
+
+
+def clean_text(text: Column) -> Column:
+    """A quoted text less doubled quotes and outer blanks."""
+    return F.trim(F.replace(text, F.lit('""'), F.lit('"')))
+
+
 def is_visible(word: Column) -> Column:
     """True for a normalised word that is neither empty nor a noise marker."""
     return ~word.isin(*presets.NOISE_WORDS)

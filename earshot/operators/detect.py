@@ -221,6 +221,11 @@ class SegmentMachine:
         return hit, rest, kept, [place[end], position[end] - length + 1, position[end], speech, score, fired]
 
 
+def after_first_window(frames: DataFrame, position: str, window_frames: int) -> DataFrame:
+    """Frames from the one that fills the window on, numbered from 1: before it a detector neither scores nor smooths."""
+    return frames.filter(F.col(position) >= window_frames).withColumn(position, F.col(position) - (window_frames - 1))
+
+
 def _chain(at: np.ndarray, free: np.ndarray, entry: int) -> tuple[list[int], int]:
     """Candidates that a sequential pass entering at position ``entry`` goes through, and the position it leaves with."""
     taken = []

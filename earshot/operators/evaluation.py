@@ -231,3 +231,13 @@ def aggregate_windows(scores: DataFrame, keys: list[str], score: str) -> DataFra
         F.sum(F.exp(F.col(score) - F.col("max_logit"))).alias("_mass"),
     )
     return shifted.withColumn("logsumexp", F.log("_mass") + F.col("max_logit")).drop("_mass")
+
+
+def aggregated_scores(scores: DataFrame, keys: list[str], score: str, by: str) -> DataFrame:
+    """``score`` per sample and class by the named rule: max_logit, logsumexp or mean_logit."""
+    if by not in ("max_logit", "logsumexp", "mean_logit"):
+        raise ValueError(f"no such aggregation: {by}")
+    if by == "logsumexp":
+        return aggregate_windows(scores, keys, score).select(*keys, F.col(by).alias(score))
+    rule = F.max if by == "max_logit" else F.avg
+    return scores.groupBy(*keys).agg(rule(score).alias(score))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot import presets
@@ -49,6 +49,27 @@ def class_role(label: Column, positives: list[str], negatives: list[str]) -> Col
     )
 
 
+def task_presets(spark: SparkSession) -> DataFrame:
+    """``task, label, role``: the word lists of the named tasks, positive and negative ones."""
+    rows = [(task, word, role) for task, lists in presets.TASKS.items() for role, words in zip(("positive", "negative"), lists) for word in words]
+    return spark.createDataFrame(rows, "task string, label string, role string")
+
+
+def records_of_tasks(records: DataFrame, label: str, tasks: list[str]) -> DataFrame:
+    """Records whose label belongs to one of ``tasks``, once per task, with ``task`` and ``role``."""
+    unknown = [t for t in tasks if t not in presets.TASKS]
+    if unknown:
+        raise ValueError(f"no such task: {', '.join(unknown)}")
+    wanted = task_presets(records.sparkSession).filter(F.col("task").isin(*tasks)).withColumnRenamed("label", label)
+    return records.join(wanted, label)
+
+
+def group_by_prefix(name: Column, groups: dict[str, str]) -> Column:
+    """The group whose prefix ``name`` has, the first that fits; NULL without one."""
+    hits = [F.when(name.startswith(prefix), group) for prefix, group in groups.items()]
+    return F.coalesce(*hits)
+
+
 def partition_by_class(records: DataFrame, classes: list[str], label: str = "label"):
     """(matching records, remaining records)."""
     hit = F.coalesce(F.col(label).isin(*classes), F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot import presets
+from earshot.functions import text as T
 from earshot.functions import arrays, hashing, text
 from earshot.operators import records as R
 from earshot.operators import splits as S
@@ -57,6 +58,38 @@ def class_filter(spark, sf):
     return read_table(spark, sf, "part").select("p_partkey", R.class_role(label, *PART_CLASSES).alias("role"))
 
 
+TASKS = ["GSC35", "GSC10", "UASpeech12", "UASpeech22", "UASpeech5"]
+_TASK_VALUES = ", ".join(
+    f"('{t}', '{w}', '{role}')" for t in TASKS for role, words in zip(("positive", "negative"), presets.TASKS[t]) for w in words
+)
+
+
+@query("task_words", f"""
+WITH t(task, label, role) AS (VALUES {_TASK_VALUES}),
+w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS label FROM conversations)
+SELECT task, label, role, count(*) AS n, count(DISTINCT conv_id) AS n_conversations FROM w JOIN t USING (label) GROUP BY ALL
+""")
+def task_words(spark, sf):
+    """Spoken words of the named tasks, by task and role."""
+    words = read_table(spark, sf, "conversations").select("conv_id", F.explode(F.split("text", " ")).alias("label"))
+    spoken = R.records_of_tasks(words, "label", TASKS)
+    return spoken.groupBy("task", "label", "role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("n_conversations"))
+
+
+@query("prefix_groups", """
+SELECT c_custkey, CASE WHEN starts_with(c_mktsegment, 'F') THEN 'control' WHEN starts_with(c_mktsegment, 'M') THEN 'patient' END AS grp,
+ coalesce(TRY_CAST(trim(split_part(c_name, '#', 2)) AS DOUBLE), 'nan'::DOUBLE) AS number, 'nan'::DOUBLE AS no_number,
+ trim(replace('"' || '"' || c_mktsegment || ' ', '""', '"')) AS label FROM customer
+""")
+def prefix_groups(spark, sf):
+    quoted = F.concat(F.lit('""'), "c_mktsegment", F.lit(" "))
+    return read_table(spark, sf, "customer").select(
+        "c_custkey", R.group_by_prefix(F.col("c_mktsegment"), {"F": "control", "M": "patient"}).alias("grp"),
+        T.safe_float(F.split_part("c_name", F.lit("#"), F.lit(2))).alias("number"), T.safe_float(F.col("c_name")).alias("no_number"),
+        T.clean_text(quoted).alias("label"),
+    )
+
+
 @query("label_encode", f"""
 WITH {V.RECORD_SQL}, d AS (SELECT DISTINCT label FROM rec),
 x AS (SELECT label,

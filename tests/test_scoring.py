@@ -11,6 +11,8 @@ from earshot.operators import evaluation as E
 from earshot.operators import pairs as PR
 from earshot.operators import prototypes as P
 from earshot.operators import records as R
+from earshot.operators import splits as S
+from earshot.operators.classifiers import classifier
 
 
 @pytest.fixture(scope="module")
@@ -175,3 +177,37 @@ def test_confusion_grid_of_many_classes(spark):
     rows = [(i % 300, (i * 7) % 300) for i in range(3000)]
     out = E.confusion(spark.createDataFrame(rows, "true_cls int, pred_cls int"), []).filter("n > 0").collect()
     assert {(r.true_cls, r.pred_cls): r.n for r in out} == {p: rows.count(p) for p in set(rows)}
+
+
+def test_classifiers_by_name(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 3, [rng.gauss(5.0 * (i % 3 == d), 0.4) for d in range(4)]) for i in range(60)]
+    support, queries = (spark.createDataFrame(r, "id long, cls int, z array<double>") for r in (rows[:36], rows[36:]))
+    for name, options in (("ncm", {"reject": (2,)}), ("ncm_openmax", {"reject": (2,)}), ("ncm_openmax", {"reject": (2,), "distance": "combined"}), ("dproto", {"reject": (2,)})):
+        fitted = classifier(name, dim=4, n_way=3, **options).fit(support, "cls", "z", "id")
+        out = fitted.predict(queries, "z", ["id", "cls"]).collect()
+        assert len(out) == 24 and set(fitted.tables) == {"prototypes"}
+        for r in out:
+            assert 0 <= r.ood <= 1 and r.close_max <= r.conf + 1e-12
+        if name != "ncm_openmax":
+            assert all((r.pred == r.cls) or (r.cls == 2 and r.pred == -1) for r in out)
+    with pytest.raises(ValueError):
+        classifier("peeler", dim=4, n_way=3)
+
+
+def test_aggregation_by_name(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 0, 3.0), (1, 1, 2.0)], "id long, cls int, s double")
+    got = {by: sorted((r.cls, round(r.s, 6)) for r in E.aggregated_scores(df, ["id", "cls"], "s", by).collect()) for by in ("max_logit", "mean_logit", "logsumexp")}
+    assert got["max_logit"] == [(0, 3.0), (1, 2.0)] and got["mean_logit"] == [(0, 2.0), (1, 2.0)] and got["logsumexp"] == [(0, 3.126928), (1, 2.0)]
+
+
+def test_support_by_number(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(100)] + [(500, 7)], "id long, cls int")
+    episodes = spark.createDataFrame([(e, c) for e in range(40) for c in (0, 1, 7)], "episode int, cls int")
+    out = S.episode_support(rows, episodes, "cls", "id", 4, 3).collect()
+    picked = {}
+    for r in out:
+        picked.setdefault((r.episode, r.cls), []).append(r.id)
+    assert all(len(set(v)) == len(v) == (1 if c == 7 else 4) for (_, c), v in picked.items()) and len(picked) == 120
+    # every row is as likely as any other
+    assert len({i for (_, c), v in picked.items() if c == 0 for i in v}) > 30
