@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import minhash, packing, pii, suffix_dedup, toxicity
 from earshot.llm.queries.packing import PATTERN, RANKS
-from earshot.llm.store import Scratch, table, with_row_key
+from earshot.llm.store import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of a repeated string that is cut: 50 short words.
@@ -26,8 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8); texts without words all stay."""
-    first = minhash.near_duplicates(docs, shingle=5, percent=80).where("first").select("row_key")
-    return with_row_key(docs.select(COLUMNS)).join(first, "row_key", "left_semi").select(COLUMNS)
+    return minhash.first_of_each(docs.select(COLUMNS), shingle=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
