@@ -210,47 +210,47 @@ def _since(items: DataFrame, key: str, eps: float, block_rows: int) -> DataFrame
 
 def runs_with_overlaps(
     items: DataFrame, others: DataFrame, key: str, lengths: list[int], text: str, carried: dict[str, str] | None = None,
-    bin_seconds: float = 600.0, eps: float = 1e-5, block_rows: int = 4096,
+    with_texts: bool = True, bin_seconds: float = 600.0, eps: float = 1e-5, block_rows: int = 4096,
 ) -> DataFrame:
     """Runs of consecutive items with the places and codes of the other tier that they overlap.
 
     Both sides have (key, pos, start, end, text, code); the other tier is looked up once per item, not once per run: a
     run takes what its first item overlaps and what begins within the others, counted from the item before. Returns (key, pos of the
-    first item, n, start, end, texts, code of the items, lo, hi, heard: the codes of the other tier, and the ``carried``
+    first item, n, start, end, texts where asked for, code of the items, lo, hi, heard: the codes of the other tier, and the ``carried``
     columns at its first or last place).
     """
     carried = carried or {}
-    placed = overlapped(_since(items.select(key, "pos", "start", "end", text, "code"), key, eps, block_rows), others, key, carried, bin_seconds, eps)
+    extra = [text, "code"] if with_texts else ["code"]
+    placed = overlapped(_since(items.select(key, "pos", "start", "end", *extra), key, eps, block_rows), others, key, carried, bin_seconds, eps)
     longest = max(lengths)
     # a run is told by its first row, so blocks hold the rows that follow
     blocks = with_margins(placed, "pos", 0, longest - 1, block_rows)
     along = Window.partitionBy(key, "block").orderBy("pos")
-    fields = ["end", text, "code", "near_lo", "near_hi", "near", *(f"near_{c}" for c in carried)]
-    ahead = F.struct(*fields)
-    for k in range(1, longest):
-        blocks = blocks.withColumn(f"_next{k}", F.lead(ahead, k).over(along))
-    blocks = blocks.filter("is_own")
+    # columns of their own, so that a reader of the spellings alone looks ahead for nothing else
+    fields = ["end", *extra, "near_lo", "near_hi", "near", *(f"near_{c}" for c in carried)]
+    ahead = {f"_{c}_{k}": F.lead(c, k).over(along) for k in range(1, longest) for c in fields}
+    blocks = blocks.withColumns(ahead).filter("is_own")
 
     def run(n: int) -> Column:
-        rest = [F.col(f"_next{k}") for k in range(1, n)]
-        firsts = lambda c: F.coalesce(F.col(f"own_{c}"), *(r[f"near_{c}"] for r in rest))
-        lasts = lambda c: F.coalesce(*(r[f"near_{c}"] for r in reversed(rest)), F.col(f"own_{c}"))
-        ends = [F.col("end"), *(r["end"] for r in rest)]
+        rest = lambda c: [F.col(f"_{c}_{k}") for k in range(1, n)]
+        firsts = lambda c: F.coalesce(F.col(f"own_{c}"), *rest(f"near_{c}"))
+        lasts = lambda c: F.coalesce(*reversed(rest(f"near_{c}")), F.col(f"own_{c}"))
         return F.struct(
-            F.lit(n).alias("n"), (F.greatest(*ends) if rest else ends[0]).alias("end"), F.array(F.col(text), *(r[text] for r in rest)).alias("texts"),
-            F.concat(F.col("code"), *(r["code"] for r in rest)).alias("code"), firsts("lo").alias("lo"), lasts("hi").alias("hi"),
-            F.concat(F.col("own"), *(r["near"] for r in rest)).alias("heard"),
+            F.lit(n).alias("n"), (F.greatest("end", *rest("end")) if n > 1 else F.col("end")).alias("end"),
+            *([F.array(text, *rest(text)).alias("texts")] if with_texts else []),
+            F.concat("code", *rest("code")).alias("code"), firsts("lo").alias("lo"), lasts("hi").alias("hi"),
+            F.concat("own", *rest("near")).alias("heard"),
             *((firsts if which == "first" else lasts)(c).alias(c) for c, which in carried.items()),
         )
 
-    whole = [F.when(F.col(f"_next{n - 1}").isNotNull() if n > 1 else F.lit(True), run(n)) for n in lengths]
+    whole = [F.when(F.col(f"_code_{n - 1}").isNotNull() if n > 1 else F.lit(True), run(n)) for n in lengths]
     return blocks.select(key, "pos", "start", F.explode(F.array_compact(F.array(*whole))).alias("r")).select(key, "pos", "start", "r.*")
 
 
-def _listed(spans: DataFrame, others: DataFrame, key: str, out: str) -> DataFrame:
-    """``spans`` (with ``_span``, lo and hi) with the texts of the other tier at these places, in order."""
-    places = spans.filter("lo IS NOT NULL").select(key, "_span", F.explode(F.sequence("lo", "hi")).alias("pos"))
-    texts = places.join(others.select(key, "pos", "text"), [key, "pos"]).groupBy("_span").agg(
+def _listed(spans: DataFrame, tier: DataFrame, key: str, out: str, low: str, high: str) -> DataFrame:
+    """``spans`` (with ``_span``) with the texts of a tier at the places from ``low`` to ``high``, in order."""
+    places = spans.filter(F.col(low).isNotNull()).select(key, "_span", F.explode(F.sequence(low, high)).alias("pos"))
+    texts = places.join(tier.select(key, "pos", "text"), [key, "pos"]).groupBy("_span").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias(out)
     )
     return spans.join(texts, "_span", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
@@ -328,17 +328,17 @@ def mine_candidates(
         entry(short, "reco_phoneme_similar", gram),
     ))
     from_words = sound.withColumn("_e", F.explode(entries)).select(
-        "utt_id", "start", "end", "texts", F.col("heard").alias("spelled"), "lo", "hi", F.col("_e.category").alias("category"),
+        "utt_id", "pos", "n", "start", "end", F.col("heard").alias("spelled"), "lo", "hi", F.col("_e.category").alias("category"),
         F.col("_e.rule").alias("rule"), T.phrase_hits(F.array_join("texts", " "), phrase_blacklist).alias("listed"),
     )
     # Phone runs: four to seven phones; their words are those overlapping in time.
     edged = _phrase_edges(plain, "utt_id", phrase_blacklist)
     spoken = runs_with_overlaps(
-        coded, edged, "utt_id", [4, 5, 6, 7], "text", {"begins": "first", "closes": "last"}, bin_seconds=bin_seconds
+        coded, edged, "utt_id", [4, 5, 6, 7], "text", {"begins": "first", "closes": "last"}, False, bin_seconds
     )
     n_words = F.col("hi") - F.col("lo") + 1
     from_phones = spoken.select(
-        "utt_id", "start", "end", "texts", F.col("code").alias("spelled"), "lo", "hi", F.lit(PHONE_RUNS).alias("category"),
+        "utt_id", "pos", "n", "start", "end", F.col("code").alias("spelled"), "lo", "hi", F.lit(PHONE_RUNS).alias("category"),
         F.lit("local_phone_ngram").alias("rule"),
         F.coalesce((F.col("begins") <= n_words) | (F.col("closes") <= n_words), F.lit(False)).alias("listed"),
     )
@@ -347,11 +347,17 @@ def mine_candidates(
         targets, category_targets, wake_targets,
     )
     kept = materialize(kept.withColumn("_span", F.monotonically_increasing_id()))
-    # only what is kept needs the texts of the other tier
-    by_words = _listed(kept.filter(F.col("category") != PHONE_RUNS), phones, "utt_id", "phones").withColumnRenamed("texts", "words")
-    by_phones = _listed(kept.filter(F.col("category") == PHONE_RUNS), words, "utt_id", "words").withColumnRenamed("texts", "phones")
+    # only what is kept needs texts: those of its own items and of what it overlaps
+    is_phones = F.col("category") == PHONE_RUNS
+    kept = kept.withColumns({"own_lo": F.col("pos"), "own_hi": F.col("pos") + F.col("n") - 1})
+
+    def texts(rows: DataFrame, own: DataFrame, own_name: str, other: DataFrame, other_name: str) -> DataFrame:
+        return _listed(_listed(rows, own, "utt_id", own_name, "own_lo", "own_hi"), other, "utt_id", other_name, "lo", "hi")
+
+    by_words = texts(kept.filter(~is_phones), words, "words", phones, "phones")
+    by_phones = texts(kept.filter(is_phones), phones, "phones", words, "words")
     by_phones = by_phones.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("<PHONE_SPAN>"))))
-    out = by_words.unionByName(by_phones).drop("_span", "lo", "hi", "listed")
+    out = by_words.unionByName(by_phones).drop("_span", "pos", "n", "lo", "hi", "own_lo", "own_hi", "listed")
     return out.withColumn("phrase", F.array_join("words", " "))
 
 
