@@ -213,20 +213,22 @@ def with_margins(df: DataFrame, position: str, before: int, after: int, block_ro
     at = F.col(position) - 1
     own = F.floor(at / F.lit(block_rows)).cast("bigint")
     offset = F.pmod(at, F.lit(block_rows))
-    shared = F.array(own, F.when(offset >= block_rows - before, own + 1), F.when((offset < after) & (own > 0), own - 1))
-    return df.withColumn("_own", own).withColumn("block", F.explode(F.array_compact(shared))).withColumn(
+    # columns alone, without a function per row: this is passed by every row of a series
+    low = own - ((offset < after) & (own > 0)).cast("bigint")
+    high = own + (offset >= block_rows - before).cast("bigint")
+    return df.withColumn("_own", own).withColumn("block", F.explode(F.sequence(low, high))).withColumn(
         "is_own", F.col("block") == F.col("_own")
     ).drop("_own")
 
 
-def map_groups(
-    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, int, int], pa.RecordBatch | None], schema: str,
+def map_stretches(
+    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, list[int]], pa.RecordBatch | None], schema: str,
     stretch_rows: int = 65_536,
 ) -> DataFrame:
-    """``fn(rows, begin, end)`` for every group of equal ``keys``, sorted by ``order``, as one Arrow pass.
+    """``fn(rows, bounds)`` for stretches of whole groups of equal ``keys``, sorted by ``order``, as one Arrow pass.
 
-    Spark deals out and sorts the groups; a task holds a stretch of whole groups, or one longer group. Groups cost a
-    slice each, so many small ones are cheap.
+    Spark deals out and sorts the groups; a task holds a stretch of whole groups, or one longer group. Group ``i`` has
+    the rows from ``bounds[i]`` to ``bounds[i + 1]``.
     """
     n_keys = len(keys)
 
@@ -240,16 +242,10 @@ def map_groups(
         return [0, *(np.flatnonzero(differs) + 1).tolist(), rows.num_rows]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        def finished(rows: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
-            for begin, end in zip(bounds[:-1], bounds[1:]):
-                out = fn(rows, begin, end)
-                if out is not None and out.num_rows:
-                    yield out
-
-        def merged(rows: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
-            found = list(finished(rows, bounds))
-            if found:
-                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+        def told(rows: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+            out = fn(rows.slice(0, bounds[-1]), bounds)
+            if out is not None and out.num_rows:
+                yield out
 
         held, n = [], 0
         for batch in batches:
@@ -260,12 +256,27 @@ def map_groups(
             rows = pa.Table.from_batches(held).combine_chunks()
             bounds = cuts(rows)
             if len(bounds) > 2:
-                yield from merged(rows, bounds[:-1])
+                yield from told(rows, bounds[:-1])
                 rows = rows.slice(bounds[-2])
             held, n = rows.to_batches(), rows.num_rows
         if n:
             rows = pa.Table.from_batches(held).combine_chunks()
-            yield from merged(rows, cuts(rows))
+            yield from told(rows, cuts(rows))
 
-    ordered = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys)
+    # a number first: groups are told apart without a look at their keys
+    ordered = dealt.withColumn("_deal", F.xxhash64(*keys)).sortWithinPartitions("_deal", *keys, *order).drop("_deal")
     return ordered.mapInArrow(run, schema)
+
+
+def map_groups(
+    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, int, int], pa.RecordBatch | None], schema: str,
+    stretch_rows: int = 65_536,
+) -> DataFrame:
+    """``fn(rows, begin, end)`` for every group of equal ``keys``, sorted by ``order``; many small groups are cheap."""
+
+    def each(rows: pa.Table, bounds: list[int]) -> pa.RecordBatch | None:
+        found = [out for begin, end in zip(bounds[:-1], bounds[1:]) if (out := fn(rows, begin, end)) is not None and out.num_rows]
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
+
+    return map_stretches(df, keys, order, each, schema, stretch_rows)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from earshot import presets
 from earshot.functions import text as T
 from earshot.operators import mining as M
-from earshot.operators import scans
 from earshot.plans.record_queries import WORDS_SQL, lexicon_words
 from earshot.plans.registry import query
 from earshot.session import materialize, read_table, spread
@@ -71,27 +70,24 @@ def aligned_utterances(spark, sf):
     )
     utts = spread(utts, "utt_id")
     visible = F.filter(F.transform(F.split("text", r"\s+"), T.normalize_word), T.is_visible)
-    words = utts.select("utt_id", F.posexplode(visible).alias("i", "text")).withColumn(
-        "_letters", F.split(F.regexp_replace("text", "[^A-Z]", ""), "")
-    ).withColumn("_letters", F.filter("_letters", lambda x: x != ""))
+    letters_of = lambda word: F.filter(F.split(F.regexp_replace(word, "[^A-Z]", ""), ""), lambda x: x != "")
     start = F.col("i") * WORD_SLOT
-    timed = words.select(
-        "utt_id", (F.col("i") + 1).alias("pos"), start.alias("start"),
-        (start + F.size("_letters") * PHONE_SEC).alias("end"), "text", "_letters",
+    words = utts.select("utt_id", F.posexplode(visible).alias("i", "text")).select(
+        "utt_id", (F.col("i") + 1).cast("bigint").alias("pos"), start.alias("start"),
+        (start + F.size(letters_of(F.col("text"))) * PHONE_SEC).alias("end"), "text",
     )
     phone_of = F.create_map(*[F.lit(x) for kv in LETTER_PHONES.items() for x in kv])
-    # a phone's number is its place in the word after all letters of the words before
-    timed = materialize(scans.range_scan(
-        timed.withColumn("_size", F.size("_letters")), ["utt_id"], ["pos"], sums={"_upto": F.col("_size")},
-    ))
-    letters = timed.select("utt_id", "start", (F.col("_upto") - F.col("_size")).alias("before"), F.posexplode("_letters").alias("j", "letter"))
-    phones = letters.select(
-        "utt_id", (F.col("before") + F.col("j") + 1).alias("pos"), (F.col("start") + F.col("j") * PHONE_SEC).alias("start"),
-        (F.col("start") + (F.col("j") + 1) * PHONE_SEC).alias("end"),
+    # a phone's number is its place among the letters of the whole utterance
+    lettered = F.flatten(F.transform(visible, lambda word, i: F.transform(
+        letters_of(word), lambda letter, j: F.struct(i.alias("i"), j.alias("j"), letter.alias("letter"))
+    )))
+    phones = utts.select("utt_id", F.posexplode(lettered).alias("at", "l")).select("utt_id", "at", "l.*").select(
+        "utt_id", (F.col("at") + 1).alias("pos"), (start + F.col("j") * PHONE_SEC).alias("start"),
+        (start + (F.col("j") + 1) * PHONE_SEC).alias("end"),
         F.coalesce(F.element_at(phone_of, F.col("letter")), F.col("letter")).alias("text"),
     )
     # Written once, as a corpus of aligned utterances would be: mining reads it several times.
-    return timed.select("utt_id", F.col("pos").cast("bigint").alias("pos"), "start", "end", "text"), materialize(phones)
+    return materialize(words), materialize(phones)
 
 
 def candidates(spark, sf):

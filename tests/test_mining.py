@@ -159,3 +159,60 @@ def test_hard_negative_mining_of_phones(spark):
     hey = by[("hey_phoneme_similar", "HEY", "hey_prefix_word_1_gram")]
     assert hey.passes and hey.blacklist_flag == ""
     assert by[("local_phoneme_confuser", "HEY CANDY", "local_phone_ngram")].words == ["HEY", "CANDY"]
+
+
+def test_runs_over_block_borders_equal_plain_overlaps(spark):
+    rng = random.Random(11)
+
+    def tier(n, texts, gaps):
+        rows, at = [], 0.0
+        for i in range(1, n + 1):
+            at += rng.choice(gaps)
+            rows.append((i, round(at, 3), round(at := at + rng.choice([0.1, 0.2, 0.9]), 3), rng.choice(texts)))
+        return rows
+
+    sides = {u: (tier(90, "abc", [0.0, 0.0, 0.3, 9.0]), tier(60, "xyz", [0.0, 0.4, 5.0])) for u in ("u1", "u2", None, "alone")}
+    sides["alone"] = (sides["alone"][0], [])
+    rows = lambda side: [(u, *r, r[3]) for u, both in sides.items() for r in both[side]]
+    schema = "utt_id string, pos long, start double, end double, text string, code string"
+    items, others = spark.createDataFrame(rows(0), schema), spark.createDataFrame(rows(1), schema)
+    others = others.withColumn("rank", F.col("pos").cast("int"))
+
+    def plain(by):
+        for u, (own, other) in sides.items():
+            for i in range(len(own)):
+                for n in (1, 3):
+                    run = own[i : i + n]
+                    start, end = run[0][1], max(r[2] for r in run)
+                    # rows without an utterance meet no others, as in a join
+                    heard = [o for o in other if u is not None and o[2] > start + 1e-5 and o[1] < end - 1e-5]
+                    if len(run) == n:
+                        yield u, i + 1, n, end, "".join(r[3] for r in run), "".join(o[3] for o in heard), heard[0][0] if heard else 0
+
+    con = duckdb.connect()
+    for by, target in (("items", "abb"), ("others", "xyz")):
+        out = M.runs_with_overlaps(
+            items, others, "utt_id", [1, 3], by, [(target, 1, 0.5)], lambda run: run.carried["rank"] == 7, {"rank": "first"},
+            bin_seconds=7.0, block_rows=8,
+        ).collect()
+        got = {(r.utt_id, r.pos, r.n, r.end, "".join(r.texts), "".join(r.heard), r.also) for r in out}
+        near = lambda s: (d := con.execute("select levenshtein(?, ?)", [s, target]).fetchone()[0]) <= 1 and 1 - d / max(len(s), 3) >= 0.5
+        want = {
+            (u, i, n, end, own, heard, at == 7) for u, i, n, end, own, heard, at in plain(by)
+            if at == 7 or near(own if by == "items" else heard)
+        }
+        assert got == want and len(out) == len(want) > 4
+
+
+def test_runs_are_judged_where_they_are_formed(spark, monkeypatch):
+    # of many runs only those near a target or listed may leave the task that forms them
+    letters = "HEYCAMY" + "BDFGLNPST" * 40
+    schema = "utt_id string, pos long, start double, end double, text string"
+    w = spark.createDataFrame([("u1", 1, 0.0, 100.0, "LONG")], schema)
+    p = spark.createDataFrame([("u1", i + 1, i / 10, (i + 1) / 10, x) for i, x in enumerate(letters)], schema)
+    seen = []
+    monkeypatch.setattr(M, "score_candidates", lambda spans, *a, real=M.score_candidates: (seen.append(spans.count()), real(spans, *a))[1])
+    targets = {k: [*v] for k, v in {"hey": "HEY", "hi_high": "HY", "he": "HE", "hey_camy": "HEYCAMY", "hey_reco": "HEYRECO", "camy": "CAMY", "reco": "RECO"}.items()}
+    out = M.mine_candidates(w, p, sorted(set(letters)), 0.1, 200.0, 0.0, 0.0, 0.5, 3, targets=targets, phrase_blacklist=[]).collect()
+    assert any(r.edit_distance == 0 and r.target == "hey_camy" for r in out)
+    assert seen[0] < 40 < len(letters)
