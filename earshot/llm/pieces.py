@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from earshot.llm import rolling
 from earshot.llm.store import arrow_map, text_chunks
 
-CHUNK_BYTES = 1 << 20
+#: Small, as the arrays of a batch are walked many times: at a quarter of a megabyte they stay near the processor.
+CHUNK_BYTES = 1 << 18
 SPACE = 0x2581
 #: A literal U+2581 in a text, told from the mark of a space.
 LITERAL = 0x110000
@@ -53,7 +54,7 @@ class Vocabulary:
         self.byte_weight = -alpha * float(np.log(len(plain) + 1))
         self.bytes = {model.piece_to_id(f"<0x{b:02X}>"): bytes([b]) for b in range(256)}
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-        self.raw = [self.bytes.get(i, model.id_to_piece(i).replace(chr(SPACE), " ").encode()) for i in range(n)]
+        self.raw = pa.array([self.bytes.get(i, model.id_to_piece(i).replace(chr(SPACE), " ").encode()) for i in range(n)], pa.binary())
         # by the top bits of the hash: a piece has it, or the beginning of a piece
         self._seen = np.zeros(1 << 22, dtype=np.uint8)
         size = np.diff(ends, prepend=0)
@@ -61,19 +62,35 @@ class Vocabulary:
             on = np.flatnonzero(size >= k)
             begin = (ends - size)[on]
             self._seen[(rolling.substring_hashes(prefix, begin, begin + k) >> np.uint64(42)).astype(np.int64)] |= 1
-        self._seen[(self.hashes >> np.uint64(42)).astype(np.int64)] |= 2
+        slot = (self.hashes >> np.uint64(42)).astype(np.int64)
+        self._seen[slot] |= 2
+        # the place of the slot's last piece; slots of several pieces are searched
+        self._place = np.zeros(len(self._seen), dtype=np.uint16 if len(slot) <= 1 << 16 else np.uint32)
+        self._place[slot] = np.arange(len(slot))
+        self._seen[slot[1:][slot[1:] == slot[:-1]]] |= 4
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which hashes are pieces, their places, and which may be the beginning of a piece."""
-        seen = self._seen[(hashes >> np.uint64(42)).astype(np.int64)]
+        slot = (hashes >> np.uint64(42)).view(np.int64)
+        seen = self._seen[slot]
         near = np.flatnonzero(seen & 2)
-        at = np.minimum(np.searchsorted(self.hashes, hashes[near]), len(self.hashes) - 1)
-        real = self.hashes[at] == hashes[near]
+        sought = hashes[near]
+        at = self._place[slot[near]].astype(np.int64)
+        many = np.flatnonzero(seen[near] & 4)
+        at[many] = np.minimum(np.searchsorted(self.hashes, sought[many]), len(self.hashes) - 1)
+        real = self.hashes[at] == sought
         return near[real], at[real], np.flatnonzero(seen & 1)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation, less the space put before it."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "replace")
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The texts of segmentations, less the space put before each."""
+        pieces = self.raw.take(ids.values)
+        if not len(pieces):
+            return [""] * len(ids)
+        _, offsets, data = pieces.buffers()
+        # the pieces taken stand together, so a text is a stretch of them
+        bounds = np.frombuffer(offsets, dtype=np.int32)[pieces.offset :][ids.offsets.to_numpy()].tolist()
+        held = memoryview(data)
+        return [str(held[b + 1 : e], "utf-8", "replace") for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _loaded: dict[tuple[str, float], Vocabulary] = {}
@@ -115,39 +132,55 @@ class Lattices:
         for k in range(1, vocab.longest + 1):
             live = live[left[live] >= k]
             hit, place, onward = vocab.find(rolling.substring_hashes(prefix, at[live], at[live] + k, here[live]))
-            found.append((live[hit], np.full(len(hit), k), vocab.ids[place], vocab.weights[place]))
+            found.append((live[hit], k, vocab.ids[place], vocab.weights[place]))
             live = live[onward]
         alone = np.ones(nodes, dtype=bool)
         alone[found[0][0]] = False
         alone = np.flatnonzero(alone)
         code = np.where(self.point[alone] == LITERAL, SPACE, self.point[alone])
         spelled = vocab.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-        found.append((alone, np.ones(len(alone), dtype=np.int64), np.full(len(alone), -1), spelled))
-        node, length, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(node, kind="stable")
-        self.node, self.length, self.piece, weight = node[order], length[order], piece[order], weight[order]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.node, minlength=nodes))))
+        found.append((alone, 1, -1, spelled))
+        # found by lengths, wanted by nodes: every length has at most one edge of a node
+        count = np.zeros(nodes, dtype=np.int64)
+        for hit, *_ in found:
+            count[hit] += 1
+        self.first = np.concatenate(([0], np.cumsum(count)))
+        edges = int(self.first[-1])
+        self.node = np.repeat(np.arange(nodes), count)
+        self.length, self.piece, weight = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        spot = self.first[:-1].copy()
+        for hit, k, piece, value in found:
+            place = spot[hit]
+            spot[hit] += 1
+            self.length[place], self.piece[place], weight[place] = k, piece, value
         self.width = int(np.diff(self.first).max(initial=1))
         # backward sums: all nodes with one number of characters to go at a time
         total, share = np.zeros(nodes + 1), np.zeros(len(weight))
-        ahead = self.node + self.length
-        at_end = self.length == left[self.node]
         to_go = left[self.node]
         # small numbers sort in linear time
         by_left = np.argsort(to_go.astype(np.uint16) if left.max(initial=0) < 1 << 16 else to_go, kind="stable")
+        node = self.node[by_left]
+        # the last place holds the sum of a unit's end
+        ahead = np.where(self.length == to_go, nodes, self.node + self.length)[by_left]
+        weight = weight[by_left]
+        heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        counts = np.diff(np.append(heads, edges))
+        of_head = node[heads]
         cuts = np.cumsum(np.bincount(to_go))
-        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        steps = np.searchsorted(heads, cuts)
+        part = np.empty(edges)
+        for begin, end, h, g in zip(cuts[:-1].tolist(), cuts[1:].tolist(), steps[:-1].tolist(), steps[1:].tolist(), strict=True):
             if begin == end:
                 continue
-            mine = by_left[begin:end]
-            value = weight[mine] + np.where(at_end[mine], 0.0, total[ahead[mine]])
-            group = np.flatnonzero(np.concatenate(([True], self.node[mine][1:] != self.node[mine][:-1])))
-            count = np.diff(np.append(group, len(mine)))
+            value = weight[begin:end] + total[ahead[begin:end]]
+            group, count = heads[h:g] - begin, counts[h:g]
             top = np.maximum.reduceat(value, group)
-            value = np.exp(value - np.repeat(top, count))
+            value -= np.repeat(top, count)
+            np.exp(value, out=value)
             whole = np.add.reduceat(value, group)
-            total[self.node[mine][group]] = top + np.log(whole)
-            share[mine] = value / np.repeat(whole, count)
+            total[of_head[h:g]] = top + np.log(whole)
+            np.divide(value, np.repeat(whole, count), out=part[begin:end])
+        share[by_left] = part
         # the likeliest edge of a node first
         best = np.flatnonzero(share == np.maximum.reduceat(share, self.first[:-1])[self.node])
         best = best[np.concatenate(([True], self.node[best][1:] != self.node[best][:-1]))]
@@ -392,7 +425,7 @@ def segmentations(
                 lists = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(found).astype(np.int32)))
                 columns = [ids.take(pa.array(who)), pa.array(rank, pa.int32()), pa.array(log), pa.array(value), pa.array(inclusion), lists]
                 if with_text:
-                    columns.append(pa.array([vocab.decode(x.tolist()) for x in found], pa.string()))
+                    columns.append(pa.array(vocab.decode(lists), pa.string()))
                 yield pa.record_batch(columns, names=["doc_id", "rank", "log_prob", "perturbed", "inclusion", "ids", "text"][: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -406,8 +439,7 @@ def decoded(rows: DataFrame, model_path: str, alpha: float = 0.5) -> DataFrame:
 
     def run(batch):
         vocab = vocabulary(model_path, alpha)
-        texts = [vocab.decode(x) if x else "" for x in batch.column(at).to_pylist()]
-        yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[f"c{i}" for i in range(batch.num_columns + 1)])
+        yield pa.record_batch([*batch.columns, pa.array(vocab.decode(batch.column(at)), pa.string())], names=[f"c{i}" for i in range(batch.num_columns + 1)])
 
     kinds = [f.dataType.simpleString() for f in rows.schema.fields] + ["string"]
     return arrow_map(rows, run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*rows.columns, "text")

@@ -299,3 +299,23 @@ def test_deep_and_unmatched_html():
     begin = time.perf_counter()
     assert html_text.main_text(deep, {}) == "some words here"
     assert time.perf_counter() - begin < 5
+
+
+def test_pieces_are_decoded_a_batch_at_a_time_and_found_without_search():
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from earshot.llm import pieces
+
+    vocab = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 0.5)
+    texts = ["", "one two", "é ▁ \U0001f600 x", " ", "a\nb"]
+    rows = pieces.sample(vocab, texts, np.arange(5, dtype=np.uint64), 2)
+    lists = pa.array([None, *(np.asarray(r[5], dtype=np.int32) for r in rows)], pa.list_(pa.int32()))
+    assert vocab.decode(lists) == ["", *(texts[r[0]] for r in rows)]
+    assert vocab.decode(lists.slice(2, 3)) == [texts[r[0]] for r in rows[1:4]]
+    assert vocab.decode(lists.slice(0, 1)) == [""]
+    # every piece is found at its own place, also where two share a slot
+    found, place, _ = vocab.find(vocab.hashes)
+    assert (found == np.arange(len(vocab.hashes))).all() and (place == found).all()
+    assert not len(vocab.find(vocab.hashes ^ np.uint64(1))[0])
