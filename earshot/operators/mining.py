@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from earshot import presets
 from earshot.functions import text as T
-from earshot.operators.scans import bucketed_scan, map_groups, map_stretches, range_scan, top_rows, with_halo, with_margins
+from earshot.operators.scans import bucketed_scan, map_groups, map_stretches, range_scan, top_rows, with_halo
 from earshot.session import materialize
 
 
@@ -130,27 +130,114 @@ Reach = tuple[str, float, float]
 def _within_reach(points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, reach: list[Reach]) -> np.ndarray:
     """Whether the strings of ``sizes`` code points from ``begin`` on are near a target; one row of sizes per ``begin``.
 
-    Strings with one beginning share their table of distances: its rows are those of all their lengths.
+    Strings with one beginning share their table of distances: its rows are those of all their lengths. So do the bounds
+    of one target.
     """
     near = np.zeros(sizes.shape, dtype=bool)
     longest = int(sizes.max(initial=0))
+    bounds: dict[str, list[tuple[float, float]]] = {}
     for spelled, most, least in reach:
+        bounds.setdefault(spelled, []).append((most, least))
+    seen: list[np.ndarray] = []
+    for spelled, limits in bounds.items():
         target = np.frombuffer(spelled.encode("utf-32-le"), dtype=np.uint32)
         n = len(target)
         before = [np.full(len(begin), k, dtype=np.int16) for k in range(n + 1)]
-        if n <= most and least <= 0:
+        if any(n <= most and least <= 0 for most, least in limits):
             near |= sizes == 0
         # longer ones are further away than allowed
-        for size in range(1, int(min(longest, n + most, n / least + 1e-9 if least > 0 else longest)) + 1):
-            here = points[np.minimum(begin + size - 1, len(points) - 1)]
+        most_size = max(min(longest, n + most, n / least + 1e-9 if least > 0 else longest) for most, least in limits)
+        for size in range(1, int(most_size) + 1):
+            if len(seen) < size:
+                seen.append(points[np.minimum(begin + size - 1, len(points) - 1)])
             row = [np.full(len(begin), size, dtype=np.int16)]
             for k in range(1, n + 1):
-                row.append(np.minimum(np.minimum(before[k], row[k - 1]) + 1, before[k - 1] + (here != target[k - 1])))
+                row.append(np.minimum(np.minimum(before[k], row[k - 1]) + 1, before[k - 1] + (seen[size - 1] != target[k - 1])))
             before = row
-            near |= (sizes == size) & (row[n] <= min(most, (1 - least) * max(size, n) + 1e-9))[:, None]
+            bound = max(min(most, (1 - least) * max(size, n) + 1e-9) for most, least in limits)
+            near |= (sizes == size) & (row[n] <= bound)[:, None]
     return near
 
 
+#: Columns of ``packs``: values one after the other as bytes, texts with their sizes (-1: null) beside them.
+PACKED = ["n", "pos", "starts", "ends", "text", "text_sizes", "code", "code_sizes"]
+
+
+def packs(
+    rows: DataFrame, key: str, codes: dict[str, str] | None = None, carried: list[str] | None = None, pack_rows: int = 256
+) -> DataFrame:
+    """Intervals (key, pos, start, end, text) of up to ``pack_rows`` neighbours as one row: far fewer rows to deal out.
+
+    A row's ``code`` is that column or, where there is none, what ``codes`` has for its text, ``~`` for other texts, and
+    nothing without ``codes``. Rows are packed where they lie, so a stretch of positions that is stored in several places
+    has several packs. Returns (key, pack, start, end, ...PACKED, ...carried); carried columns are integers.
+    """
+    carried = carried or []
+    coded = "code" in rows.columns
+
+    def blob(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        offsets = (bounds * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whose = pc.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pos = batch.column(1).to_numpy()
+            step, on = np.diff(whose), np.diff(pos)
+            if not ((step > 0) | ((step == 0) & (on >= 0))).all():
+                order = np.lexsort((pos, whose))
+                batch, whose, pos = batch.take(pa.array(order)), whose[order], pos[order]
+                step = np.diff(whose)
+            part = (pos - 1) // pack_rows
+            first = np.concatenate(([0], np.flatnonzero((step != 0) | (np.diff(part) != 0)) + 1))
+            bounds = np.append(first, len(pos))
+            start, end, text = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
+            if coded:
+                code = batch.column(5)
+            elif codes:
+                code = pa.array([*codes.values(), "~"]).take(pc.fill_null(pc.index_in(text, value_set=pa.array([*codes])), len(codes)))
+            else:
+                code = pa.array([""]).take(pa.array(np.zeros(len(pos), dtype=np.int64)))
+            columns = [
+                batch.column(0).take(pa.array(first)), pa.array(part[first]),
+                pa.array(np.minimum.reduceat(start, first)), pa.array(np.maximum.reduceat(end, first)),
+                pa.array(np.diff(bounds).astype(np.int32)), blob(pos, bounds), blob(start, bounds), blob(end, bounds),
+            ]
+            for texts in (text, code):
+                sizes = pc.fill_null(pc.binary_length(texts), -1).to_numpy().astype(np.int32)
+                full = pa.concat_arrays([pc.fill_null(texts, ""), pa.array([""])])
+                offsets = np.frombuffer(full.buffers()[1], dtype=np.int32)[full.offset : full.offset + len(full)]
+                offsets, data = offsets[bounds], full.buffers()[2] or pa.py_buffer(b"")
+                columns += [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.ascontiguousarray(offsets)), data]), blob(sizes, bounds)]
+            columns += [blob(column.to_numpy().astype(np.int64), bounds) for column in batch.columns[5 + coded :]]
+            yield pa.record_batch(columns, names=[key, "pack", "start", "end", *PACKED, *carried])
+
+    held = ", ".join(f"{c} binary" for c in [*PACKED[1:], *carried])
+    plain = rows.select(
+        key, F.col("pos").cast("bigint"), F.col("start").cast("double"), F.col("end").cast("double"), "text", *(["code"] * coded), *carried
+    )
+    return plain.mapInArrow(pack, f"{key} {dict(rows.dtypes)[key]}, pack bigint, start double, end double, n int, {held}")
+
+
+def _bytes(cells: pa.Array | pa.ChunkedArray, dtype=np.uint8) -> np.ndarray:
+    """The values that binary cells hold, one after the other."""
+    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    offsets = np.frombuffer(cells.buffers()[1], dtype=np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    size = np.dtype(dtype).itemsize
+    if offsets[0] == offsets[-1]:
+        return np.zeros(0, dtype=dtype)
+    return np.frombuffer(cells.buffers()[2], dtype=dtype, count=(offsets[-1] - offsets[0]) // size, offset=offsets[0])
+
+
+def _texts(column: pa.ChunkedArray, sizes: pa.ChunkedArray) -> pa.Array:
+    size, data = _bytes(sizes, np.int32), np.ascontiguousarray(_bytes(column))
+    offsets = np.concatenate(([0], np.cumsum(np.maximum(size, 0)))).astype(np.int32)
+    texts = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data))
+    return pc.if_else(pa.array(size < 0), pa.scalar(None, pa.string()), texts) if (size < 0).any() else texts
+
+
 def runs_with_overlaps(
     items: DataFrame, others: DataFrame, key: str, lengths: list[int], spelled_by: str, reach: list[Reach],
     also: Callable[[SimpleNamespace], np.ndarray], carried: dict[str, str] | None = None, bin_seconds: float = 600.0,
@@ -158,32 +245,57 @@ def runs_with_overlaps(
 ) -> DataFrame:
     """Runs of consecutive items near a target, and those that ``also`` picks, with what of the other tier they overlap.
 
-    Both sides have (key, pos, start, end, text, code), disjoint and in time order. Items are cut into blocks that hold
-    the items behind them too; the other tier is dealt to the blocks whose time it overlaps, and there all runs are
-    looked up, spelled and compared at once, so that only those that are wanted leave the task. A run is spelled by the
-    codes of its ``items`` or by those of the ``others`` it overlaps. ``also`` gets ``size`` (how many of the others a run
-    overlaps), ``carried`` (integer columns of the others, at its "first" or "last" one; a large number where there is
-    none) and ``matches`` (whether a run's joined texts match a pattern); rows are first items, columns lengths.
+    Both sides have (key, pos, start, end, text, code), disjoint and in time order, as rows or as their ``packs`` of
+    ``block_rows / 4``. Items are cut into blocks that hold the items behind them too; packs of the other tier are dealt
+    to the blocks whose time they overlap, and there all runs are looked up, spelled and compared at once, so that only
+    those that are wanted leave the task. A run is spelled by the codes of its ``items`` or by those of the ``others`` it
+    overlaps. ``also`` gets ``size`` (how many of the others a run overlaps), ``carried`` (integer columns of the others,
+    at its "first" or "last" one; a large number where there is none), ``matches`` (whether a run's joined texts match a
+    pattern) and ``hears`` (whether the texts of the others begin or close with a phrase); rows are first items, columns
+    lengths.
 
     Returns (key, pos of the first item, n, start, end, texts, spelled, heard: the texts of the others, also).
     """
     carried = carried or {}
-    fields = [key, "block", "_kind", "pos", "start", "end", "text", "code", "is_own", *carried]
-    blocks = with_margins(items.select(key, "pos", "start", "end", "text", "code"), "pos", 0, max(lengths) - 1, block_rows)
-    ranges = blocks.groupBy(key, "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    held = overlap_join(ranges, others.select(key, "pos", "start", "end", "text", "code", *carried), key, "start", "end", bin_seconds, eps)
-    held = held.withColumnsRenamed({"iv_start": "start", "iv_end": "end"}).withColumns({"_kind": F.lit(0), "is_own": F.lit(False)})
-    asked = blocks.withColumns({"_kind": F.lit(1), **{c: F.lit(None).cast("int") for c in carried}})
+    behind = max(lengths) - 1
+    in_pack = -(-max(block_rows, behind) // 4)
+    block_rows = 4 * in_pack
+    items = items if "pack" in items.columns else packs(items, key, pack_rows=in_pack)
+    others = others if "pack" in others.columns else packs(others, key, None, list(carried), in_pack)
+    own = F.floor(F.col("pack") / F.lit(4)).cast("bigint")
+    # the packs at the head of a block also stand behind the block before
+    ahead = (own > 0) & (F.pmod("pack", F.lit(4)) * in_pack < behind)
+    asked = items.withColumn("block", F.explode(F.when(ahead, F.array(own - 1, own)).otherwise(F.array(own))))
+    ranges = asked.groupBy(key, "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    held = overlap_join(ranges, others.select(key, "pack", "start", "end", *PACKED, *carried), key, "start", "end", bin_seconds, eps)
+    both = held.withColumn("_kind", F.lit(0)).select(key, "block", "_kind", "pack", *PACKED, *carried).unionByName(
+        asked.select(key, "block", F.lit(1).alias("_kind"), "pack", *PACKED, *(F.lit(None).cast("binary").alias(c) for c in carried))
+    )
 
     def find(rows: pa.Table, bounds: list[int]) -> pa.RecordBatch:
-        kind = rows.column("_kind").to_numpy()
+        held_in = np.repeat(np.arange(rows.num_rows), rows.column("n").to_numpy())
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[held_in]
+        kind, block, pos = rows.column("_kind").to_numpy()[held_in], rows.column("block").to_numpy()[held_in], _bytes(rows.column("pos"), np.int64)
+        told_of = {}
+        for c in carried:
+            told_of[c] = np.zeros(len(held_in), dtype=np.int64)
+            told_of[c][kind == 0] = _bytes(rows.column(c), np.int64)
+        order = np.flatnonzero((kind == 0) | (pos <= (block + 1) * block_rows + behind))
+        tier = 2 * group + kind
+        step = np.diff(tier[order])
+        if not ((step > 0) | ((step == 0) & (np.diff(pos[order]) >= 0))).all():
+            order = order[np.lexsort((pos[order], tier[order]))]
+        held_in, group, kind, block, pos = held_in[order], group[order], kind[order], block[order], pos[order]
+        start, end = (_bytes(rows.column(c), np.float64)[order] for c in ("starts", "ends"))
+        texts, codes = (_texts(rows.column(c), rows.column(f"{c}_sizes")).take(pa.array(order)) for c in ("text", "code"))
+
         theirs, mine = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[mine]
-        low_of, high_of = np.searchsorted(theirs, bounds[:-1])[group], np.searchsorted(theirs, bounds[1:])[group]
-        start, end = rows.column("start").to_numpy(), rows.column("end").to_numpy()
+        edges = np.searchsorted(group, np.arange(len(bounds)))
+        group = group[mine]
+        low_of, high_of = np.searchsorted(theirs, edges[:-1])[group], np.searchsorted(theirs, edges[1:])[group]
         low = _bisect(end[theirs], start[mine] + eps, low_of, high_of, True)
         high = _bisect(start[theirs], end[mine] - eps, low_of, high_of, False)
-        first = np.flatnonzero(rows.column("is_own").to_numpy(zero_copy_only=False)[mine])
+        first = np.flatnonzero((pos[mine] - 1) // block_rows == block[mine])
         left = np.cumsum(np.bincount(group, minlength=len(bounds) - 1))[group[first]] - first
         until, above = [end[mine][first]], [high[first]]
         for k in range(1, max(lengths)):
@@ -196,16 +308,14 @@ def runs_with_overlaps(
         size = np.maximum(above - low[:, None], 0)
 
         source = mine if spelled_by == "items" else theirs
-        codes = rows.column("code").take(pa.array(source))
+        codes = codes.take(pa.array(source))
         ends = np.concatenate(([0], np.cumsum(pc.utf8_length(codes).to_numpy(), dtype=np.int64)))
-        text = "".join(codes.to_pylist())
+        text = _bytes(codes.cast(pa.binary())).tobytes().decode()
         begin_at, stop_at = (first[:, None], np.minimum(first[:, None] + pick + 1, len(mine))) if source is mine else (low[:, None], low[:, None] + size)
         begin, stop = ends[begin_at], ends[stop_at]
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         near = _within_reach(points, begin[:, 0], np.where(whole, stop - begin, -1), reach)
 
-        texts = rows.column("text").combine_chunks()
-
         def matches(pattern: str) -> np.ndarray:
             found = np.zeros(whole.shape, dtype=bool)
             for i, n in enumerate(lengths):
@@ -214,12 +324,26 @@ def runs_with_overlaps(
                 found[:, i] = pc.match_substring_regex(joined, pattern).to_numpy(zero_copy_only=False)
             return found
 
+        def hears(phrases: list[str]) -> np.ndarray:
+            words = texts.take(pa.array(theirs))
+            begins, closes = (np.full(len(theirs) + 1, np.iinfo(np.int32).max) for _ in range(2))
+            by_words: dict[int, list[str]] = {}
+            for item in phrases:
+                by_words.setdefault(len(item.split(" ")), []).append(item)
+            # the fewest words from one on, or up to it, that are a phrase: it fits a run that overlaps as many
+            for k, listed_ones in sorted(by_words.items(), reverse=True):
+                if k <= len(words):
+                    spoken = pc.binary_join_element_wise(*(words.slice(i, len(words) - k + 1) for i in range(k)), " ")
+                    hit = np.flatnonzero(pc.is_in(spoken, value_set=pa.array(listed_ones, pa.string())).to_numpy(zero_copy_only=False))
+                    begins[hit], closes[hit + k - 1] = k, k
+            return (size > 0) & ((begins[low][:, None] <= size) | (closes[above - 1] <= size))
+
         def told(name: str, which: str) -> np.ndarray:
-            values = rows.column(name).take(pa.array(theirs)).to_numpy() if len(theirs) else np.zeros(1, dtype=np.int32)
+            values = told_of[name][order][theirs] if len(theirs) else np.zeros(1, dtype=np.int32)
             spot = np.broadcast_to(low[:, None], size.shape) if which == "first" else above - 1
             return np.where(size > 0, values[np.clip(spot, 0, len(values) - 1)], np.iinfo(np.int32).max)
 
-        run = SimpleNamespace(size=size, carried={c: told(c, which) for c, which in carried.items()}, matches=matches)
+        run = SimpleNamespace(size=size, carried={c: told(c, which) for c, which in carried.items()}, matches=matches, hears=hears)
         extra = also(run)
         one, which = np.nonzero(whole & (near | extra))
 
@@ -230,37 +354,17 @@ def runs_with_overlaps(
 
         row, n = mine[first[one]], pick[which] + 1
         begin, stop = np.broadcast_to(begin, whole.shape)[one, which], np.broadcast_to(stop, whole.shape)[one, which]
-        columns = {
-            key: rows.column(key).combine_chunks().take(pa.array(row)), "pos": pa.array(rows.column("pos").to_numpy()[row], pa.int64()),
+        out = {
+            key: rows.column(key).combine_chunks().take(pa.array(held_in[row])), "pos": pa.array(pos[row], pa.int64()),
             "n": pa.array(n, pa.int32()), "start": pa.array(start[row]), "end": pa.array(until[one, which]),
             "texts": listed(mine, first[one], n),
             "spelled": pa.array([text[b:e] for b, e in zip(begin.tolist(), stop.tolist(), strict=True)], pa.string()),
             "heard": listed(theirs, low[one], size[one, which]), "also": pa.array(extra[one, which]),
         }
-        return pa.record_batch(list(columns.values()), names=list(columns))
+        return pa.record_batch(list(out.values()), names=list(out))
 
     schema = f"{key} {dict(items.dtypes)[key]}, pos bigint, n int, start double, end double, texts array<string>, spelled string, heard array<string>, also boolean"
-    return map_stretches(held.select(*fields).unionByName(asked.select(*fields)), [key, "block"], ["_kind", "pos"], find, schema)
-
-
-def _phrase_edges(words: DataFrame, key: str, blacklist: list[str], block_rows: int = 4096) -> DataFrame:
-    """``words`` with ``begins`` and ``closes``: the fewest words from here on, or up to here, that are a listed phrase."""
-    by_words: dict[int, list[str]] = {}
-    for item in blacklist:
-        by_words.setdefault(len(item.split(" ")), []).append(item)
-    longest = max(by_words, default=1)
-    blocks = with_margins(words, "pos", longest - 1, longest - 1, block_rows)
-    along = Window.partitionBy(key, "block").orderBy("pos")
-    step = lambda k: F.col("text") if k == 0 else (F.lead("text", k) if k > 0 else F.lag("text", -k)).over(along)
-
-    def fewest(sign: int) -> Column:
-        hits = []
-        for k, items in sorted(by_words.items()):
-            parts = [step(sign * i) for i in (range(k) if sign > 0 else range(k - 1, -1, -1))]
-            hits.append(F.when(F.concat_ws(" ", *parts).isin(*items) & F.concat(*parts).isNotNull(), k))
-        return F.coalesce(*hits, F.lit(1 << 30)).cast("int") if hits else F.lit(1 << 30)
-
-    return blocks.withColumns({"begins": fewest(1), "closes": fewest(-1)}).filter("is_own").drop("block", "is_own")
+    return map_stretches(both, [key, "block"], ["_kind", "pack"], find, schema, stretch_rows=512)
 
 
 def _best_target(spelled: Column, length: Column, names: list[str], targets, alphabet) -> Column:
@@ -295,8 +399,9 @@ def mine_candidates(
     wake_targets = presets.WAKE_TARGETS if wake_targets is None else wake_targets
 
     # One character per phone, assigned once; a run is then spelled by joining characters.
-    coded = phones.withColumn("code", T.spell_with(F.array("text"), alphabet))
-    plain = words.withColumn("code", F.lit(""))
+    # Packs are written once: either tier is read as items and as the other tier.
+    coded = materialize(packs(phones, "utt_id", T.letters_of(alphabet)))
+    plain = materialize(packs(words, "utt_id"))
 
     def reach(names: list[str]) -> list[Reach]:
         return _reach(names, alphabet, similarity, max_distance, targets, category_targets, wake_targets)
@@ -327,11 +432,9 @@ def mine_candidates(
         T.phrase_hits(F.array_join("texts", " "), phrase_blacklist).alias("listed"),
     )
     # Phone runs: four to seven phones; their words are those overlapping in time.
-    edged = _phrase_edges(plain, "utt_id", phrase_blacklist)
     spoken = runs_with_overlaps(
-        coded, edged, "utt_id", [4, 5, 6, 7], "items", reach([PHONE_RUNS]),
-        lambda run: (run.carried["begins"] <= run.size) | (run.carried["closes"] <= run.size),
-        {"begins": "first", "closes": "last"}, bin_seconds,
+        coded, plain, "utt_id", [4, 5, 6, 7], "items", reach([PHONE_RUNS]), lambda run: run.hears(phrase_blacklist),
+        bin_seconds=bin_seconds,
     )
     from_phones = spoken.select(
         "utt_id", "start", "end", "spelled", F.lit(PHONE_RUNS).alias("category"), F.lit("local_phone_ngram").alias("rule"),

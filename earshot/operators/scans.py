@@ -248,7 +248,7 @@ def map_stretches(
                 yield out
 
         held, n = [], 0
-        for batch in batches:
+        for batch in (whole.slice(at, stretch_rows) for whole in batches for at in range(0, whole.num_rows, stretch_rows)):
             held.append(batch)
             n += batch.num_rows
             if n < stretch_rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from earshot import presets
@@ -68,26 +69,29 @@ def aligned_utterances(spark, sf):
     utts = read_table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("utt_id"), "text").unionByName(
         read_table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("utt_id"), "text")
     )
-    utts = spread(utts, "utt_id")
+    # rows are numbered where they are dealt, so that a window over one of them deals nothing out again
+    utts = spread(utts, "utt_id").withColumn("row", F.monotonically_increasing_id())
     visible = F.filter(F.transform(F.split("text", r"\s+"), T.normalize_word), T.is_visible)
-    letters_of = lambda word: F.filter(F.split(F.regexp_replace(word, "[^A-Z]", ""), ""), lambda x: x != "")
-    start = F.col("i") * WORD_SLOT
-    words = utts.select("utt_id", F.posexplode(visible).alias("i", "text")).select(
-        "utt_id", (F.col("i") + 1).cast("bigint").alias("pos"), start.alias("start"),
-        (start + F.size(letters_of(F.col("text"))) * PHONE_SEC).alias("end"), "text",
-    )
+    spoken = utts.select("utt_id", "row", F.posexplode(visible).alias("i", "text"))
+    before = Window.partitionBy("utt_id", "row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    # Written once, as a corpus of aligned utterances would be: both tiers are read from it.
+    spoken = materialize(spoken.withColumn("letters", F.regexp_replace("text", "[^A-Z]", "")).select(
+        "utt_id", (F.col("i") + 1).cast("bigint").alias("pos"), "text", "letters",
+        F.coalesce(F.sum(F.length("letters")).over(before), F.lit(0)).alias("before"),
+    ))
+    start = (F.col("pos") - 1) * WORD_SLOT
+    words = spoken.select("utt_id", "pos", start.alias("start"), (start + F.length("letters") * PHONE_SEC).alias("end"), "text")
     phone_of = F.create_map(*[F.lit(x) for kv in LETTER_PHONES.items() for x in kv])
+    lettered = spoken.filter("letters <> ''").select(
+        "utt_id", start.alias("begun"), "before", F.posexplode(F.split("letters", "")).alias("j", "letter"),
+    ).filter("letter <> ''")
     # a phone's number is its place among the letters of the whole utterance
-    lettered = F.flatten(F.transform(visible, lambda word, i: F.transform(
-        letters_of(word), lambda letter, j: F.struct(i.alias("i"), j.alias("j"), letter.alias("letter"))
-    )))
-    phones = utts.select("utt_id", F.posexplode(lettered).alias("at", "l")).select("utt_id", "at", "l.*").select(
-        "utt_id", (F.col("at") + 1).alias("pos"), (start + F.col("j") * PHONE_SEC).alias("start"),
-        (start + (F.col("j") + 1) * PHONE_SEC).alias("end"),
+    phones = lettered.select(
+        "utt_id", (F.col("before") + F.col("j") + 1).cast("int").alias("pos"), (F.col("begun") + F.col("j") * PHONE_SEC).alias("start"),
+        (F.col("begun") + (F.col("j") + 1) * PHONE_SEC).alias("end"),
         F.coalesce(F.element_at(phone_of, F.col("letter")), F.col("letter")).alias("text"),
     )
-    # Written once, as a corpus of aligned utterances would be: mining reads it several times.
-    return materialize(words), materialize(phones)
+    return words, phones
 
 
 def candidates(spark, sf):

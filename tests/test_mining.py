@@ -216,3 +216,42 @@ def test_runs_are_judged_where_they_are_formed(spark, monkeypatch):
     out = M.mine_candidates(w, p, sorted({*letters, *"RO"}), 0.1, 200.0, 0.0, 0.0, 0.5, 3, targets=targets, phrase_blacklist=[]).collect()
     assert any(r.edit_distance == 0 and r.target == "hey_camy" for r in out)
     assert seen[0] < 40 < len(letters)
+
+
+def test_tiers_are_dealt_out_as_packs(spark, monkeypatch):
+    # a row per word and phone went through every shuffle and sort before; packs of rows that lie in any order give the same
+    rng = random.Random(4)
+    spoken = {u: [rng.choice(["HEY", "CAMY", "RECO", "LOW", "É'S"]) for _ in range(700)] for u in ("u1", "u2")}
+    words, phones = [], []
+    for u, texts in spoken.items():
+        for i, text in enumerate(texts):
+            letters = [x for x in text if x.isascii() and x.isalpha()]
+            words.append((u, i + 1, i * 10.0, i * 10.0 + len(letters) / 10, text))
+            phones += [(u, None, i * 10.0 + j / 10, i * 10.0 + (j + 1) / 10, x) for j, x in enumerate(letters)]
+    number = {u: 0 for u in spoken}
+    for k, (u, _, *rest) in enumerate(phones):
+        number[u] += 1
+        phones[k] = (u, number[u], *rest)
+    schema = "utt_id string, pos long, start double, end double, text string"
+    targets = {k: [*v] for k, v in {"hey": "HEY", "hi_high": "HY", "he": "HE", "hey_camy": "HEYCAMY", "hey_reco": "HEYRECO", "camy": "CAMY", "reco": "RECO"}.items()}
+    dealt = []
+
+    def spy(df, *a, real=M.map_stretches, **b):
+        dealt.append(df.count())
+        return real(df, *a, **b)
+
+    monkeypatch.setattr(M, "map_stretches", spy)
+    out = []
+    for mixed in (False, True):
+        w, p = ([*x] for x in (words, phones))
+        if mixed:
+            rng.shuffle(w), rng.shuffle(p)
+        rows = M.mine_candidates(
+            spark.createDataFrame(w, schema).coalesce(1), spark.createDataFrame(p, schema).coalesce(1), [*"ABCEHLMORWYS"], 0.1, 200.0, 0.0, 0.0,
+            0.5, 3, targets=targets, phrase_blacklist=["LOW", "HEY RECO", "CAMY LOW HEY"],
+        ).collect()
+        out.append(sorted(map(repr, rows)))
+    assert out[0] == out[1] and len(out[0]) > 1000 and any("text_blacklist" in r for r in out[0])
+    heard = lambda texts: next((k for k in (1, 2, 3) for ph in ["LOW", "HEY RECO", "CAMY LOW HEY"] if ph.split() in (texts[:k], texts[-k:])), 0)
+    assert all((r.blacklist_flag == "text_blacklist") == (heard(r.words) > 0) for r in rows)
+    assert len(words) + len(phones) > 5000 and max(dealt) < 100
