@@ -159,8 +159,8 @@ def _within_reach(points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, reac
     return near
 
 
-#: Columns of ``packs``: values one after the other as bytes, texts with their sizes (-1: null) beside them.
-PACKED = ["n", "pos", "starts", "ends", "text", "text_sizes", "code", "code_sizes"]
+#: Columns of ``packs``: how many intervals, their bytes before they are compressed, and these.
+PACKED = ["n", "size", "held"]
 
 
 def packs(
@@ -170,16 +170,14 @@ def packs(
 
     A row's ``code`` is that column or, where there is none, what ``codes`` has for its text, ``~`` for other texts, and
     nothing without ``codes``. Rows are packed where they lie, so a stretch of positions that is stored in several places
-    has several packs. Returns (key, pack, start, end, ...PACKED, ...carried); carried columns are integers.
+    has several packs. Returns (key, pack, start, end, ...PACKED); ``_opened`` gives the intervals back. Carried columns
+    are integers.
     """
     carried = carried or []
     coded = "code" in rows.columns
 
-    def blob(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-        offsets = (bounds * values.itemsize).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
     def pack(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -200,39 +198,66 @@ def packs(
                 code = pa.array([*codes.values(), "~"]).take(pc.fill_null(pc.index_in(text, value_set=pa.array([*codes])), len(codes)))
             else:
                 code = pa.array([""]).take(pa.array(np.zeros(len(pos), dtype=np.int64)))
+            # parts of a pack, each with the bytes at which its intervals begin; steps of positions and of the bits of times
+            # repeat, which they themselves don't
+            by_item = np.arange(len(pos) + 1)
+            bits, until = (np.ascontiguousarray(x).view(np.int64) for x in (start, end))
+            parts = [(x.tobytes(), 8 * by_item) for x in (_steps(pos, first), _steps(bits, first), until - bits)]
+            for texts in (text, code):
+                sizes = pc.fill_null(pc.binary_length(texts), -1).to_numpy().astype(np.int32)
+                data = _joined(pc.fill_null(texts, "")).encode()
+                parts += [(sizes.tobytes(), 4 * by_item), (data, np.concatenate(([0], np.cumsum(np.maximum(sizes, 0)))))]
+            parts += [(column.to_numpy().astype(np.int64).tobytes(), 8 * by_item) for column in batch.columns[5 + coded :]]
+            cuts = [(values, at[bounds].tolist()) for values, at in parts]
+            raw = [b"".join(values[at[i] : at[i + 1]] for values, at in cuts) for i in range(len(first))]
             columns = [
                 batch.column(0).take(pa.array(first)), pa.array(part[first]),
-                pa.array(np.minimum.reduceat(start, first)), pa.array(np.maximum.reduceat(end, first)),
-                pa.array(np.diff(bounds).astype(np.int32)), blob(pos, bounds), blob(start, bounds), blob(end, bounds),
+                pa.array(np.minimum.reduceat(start, first)), pa.array(np.maximum.reduceat(end, first)), pa.array(np.diff(bounds).astype(np.int32)),
+                pa.array([len(x) for x in raw], pa.int32()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()),
             ]
-            for texts in (text, code):
-                sizes = pc.fill_null(pc.binary_length(texts), -1).to_numpy().astype(np.int32)
-                full = pa.concat_arrays([pc.fill_null(texts, ""), pa.array([""])])
-                offsets = np.frombuffer(full.buffers()[1], dtype=np.int32)[full.offset : full.offset + len(full)]
-                offsets, data = offsets[bounds], full.buffers()[2] or pa.py_buffer(b"")
-                columns += [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.ascontiguousarray(offsets)), data]), blob(sizes, bounds)]
-            columns += [blob(column.to_numpy().astype(np.int64), bounds) for column in batch.columns[5 + coded :]]
-            yield pa.record_batch(columns, names=[key, "pack", "start", "end", *PACKED, *carried])
-
-    held = ", ".join(f"{c} binary" for c in [*PACKED[1:], *carried])
+            yield pa.record_batch(columns, names=[key, "pack", "start", "end", *PACKED])
+
     plain = rows.select(
         key, F.col("pos").cast("bigint"), F.col("start").cast("double"), F.col("end").cast("double"), "text", *(["code"] * coded), *carried
     )
-    return plain.mapInArrow(pack, f"{key} {dict(rows.dtypes)[key]}, pack bigint, start double, end double, n int, {held}")
-
-
-def _bytes(cells: pa.Array | pa.ChunkedArray, dtype=np.uint8) -> np.ndarray:
-    """The values that binary cells hold, one after the other."""
-    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
-    offsets = np.frombuffer(cells.buffers()[1], dtype=np.int32)[cells.offset : cells.offset + len(cells) + 1]
-    size = np.dtype(dtype).itemsize
-    if offsets[0] == offsets[-1]:
-        return np.zeros(0, dtype=dtype)
-    return np.frombuffer(cells.buffers()[2], dtype=dtype, count=(offsets[-1] - offsets[0]) // size, offset=offsets[0])
-
-
-def _texts(column: pa.ChunkedArray, sizes: pa.ChunkedArray) -> pa.Array:
-    size, data = _bytes(sizes, np.int32), np.ascontiguousarray(_bytes(column))
+    return plain.mapInArrow(pack, f"{key} {dict(rows.dtypes)[key]}, pack bigint, start double, end double, n int, size int, held binary")
+
+
+def _joined(texts: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py()
+
+
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of integers to the one before, but for those at ``first``."""
+    out = np.diff(values, prepend=np.int64(0))
+    out[first] = values[first]
+    return out
+
+
+def _opened(rows: pa.Table, n_carried: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array, list[np.ndarray]]:
+    """Pos, starts, ends, texts, codes and carried columns of packs, one pack after the other; ``n_carried`` is per pack."""
+    codec = pa.Codec("zstd")
+    pos, starts, ends, carried = [], [], [], [[] for _ in range(int(n_carried.max(initial=0)))]
+    texts = [([], []), ([], [])]
+    for n, size, held, more in zip(*(rows.column(c).to_pylist() for c in PACKED), n_carried.tolist(), strict=True):
+        raw, at = codec.decompress(held, size, asbytes=True), 24 * n
+        steps = np.frombuffer(raw, np.int64, 3 * n).reshape(3, n)
+        pos.append(np.cumsum(steps[0]))
+        bits = np.cumsum(steps[1])
+        starts.append(bits.view(np.float64))
+        ends.append((bits + steps[2]).view(np.float64))
+        for sizes, data in texts:
+            sizes.append(np.frombuffer(raw, np.int32, n, at))
+            long = int(np.maximum(sizes[-1], 0).sum())
+            data.append(raw[at + 4 * n : at + 4 * n + long])
+            at += 4 * n + long
+        for i in range(more):
+            carried[i].append(np.frombuffer(raw, np.int64, n, at + 8 * n * i))
+    joined = (np.concatenate(x) for x in (pos, starts, ends))
+    return (*joined, *(_texts(np.concatenate(sizes), b"".join(data)) for sizes, data in texts), [np.concatenate(x) for x in carried])
+
+
+def _texts(size: np.ndarray, data: bytes) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(np.maximum(size, 0)))).astype(np.int32)
     texts = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data))
     return pc.if_else(pa.array(size < 0), pa.scalar(None, pa.string()), texts) if (size < 0).any() else texts
@@ -267,27 +292,29 @@ def runs_with_overlaps(
     ahead = (own > 0) & (F.pmod("pack", F.lit(4)) * in_pack < behind)
     asked = items.withColumn("block", F.explode(F.when(ahead, F.array(own - 1, own)).otherwise(F.array(own))))
     ranges = asked.groupBy(key, "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    held = overlap_join(ranges, others.select(key, "pack", "start", "end", *PACKED, *carried), key, "start", "end", bin_seconds, eps)
-    both = held.withColumn("_kind", F.lit(0)).select(key, "block", "_kind", "pack", *PACKED, *carried).unionByName(
-        asked.select(key, "block", F.lit(1).alias("_kind"), "pack", *PACKED, *(F.lit(None).cast("binary").alias(c) for c in carried))
+    # times alone are dealt to bins; a pack itself goes to the blocks that it overlaps
+    lasting = others.groupBy(key, "pack").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    held = others.join(overlap_join(ranges, lasting, key, "start", "end", bin_seconds, eps).select(key, "block", "pack"), [key, "pack"])
+    both = held.withColumn("_kind", F.lit(0)).select(key, "block", "_kind", "pack", *PACKED).unionByName(
+        asked.select(key, "block", F.lit(1).alias("_kind"), "pack", *PACKED)
     )
 
     def find(rows: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        tiers = rows.column("_kind").to_numpy()
+        pos, start, end, texts, codes, more = _opened(rows, np.where(tiers == 0, len(carried), 0))
         held_in = np.repeat(np.arange(rows.num_rows), rows.column("n").to_numpy())
         group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[held_in]
-        kind, block, pos = rows.column("_kind").to_numpy()[held_in], rows.column("block").to_numpy()[held_in], _bytes(rows.column("pos"), np.int64)
-        told_of = {}
-        for c in carried:
-            told_of[c] = np.zeros(len(held_in), dtype=np.int64)
-            told_of[c][kind == 0] = _bytes(rows.column(c), np.int64)
+        kind, block = tiers[held_in], rows.column("block").to_numpy()[held_in]
+        told_of = {c: np.zeros(len(held_in), dtype=np.int64) for c in carried}
+        for c, values in zip(carried, more):
+            told_of[c][kind == 0] = values
         order = np.flatnonzero((kind == 0) | (pos <= (block + 1) * block_rows + behind))
         tier = 2 * group + kind
         step = np.diff(tier[order])
         if not ((step > 0) | ((step == 0) & (np.diff(pos[order]) >= 0))).all():
             order = order[np.lexsort((pos[order], tier[order]))]
         held_in, group, kind, block, pos = held_in[order], group[order], kind[order], block[order], pos[order]
-        start, end = (_bytes(rows.column(c), np.float64)[order] for c in ("starts", "ends"))
-        texts, codes = (_texts(rows.column(c), rows.column(f"{c}_sizes")).take(pa.array(order)) for c in ("text", "code"))
+        start, end, texts, codes = start[order], end[order], texts.take(pa.array(order)), codes.take(pa.array(order))
 
         theirs, mine = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         edges = np.searchsorted(group, np.arange(len(bounds)))
@@ -310,7 +337,7 @@ def runs_with_overlaps(
         source = mine if spelled_by == "items" else theirs
         codes = codes.take(pa.array(source))
         ends = np.concatenate(([0], np.cumsum(pc.utf8_length(codes).to_numpy(), dtype=np.int64)))
-        text = _bytes(codes.cast(pa.binary())).tobytes().decode()
+        text = _joined(codes)
         begin_at, stop_at = (first[:, None], np.minimum(first[:, None] + pick + 1, len(mine))) if source is mine else (low[:, None], low[:, None] + size)
         begin, stop = ends[begin_at], ends[stop_at]
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
