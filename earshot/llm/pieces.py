@@ -1,21 +1,24 @@
 """Sampled SentencePiece segmentations without replacement, and decoding.
 
-The lattice of a text has a node per character and an edge per vocabulary piece; a character without a piece is one edge
-of byte pieces. As no piece goes on past a word into the next space, the lattice is a chain of unit lattices (spaces and
-the word behind them), and equal units share one. The vocabulary file ranks pieces by merge order and holds no
-probabilities; a piece of rank r has weight ``-alpha * log(r + 1)``, and a segmentation's probability is proportional to
-the exponential of its sum.
+The lattice of a text has a node per character and an edge per vocabulary piece; a character without a piece is one
+edge of byte pieces. As no piece goes on past a word into the next space, the lattice is a chain of unit lattices
+(spaces and the word behind them), and equal units, as well as equal endings of units, share one. The vocabulary file
+ranks pieces by merge order and holds no probabilities; a piece of rank r has weight ``-alpha * log(r + 1)``, and a
+segmentation's probability is proportional to the exponential of its sum.
 
 Gumbel top-k: perturbed A-star search. Exact backward sums give the probability of every edge given its node. The root
-draws a Gumbel value; a path that follows the edges' probabilities inherits it as its maximum, and at each of its steps
-the edges not taken form a group whose maximum is a Gumbel value of the group's mass, truncated at the path's. Popping
-the best group of all gives the next best perturbed segmentation, and splits the group. So the k results are distinct,
-each comes with its log probability, and with its inclusion score at the (k+1)-th value. All documents of a batch take
-each step together in numpy; random numbers are hashes of (seed, row key, sample, unit, step).
+draws a Gumbel value; a path that follows the edges' probabilities inherits it as its maximum, and at each of its
+steps the edges not taken form a group whose maximum is a Gumbel value of the group's mass, truncated at the path's
+(which keeps their order, so that only a document's largest is truncated). Popping the best group of all gives the
+next best perturbed segmentation, and splits the group. So the k results are distinct, each comes with its log
+probability, and with its inclusion score at the (k+1)-th value. All documents of a batch take each step together in
+numpy; random numbers are hashes of (seed, row key, sample, unit, step).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +31,9 @@ from earshot.llm.store import arrow_map, text_chunks
 
 #: Small, as the arrays of a batch are walked many times: at a quarter of a megabyte they stay near the processor.
 CHUNK_BYTES = 1 << 18
+#: Lattices are made for the distinct units of a longer stretch of texts, a part of the nodes at a time.
+LATTICE_BYTES = 1 << 22
+NODES_AT_ONCE = 1 << 16
 SPACE = 0x2581
 #: A literal U+2581 in a text, told from the mark of a space.
 LITERAL = 0x110000
@@ -52,8 +58,11 @@ class Vocabulary:
         rank = np.arange(len(plain), dtype=np.float64)
         self.weights = (-alpha * np.log(rank + 1))[order]
         self.byte_weight = -alpha * float(np.log(len(plain) + 1))
+        # behind the pieces, characters spelled in one byte to four
+        self.weight_of_row = np.append(self.weights, self.byte_weight * np.arange(1, 5))
+        self.id_of_row = np.append(self.ids, [-1] * 4).astype(np.int32)
         self.bytes = {model.piece_to_id(f"<0x{b:02X}>"): bytes([b]) for b in range(256)}
-        self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
         self.raw = pa.array([self.bytes.get(i, model.id_to_piece(i).replace(chr(SPACE), " ").encode()) for i in range(n)], pa.binary())
         # by the top bits of the hash: a piece has it, or the beginning of a piece
         self._seen = np.zeros(1 << 22, dtype=np.uint8)
@@ -103,113 +112,157 @@ def vocabulary(model_path: str, alpha: float) -> Vocabulary:
     return _loaded[model_path, alpha]
 
 
+#: The words of the code points that are two bytes long.
+POINT_WORD = rolling.mix(np.arange(1 << 16, dtype=np.uint64) + rolling.BASE)
+
+
+def point_words(points: np.ndarray) -> np.ndarray:
+    """A random word per code point."""
+    if points.max(initial=0) < len(POINT_WORD):
+        return POINT_WORD[points]
+    return rolling.mix(points.astype(np.uint64) + rolling.BASE)
+
+
 def point_prefix(points: np.ndarray) -> np.ndarray:
     """Prefix sums for the hashes of runs of code points."""
     out = np.zeros(len(points) + 1, dtype=np.uint64)
-    words = rolling.mix(points.astype(np.uint64) + rolling.BASE)
-    np.cumsum(words * rolling.powers(len(points))[0], out=out[1:])
+    words = point_words(points)
+    words *= rolling.powers(len(points))[0]
+    np.cumsum(words, out=out[1:])
     return out
 
 
 class Lattices:
-    """Distinct units of a batch. The edges of a node stand together, the likeliest first: length, piece and share."""
+    """Distinct units. A node is what is left of a unit, so units with one ending share its nodes.
 
-    def __init__(self, vocab: Vocabulary, points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    The edges of a node stand together, the likeliest first, and the node goes by the first of them: the node behind an
+    edge (-1: the unit's end), its piece (below 0: a character spelled in bytes, as -1 less its code point), its share,
+    and the share of the node's others.
+    """
+
+    def __init__(self, vocab: Vocabulary, points: np.ndarray, starts: np.ndarray, size: np.ndarray):
+        points = points[np.repeat(starts, size) + rolling.ragged_arange(size)]
+        ends = np.cumsum(size)
+        to_go = np.repeat(ends, size) - np.arange(len(points))
         prefix = point_prefix(points)
-        names = rolling.substring_hashes(prefix, starts, ends)
-        self.of, distinct = pd.factorize(names)
-        first = np.zeros(len(distinct), dtype=np.int64)
-        first[self.of[::-1]] = np.arange(len(names))[::-1]
-        starts, ends = starts[first], ends[first]
-        size = ends - starts
-        self.base = np.cumsum(size) - size
-        nodes = int(size.sum())
-        self.end = self.base + size
-        at = np.repeat(starts, size) + rolling.ragged_arange(size)
-        self.point = points[at]
-        left = np.repeat(ends, size) - at
-        live, found, here = np.arange(nodes), [], prefix[at]
-        for k in range(1, vocab.longest + 1):
-            live = live[left[live] >= k]
-            hit, place, onward = vocab.find(rolling.substring_hashes(prefix, at[live], at[live] + k, here[live]))
-            found.append((live[hit], k, vocab.ids[place], vocab.weights[place]))
-            live = live[onward]
+        of, _ = pd.factorize(rolling.substring_hashes(prefix, np.arange(len(points)), np.repeat(ends, size)))
+        nodes = int(of.max()) + 1
+        at = np.empty(nodes, dtype=np.int64)
+        at[of[::-1]] = np.arange(len(of))[::-1]
+        # nodes with one number of characters to go are one level, small numbers sort in linear time
+        left = to_go[at]
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        place = np.empty(nodes, dtype=np.int64)
+        place[order] = np.arange(nodes)
+        at, left, node_of = at[order], left[order], np.append(place[of], -1)
+        word = point_words(points)
+        # the last places hold what stands for a unit's end
+        total, first = np.zeros(nodes + 1), np.full(nodes + 1, -1, dtype=np.int64)
+        kinds, done = (np.int64, np.int32, np.float64, np.float64, np.float64), 0
+        columns = [np.empty(3 * nodes, dtype=kind) for kind in kinds]
+        for begin in range(0, nodes, NODES_AT_ONCE):
+            cut = slice(begin, min(begin + NODES_AT_ONCE, nodes))
+            part = self._part(vocab, points, word, node_of, at[cut], left[cut], begin, total, first, done)
+            edges = done + len(part[0])
+            if edges > len(columns[0]):
+                columns = [np.concatenate((c[:done], np.empty(2 * edges - done, dtype=c.dtype))) for c in columns]
+            for column, some in zip(columns, part, strict=True):
+                column[done:edges] = some
+            done = edges
+        self.ahead, self.piece, self.share, self.upto, self.rest = (c[:done] for c in columns)
+        self.base = first[node_of[ends - size]]
+        self.first = first
+        self.first[-1] = done
+        self.width = int(np.diff(self.first).max())
+
+    @staticmethod
+    def _part(vocab, points, word, node_of, at, to_go, lo: int, total, first, done: int):
+        """Edges of the nodes from ``lo`` on, which stand at ``at`` and are sorted by characters to go."""
+        nodes = len(at)
+        power = rolling.powers(vocab.longest)[0]
+        live, here, hashes = np.arange(nodes), at, np.zeros(nodes, dtype=np.uint64)
+        count, found = np.zeros(nodes, dtype=np.int64), []
+
+        def behind(node, k):
+            return np.where(to_go[node] == k, -1, node_of[at[node] + k])
+
+        for k in range(1, min(vocab.longest, int(to_go[-1])) + 1):
+            cut = np.searchsorted(live, np.searchsorted(to_go, k))
+            live, here = live[cut:], here[cut:]
+            hashes = hashes[cut:] + word[here + (k - 1)] * power[k - 1]
+            hit, row, onward = vocab.find(rolling.mix(hashes + rolling.length_word(k)))
+            hit = live[hit]
+            count[hit] += 1
+            found.append((hit, row, behind(hit, k)))
+            live, here, hashes = live[onward], here[onward], hashes[onward]
         alone = np.ones(nodes, dtype=bool)
         alone[found[0][0]] = False
         alone = np.flatnonzero(alone)
-        code = np.where(self.point[alone] == LITERAL, SPACE, self.point[alone])
-        spelled = vocab.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-        found.append((alone, 1, -1, spelled))
+        code = points[at[alone]].astype(np.int64)
+        code[code == LITERAL] = SPACE
+        spelled = (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        count[alone] += 1
+        found.append((alone, len(vocab.ids) + spelled, behind(alone, 1)))
         # found by lengths, wanted by nodes: every length has at most one edge of a node
-        count = np.zeros(nodes, dtype=np.int64)
-        for hit, *_ in found:
-            count[hit] += 1
-        self.first = np.concatenate(([0], np.cumsum(count)))
-        edges = int(self.first[-1])
-        self.node = np.repeat(np.arange(nodes), count)
-        self.length, self.piece, weight = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
-        spot = self.first[:-1].copy()
-        for hit, k, piece, value in found:
+        head = np.cumsum(count) - count
+        edges = int(count.sum())
+        row, ahead = np.empty(edges, np.int64), np.empty(edges, np.int64)
+        spot = head.copy()
+        for hit, of_piece, node in found:
             place = spot[hit]
             spot[hit] += 1
-            self.length[place], self.piece[place], weight[place] = k, piece, value
-        self.width = int(np.diff(self.first).max(initial=1))
-        # backward sums: all nodes with one number of characters to go at a time
-        total, share = np.zeros(nodes + 1), np.zeros(len(weight))
-        to_go = left[self.node]
-        # small numbers sort in linear time
-        by_left = np.argsort(to_go.astype(np.uint16) if left.max(initial=0) < 1 << 16 else to_go, kind="stable")
-        node = self.node[by_left]
-        # the last place holds the sum of a unit's end
-        ahead = np.where(self.length == to_go, nodes, self.node + self.length)[by_left]
-        weight = weight[by_left]
-        heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        counts = np.diff(np.append(heads, edges))
-        of_head = node[heads]
-        cuts = np.cumsum(np.bincount(to_go))
-        steps = np.searchsorted(heads, cuts)
-        part = np.empty(edges)
-        for begin, end, h, g in zip(cuts[:-1].tolist(), cuts[1:].tolist(), steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-            if begin == end:
-                continue
+            row[place], ahead[place] = of_piece, node
+            coded = place
+        weight, piece = vocab.weight_of_row[row], vocab.id_of_row[row]
+        piece[coded] = -1 - code
+        first[lo : lo + nodes] = head + done
+        # backward sums, level by level
+        share = np.empty(edges)
+        levels = np.concatenate(([0], np.flatnonzero(to_go[1:] != to_go[:-1]) + 1, [nodes]))
+        bounds = np.append(head, edges)[levels].tolist()
+        levels = levels.tolist()
+        for low, high, begin, end in zip(levels[:-1], levels[1:], bounds[:-1], bounds[1:], strict=True):
             value = weight[begin:end] + total[ahead[begin:end]]
-            group, count = heads[h:g] - begin, counts[h:g]
+            group, of_group = head[low:high] - begin, count[low:high]
             top = np.maximum.reduceat(value, group)
-            value -= np.repeat(top, count)
+            value -= np.repeat(top, of_group)
             np.exp(value, out=value)
             whole = np.add.reduceat(value, group)
-            total[of_head[h:g]] = top + np.log(whole)
-            np.divide(value, np.repeat(whole, count), out=part[begin:end])
-        share[by_left] = part
-        # the likeliest edge of a node first
-        best = np.flatnonzero(share == np.maximum.reduceat(share, self.first[:-1])[self.node])
-        best = best[np.concatenate(([True], self.node[best][1:] != self.node[best][:-1]))]
-        head = self.first[:-1]
-        for x in (self.length, self.piece, share):
-            x[head], x[best] = x[best], x[head]
-        self.share = share
-        upto = np.cumsum(self.share)
-        self.upto = upto - np.repeat((upto - self.share)[head], np.diff(self.first))
-        self.upto[self.first[1:] - 1] = 2.0
-        behind = self.share.copy()
-        behind[head] = 0.0
-        self._behind_first = np.add.reduceat(behind, head)
-
-    def place(self, edge: np.ndarray) -> np.ndarray:
-        """Which of its node's edges each one is."""
-        return edge - self.first[self.node[edge]]
-
-    def rest(self, edge: np.ndarray) -> np.ndarray:
-        """The share of the other edges of the node; for a likely edge their sum, as one less its share loses digits."""
-        return np.where(self.place(edge) == 0, self._behind_first[self.node[edge]], 1 - self.share[edge])
-
-    def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of each node with probability in proportion to its share."""
-        edge = self.first[node]
+            total[lo + low : lo + high] = top + np.log(whole)
+            np.divide(value, np.repeat(whole, of_group), out=share[begin:end])
+        # the likeliest edge of a node first; for it the sum of the others, as one less its share loses digits
+        best, most, others, node = head.copy(), share[head], np.zeros(nodes), np.flatnonzero(count > 1)
+        j = 1
+        while len(node):
+            place = head[node] + j
+            value, top = share[place], most[node]
+            others[node] += np.minimum(value, top)
+            more = np.flatnonzero(value > top)
+            most[node[more]], best[node[more]] = value[more], place[more]
+            j += 1
+            node = node[np.flatnonzero(count[node] > j)]
+        moved = np.flatnonzero(best != head)
+        ahead = first[ahead]
+        for x in (ahead, piece, share):
+            x[head[moved]], x[best[moved]] = x[best[moved]], x[head[moved]]
+        upto = np.cumsum(share)
+        upto -= np.repeat(upto[head] - most, count)
+        upto[head + count - 1] = 2.0
+        rest = 1 - share
+        rest[head] = others
+        return ahead, piece, share, upto, rest
+
+    def node(self, edge: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, edge, side="right") - 1
+
+    def pick(self, head: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each node, given by its first, with probability in proportion to its share."""
+        edge = head.copy()
         beyond = np.flatnonzero(u >= self.upto[edge])
         while len(beyond):
-            edge[beyond] += 1
-            beyond = beyond[u[beyond] >= self.upto[edge[beyond]]]
+            further = edge[beyond] + 1
+            edge[beyond] = further
+            beyond = beyond[np.flatnonzero(u[beyond] >= self.upto[further])]
         return edge
 
     def table(self, node: np.ndarray, taken: np.ndarray) -> np.ndarray:
@@ -231,10 +284,14 @@ def gumbel(key: np.ndarray) -> np.ndarray:
 
 def truncated(location: np.ndarray, key: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Gumbel values at ``location`` given that they are at most ``bound``."""
-    value = location + gumbel(key)
+    return truncate(location + gumbel(key), bound)
+
+
+def truncate(value: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Turns Gumbel values into such that are at most ``bound``; of values with one bound the largest stays the largest."""
     with np.errstate(invalid="ignore"):
         out = np.minimum(bound, value) - np.log1p(np.exp(-np.abs(bound - value)))
-    return np.where(np.isneginf(location), -np.inf, out)
+    return np.where(np.isneginf(value), -np.inf, out)
 
 
 def choose(share: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -247,156 +304,220 @@ def choose(share: np.ndarray, u: np.ndarray) -> np.ndarray:
     return pick
 
 
-def walk(lattices: Lattices, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of a random path from each ``node`` to its unit's ``end``: whose path and which edge, in order."""
-    owners, edges = [], []
+def walk(lattices: Lattices, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Random paths from each ``node`` (its first edge; -1: none) to its unit's end: how many steps each has, and their edges in order."""
+    count, edges = np.zeros(len(node), dtype=np.int64), [np.zeros(0, dtype=np.int64)]
     for begin in range(0, len(node), UNITS_AT_ONCE):
-        who = np.arange(begin, min(begin + UNITS_AT_ONCE, len(node)))
-        at, step = node[who], 0
-        live = at < end[who]
-        who, at = who[live], at[live]
-        parts = []
+        at, k, steps = node[begin : begin + UNITS_AT_ONCE], key[begin : begin + UNITS_AT_ONCE], count[begin : begin + UNITS_AT_ONCE]
+        who, parts = np.flatnonzero(at >= 0), []
+        at, k = at[who], k[who]
         while len(who):
-            edge = lattices.pick(at, uniform(key[who] + np.uint64(step)))
+            edge = lattices.pick(at, uniform(k + np.uint64(len(parts))))
             parts.append((who, edge))
-            at = at + lattices.length[edge]
-            live = at < end[who]
-            who, at, step = who[live], at[live], step + 1
-        if parts:
-            w, e = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(w, kind="stable")
-            owners.append(w[order])
-            edges.append(e[order])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *owners]), np.concatenate([none, *edges])
+            steps[who] = len(parts)
+            at = lattices.ahead[edge]
+            live = np.flatnonzero(at >= 0)
+            who, at, k = who[live], at[live], k[live]
+        spot = np.cumsum(steps) - steps
+        walked = np.empty(int(steps.sum()), dtype=np.int64)
+        for i, (who, edge) in enumerate(parts):
+            walked[spot[who] + i] = edge
+        edges.append(walked)
+    return count, np.concatenate(edges)
 
 
 class Paths:
     """One sampled path per document: its steps, with the group of edges not taken at each."""
 
-    def __init__(self, docs: int, doc, unit, edge, own, value, lattices: Lattices, seed, turn: int):
-        self.doc, self.unit, self.edge, self.value = doc, unit, edge, value
-        self.bounds = np.searchsorted(doc, np.arange(docs + 1))
-        total = np.concatenate(([0.0], np.cumsum(np.log(lattices.share[edge]))))
-        self.before = total[:-1] - total[self.bounds[doc]]
-        self.log = total[self.bounds[1:]] - total[self.bounds[:-1]]
-        self.taken = np.int64(1) << lattices.place(edge)
-        self.group = np.full(len(doc), -np.inf)
+    def __init__(self, size, own, unit, edge, log, value, lattices: Lattices, seed, turn: int):
+        self.unit, self.edge, self.value = unit, edge, value
+        self.bounds = np.concatenate(([0], np.cumsum(size)))
+        self.size = size
+        self.log_share = log
+        self.upto = np.concatenate(([0.0], np.cumsum(log)))
+        self.log = self.upto[self.bounds[1:]] - self.upto[self.bounds[:-1]]
+        self.taken = np.zeros(len(edge), dtype=np.int64)
+        # whole groups: values before they are truncated, as only a document's largest is wanted
+        self.group = np.full(len(edge), -np.inf)
+        # groups that were split: per document the step and the value
+        self.again: list[tuple[np.ndarray, np.ndarray]] = []
         self._seed, self._turn, self._lattices = seed, turn, lattices
-        # groups before the step where this path left its parent belong to the parent
-        at = np.flatnonzero(own)
-        with np.errstate(divide="ignore"):
-            mass = np.log(lattices.rest(edge[at]))
-        self.group[at] = truncated(self.before[at] + mass, self.keys(at), value[doc[at]])
-
-    def keys(self, at: np.ndarray) -> np.ndarray:
+        # groups before the step where this path left its parent belong to the parent: the last ``own`` steps have some
+        at = np.repeat(self.bounds[1:] - own, own) + rolling.ragged_arange(own)
+        doc = np.repeat(np.arange(len(size)), own)
+        rest = lattices.rest[edge[at]]
+        some = np.flatnonzero(rest > 0)
+        at, doc = at[some], doc[some]
+        # the group's mass and its Gumbel value by one logarithm
+        self.group[at] = self.before(at, doc) + np.log(rest[some] / -np.log(uniform(self.keys(at, doc))))
+
+    def before(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The log probability of the path up to steps ``at``."""
+        return self.upto[at] - self.upto[self.bounds[doc]]
+
+    def keys(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Random keys of steps, by seed, sample and place in the document."""
-        place = (at - self.bounds[self.doc[at]]).astype(np.uint64)
-        return self._seed[self.doc[at]] + np.uint64(self._turn << 40) + place * rolling.BASE_INVERSE
+        place = (at - self.bounds[doc]).astype(np.uint64)
+        return self._seed[doc] + np.uint64(self._turn << 40) + place * rolling.BASE_INVERSE
 
-    def split(self, at: np.ndarray, bound: np.ndarray, turn: int) -> np.ndarray:
+    def split(self, at: np.ndarray, doc: np.ndarray, bound: np.ndarray, turn: int) -> np.ndarray:
         """Takes an edge out of the groups at steps ``at`` and draws the maxima of what is left."""
-        node = self._lattices.node[self.edge[at]]
-        place = choose(self._lattices.table(node, self.taken[at]), uniform(self.keys(at) + np.uint64(turn << 50)))
+        node = self._lattices.node(self.edge[at])
+        first, key = self._lattices.first[node], self.keys(at, doc)
+        self.taken[at] |= np.int64(1) << (self.edge[at] - first)
+        place = choose(self._lattices.table(node, self.taken[at]), uniform(key + np.uint64(turn << 50)))
         self.taken[at] |= np.int64(1) << place
         with np.errstate(divide="ignore"):
             mass = np.log(self._lattices.table(node, self.taken[at]).sum(axis=1))
-        self.group[at] = truncated(self.before[at] + mass, self.keys(at) + np.uint64(turn << 51), bound)
-        return self._lattices.first[node] + place
-
-    def best(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per document the best group's value and step."""
-        value = np.full(len(self.bounds) - 1, -np.inf)
-        step = np.zeros(len(value), dtype=np.int64)
-        some = np.flatnonzero(self.bounds[1:] > self.bounds[:-1])
+        self.group[at] = -np.inf
+        for steps, values in self.again:
+            values[doc[steps[doc] == at]] = -np.inf
+        steps, values = np.full(len(self.size), -1), np.full(len(self.size), -np.inf)
+        steps[doc], values[doc] = at, truncated(self.before(at, doc) + mass, key + np.uint64(turn << 51), bound)
+        self.again.append((steps, values))
+        return first + place
+
+    def best(self) -> np.ndarray:
+        """The value of every document's best group."""
+        self.top = np.full(len(self.size), -np.inf)
+        some = np.flatnonzero(self.size)
         if len(some):
-            value[some] = np.maximum.reduceat(self.group, self.bounds[some])
-            hit = np.flatnonzero(self.group == value[self.doc])
-            first = np.searchsorted(self.doc[hit], some)
-            step[some] = hit[first]
-        return value, step
+            self.top[some] = np.maximum.reduceat(self.group, self.bounds[some])
+        value = truncate(self.top, self.value)
+        for _, values in self.again:
+            value = np.maximum(value, values)
+        return value
+
+    def step_of(self, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The steps of the best groups of some documents, which have the ``value``."""
+        size = self.size[doc]
+        at = np.repeat(self.bounds[doc], size) + rolling.ragged_arange(size)
+        hit = at[np.flatnonzero(self.group[at] == np.repeat(self.top[doc], size))]
+        step = hit[np.searchsorted(hit, self.bounds[doc])]
+        for steps, values in self.again:
+            same = np.flatnonzero(values[doc] == value)
+            step[same] = steps[doc[same]]
+        return step
+
+
+class Units:
+    """The units of a batch of texts, their documents and the hashes by which equal ones are known."""
+
+    def __init__(self, texts: list[str]):
+        size = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+        self.points = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        literal = np.flatnonzero(self.points == SPACE)
+        space = self.points == 32
+        self.points[space] = SPACE
+        self.points[literal] = LITERAL
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        heads = np.cumsum(size) - size
+        begins[heads[size > 0]] = True
+        self.starts = np.flatnonzero(begins)
+        ends = np.append(self.starts[1:], len(self.points))[: len(self.starts)]
+        self.size = ends - self.starts
+        self.names = rolling.substring_hashes(point_prefix(self.points), self.starts, ends)
+        self.bounds = np.searchsorted(self.starts, np.append(heads, len(self.points)))
+
+
+def sampled(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) -> Iterator[list[tuple]]:
+    """``sample`` by batches: the lattices of all units are made at once, as most units come again, and then walked."""
+    cuts = list(text_chunks(pa.array(texts, pa.large_string()), CHUNK_BYTES))
+    batches = [Units(texts[begin:end]) for begin, end in cuts]
+    if not batches:
+        return
+    of, distinct = pd.factorize(np.concatenate([b.names for b in batches]))
+    lattices = base = None
+    if len(distinct):
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        moved = np.cumsum([0] + [len(b.points) for b in batches])
+        starts = np.concatenate([b.starts + m for b, m in zip(batches, moved, strict=False)])[first]
+        size = np.concatenate([b.size for b in batches])[first]
+        lattices = Lattices(vocab, np.concatenate([b.points for b in batches]), starts, size)
+        base = lattices.base[of]
+    done = 0
+    for (begin, end), units in zip(cuts, batches, strict=True):
+        n = len(units.starts)
+        yield [(begin + i, *row) for i, *row in _paths(vocab, lattices, texts[begin:end], seeds[begin:end], k, units.bounds, base[done : done + n] if n else None)]
+        done += n
+
+
+def sample(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) -> list[tuple]:
+    """For every text up to ``k`` segmentations: (text, rank, log probability, perturbed value, inclusion, ids)."""
+    return [row for rows in sampled(vocab, texts, seeds, k) for row in rows]
 
 
-def sample(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int):
-    """For every text up to ``k`` segmentations: (text, rank, log probability, perturbed value, inclusion, ids)."""
+def _paths(vocab: Vocabulary, lattices: Lattices | None, texts: list[str], seeds: np.ndarray, k: int, bounds: np.ndarray, base: np.ndarray | None):
+    """Samples of a batch: ``bounds`` of the texts' units, whose lattices begin at the nodes ``base``."""
     n = len(texts)
-    points = [np.frombuffer(("" if not t else " " + t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in texts]
-    doc_of = np.repeat(np.arange(n), [len(p) for p in points])
-    flat = np.concatenate([*points, np.zeros(0, np.int64)])
-    flat = np.where(flat == SPACE, LITERAL, np.where(flat == 32, SPACE, flat))
-    space = flat == SPACE
-    begins = space.copy()
-    begins[1:] &= ~space[:-1] | (doc_of[1:] != doc_of[:-1])
-    starts = np.flatnonzero(begins)
-    ends = np.append(starts[1:], len(flat)) if len(starts) else starts
-    lattices = Lattices(vocab, flat, starts, ends) if len(starts) else None
-    out = []
-    if lattices is None:
-        return [(i, 1, 0.0, 0.0, 1.0, np.zeros(0, np.int64)) for i in range(n)]
-    unit_doc = doc_of[starts]
-    unit_no = np.arange(len(starts)) - np.searchsorted(unit_doc, unit_doc)
-    base, end = lattices.base[lattices.of], lattices.end[lattices.of]
-
-    def keys(units: np.ndarray, turn: int) -> np.ndarray:
-        return rolling.mix(seeds[unit_doc[units]] + np.uint64(turn << 32) + unit_no[units].astype(np.uint64))
-
-    owner, edge = walk(lattices, base, end, keys(np.arange(len(starts)), 1))
-    root = gumbel(seeds ^ rolling.BASE)
-    paths = [Paths(n, unit_doc[owner], owner, edge, np.ones(len(owner), bool), root, lattices, seeds, 1)]
+    if base is None:
+        return [(i, 1, 0.0, 0.0, 1.0, np.zeros(0, np.int32)) for i in range(n)]
+    per_doc = np.diff(bounds)
+    unit_key = np.repeat(seeds, per_doc) + rolling.ragged_arange(per_doc).astype(np.uint64)
+
+    def sums(count: np.ndarray, per: np.ndarray) -> np.ndarray:
+        upto = np.concatenate(([0], np.cumsum(count)))
+        ends = np.cumsum(per)
+        return upto[ends] - upto[ends - per]
+
+    count, edge = walk(lattices, base, rolling.mix(unit_key + np.uint64(1 << 32)))
+    root, size = gumbel(seeds ^ rolling.BASE), sums(count, per_doc)
+    paths = [Paths(size, size, np.repeat(np.arange(len(base)), count), edge, np.log(lattices.share[edge]), root, lattices, seeds, 1)]
     alive = [np.ones(n, bool)]
     for turn in range(2, k + 2):
-        found = [p.best() for p in paths]
-        values = np.stack([v for v, _ in found])
+        values = np.stack([p.best() for p in paths])
         which, value = values.argmax(axis=0), values.max(axis=0)
         if turn == k + 1:
             last = value
             break
-        docs = np.flatnonzero(~np.isneginf(value))
-        none = np.zeros(0, dtype=np.int64)
-        doc, unit, path, own = [none], [none], [none], [np.zeros(0, bool)]
-        tail_units, tail_nodes = [none], [none]
+        live = ~np.isneginf(value)
+        # the steps before stay, the unit goes on behind the new edge, later units are walked anew
+        split, kept, new, unit = (np.zeros(n, dtype=np.int64) for _ in range(4))
         for r, p in enumerate(paths):
-            mine = docs[which[docs] == r]
-            step = found[r][1][mine]
-            new = p.split(step, value[mine], turn)
-            # the steps before stay, the unit goes on behind the new edge, later units are walked anew
-            size = step - p.bounds[mine]
-            keep = np.repeat(p.bounds[mine], size) + rolling.ragged_arange(size)
-            doc += [p.doc[keep], mine]
-            unit += [p.unit[keep], p.unit[step]]
-            path += [p.edge[keep], new]
-            own += [np.zeros(len(keep) + len(mine), bool)]
-            first, stop = p.unit[step] + 1, np.searchsorted(unit_doc, mine, side="right")
-            later = np.repeat(first, stop - first) + rolling.ragged_arange(stop - first)
-            tail_units += [p.unit[step], later]
-            tail_nodes += [lattices.node[new] + lattices.length[new], base[later]]
-        units, nodes = np.concatenate(tail_units), np.concatenate(tail_nodes)
-        owner, edge = walk(lattices, nodes, end[units], keys(units, turn))
-        doc, unit, path, own = (np.concatenate([*x, y]) for x, y in ((doc, unit_doc[units[owner]]), (unit, units[owner]), (path, edge), (own, np.ones(len(owner), bool))))
-        # unit and node order the steps of a document
-        order = np.argsort(unit * len(lattices.first) + lattices.node[path], kind="stable")
-        paths.append(Paths(n, doc[order], unit[order], path[order], own[order], value, lattices, seeds, turn))
-        alive.append(~np.isneginf(value))
+            mine = np.flatnonzero(live & (which == r))
+            step = p.step_of(mine, value[mine])
+            new[mine] = p.split(step, mine, value[mine], turn)
+            split[mine], kept[mine], unit[mine] = step, step - p.bounds[mine], p.unit[step]
+        docs = np.flatnonzero(live)
+        later = bounds[docs + 1] - unit[docs]
+        units = np.repeat(unit[docs], later) + rolling.ragged_arange(later)
+        nodes = base[units]
+        nodes[np.cumsum(later) - later] = lattices.ahead[new[docs]]
+        count, walked = walk(lattices, nodes, rolling.mix(unit_key[units] + np.uint64(turn << 32)))
+        own = np.zeros(n, dtype=np.int64)
+        own[docs] = sums(count, later)
+        size = kept + live + own
+        begin = np.cumsum(size) - size
+        path, of_unit, log = np.empty(int(size.sum()), np.int64), np.empty(int(size.sum()), np.int64), np.empty(int(size.sum()))
+        for r, p in enumerate(paths):
+            mine = np.flatnonzero(live & (which == r))
+            some = rolling.ragged_arange(kept[mine])
+            to, source = np.repeat(begin[mine], kept[mine]) + some, np.repeat(p.bounds[mine], kept[mine]) + some
+            path[to], of_unit[to], log[to] = p.edge[source], p.unit[source], p.log_share[source]
+        at = begin[docs] + kept[docs]
+        path[at], of_unit[at], log[at] = new[docs], unit[docs], np.log(lattices.share[new[docs]])
+        at = np.repeat(begin + kept + live, own) + rolling.ragged_arange(own)
+        path[at], of_unit[at], log[at] = walked, np.repeat(units, count), np.log(lattices.share[walked])
+        paths.append(Paths(size, own, of_unit, path, log, value, lattices, seeds, turn))
+        alive.append(live)
+    out = []
     for r, p in enumerate(paths):
-        piece = lattices.piece[p.edge]
-        coded = np.flatnonzero(piece < 0)
+        wide, ends = lattices.piece[p.edge], p.bounds
+        coded = np.flatnonzero(wide < 0)
         if len(coded):
-            code = lattices.point[lattices.node[p.edge[coded]]]
-            code = np.where(code == LITERAL, SPACE, code)
-            raw = [chr(c).encode("utf-8", "surrogatepass") for c in code.tolist()]
-            sizes = np.ones(len(piece), dtype=np.int64)
-            sizes[coded] = [len(x) for x in raw]
-            wide = np.repeat(piece, sizes)
-            wide[wide < 0] = vocab.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-            bounds = np.concatenate(([0], np.cumsum(sizes)))[p.bounds]
-        else:
-            wide, bounds = piece, p.bounds
+            code = -1 - wide[coded]
+            sizes = np.ones(len(wide), dtype=np.int64)
+            sizes[coded] += (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+            raw = code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            wide = np.repeat(wide, sizes)
+            wide[wide < 0] = vocab.byte_ids[np.frombuffer(raw, np.uint8)]
+            ends = np.concatenate(([0], np.cumsum(sizes)))[ends]
         with np.errstate(over="ignore"):
             inclusion = -np.expm1(-np.exp(p.log - last))
-        for i in np.flatnonzero(alive[r]):
-            empty = not texts[i]
-            if not empty or r == 0:
-                out.append((int(i), r + 1, float(p.log[i]), float(p.value[i]), 1.0 if empty else float(inclusion[i]), wide[bounds[i] : bounds[i + 1]]))
+        for i in np.flatnonzero(alive[r]).tolist():
+            out.append((i, r + 1, float(p.log[i]), float(p.value[i]), float(inclusion[i]) if texts[i] else 1.0, wide[ends[i] : ends[i + 1]]))
     return out
 
 
@@ -414,15 +535,15 @@ def segmentations(
 
     def run(batch):
         vocab = vocabulary(model_path, alpha)
-        for begin, end in text_chunks(batch.column(1), CHUNK_BYTES):
+        for begin, end in text_chunks(batch.column(1), LATTICE_BYTES):
             texts = [t or "" for t in batch.column(1).slice(begin, end - begin).to_pylist()]
             ids = batch.column(0).slice(begin, end - begin)
             seeds = rolling.mix(ids.fill_null(0).to_numpy().astype(np.uint64) + np.uint64(seed) * rolling.BASE_INVERSE)
-            rows = sample(vocab, texts, seeds, k)
-            for b in range(0, len(rows), 64):
-                who, rank, log, value, inclusion, found = zip(*rows[b : b + 64], strict=True)
+            parts = (rows[b : b + 64] for rows in sampled(vocab, texts, seeds, k) for b in range(0, len(rows), 64))
+            for part in parts:
+                who, rank, log, value, inclusion, found = zip(*part, strict=True)
                 sizes = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(found).astype(np.int32)))
+                lists = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(found)))
                 columns = [ids.take(pa.array(who)), pa.array(rank, pa.int32()), pa.array(log), pa.array(value), pa.array(inclusion), lists]
                 if with_text:
                     columns.append(pa.array(vocab.decode(lists), pa.string()))

@@ -319,3 +319,49 @@ def test_pieces_are_decoded_a_batch_at_a_time_and_found_without_search():
     found, place, _ = vocab.find(vocab.hashes)
     assert (found == np.arange(len(vocab.hashes))).all() and (place == found).all()
     assert not len(vocab.find(vocab.hashes ^ np.uint64(1))[0])
+
+
+def test_units_of_one_ending_share_lattice_nodes_over_batches(monkeypatch):
+    import math
+
+    import public_tokenizers
+
+    from earshot.llm import pieces
+
+    vocab = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 0.5)
+    texts = ["talking walking king", "", "walking \u2581king \U0001f600king", "king  talking", " ", "x" * 40 + " walking"]
+    made, whole = [], pieces.Lattices.__init__
+
+    def count(self, *args):
+        whole(self, *args)
+        made.append(self)
+
+    monkeypatch.setattr(pieces.Lattices, "__init__", count)
+    seeds = np.arange(len(texts), dtype=np.uint64)
+    rows = pieces.sample(vocab, texts, seeds, 3)
+    # batches, stretches of nodes and of units change nothing, and lattices are made once for all batches
+    for name in ("CHUNK_BYTES", "NODES_AT_ONCE", "UNITS_AT_ONCE"):
+        monkeypatch.setattr(pieces, name, 3)
+    again = pieces.sample(vocab, texts, seeds, 3)
+    key = lambda r: (r[0], r[1], r[5].tolist())
+    assert sorted(map(key, again)) == sorted(map(key, rows)) and len(made) == 2
+    marked = [(" " + t).replace("\u2581", "\0").replace(" ", "\u2581") if t else "" for t in texts]
+    units = {u for t in marked for u in re.findall("\u2581+[^\u2581]*", t)}
+    assert all(len(x.first) - 1 == len({u[i:] for u in units for i in range(len(u))}) for x in made)
+
+    # probabilities by plain sums over the pieces of a text
+    weight = {}
+    for place, i in enumerate(vocab.ids.tolist()):
+        weight[vocab.raw[i].as_py().decode().replace(" ", "\u2581")] = float(vocab.weights[place])
+    by_id = dict(zip(vocab.ids.tolist(), vocab.weights.tolist(), strict=True))
+    for i, rank, log_prob, _, _, ids in rows:
+        t = marked[i]
+        total = [0.0] * (len(t) + 1)
+        for a in range(len(t) - 1, -1, -1):
+            ways = [(weight[t[a:b]], b) for b in range(a + 1, min(a + vocab.longest, len(t)) + 1) if t[a:b] in weight and not re.search("[^\u2581]\u2581", t[a:b])]
+            if t[a] not in weight:
+                ways.append((vocab.byte_weight * len((t[a] if t[a] != "\0" else "\u2581").encode()), a + 1))
+            top = max(w + total[b] for w, b in ways)
+            total[a] = top + math.log(sum(math.exp(w + total[b] - top) for w, b in ways))
+        got = sum(by_id.get(x, vocab.byte_weight) for x in ids.tolist())
+        assert abs(got - total[0] - log_prob) < 1e-9, (t, rank)
